@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing
+from . import chat, exact_dedup, language_id, mixing, packing, token_counts, warc
+from .common import materialize
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,5 +71,89 @@ SELECT doc_id, size, source_size, target,
 FROM drawn
 """
 
-QUERIES = {"op6_exact_dedup": op6_exact_dedup, "op3_mixing": op3_mixing}
-ORACLES = {"op6_exact_dedup": OP6_SQL, "op3_mixing": OP3_SQL}
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.fit(docs)
+    rows = docs.select("doc_id", language_id.held_out().alias("held_out"), "text")
+    out = language_id.identify(rows, model, keep=["doc_id", "held_out"])
+    return out.withColumnsRenamed({"__lang": "lang_pred", "__score": "score"})
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_counts.count_tokens(docs, keep=["doc_id"]).withColumnsRenamed({"__pretokens": "n_pretokens", "__tokens": "n_tokens"})
+
+
+def op1_packed_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    probe = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit("</s>[INST] ok [/INST]").alias("text"),
+    )
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
+    again = F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy("role", "text"))
+    events = rows.withColumn("copy", again).select(
+        F.col("conv_id").alias("conv"),
+        F.col("turn").alias("msg"),
+        "copy",
+        F.explode(
+            F.array(
+                F.struct(F.lit(0).alias("seq"), F.lit("start").alias("op"), "role", F.lit("").alias("text")),
+                F.struct(F.lit(1).alias("seq"), F.lit("delta").alias("op"), F.lit("").alias("role"), F.coalesce("text", F.lit("")).alias("text")),
+            )
+        ).alias("e"),
+    )
+    return chat.read_back(chat.render(chat.fold(events.select("conv", "msg", "copy", "e.*"))))
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    archives = materialize(warc.write_archives(warc.plan_records(pages)), "archives")
+    return warc.read_archives(archives).drop("url")
+
+
+OP4_SQL = """
+WITH hashed AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+), firsts AS (
+  SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS first FROM hashed
+)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 1000 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND page_id <> first THEN first END AS refers_to
+FROM firsts
+"""
+
+OP8_SQL = r"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT * FROM (VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]'))
+), shown AS (
+  SELECT *, length(regexp_replace(text, '([\\<\[])', '\\\1', 'g'))
+            + CASE role WHEN 'user' THEN 18 WHEN 'assistant' THEN 6
+              ELSE 20 + length(regexp_replace(role, '([\\<\[>])', '\\\1', 'g')) END AS chars
+  FROM rows
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(chars)::BIGINT AS formatted_chars
+FROM shown GROUP BY conv_id
+"""
+
+QUERIES = {
+    "op1_packed_tokens": op1_packed_tokens,
+    "op3_mixing": op3_mixing,
+    "op4_warc": op4_warc,
+    "op6_exact_dedup": op6_exact_dedup,
+    "op7_language_id": op7_language_id,
+    "op8_chat_format": op8_chat_format,
+    "op10_token_counts": op10_token_counts,
+}
+ORACLES = {"op3_mixing": OP3_SQL, "op4_warc": OP4_SQL, "op6_exact_dedup": OP6_SQL, "op8_chat_format": OP8_SQL}

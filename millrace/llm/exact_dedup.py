@@ -20,7 +20,7 @@ PREFIX_CHARS = 64
 
 
 def refine(docs: DataFrame, text: str = "text", same: Column | None = None) -> DataFrame:
-    """`docs` plus `__full`: the full hash where length and prefix hash recur, else null.
+    """`docs` plus `__pre`, the prefix hash, and `__full`: the full hash where length and prefix hash recur, else null.
 
     `same` replaces the full hash (default SHA-256 of the text) if the caller has one at hand.
     """
@@ -31,7 +31,7 @@ def refine(docs: DataFrame, text: str = "text", same: Column | None = None) -> D
     prefixes = keyed.select("__len", "__pre").join(lengths, "__len", "left_semi").groupBy("__len", "__pre").count().where(recur)
     survivors = bounded(materialize(prefixes.select("__len", "__pre", F.lit(True).alias("__hit")), "prefixes"))
     full = F.when(F.col("__hit"), F.sha2(body, 256) if same is None else same)
-    return keyed.join(survivors, ["__len", "__pre"], "left").withColumn("__full", full).drop("__len", "__pre", "__hit")
+    return keyed.join(survivors, ["__len", "__pre"], "left").withColumn("__full", full).drop("__len", "__hit")
 
 
 def exact_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", same: Column | None = None) -> DataFrame:
@@ -43,11 +43,13 @@ def exact_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", s
         .agg(F.max(key).alias("__keep"), F.count(F.lit(1)).alias("__n"))
         .where(F.col("__n") > 1)
     )
-    out = marked.join(groups, "__full", "left")
+    # rows without a full hash get a key that spreads them and that no hash equals
+    spread = F.coalesce("__full", F.concat(F.lit("!"), F.hex("__pre")))
+    out = marked.withColumn("__full", spread).join(groups, "__full", "left")
     keep = F.when(F.col("__n").isNull(), F.col(key)).otherwise(F.col("__keep"))
     return out.withColumns(
         {"__keep_id": keep, "__group_size": F.coalesce("__n", F.lit(1)).cast("long"), "__kept": F.col(key).eqNullSafe(keep)}
-    ).drop("__full", "__keep", "__n")
+    ).drop("__full", "__pre", "__keep", "__n")
 
 
 def drop_exact(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, language_id, mixing, packing, token_counts, warc
+from . import chat, decontamination, exact_dedup, language_id, mixing, packing, similarity_join, token_counts, warc
 from .common import materialize
 
 
@@ -147,13 +147,25 @@ SELECT conv_id, count(*) AS n_turns,
 FROM shown GROUP BY conv_id
 """
 
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similarity_join.similar_classes(table(spark, sf_dir, "documents"))
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = decontamination.contaminated(docs, table(spark, sf_dir, "benchmark"), keep=["doc_id"])
+    return out.select("doc_id", (F.size("__items") > 0).alias("contaminated"), F.col("__items").alias("item_ids"), F.col("__overlap").alias("overlap"))
+
+
 QUERIES = {
     "op1_packed_tokens": op1_packed_tokens,
+    "op2_ngram_jaccard": op2_ngram_jaccard,
     "op3_mixing": op3_mixing,
     "op4_warc": op4_warc,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_language_id": op7_language_id,
     "op8_chat_format": op8_chat_format,
+    "op9_decontamination": op9_decontamination,
     "op10_token_counts": op10_token_counts,
 }
 ORACLES = {"op3_mixing": OP3_SQL, "op4_warc": OP4_SQL, "op6_exact_dedup": OP6_SQL, "op8_chat_format": OP8_SQL}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, exact_dedup, language_id, mixing, packing, similarity_join, token_counts, warc
+from . import chat, decontamination, exact_dedup, language_id, mixing, packing, similarity_join, suffix_dedup, token_counts, warc
 from .common import materialize
 
 
@@ -157,11 +157,24 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (F.size("__items") > 0).alias("contaminated"), F.col("__items").alias("item_ids"), F.col("__overlap").alias("overlap"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = suffix_dedup.remove_repeats(docs, keep=["doc_id"], payload=False)
+    return out.select(
+        "doc_id",
+        F.col("__n_bytes").alias("n_bytes"),
+        F.col("__n_removed").alias("n_removed"),
+        F.size("__spans").cast("long").alias("n_spans"),
+        F.col("__kept_sha256").alias("kept_sha256"),
+    )
+
+
 QUERIES = {
     "op1_packed_tokens": op1_packed_tokens,
     "op2_ngram_jaccard": op2_ngram_jaccard,
     "op3_mixing": op3_mixing,
     "op4_warc": op4_warc,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_language_id": op7_language_id,
     "op8_chat_format": op8_chat_format,

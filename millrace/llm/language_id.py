@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 
 from .common import column, slices
 from .mixing import draw
-from .vocabulary import PIECES, WORD_MARK, WordTable, load_pieces, text_runs
+from .vocabulary import PIECES, WORD_MARK, PieceIndex, WordTable, char_matrix, load_pieces, text_runs
 
 MAX_FIT_ROWS = 1600
 ROUNDS = 3
@@ -42,20 +42,15 @@ LONG = 40
 class Lattice:
     """For words of one length the ids of all pieces by end and length; the last row of a table of probabilities is 0."""
 
-    def __init__(self, words: list[str], index: dict[str, int], longest: int, absent: int):
-        n, rows, ends, sizes, ids = len(words[0]), [], [], [], []
-        get = index.get
-        for r, w in enumerate(words):
-            for i in range(n):
-                for j in range(i + 1, min(n, i + longest) + 1):
-                    if (p := get(w[i:j])) is not None:
-                        rows.append(r)
-                        ends.append(j)
-                        sizes.append(j - i)
-                        ids.append(p)
-        self.n, self.longest = n, min(longest, n)
-        self.ids = np.full((len(words), n + 1, self.longest + 1), absent, np.int32)
-        self.ids[rows, ends, sizes] = ids
+    def __init__(self, words: list[str], index: PieceIndex):
+        n = len(words[0])
+        self.n, self.longest = n, min(index.longest, n)
+        chars = char_matrix(words, n)
+        self.ids = np.full((len(words), n + 1, self.longest + 1), index.absent, np.int32)
+        hashes = np.zeros((len(words), n), np.uint64)
+        for size in range(1, self.longest + 1):
+            hashes = index.extend(hashes[:, : n - size + 1], chars[:, size - 1 :])
+            self.ids[:, size:, size] = index.find(hashes)
 
     def forward(self, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Scaled sums over segmentations of every prefix, (word, end, language), and the logs of the scales."""
@@ -98,13 +93,13 @@ def by_length(words: list[str], at_once: int = 5000) -> Iterator[list[int]]:
             yield g[i : i + at_once]
 
 
-def fit_language(words: list[str], weights: np.ndarray, index: dict[str, int], rounds: int = ROUNDS) -> np.ndarray:
+def fit_language(words: list[str], weights: np.ndarray, index: PieceIndex, rounds: int = ROUNDS) -> np.ndarray:
     """Piece probabilities of a language by expectation maximisation over its distinct words."""
-    size, longest = len(index), max(map(len, index))
+    size = index.absent
     table = np.append(np.full(size, 1 / size), 0)[:, None]
     marked = [WORD_MARK + w for w in words]
     keep = [g for g in by_length(marked) if len(marked[g[0]]) <= LONG]
-    lattices = [(Lattice([marked[i] for i in g], index, longest, size), weights[g]) for g in keep]
+    lattices = [(Lattice([marked[i] for i in g], index), weights[g]) for g in keep]
     for _ in range(rounds):
         total = np.zeros(size + 1)
         for lattice, w in lattices:
@@ -120,25 +115,24 @@ class Model:
 
     def __init__(self, pieces: list[str], langs: list[str], table: np.ndarray):
         self.pieces, self.langs, self.table = pieces, langs, table
-        self.words = None
+        self.words = self.index = None
 
     def __getstate__(self):
-        return self.__dict__ | {"words": None}
+        return self.__dict__ | {"words": None, "index": None}
 
     def word_scores(self, words: list[str]) -> np.ndarray:
         """Log probability of each word in each language, all segmentations summed."""
         out = np.zeros((len(words), len(self.langs)))
         marked = [WORD_MARK + w for w in words]
         for g in by_length(marked):
-            lattice = Lattice([marked[i] for i in g], self.index, self.longest, len(self.pieces))
+            lattice = Lattice([marked[i] for i in g], self.index)
             alpha, logs = lattice.forward(self.table)
             out[g] = np.log(alpha[:, -1]) + logs
         return out
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         if self.words is None:
-            self.index = {p: i for i, p in enumerate(self.pieces)}
-            self.longest = max(map(len, self.pieces))
+            self.index = PieceIndex(self.pieces)
             self.words = WordTable(self.word_scores, len(self.langs), np.float64)
         names, scores = [], []
         for i, j in text_runs([t or "" for t in texts]):
@@ -173,7 +167,7 @@ def fit(docs: DataFrame, path: str = PIECES, key: str = "doc_id", text: str = "t
     chosen = labelled.where(draw(key, "fit") < rate[F.col(lang)])
     word = F.explode(F.split(text, r"\s+")).alias("word")
     counted = chosen.select(F.col(lang).alias("lang"), word).where("word <> ''").groupBy("lang", "word").count().toPandas()
-    index = {p: i for i, p in enumerate(pieces)}
+    index = PieceIndex(pieces)
     fitted = [fit_language(list(c.word), c["count"].to_numpy(float), index) for c in (counted[counted.lang == k] for k in langs)]
     return Model(pieces, langs, np.stack(fitted, axis=1))
 

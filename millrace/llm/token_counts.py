@@ -1,9 +1,9 @@
 """Token counts by a unigram model whose forward scores are shared along a trie of distinct pre-tokens.
 
-The distinct pre-tokens (words after a word mark) of a run of texts form a trie. A depth-first walk
+The distinct pre-tokens (words after a word mark) of a run of texts form a trie. A walk over it
 computes, once per trie node, the best forward score of the prefix it spells and the number of
 pieces of that best segmentation; the terminal counts of the pre-tokens are stored and summed per
-document. Every piece has the score of its rank under Zipf's law; a character outside the vocabulary
+document. The walk goes level by level, all nodes of a depth at once. Every piece has the score of its rank under Zipf's law; a character outside the vocabulary
 costs one byte piece per UTF-8 byte. Counting is one map over the documents without a shuffle.
 
 Defined cases: null and empty texts have 0 pre-tokens and 0 tokens; equal scores take the fewer
@@ -21,7 +21,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .common import column, slices
-from .vocabulary import PIECES, WORD_MARK, WordTable, load_pieces, text_runs
+from .vocabulary import PIECES, WORD_MARK, PieceIndex, WordTable, char_matrix, load_pieces, text_runs
+
+LONG = 64
 
 
 def zipf_scores(pieces: list[str]) -> dict[str, float]:
@@ -36,46 +38,42 @@ def byte_score(scores: dict[str, float]) -> float:
 
 
 class Trie:
-    """Nodes as parallel lists; children by character. Terminal nodes hold the count of their pre-token."""
+    """A level per character: each node's parent and character. Words end at terminal nodes."""
 
     def __init__(self, words: list[str]):
-        self.children: list[dict[str, int]] = [{}]
-        self.terminal = np.zeros(len(words), np.int64)
-        for k, w in enumerate(words):
-            at = 0
-            for c in w:
-                step = self.children[at]
-                if (to := step.get(c)) is None:
-                    to = step[c] = len(self.children)
-                    self.children.append({})
-                at = to
-            self.terminal[k] = at
-
-    def counts(self, scores: dict[str, float], longest: int, per_byte: float) -> np.ndarray:
-        """Pieces of the best segmentation at every node; each node is scored once, from the path above it."""
-        children, out = self.children, np.zeros(len(self.children), np.int64)
-        get = scores.get
-        path, best, used = [], [0.0], [0]
-        stack = [(c, n, 0) for c, n in children[0].items()]
-        while stack:
-            char, node, depth = stack.pop()
-            del path[depth:], best[depth + 1 :], used[depth + 1 :]
-            path.append(char)
-            tail = "".join(path[-longest:])
-            bytes_ = len(char.encode("utf-8", "surrogatepass"))
-            top, n = best[depth] + bytes_ * per_byte, used[depth] + bytes_
-            start = depth + 1 - len(tail)
-            for k in range(len(tail)):
-                if (s := get(tail[k:])) is not None:
-                    s += best[start + k]
-                    m = used[start + k] + 1
-                    if s > top or s == top and m < n:
-                        top, n = s, m
-            best.append(top)
-            used.append(n)
-            out[node] = n
-            if below := children[node]:
-                stack += [(c, to, depth + 1) for c, to in below.items()]
+        size = max(map(len, words))
+        chars, lengths = char_matrix(words, size).astype(np.int64), np.array([len(w) for w in words])
+        self.levels: list[tuple[np.ndarray, np.ndarray]] = []
+        self.ends: list[tuple[np.ndarray, np.ndarray]] = []
+        alive, node = np.arange(len(words)), np.zeros(len(words), np.int64)
+        for depth in range(size):
+            alive, node = alive[longer := lengths[alive] > depth], node[longer]
+            edges, node = np.unique(node << 21 | chars[alive, depth], return_inverse=True)
+            self.levels.append((edges >> 21, edges & (1 << 21) - 1))
+            ending = lengths[alive] == depth + 1
+            self.ends.append((alive[ending], node[ending]))
+
+    def terminal_counts(self, index: PieceIndex, scores: np.ndarray, per_byte: float) -> np.ndarray:
+        """Per word the pieces of its best segmentation. Every node is scored once, from the nodes on the path above it.
+
+        `scores` has a last entry of -inf for no piece.
+        """
+        out = np.zeros(sum(len(w) for w, _ in self.ends), np.int64)
+        hashes = np.zeros((1, 1), np.uint64)  # of the last 0, 1, ... characters of each node's path
+        best, used = np.zeros((1, 1)), np.zeros((1, 1), np.int64)  # at the node and at its ancestors upwards
+        for (parent, char), (words, nodes) in zip(self.levels, self.ends, strict=True):
+            spread = min(hashes.shape[1], index.longest)
+            hashes = np.concatenate((np.zeros((len(parent), 1), np.uint64), index.extend(hashes[parent, :spread], char[:, None])), axis=1)
+            above, above_used = best[parent, :spread], used[parent, :spread]
+            found = index.find(hashes[:, 1:])
+            bytes_ = 1 + (char >= 0x80) + (char >= 0x800) + (char >= 0x10000)
+            top, count = above[:, 0] + bytes_ * per_byte, above_used[:, 0] + bytes_
+            for k in range(spread):
+                s, m = above[:, k] + scores[found[:, k]], above_used[:, k] + 1
+                better = (s > top) | ((s == top) & (m < count))
+                top, count = np.where(better, s, top), np.where(better, m, count)
+            best, used = np.concatenate((top[:, None], above), axis=1), np.concatenate((count[:, None], above_used), axis=1)
+            out[words] = count[nodes]
         return out
 
 
@@ -83,19 +81,27 @@ class Counter:
     """Picklable: the scores; the table of words belongs to one worker."""
 
     def __init__(self, pieces: list[str]):
-        self.scores = zipf_scores(pieces)
-        self.longest, self.per_byte = max(map(len, pieces)), byte_score(self.scores)
-        self.words = None
+        by_piece = zipf_scores(pieces)
+        self.pieces, self.per_byte = pieces, byte_score(by_piece)
+        self.scores = np.append([by_piece[p] for p in pieces], -np.inf)
+        self.words = self.index = None
 
     def __getstate__(self):
-        return self.__dict__ | {"words": None}
+        return self.__dict__ | {"words": None, "index": None}
 
     def word_counts(self, words: list[str]) -> np.ndarray:
-        trie = Trie([WORD_MARK + w for w in words])
-        return trie.counts(self.scores, self.longest, self.per_byte)[trie.terminal][:, None]
+        marked = [WORD_MARK + w for w in words]
+        out = np.zeros((len(words), 1), np.int64)
+        for few in (False, True):  # long words in tries of their own: a level costs as much for few words as for many
+            some = [i for i, w in enumerate(marked) if (len(w) > LONG) == few]
+            for k in range(0, len(some), 1 if few else len(some)):
+                at = some[k : k + 1] if few else some
+                out[at, 0] = Trie([marked[i] for i in at]).terminal_counts(self.index, self.scores, self.per_byte)
+        return out
 
     def count(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if self.words is None:
+            self.index = PieceIndex(self.pieces)
             self.words = WordTable(self.word_counts, 1, np.int64)
         parts = [self.words.sums(texts[i:j]) for i, j in text_runs(texts)]
         if not parts:

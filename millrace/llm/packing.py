@@ -18,7 +18,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from .common import column, slices
-from .vocabulary import BYTE_RANKS, load_ranks, text_runs
+from .vocabulary import BYTE_RANKS, factorize, load_ranks, text_runs
 
 ROW = 2048
 BUFFER = 1 << 20
@@ -92,14 +91,13 @@ class Tokenizer:
 
     ODD = re.compile(r"\s\s|\x00")
 
-    def __init__(self, ranks: dict[bytes, int], keep: int = 150_000):
+    def __init__(self, ranks: dict[bytes, int], keep: int = 300_000):
         self.ranks, self.keep, self.encoding, self.known = ranks, keep, None, {}
 
     def __getstate__(self):
         return {"ranks": self.ranks, "keep": self.keep, "encoding": None, "known": {}}
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        import pandas as pd
         import tiktoken
 
         if self.encoding is None:
@@ -113,16 +111,12 @@ class Tokenizer:
                 parts[0] = "\0" + parts[0]
                 words += parts
                 counts.append(len(parts))
-        codes, distinct = pd.factorize(np.array(words, dtype=object))
-        known, ids = self.known, []
-        for w in distinct:
-            if (got := known.get(w)) is None:
-                got = plain(w[1:] if w[:1] == "\0" else " " + w)
-                if len(known) < self.keep:
-                    known[w] = got
-            ids.append(got)
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum()))
+        codes, distinct = factorize(words)
+        known = self.known
+        ids = [known.get(w) for w in distinct]
+        self.encode_new(distinct, [k for k, x in enumerate(ids) if x is None], ids)
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat = np.frombuffer(b"".join(ids), np.uint32)
         each = sizes[codes]
         ends = np.cumsum(each)
         all_ids = flat[np.repeat((np.cumsum(sizes) - sizes)[codes] - ends + each, each) + np.arange(int(each.sum()))]
@@ -133,6 +127,22 @@ class Tokenizer:
             out.append(np.array(plain(t), np.uint32) if whole else all_ids[bounds[k] : bounds[k + 1]])
         return out
 
+    def encode_new(self, words: list[str], new: list[int], ids: list[bytes | None]) -> None:
+        """Fill in the ids of words not seen yet. Words without a line feed are encoded in one call, a line each: a line feed is a token of its own."""
+        full = [w[1:] if w[:1] == "\0" else " " + w for w in (words[k] for k in new)]
+        lines = [i for i, w in enumerate(full) if w and not w[0] == w[-1] == " " and "\n" not in w and not w[-1].isspace()]
+        every = self.encoding.encode_to_numpy("\n".join([full[i] for i in lines])).astype(np.uint32)
+        cuts = np.flatnonzero(every == self.ranks[b"\n"])
+        begins, ends = np.concatenate(([0], cuts + 1)), np.append(cuts, len(every))
+        data = every.tobytes()
+        for i, a, b in zip(lines, begins.tolist(), ends.tolist(), strict=False):
+            ids[new[i]] = data[4 * a : 4 * b]
+        for k, w in zip(new, full, strict=True):
+            if ids[k] is None:
+                ids[k] = np.array(self.encoding.encode_ordinary(w), np.uint32).tobytes()
+            if len(self.known) < self.keep:
+                self.known[words[k]] = ids[k]
+
 
 def pack(segments: list[tuple[int | None, int, np.ndarray]], size: int) -> Iterator[list[tuple[int | None, int, np.ndarray]]]:
     """Rows of segments (document, offset, ids): full segments alone, the others by best fit decreasing."""

@@ -36,6 +36,7 @@ SMOOTHING = 0.1
 #: Probability of a character that no piece covers; the same in all languages.
 UNKNOWN = 1e-7
 UNDETERMINED = "und"
+LEAST_SCORE = 0.5
 LONG = 40
 
 
@@ -184,3 +185,8 @@ def identify(docs: DataFrame, model: Model, text: str = "text", keep: list[str]
 
     schema = T.StructType([*(docs.schema[k] for k in keep), T.StructField("__lang", T.StringType()), T.StructField("__score", T.DoubleType())])
     return docs.mapInArrow(score, schema)
+
+
+def accepted(docs: DataFrame, model: Model, text: str = "text", least: float = LEAST_SCORE) -> DataFrame:
+    """The rows of `docs` in a learned language with a score of at least `least`, with their columns."""
+    return identify(docs, model, text).where((F.col("__lang") != UNDETERMINED) & (F.col("__score") >= least)).select(*docs.columns)

@@ -308,7 +308,12 @@ def full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of `docs` whose key is its component's smallest, with the columns of `docs`. Rows that repeat such a key and text stay."""
-    first = similar_classes(docs, key, text).where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("__first"))
-    kept = bounded(materialize(first.distinct(), "kept"))
-    return docs.join(kept, F.col(key).eqNullSafe(F.col("__first")), "left_semi")
+    """One row of `docs` for each component, the one with its smallest key, with the columns of `docs`.
+
+    Keys are taken for unique: of rows that repeat the key that stays, one stays.
+    """
+    first = similar_classes(docs, key, text).where(F.col(key).eqNullSafe(F.col("component_id"))).groupBy(F.col(key).alias("__first")).count()
+    kept = materialize(first.withColumn("__again", F.col("count") > 1).drop("count"), "kept")
+    found = docs.join(bounded(kept), F.col(key).eqNullSafe(F.col("__first")))
+    single, again = found.where("NOT __again"), found.where("__again")
+    return single.select(*docs.columns).unionByName(again.dropDuplicates([key]).select(*docs.columns))

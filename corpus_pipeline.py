@@ -1,20 +1,51 @@
-"""The corpus pipeline: language ID, near-duplicates, decontamination, mixing and packing, each over all that came before."""
+"""The corpus pipeline: language ID, near-duplicates, decontamination, mixing and packing, each over all that came before.
+
+All stages but the last return the columns of `documents`; each stage's result is written and read
+again before the next, so a lost executor costs one stage's tasks and not the lineage before it.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import mixing
+from millrace.llm import decontamination, language_id, mixing, packing, similarity_join
 from millrace.llm.common import materialize
 
 
-def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that the labelled rows teach; undetermined ones go."""
+    return language_id.accepted(docs, language_id.fit(docs))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of similar ones."""
+    return similarity_join.one_of_each(docs)
+
+
+def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a benchmark passage."""
+    return decontamination.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources takes them."""
     return mixing.mix(docs)
 
 
-STAGES = [("mixing", mixing_stage)]
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Fixed-length rows of token ids."""
+    return packing.pack_documents(docs)
+
+
+STAGES = [
+    ("language_id", languages),
+    ("ngram_jaccard", near_duplicates),
+    ("decontamination", clean_of_benchmark),
+    ("mixing", mixed),
+    ("packed_tokens", packed),
+]
 
-#: SQL can't express the learned and packed stages.
+#: SQL can't express language ID or tokenization; tests compare with a brute-force version.
 ORACLE_SQL = None
 
 

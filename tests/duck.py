@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -17,7 +18,7 @@ def connect(sf_dir):
 
 
 def plain(v):
-    if v is None or isinstance(v, float) and v != v:
+    if v is None or v is pd.NA or isinstance(v, float) and v != v:
         return "null"
     return f"{v:.9g}" if isinstance(v, float) else str(v)
 

@@ -44,8 +44,8 @@ def post_of(link: Column, parent: Column) -> Column:
     return F.when(link.startswith("t3_"), tail(link)).when(parent.startswith("t3_"), tail(parent)).otherwise(or_default(link, parent))
 
 
-def normalize(raw: DataFrame, comments: bool, source: str = "community_forum") -> DataFrame:
-    """Records plus ord and malformed; malformed rows have no id."""
+def normalize(raw: DataFrame, comments: bool, source: str = "community_forum", keep: list[str] | None = None) -> DataFrame:
+    """Records plus ord, malformed and the columns `keep`; malformed rows have no id."""
     text = lambda *names: strip(F.coalesce(*map(field, names), F.lit("")))
     ident = F.coalesce(strip(field("id")), F.lit(""))
     link, parent = text("link_id"), text("parent_id")
@@ -63,6 +63,7 @@ def normalize(raw: DataFrame, comments: bool, source: str = "community_forum") -
         whole_number("score").alias("score"),
         "ord",
         (F.col("v").isNull() | (ident == "")).alias("malformed"),
+        *(keep or []),
     )
 
 

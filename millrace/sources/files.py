@@ -52,9 +52,13 @@ def read_json_lines(spark: SparkSession, path: str) -> DataFrame:
     if not exists(spark, path):
         return spark.createDataFrame([], "ord long, v variant")
     line = strip(F.make_valid_utf8("value"))
-    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("ord"), line.alias("line")).where("line <> ''")
-    parsed = F.when(F.endswith("line", F.lit("}")), F.try_parse_json("line"))
-    whole = lines.select("ord", parsed.alias("v")).withColumn("v", F.when(kind(F.col("v")).startswith("OBJECT"), F.col("v")))
+    return open_objects(spark.read.text(path).select(F.monotonically_increasing_id().alias("ord"), line.alias("line")).where("line <> ''"))
+
+
+def open_objects(lines: DataFrame) -> DataFrame:
+    """`lines` with v, the object that a line holds or its envelope's, in place of line; null if it holds none."""
+    parsed = lines.withColumn("v", F.when(F.endswith("line", F.lit("}")), F.try_parse_json("line"))).drop("line")
+    whole = parsed.withColumn("v", F.when(kind(F.col("v")).startswith("OBJECT"), F.col("v")))
     inner = F.try_variant_get("v", "$.data", "variant")
     return whole.withColumn("v", F.when(kind(inner).startswith("OBJECT"), inner).otherwise(F.col("v")))
 

@@ -42,8 +42,13 @@ def topic_terms(topic: Column, concepts: dict[str, list[str]]) -> Column:
 
 
 def hits(text: Column, terms: Column) -> Column:
-    """The terms that occur in a normalized text, hyphens as they are or as spaces."""
-    return once(F.struct(text.alias("t"), spaced(text).alias("s")), lambda x: F.filter(terms, lambda term: F.contains(x["t"], term) | F.contains(x["s"], term)))
+    """The terms that occur in a normalized text, hyphens as they are or as spaces.
+
+    One search a term: a term with a hyphen can't occur in the spaced text, and one without that occurs
+    in the text as it is occurs in the spaced one too.
+    """
+    occurs = lambda x, term: F.when(F.contains(term, F.lit("-")), F.contains(x["t"], term)).otherwise(F.contains(x["s"], term))
+    return once(F.struct(text.alias("t"), spaced(text).alias("s")), lambda x: F.filter(terms, lambda term: occurs(x, term)))
 
 
 def concept_reward(text: Column, topic: Column, concepts: dict[str, list[str]] = CONCEPTS, cap: float = 2.0, digits: int | None = 3) -> Column:

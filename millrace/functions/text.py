@@ -36,8 +36,10 @@ def or_default(c: Column, default: Column | str) -> Column:
 
 
 def pattern(python: str) -> str:
-    """A Java pattern for one that says \\b and \\s in Python's sense."""
-    return python.replace(r"\b", BORDER).replace(r"\s", SPACE)
+    """A Java pattern for one that says \\b and \\s in Python's sense; its outer borders stand next to letters."""
+    inner = python.removeprefix(r"\b").removesuffix(r"\b")
+    before, after = rf"(?<!{WORD})" * python.startswith(r"\b"), rf"(?!{WORD})" * python.endswith(r"\b")
+    return before + inner.replace(r"\b", BORDER).replace(r"\s", SPACE) + after
 
 
 def normalize(c: Column) -> Column:

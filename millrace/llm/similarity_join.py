@@ -11,7 +11,8 @@ J or more share none of them with probability at most (1 - J) ** SKETCH, 1.7e-17
 than the chance that two of the 64-bit shingle hashes collide. Sets of at most SKETCH shingles are
 routed by all of them. A pair belongs to the bucket of its smallest shared hash alone, so no pair is
 found twice. A bucket of more than BUCKET classes is split into chunks, and every pair of chunks
-meets in a bucket of its own: memory stays bounded and no pair is lost.
+meets in a bucket of its own; groups to verify are split by GROUP in the same way: memory stays
+bounded and no pair is lost.
 
 Buckets emit classes with a group number, verification emits one row per class and group (its number
 of links and a neighbour towards the group's root); neither emits pairs, so rows grow with the
@@ -37,6 +38,7 @@ from .common import LOWER, bounded, column, materialize, mix, packs_of, shingle_
 GROUPS = 64
 SKETCH = 24
 BUCKET = 4096
+GROUP = 1024
 LEAF = 32
 #: Linked: SHARE[0] * intersection >= SHARE[1] * (size + size), which is 100 * intersection >= 80 * union.
 SHARE = (9, 4)
@@ -89,17 +91,19 @@ class RTree:
         self.corner = np.stack([points[at].max(axis=0) for at in self.leaves])
         self.least = np.array([sizes[at].min() for at in self.leaves])
 
-    def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs (a, b) of point numbers whose bound reaches the threshold, a < b in leaf order."""
-        for k, at in enumerate(self.leaves):
+    def leaf_pairs(self) -> Iterator[tuple[int, int]]:
+        """Pairs of leaves k <= l that the bound of their boxes leaves."""
+        for k in range(len(self.leaves)):
             bound = np.minimum(self.corner[k], self.corner[k:]).sum(axis=1, dtype=np.int64)
-            for o in np.flatnonzero(SHARE[0] * bound >= SHARE[1] * (self.least[k] + self.least[k:])):
-                to = self.leaves[k + o]
-                bound = np.minimum(self.points[at][:, None], self.points[to][None]).sum(axis=2, dtype=np.int64)
-                fits = SHARE[0] * bound >= SHARE[1] * (self.sizes[at][:, None] + self.sizes[to][None])
-                x, y = np.nonzero(np.triu(fits, 1) if not o else fits)
-                if len(x):
-                    yield at[x], to[y]
+            for o in np.flatnonzero(SHARE[0] * bound >= SHARE[1] * (self.least[k] + self.least[k:])).tolist():
+                yield k, k + o
+
+    def fits(self, k: int, other: int) -> np.ndarray:
+        """Which points of two leaves may be linked by their bound; of a leaf with itself each pair once."""
+        at, to = self.leaves[k], self.leaves[other]
+        bound = np.minimum(self.points[at][:, None], self.points[to][None]).sum(axis=2, dtype=np.int64)
+        fits = SHARE[0] * bound >= SHARE[1] * (self.sizes[at][:, None] + self.sizes[to][None])
+        return np.triu(fits, 1) if k == other else fits
 
 
 class Sets:
@@ -121,7 +125,7 @@ class Sets:
             self.up[max(a, b)] = min(a, b)
 
 
-def overlaps(lists: list[np.ndarray], weights: np.ndarray | None = None) -> np.ndarray:
+def overlaps(lists: list[np.ndarray]) -> np.ndarray:
     """Matrix of common elements of any two lists of distinct hashes; elements in one list only are left out first."""
     m = len(lists)
     if m == 2 and len(lists[0]) and len(lists[1]):
@@ -148,7 +152,7 @@ def overlaps(lists: list[np.ndarray], weights: np.ndarray | None = None) -> np.n
 def groups_of(batches: Iterator[pa.RecordBatch], keys: list[str], names: list[str]) -> Iterator[tuple[tuple, list[tuple]]]:
     """Runs of rows with equal keys in a sorted stream."""
     at, rows = None, []
-    for b in batches:
+    for b in slices(batches, 500):
         for k, row in zip(zip(*(column(b, n).to_pylist() for n in keys), strict=True), zip(*(column(b, n).to_pylist() for n in names), strict=True), strict=True):
             if k != at:
                 if rows:
@@ -179,23 +183,41 @@ def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk = np.array([r[3] for r in rows])
         points = np.frombuffer(b"".join(r[4] for r in rows), COUNT).reshape(-1, GROUPS).astype(np.int32)
         points[points == FULL] = 1 << 24  # a count that did not fit bounds nothing
-        sizes = np.array([r[2] for r in rows])
-        ours = None
+        tree = RTree(points, np.array([r[2] for r in rows]))
+        prefixes = [np.array(r[5], np.int64) for r in rows]
+        shared = [frozenset.intersection(*(frozenset(rows[x][5]) for x in at)) for at in tree.leaves]
         joined, partner = Sets(len(rows)), np.zeros(len(rows), bool)
-        for a, b in RTree(points, sizes).pairs():
-            if ours is None:
-                ours = owned([np.array(r[5], np.int64) for r in rows])
-            keep = ours[a, b] & ((chunk[a] != chunk[b]) | (i == j))
-            for x, y in zip(a[keep].tolist(), b[keep].tolist(), strict=True):
-                joined.join(x, y)
-                partner[x] = partner[y] = True
-        out += [(token, i, j, joined.root(int(k)), rows[k][0], rows[k][1], rows[k][3]) for k in np.flatnonzero(partner)]
+        for k, other in tree.leaf_pairs():
+            if shared[k] & shared[other]:
+                continue  # all pairs belong to the bucket of a smaller hash
+            at, to = tree.leaves[k], tree.leaves[other]
+            if partner[at].all() and partner[to].all() and len({joined.root(x) for x in (*at.tolist(), *to.tolist())}) == 1:
+                continue  # nothing to find out: all are in one group
+            keep = tree.fits(k, other)
+            if keep.any():
+                keep &= owned([prefixes[x] for x in (*at.tolist(), *to.tolist())])[: len(at), len(at) :]
+                if i != j:
+                    keep &= chunk[at][:, None] != chunk[to][None]
+            for x, y in zip(*(v.tolist() for v in np.nonzero(keep)), strict=True):
+                joined.join(int(at[x]), int(to[y]))
+                partner[at[x]] = partner[to[y]] = True
+        out += [(token, i, j, joined.root(k), rows[k][0], rows[k][1], rows[k][3]) for k in np.flatnonzero(partner).tolist()]
         if len(out) >= 5000:
             yield batch()
             out.clear()
     yield batch()
 
 
+def lowest_linked(linked: np.ndarray) -> list[int]:
+    """Per row the smallest row of its component."""
+    first = np.arange(len(linked), dtype=np.int32)
+    while True:
+        step = np.minimum(first, np.where(linked, first, len(linked)).min(axis=1))
+        if (step == first).all():
+            return first.tolist()
+        first = step
+
+
 def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per group: each linked class, its links in documents, and the first class of its component in the group."""
     names = ["c1", "c2", "links", "p1", "p2"]
@@ -205,27 +227,24 @@ def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cols = list(zip(*out, strict=True)) or [[] for _ in names]
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names)
 
-    for (token, i, j, _), rows in groups_of(batches, ["token", "i", "j", "root"], ["c1", "c2", "chunk", "copies", "hashes"]):
+    keys = ["token", "i", "j", "root", "gi", "gj"]
+    for (token, i, j, _, gi, gj), rows in groups_of(batches, keys, ["c1", "c2", "chunk", "part", "copies", "hashes"]):
         rows = list({(r[0], r[1]): r for r in rows}.values())
-        sets = [np.frombuffer(r[4], np.uint64) for r in rows]
-        n = np.array([len(s) for s in sets])
-        common = overlaps(sets)
-        linked = SHARE[0] * common >= SHARE[1] * (n[:, None] + n[None])
+        sets = [np.frombuffer(r[5], np.uint64) for r in rows]
+        n = np.array([len(s) for s in sets], np.float64)
+        linked = SHARE[0] * overlaps(sets).astype(np.float64) >= SHARE[1] * (n[:, None] + n[None])
         np.fill_diagonal(linked, False)
-        chunk = np.array([r[2] for r in rows])
-        if i != j:
-            linked &= chunk[:, None] != chunk[None]
+        for split, values in ((i != j, [r[2] for r in rows]), (gi != gj, [r[3] for r in rows])):
+            if split:
+                linked &= np.array(values)[:, None] != np.array(values)[None]
         if not linked.any():
             continue
         own = np.array(token, np.int64).view(np.uint64)
         linked &= owned([s[:SKETCH][s[:SKETCH] < own] for s in sets])
-        links = linked @ np.array([r[3] for r in rows], np.int64)
-        joined = Sets(len(rows))
-        for x, y in zip(*(v.tolist() for v in np.nonzero(np.triu(linked))), strict=True):
-            joined.join(x, y)
+        links = np.where(linked, np.array([r[4] for r in rows]), 0).sum(axis=1)
+        first = lowest_linked(linked)
         for k in np.flatnonzero(linked.any(axis=1)).tolist():
-            up = rows[joined.root(k)]
-            out.append((rows[k][0], rows[k][1], int(links[k]), up[0], up[1]))
+            out.append((rows[k][0], rows[k][1], int(links[k]), rows[first[k]][0], rows[first[k]][1]))
         if len(out) >= 5000:
             yield batch()
             out.clear()
@@ -273,11 +292,13 @@ def similar_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     keys = bounded(materialize(wanted.select("key").distinct(), "wanted"))
     texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(keys.withColumnRenamed("key", "__key"), F.col("key").eqNullSafe(F.col("__key")), "left_semi")
     sets = texts.select("text").mapInArrow(full_sets, "c1 long, c2 long, hashes binary")
+    group = ["token", "i", "j", "root"]
+    parts = members.groupBy(*group).agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("parts"))
+    split = members.join(parts, group).withColumn("part", F.pmod("c2", "parts"))
+    split = split.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    split = split.withColumns({"gi": F.least("part", "other"), "gj": F.greatest("part", "other")}).drop("other", "parts")
     groups = (
-        members.join(classes.drop("first"), ["c1", "c2"])
-        .join(sets, ["c1", "c2"])
-        .repartition("token", "i", "j", "root")
-        .sortWithinPartitions("token", "i", "j", "root")
+        split.join(classes.drop("first"), ["c1", "c2"]).join(sets, ["c1", "c2"]).repartition(*group, "gi", "gj").sortWithinPartitions(*group, "gi", "gj")
     )
     found = materialize(groups.mapInArrow(verify, "c1 long, c2 long, links long, p1 long, p2 long"), "links")
 

@@ -60,6 +60,7 @@ def copies(rng):
 @pytest.mark.parametrize("bucket", [similarity_join.BUCKET, 3])
 def test_join_equals_brute_force(spark, monkeypatch, bucket):
     monkeypatch.setattr(similarity_join, "BUCKET", bucket)
+    monkeypatch.setattr(similarity_join, "GROUP", min(bucket, similarity_join.GROUP))
     rng = random.Random(11)
     texts = copies(rng)
     docs = [(k * 3, t) for k, t in enumerate(texts)] + [(1, texts[0]), (None, texts[1]), (4, texts[2]), (4, texts[2])]
@@ -82,7 +83,8 @@ def test_rtree_loses_no_pair():
     base = rng.integers(0, 6, (40, similarity_join.GROUPS))
     points = np.concatenate([base, np.clip(base + rng.integers(-1, 2, base.shape) * (rng.random(base.shape) < 0.1), 0, None), rng.integers(0, 6, (200, similarity_join.GROUPS))]).astype(np.int32)
     sizes = points.sum(axis=1)
-    got = {tuple(sorted(p)) for a, b in similarity_join.RTree(points, sizes).pairs() for p in zip(a.tolist(), b.tolist(), strict=True)}
+    tree = similarity_join.RTree(points, sizes)
+    got = {tuple(sorted((int(tree.leaves[k][x]), int(tree.leaves[m][y])))) for k, m in tree.leaf_pairs() for x, y in np.argwhere(tree.fits(k, m))}
     want = {(i, j) for i in range(len(points)) for j in range(i + 1, len(points)) if 9 * np.minimum(points[i], points[j]).sum() >= 4 * (sizes[i] + sizes[j])}
     assert got == want and want
 

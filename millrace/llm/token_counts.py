@@ -77,6 +77,22 @@ class Trie:
         return out
 
 
+def path_count(word: str, scores: dict[str, float], longest: int, per_byte: float) -> int:
+    """Pieces of the best segmentation of one word."""
+    best, used = [0.0], [0]
+    for i, char in enumerate(word, 1):
+        size = len(char.encode("utf-8", "surrogatepass"))
+        top, count = best[-1] + size * per_byte, used[-1] + size
+        for j in range(max(0, i - longest), i):
+            if (s := scores.get(word[j:i])) is not None:
+                s, m = s + best[j], used[j] + 1
+                if s > top or s == top and m < count:
+                    top, count = s, m
+        best.append(top)
+        used.append(count)
+    return used[-1]
+
+
 class Counter:
     """Picklable: the scores; the table of words belongs to one worker."""
 
@@ -84,24 +100,24 @@ class Counter:
         by_piece = zipf_scores(pieces)
         self.pieces, self.per_byte = pieces, byte_score(by_piece)
         self.scores = np.append([by_piece[p] for p in pieces], -np.inf)
-        self.words = self.index = None
+        self.words = self.index = self.by_piece = None
 
     def __getstate__(self):
-        return self.__dict__ | {"words": None, "index": None}
+        return self.__dict__ | {"words": None, "index": None, "by_piece": None}
 
     def word_counts(self, words: list[str]) -> np.ndarray:
         marked = [WORD_MARK + w for w in words]
         out = np.zeros((len(words), 1), np.int64)
-        for few in (False, True):  # long words in tries of their own: a level costs as much for few words as for many
-            some = [i for i, w in enumerate(marked) if (len(w) > LONG) == few]
-            for k in range(0, len(some), 1 if few else len(some)):
-                at = some[k : k + 1] if few else some
-                out[at, 0] = Trie([marked[i] for i in at]).terminal_counts(self.index, self.scores, self.per_byte)
+        if short := [i for i, w in enumerate(marked) if len(w) <= LONG]:
+            out[short, 0] = Trie([marked[i] for i in short]).terminal_counts(self.index, self.scores, self.per_byte)
+        for i, w in enumerate(marked):
+            if len(w) > LONG:  # a path of its own: a level of the trie costs as much for one node as for many
+                out[i, 0] = path_count(w, self.by_piece, self.index.longest, self.per_byte)
         return out
 
     def count(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if self.words is None:
-            self.index = PieceIndex(self.pieces)
+            self.index, self.by_piece = PieceIndex(self.pieces), zipf_scores(self.pieces)
             self.words = WordTable(self.word_counts, 1, np.int64)
         parts = [self.words.sums(texts[i:j]) for i, j in text_runs(texts)]
         if not parts:

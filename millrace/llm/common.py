@@ -36,15 +36,6 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def drop_scratch(spark: SparkSession, *frames: DataFrame) -> None:
-    """Remove the files of tables that `materialize` wrote and nothing reads any more."""
-    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
-    for df in frames:
-        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(hadoop).delete(where, True)
-
-
 def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     """Cut the lineage: write `df` as Parquet in the shared folder and read it back."""
     path = scratch_path(df.sparkSession, name)

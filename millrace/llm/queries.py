@@ -151,6 +151,31 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity_join.similar_classes(table(spark, sf_dir, "documents"))
 
 
+OP2_SQL = r"""
+WITH RECURSIVE worded AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                      ELSE list_distinct([array_to_string(w[i:i + 4], ' ') for i in range(1, len(w) - 3)]) END AS s
+  FROM worded
+), flat AS (
+  SELECT doc_id, len(s) AS n, unnest(s) AS t FROM sets
+), links AS (
+  SELECT a.doc_id AS x, b.doc_id AS y FROM flat a JOIN flat b ON a.t = b.t AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), reach AS (
+  SELECT doc_id AS id, doc_id AS root FROM sets
+  UNION
+  SELECT links.y, reach.root FROM reach JOIN links ON links.x = reach.id
+), roots AS (
+  SELECT id, min(root) AS component_id FROM reach GROUP BY id
+)
+SELECT doc_id, len(s) AS n_shingles, component_id, (SELECT count(*) FROM links WHERE x = doc_id) AS n_links
+FROM sets JOIN roots ON id = doc_id
+"""
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = decontamination.contaminated(docs, table(spark, sf_dir, "benchmark"), keep=["doc_id"])
@@ -181,4 +206,4 @@ QUERIES = {
     "op9_decontamination": op9_decontamination,
     "op10_token_counts": op10_token_counts,
 }
-ORACLES = {"op3_mixing": OP3_SQL, "op4_warc": OP4_SQL, "op6_exact_dedup": OP6_SQL, "op8_chat_format": OP8_SQL}
+ORACLES = {"op2_ngram_jaccard": OP2_SQL, "op3_mixing": OP3_SQL, "op4_warc": OP4_SQL, "op6_exact_dedup": OP6_SQL, "op8_chat_format": OP8_SQL}

@@ -15,8 +15,9 @@ document or another; matches never cross documents.
    It stops there: boundaries without a value are common prefixes of MIN_LENGTH or more.
 4. Runs of repeated windows are merged per text and the bytes removed.
 
-Anchors with more than HOT occurrences are not indexed: their contexts are cut into single windows,
-which one aggregate counts. This is exact too, has map-side aggregation and bounds every index.
+Anchors with more than HOT distinct contexts are not indexed: the contexts are cut into single
+windows, which one aggregate counts. This is exact too, has map-side aggregation and bounds every
+index.
 Identical texts share their spans (keyed by two 64-bit hashes of the text), so copies are not gathered.
 
 Defined cases: null text is empty; texts under MIN_LENGTH bytes lose nothing; repeated rows are copies
@@ -38,8 +39,8 @@ from .common import _BYTE, _powers, bounded, column, materialize, mix, packs_of,
 
 MIN_LENGTH = 200
 GRAM = 64
-HOT = 2000
-INDEX_BYTES = 1 << 20
+HOT = 12_000
+INDEX_BYTES = 1 << 18
 #: A document is read in pieces of this many window starts; positions in a run of pieces fit POSITION bits.
 PIECE = 1 << 24
 POSITION = 26
@@ -103,13 +104,12 @@ def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
     while True:
         order = np.argsort(key, kind="quicksort")
         ordered = key[order]
-        rank = np.empty(n, np.uint64)
-        rank[order] = np.cumsum(np.concatenate(([True], ordered[1:] != ordered[:-1])))
+        rank = np.empty(n, np.uint32)
+        rank[order] = np.cumsum(np.concatenate(([True], ordered[1:] != ordered[:-1])), dtype=np.uint32)
         if sorted_to >= depth or int(rank[order[-1]]) == n:
-            return order
-        after = np.zeros(n, np.uint64)
-        after[: max(0, n - sorted_to)] = rank[sorted_to:]
-        key = rank << np.uint64(32) | after
+            return order.astype(np.int32)
+        key = rank.astype(np.uint64) << np.uint64(32)
+        key[: max(0, n - sorted_to)] |= rank[sorted_to:]
         sorted_to *= 2
 
 
@@ -122,21 +122,22 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, depth: int) -> np.ndarr
     """
     n = len(text)
     bwt = text[order - 1]
-    by_char = np.argsort(bwt, kind="stable")
-    back = np.empty(n, np.int64)  # the rank of the suffix that begins one character earlier
-    back[by_char] = np.arange(n)
+    by_char = np.argsort(bwt, kind="stable").astype(np.int32)
+    back = np.empty(n, np.int32)  # the rank of the suffix that begins one character earlier
+    back[by_char] = np.arange(n, dtype=np.int32)
     same = bwt[by_char[1:]] == bwt[by_char[:-1]]
-    following, previous = np.full(n, n, np.int64), np.full(n, -1, np.int64)
+    following, previous = np.full(n, n, np.int32), np.full(n, -1, np.int32)
     following[by_char[:-1][same]] = by_char[1:][same]
     previous[by_char[1:][same]] = by_char[:-1][same]
     values = np.full(n + 1, depth, np.int32)
     values[0] = values[n] = -1
     fixed = np.zeros(n + 1, bool)
     fixed[0] = True
-    low, high = np.array([0]), np.array([n - 1])
+    low, high = np.array([0], np.int32), np.array([n - 1], np.int32)
     for level in range(depth):
         sizes = high - low + 1
-        inner = np.repeat(low - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+        ends = np.cumsum(sizes, dtype=np.int32)
+        inner = np.repeat(low - (ends - sizes), sizes) + np.arange(int(ends[-1]), dtype=np.int32)
         real = (bwt[inner] != 0) | (level == 0)  # a separator may end a string, never stand inside one
         first = real & (previous[inner] < np.repeat(low, sizes))
         last = real & (following[inner] > np.repeat(high, sizes))
@@ -195,38 +196,43 @@ def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (fp, k1[item], k2[item], place(start, more, offset))], ["fp", "k1", "k2", "place"])
 
 
+def window_hash(text: bytes, offset: int) -> int:
+    """64 bits of a string and the anchor's place in it."""
+    return int.from_bytes(hashlib.blake2b(text, digest_size=8, person=b"%d" % offset).digest(), "little", signed=True)
+
+
 def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The contexts (or, for hot anchors, single windows without their bytes) of the occurrences that are open."""
+    """The contexts of the occurrences that are open; sid tells the contexts of an anchor apart."""
     names = ["fp", "sid", "k1", "k2", "place", "bytes"]
-    kinds = [pa.int64()] * 5 + [pa.binary()]
-    for b in slices(batches, 100):
-        rows: list[list] = [[] for _ in names]
-        for k1, k2, text, open_ in zip(column(b, "__k1").to_pylist(), column(b, "__k2").to_pylist(), utf8(b, "text"), column(b, "open").to_pylist(), strict=True):
-            for x in open_:
-                start, more = unplace(x["place"])
-                offset = x["place"] % OFFSET
-                if x["hot"]:
-                    cuts = [(start + i, 0, offset - i, None) for i in range(more + 1)]
-                else:
-                    cuts = [(start, more, offset, text[start : start + more + MIN_LENGTH])]
-                for s, m, o, data in cuts:
-                    digest = hashlib.blake2b(text[s : s + m + MIN_LENGTH], digest_size=8, person=b"%d" % o).digest()
-                    row = (x["fp"], int.from_bytes(digest, "little", signed=True), k1, k2, (s * SPAN + m) * OFFSET + o, data)
-                    for r, v in zip(rows, row, strict=True):
-                        r.append(v)
-        yield pa.RecordBatch.from_arrays([pa.array(r, k) for r, k in zip(rows, kinds, strict=True)], names)
+    for b in slices(batches, 200):
+        open_ = column(b, "open")
+        counts = np.diff(open_.offsets.to_numpy())
+        inner = open_.flatten()
+        place_, fp = inner.field("place").to_numpy(), inner.field("fp").to_numpy()
+        row = np.repeat(np.arange(b.num_rows), counts)
+        texts = utf8(b, "text")
+        start, more, offset = place_ // (SPAN * OFFSET), place_ // OFFSET % SPAN, place_ % OFFSET
+        cut = [texts[r][s : s + m + MIN_LENGTH] for r, s, m in zip(row.tolist(), start.tolist(), more.tolist(), strict=True)]
+        sid = [window_hash(x, o) for x, o in zip(cut, offset.tolist(), strict=True)]
+        k1, k2 = column(b, "__k1").to_numpy()[row], column(b, "__k2").to_numpy()[row]
+        yield pa.RecordBatch.from_arrays([pa.array(fp), pa.array(sid, pa.int64()), pa.array(k1), pa.array(k2), pa.array(place_), pa.array(cut, pa.binary())], names)
+
+
+def runs_of(repeated: np.ndarray) -> list[int]:
+    """Begin and end of each run of repeated windows, in one list."""
+    return np.flatnonzero(np.diff(repeated.view(np.int8), prepend=0, append=0)).tolist()
 
 
 def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Index the contexts, whole anchors at a time; `mask` has a byte per window, 1 if it repeats."""
+    """Index the contexts, whole anchors at a time; contexts with repeated windows come out with the runs of these."""
     held: list[tuple] = []
     size, at = 0, None
 
     def batch() -> pa.RecordBatch:
-        masks = repeated_windows([h[2] for h in held], [h[3] for h in held]) if held else []
-        return pa.RecordBatch.from_arrays(
-            [pa.array([h[0] for h in held], pa.int64()), pa.array([h[1] for h in held], pa.int64()), pa.array([m.astype(np.uint8).tobytes() for m in masks], pa.binary())], ["fp", "sid", "mask"]
-        )
+        runs = [runs_of(m) for m in repeated_windows([h[2] for h in held], [h[3] for h in held])] if held else []
+        some = [(h[0], h[1], r) for h, r in zip(held, runs, strict=True) if r]
+        cols = list(zip(*some, strict=True)) or [[], [], []]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.list_(pa.int32())), strict=True)], ["fp", "sid", "runs"])
 
     for b in batches:
         for row in zip(*(column(b, n).to_pylist() for n in ("fp", "sid", "bytes", "n")), strict=True):
@@ -240,6 +246,24 @@ def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch()
 
 
+def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The single windows of hot contexts."""
+    for b in slices(batches, 1000):
+        out: list[tuple] = []
+        for fp, sid, data, n, offset in zip(*(column(b, k).to_pylist() for k in ("fp", "sid", "bytes", "n", "offset")), strict=True):
+            out += [(fp, sid, i, n, window_hash(data[i : i + MIN_LENGTH], offset - i)) for i in range(len(data) - MIN_LENGTH + 1)]
+        cols = list(zip(*out, strict=True)) or [[]] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["fp", "sid", "i", "n", "window"])
+
+
+def resolve_hot(distinct: DataFrame) -> DataFrame:
+    """(fp, sid, runs) by counting windows."""
+    cut = distinct.mapInArrow(windows, "fp long, sid long, i long, n long, window long")
+    often = cut.groupBy("fp", "window").agg(F.sum("n").alias("n")).where("n > 1").select("fp", "window")
+    at = cut.join(often, ["fp", "window"]).groupBy("fp", "sid").agg(F.array_sort(F.collect_set(F.col("i").cast("int"))).alias("at"))
+    return at.select("fp", "sid", F.flatten(F.transform("at", lambda i: F.array(i, i + 1))).alias("runs"))
+
+
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[list[int]] = []
     for lo, hi in sorted(spans):
@@ -250,17 +274,15 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(lo, hi) for lo, hi in out]
 
 
-def covered(whole: list[int], parts: list[dict]) -> list[tuple[int, int]]:
-    """Removed byte ranges from places that repeat whole and places with a mask of their windows."""
+def covered(whole: list[int], places: list[int], runs: list[list[int]]) -> list[tuple[int, int]]:
+    """Removed byte ranges from places that repeat whole and places with runs of repeated windows."""
     spans = []
     for x in whole:
         start, more = unplace(x)
         spans.append((start, start + more + MIN_LENGTH))
-    for p in parts:
-        start, _ = unplace(p["place"])
-        mask = np.frombuffer(p["mask"], np.uint8)
-        edges = np.flatnonzero(np.diff(np.concatenate(([0], mask, [0]))))
-        spans += [(start + int(a), start + int(b) - 1 + MIN_LENGTH) for a, b in zip(edges[::2], edges[1::2], strict=True)]
+    for x, run in zip(places, runs, strict=True):
+        start = unplace(x)[0]
+        spans += [(start + a, start + b - 1 + MIN_LENGTH) for a, b in zip(run[::2], run[1::2], strict=True)]
     return merged(spans)
 
 
@@ -277,11 +299,11 @@ def remove_repeats(docs: DataFrame, text: str = "text", keep: list[str] | None =
         .groupBy("fp")
         .agg(F.count(F.lit(1)).alias("n"), F.min("context").alias("lo"), F.max("context").alias("hi"))
         .where("n > 1")
-        .select("fp", (F.col("lo") != F.col("hi")).alias("open"), (F.col("n") > HOT).alias("hot"))
+        .select("fp", (F.col("lo") != F.col("hi")).alias("open"))
     )
     repeats = materialize(repeats, "anchors")
     found = long.mapInArrow(places, "fp long, k1 long, k2 long, place long").join(bounded(repeats), "fp")
-    item = F.struct("place", "fp", "hot")
+    item = F.struct("place", "fp")
     per_text = materialize(
         found.groupBy("k1", "k2").agg(
             F.collect_set(F.when(~F.col("open"), F.col("place"))).alias("whole"), F.collect_set(F.when(F.col("open"), item)).alias("open")
@@ -292,15 +314,19 @@ def remove_repeats(docs: DataFrame, text: str = "text", keep: list[str] | None =
     unsure = per_text.where(F.size("open") > 0).select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), "open")
     some = long.join(bounded(unsure.select("__k1", "__k2")), ["__k1", "__k2"], "left_semi")
     cut = materialize(some.join(unsure, ["__k1", "__k2"]).mapInArrow(contexts, "fp long, sid long, k1 long, k2 long, place long, bytes binary"), "contexts")
-    distinct = cut.groupBy("fp", "sid").agg(F.count(F.lit(1)).alias("n"), F.first("bytes").alias("bytes"))
-    indexed = distinct.where("bytes IS NOT NULL").repartition("fp").sortWithinPartitions("fp")
-    one = F.unhex(F.lit("01"))
-    masks = indexed.mapInArrow(resolve, "fp long, sid long, mask binary").unionByName(distinct.where("bytes IS NULL AND n > 1").select("fp", "sid", one.alias("mask")))
-    partial = cut.drop("bytes").join(masks, ["fp", "sid"]).groupBy("k1", "k2").agg(F.collect_set(F.struct("place", "mask")).alias("parts"))
+    distinct = materialize(
+        cut.groupBy("fp", "sid").agg(F.count(F.lit(1)).alias("n"), F.first("bytes").alias("bytes"), F.first(F.col("place") % OFFSET).alias("offset")), "distinct"
+    )
+    hot = bounded(materialize(distinct.groupBy("fp").count().where(F.col("count") > HOT).select("fp"), "hot"))
+    indexed = distinct.join(hot, "fp", "left_anti").repartition("fp").sortWithinPartitions("fp")
+    runs = indexed.mapInArrow(resolve, "fp long, sid long, runs array<int>").unionByName(resolve_hot(distinct.join(hot, "fp", "left_semi")))
+    partial = cut.drop("bytes").join(runs, ["fp", "sid"]).groupBy("k1", "k2").agg(F.collect_set(F.struct("place", "runs")).alias("parts"))
+    parts = F.coalesce("parts", F.array().cast(partial.schema["parts"].dataType))
     spans = materialize(
-        per_text.select("k1", "k2", "whole").join(partial, ["k1", "k2"], "left").select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), "whole", "parts").mapInArrow(
-            merge_spans, "__k1 long, __k2 long, __spans array<struct<lo:long,hi:long>>"
-        ),
+        per_text.select("k1", "k2", "whole")
+        .join(partial, ["k1", "k2"], "left")
+        .select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), "whole", F.transform(parts, lambda p: p["place"]).alias("places"), F.transform(parts, lambda p: p["runs"]).alias("runs"))
+        .mapInArrow(merge_spans, "__k1 long, __k2 long, __spans array<struct<lo:long,hi:long>>"),
         "spans",
     )
 
@@ -339,8 +365,8 @@ def merge_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kind = pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))
     for b in slices(batches):
         k1, k2, out = [], [], []
-        for a, c, whole, parts in zip(*(column(b, n).to_pylist() for n in ("__k1", "__k2", "whole", "parts")), strict=True):
-            if spans := covered(whole, parts or []):
+        for a, c, *found in zip(*(column(b, n).to_pylist() for n in ("__k1", "__k2", "whole", "places", "runs")), strict=True):
+            if spans := covered(*found):
                 k1.append(a)
                 k2.append(c)
                 out.append([{"lo": lo, "hi": hi} for lo, hi in spans])

@@ -30,7 +30,7 @@ from .common import column, slices
 from .mixing import draw
 from .vocabulary import PIECES, WORD_MARK, PieceIndex, WordTable, char_matrix, load_pieces, text_runs
 
-MAX_FIT_ROWS = 1600
+MAX_FIT_ROWS = 800
 ROUNDS = 3
 SMOOTHING = 0.1
 #: Probability of a character that no piece covers; the same in all languages.
@@ -179,9 +179,12 @@ def identify(docs: DataFrame, model: Model, text: str = "text", keep: list[str]
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            names, scores = shipped.value.predict(column(b, text).to_pylist())
-            yield pa.RecordBatch.from_arrays([*(column(b, k) for k in keep), pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*keep, "__lang", "__score"])
+        try:
+            for b in slices(batches):
+                names, scores = shipped.value.predict(column(b, text).to_pylist())
+                yield pa.RecordBatch.from_arrays([*(column(b, k) for k in keep), pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*keep, "__lang", "__score"])
+        finally:
+            shipped.value.words = shipped.value.index = None  # the worker lives on
 
     schema = T.StructType([*(docs.schema[k] for k in keep), T.StructField("__lang", T.StringType()), T.StructField("__score", T.DoubleType())])
     return docs.mapInArrow(score, schema)

@@ -131,9 +131,12 @@ def count_tokens(docs: DataFrame, path: str = PIECES, text: str = "text", keep:
     shipped = docs.sparkSession.sparkContext.broadcast(Counter(load_pieces(path)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            pre, tokens = shipped.value.count([t or "" for t in column(b, text).to_pylist()])
-            yield pa.RecordBatch.from_arrays([*(column(b, k) for k in keep), pa.array(pre, pa.int64()), pa.array(tokens, pa.int64())], [*keep, "__pretokens", "__tokens"])
+        try:
+            for b in slices(batches):
+                pre, tokens = shipped.value.count([t or "" for t in column(b, text).to_pylist()])
+                yield pa.RecordBatch.from_arrays([*(column(b, k) for k in keep), pa.array(pre, pa.int64()), pa.array(tokens, pa.int64())], [*keep, "__pretokens", "__tokens"])
+        finally:
+            shipped.value.words = shipped.value.index = shipped.value.by_piece = None  # the worker lives on
 
     schema = T.StructType([*(docs.schema[k] for k in keep), T.StructField("__pretokens", T.LongType()), T.StructField("__tokens", T.LongType())])
     return docs.mapInArrow(count, schema)

@@ -29,6 +29,8 @@ from .vocabulary import BYTE_RANKS, factorize, load_ranks, text_runs
 
 ROW = 2048
 BUFFER = 1 << 20
+#: Characters that are tokenized at once; a word that recurs within is encoded once.
+RUN = 1 << 22
 #: Fixed value: the pre-token pattern that belongs to the public ranks.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SCHEMA = "pack_id long, n_tokens int, input_ids binary, position_ids binary, cu_seqlens array<int>, doc_ids array<long>, doc_offsets array<long>"
@@ -91,7 +93,7 @@ class Tokenizer:
 
     ODD = re.compile(r"\s\s|\x00")
 
-    def __init__(self, ranks: dict[bytes, int], keep: int = 300_000):
+    def __init__(self, ranks: dict[bytes, int], keep: int = 200_000):
         self.ranks, self.keep, self.encoding, self.known = ranks, keep, None, {}
 
     def __getstate__(self):
@@ -174,9 +176,9 @@ def pack_documents(docs: DataFrame, path: str = BYTE_RANKS, size: int = ROW, key
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, held, waiting = TaskContext.get().partitionId() << 33, 0, []
-        for b in slices(batches):
+        for b in slices(batches, 2000):
             keys, texts = column(b, key).to_pylist(), [t or "" for t in column(b, text).to_pylist()]
-            for i, j in text_runs(texts):
+            for i, j in text_runs(texts, RUN):
                 for k, ids in zip(keys[i:j], shipped.value.encode(texts[i:j]), strict=True):
                     waiting += [(k, o, ids[o : o + size]) for o in range(0, len(ids), size)]
                     held += len(ids)
@@ -185,6 +187,7 @@ def pack_documents(docs: DataFrame, path: str = BYTE_RANKS, size: int = ROW, key
                     for p in range(0, len(packs), 256):
                         yield rows(first + p, packs[p : p + 256])
                     first, held, waiting = first + len(packs), 0, []
+        shipped.value.known.clear()  # the worker lives on
         if waiting:
             yield rows(first, list(pack(waiting, size)))
 

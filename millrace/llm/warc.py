@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, slices
+from .common import bounded, column, materialize, slices
 
 MIN_SHARED = 1000
 ARCHIVE_BYTES = 4 << 20
@@ -185,6 +185,7 @@ def plan_records(pages: DataFrame, key: str = "page_id", url: str = "url", html:
     shared = (
         hashed.where(F.col("size") >= min_shared).groupBy("digest", "size").agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     )
+    shared = bounded(materialize(shared, "shared"))  # payloads are not shuffled unless very many are shared
     refers = F.when(F.col("page_id").eqNullSafe(F.col("first")), None).otherwise(F.col("first"))
     return hashed.join(shared, ["digest", "size"], "left").withColumn("refers_to", refers).drop("first")
 

@@ -36,11 +36,20 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def materialize(df: DataFrame, name: str = "step") -> DataFrame:
-    """Cut the lineage: write `df` as Parquet in the shared folder and read it back."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def materialize(df: DataFrame, name: str = "step", batch_rows: int = 1000) -> DataFrame:
+    """Cut the lineage: write `df` as Parquet in the shared folder and read it back.
+
+    Python workers get at most `batch_rows` rows at a time meanwhile, so that rows with long texts need
+    little memory on both sides; the session's own setting is restored.
+    """
+    spark, path, setting = df.sparkSession, scratch_path(df.sparkSession, name), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(setting)
+    spark.conf.set(setting, str(batch_rows))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(setting, old)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def bounded(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:

@@ -39,7 +39,7 @@ from .common import _BYTE, _powers, bounded, column, materialize, mix, packs_of,
 
 MIN_LENGTH = 200
 GRAM = 64
-HOT = 12_000
+HOT = 4000
 INDEX_BYTES = 1 << 18
 #: A document is read in pieces of this many window starts; positions in a run of pieces fit POSITION bits.
 PIECE = 1 << 24

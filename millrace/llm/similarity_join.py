@@ -30,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER, bounded, column, materialize, mix, packs_of, shingle_sets, slices, utf8
@@ -52,8 +52,10 @@ def signature(s: np.ndarray) -> tuple[int, int]:
     return int(a.view(np.int64)), int(b.view(np.int64))
 
 
-def features(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Per document: n, its class (c1, c2), its sketch in ascending order, its point."""
+def features(docs: DataFrame, key: str, text: str, carry: dict[str, Column] | None = None) -> DataFrame:
+    """Per document: n, its class (c1, c2), its sketch in ascending order, its point, and the columns (longs) of `carry`."""
+    carry = carry or {}
+    names = ["key", "n", "c1", "c2", "sketch", "point", *carry]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
@@ -68,10 +70,11 @@ def features(docs: DataFrame, key: str, text: str) -> DataFrame:
                     sketch.append(s[:SKETCH].view(np.int64))
                     point.append(np.minimum(np.bincount((s & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS), FULL).astype(COUNT).tobytes())
             cols = [column(b, "key"), pa.array(n, pa.int64()), pa.array(c1, pa.int64()), pa.array(c2, pa.int64()), pa.array(sketch, pa.list_(pa.int64())), pa.array(point, pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, ["key", "n", "c1", "c2", "sketch", "point"])
+            yield pa.RecordBatch.from_arrays([*cols, *(column(b, k) for k in names[6:])], names)
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, n long, c1 long, c2 long, sketch array<long>, point binary")
+    schema = f"key {kind}, n long, c1 long, c2 long, sketch array<long>, point binary" + "".join(f", {k} long" for k in carry)
+    return docs.select(F.col(key).alias("key"), F.col(text).alias("text"), *(c.alias(k) for k, c in carry.items())).mapInArrow(run, schema)
 
 
 class RTree:
@@ -269,10 +272,14 @@ def components(edges: DataFrame) -> DataFrame:
         current = materialize(small.unionByName(low.withColumnRenamed("m", "v")).distinct(), "edges")
 
 
-def similar_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row of `docs`: key, n_shingles, component_id (smallest key reachable by links), n_links (rows linked to it)."""
-    rows = materialize(features(docs, key, text), "features")
-    some = rows.where("n > 0")
+def node(a: str, b: str) -> Column:
+    """The name of a class in the graph of links."""
+    return F.concat(F.hex(a), F.lit("."), F.hex(b))
+
+
+def linked_classes(docs: DataFrame, rows: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """From the features of `docs`: (c1, c2, first, copies) of every class, and (c1, c2, root, component, links) of those that are linked."""
+    some = rows.select("key", "n", "c1", "c2", "sketch", "point").where("n > 0")
     classes = materialize(some.groupBy("c1", "c2").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("copies")), "classes")
     reps = materialize(some.dropDuplicates(["c1", "c2"]), "reps")
 
@@ -302,13 +309,18 @@ def similar_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     )
     found = materialize(groups.mapInArrow(verify, "c1 long, c2 long, links long, p1 long, p2 long"), "links")
 
-    node = lambda a, b: F.concat(F.hex(a), F.lit("."), F.hex(b))
     roots = components(found.select(node("c1", "c2").alias("u"), node("p1", "p2").alias("v")))
     linked = found.groupBy("c1", "c2").agg(F.sum("links").alias("links")).join(classes, ["c1", "c2"]).withColumn("u", node("c1", "c2"))
     rooted = linked.join(roots, "u", "left").withColumn("root", F.coalesce("v", "u"))
     smallest = rooted.groupBy("root").agg(F.min("first").alias("component"))
-    placed = materialize(rooted.join(smallest, "root").select("c1", "c2", "component", "links"), "placed")
-    table = classes.join(bounded(placed), ["c1", "c2"], "left").select("c1", "c2", F.coalesce("component", "first").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
+    return classes, materialize(rooted.join(smallest, "root").select("c1", "c2", "root", "component", "links"), "placed")
+
+
+def similar_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Per row of `docs`: key, n_shingles, component_id (smallest key reachable by links), n_links (rows linked to it)."""
+    rows = materialize(features(docs, key, text), "features")
+    classes, placed = linked_classes(docs, rows, key, text)
+    table = classes.join(bounded(placed.drop("root")), ["c1", "c2"], "left").select("c1", "c2", F.coalesce("component", "first").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
     empty = F.col("n") == 0
     return rows.join(table, ["c1", "c2"], "left").select(
         F.col("key").alias(key),
@@ -328,13 +340,27 @@ def full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def marks(key: str, text: str) -> dict[str, Column]:
+    """128 bits that tell rows apart by key (null is a key of its own) and text."""
+    row = F.isnull(key), F.col(key), F.col(text)
+    return {"__m1": F.xxhash64(*row), "__m2": F.xxhash64(F.lit("second"), *row)}
+
+
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of `docs` for each component, the one with its smallest key, with the columns of `docs`.
+    """One row of `docs` for each component, one with its smallest key, with the columns of `docs`; rows with an empty set all stay.
 
-    Keys are taken for unique: of rows that repeat the key that stays, one stays.
+    Survivors are chosen by component and told apart by key and text, so keys may be null or repeat: unlike
+    texts all stay. A component without a key keeps one row; of rows equal in key and text any one stays.
     """
-    first = similar_classes(docs, key, text).where(F.col(key).eqNullSafe(F.col("component_id"))).groupBy(F.col(key).alias("__first")).count()
-    kept = materialize(first.withColumn("__again", F.col("count") > 1).drop("count"), "kept")
-    found = docs.join(bounded(kept), F.col(key).eqNullSafe(F.col("__first")))
+    rows = materialize(features(docs, key, text, marks(key, text)), "features")
+    _, placed = linked_classes(docs, rows, key, text)
+    equal = rows.where("n > 0").groupBy("c1", "c2", "__m1", "__m2").agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("rows"))
+    best = equal.groupBy("c1", "c2").agg(F.min(F.struct(F.isnull("key").alias("none"), "key", "__m1", "__m2", "rows")).alias("best"))
+    rooted = best.join(bounded(placed.select("c1", "c2", "root")), ["c1", "c2"], "left")
+    first = rooted.groupBy(F.coalesce("root", node("c1", "c2")).alias("root")).agg(F.min("best").alias("best"))
+    kept = first.select("best.__m1", "best.__m2", (F.col("best.rows") > 1).alias("__again"))
+    empty = rows.where("n = 0").select("__m1", "__m2", F.lit(False).alias("__again")).distinct()
+    kept = materialize(kept.unionByName(empty), "kept")
+    found = docs.withColumns(marks(key, text)).join(bounded(kept), ["__m1", "__m2"])
     single, again = found.where("NOT __again"), found.where("__again")
-    return single.select(*docs.columns).unionByName(again.dropDuplicates([key]).select(*docs.columns))
+    return single.select(*docs.columns).unionByName(again.dropDuplicates(["__m1", "__m2"]).select(*docs.columns))

@@ -78,6 +78,35 @@ def test_one_of_each(spark):
     assert similarity_join.similar_classes(df.where("false")).count() == 0
 
 
+def test_one_of_each_with_null_and_repeated_ids(spark):
+    say = lambda k, n=40: " ".join(f"{k}w{i}" for i in range(n))
+    near = lambda k: say(k) + " end"
+    groups = [
+        [(None, say("a"))],
+        [(None, say("b"))],
+        [(None, say("c")), (None, near("c")), (None, say("c"))],
+        [(None, say("d")), (2, near("d"))],
+        [(1, say("e")), (1, near("e")), (3, say("e"))],
+        [(1, say("f"))],
+        [(1, say("g")), (1, say("g"))],
+        [(5, say("h")), (4, near("h"))],
+        [(4, say("i"))],
+        *([(k, t)] for k, t in [(None, None), (None, ""), (None, ""), (6, " "), (6, None)]),
+    ]
+    rows = [r for g in groups for r in g]
+    random.Random(5).shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("root", F.lit("mine")).repartition(3)
+    out = similarity_join.one_of_each(df)
+    got = Counter((r.doc_id, r.text) for r in out.collect())
+    assert out.columns == df.columns and sum(got.values()) == len(groups)
+    for g in groups:
+        low = min((k for k, _ in g if k is not None), default=None)
+        if (g[0][1] or "").strip():
+            assert sum(got[r] for r in set(g) if r[0] == low) == 1 and not any(got[r] for r in g if r[0] != low)
+        else:
+            assert got[g[0]] == rows.count(g[0])
+
+
 def test_rtree_loses_no_pair():
     rng = np.random.default_rng(3)
     base = rng.integers(0, 6, (40, similarity_join.GROUPS))

@@ -54,7 +54,12 @@ class Lattice:
             self.ids[:, size:, size] = index.find(hashes)
 
     def forward(self, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Scaled sums over segmentations of every prefix, (word, end, language), and the logs of the scales."""
+        """Scaled sums over segmentations of every prefix, (word, end, language), and the logs of the scales.
+
+        Every LONG positions the window that later ones read is divided by its newest sum. A sum is at least
+        UNKNOWN times the one before it, so that the newest falls to 1e-280 at the lowest until the next time,
+        and the others of the window are at most 1e280 for pieces of up to LONG characters.
+        """
         w, langs = len(self.ids), table.shape[1]
         alpha = np.zeros((w, self.n + 1, langs))
         alpha[:, 0] = 1
@@ -64,9 +69,9 @@ class Lattice:
             for size in range(1, min(self.longest, i) + 1):
                 total += alpha[:, i - size] * table[self.ids[:, i, size]]
             alpha[:, i] = total
-            if i % LONG == 0:
+            if i % LONG == 0 and i < self.n:
                 back = slice(max(0, i - self.longest), i + 1)
-                scale = alpha[:, back].max(axis=1)
+                scale = alpha[:, i].copy()
                 alpha[:, back] /= scale[:, None]
                 logs += np.log(scale)
         return alpha, logs

@@ -51,6 +51,31 @@ def test_language_scores_sum_all_segmentations():
     assert language_id.Model(pieces, [], table[:, :0]).predict(["abc"]) == (["und"], [0.0])
 
 
+def test_long_runs_of_rare_characters_have_finite_scores(pieces):
+    rng = np.random.default_rng(8)
+    table = np.append(rng.random((len(pieces), 2)) * 1e-6 + 1e-7, np.zeros((1, 2)), axis=0)
+    model = language_id.Model(pieces, ["x", "y"], table)
+    model.predict(["a"])
+    ids, longest = {p: i for i, p in enumerate(pieces)}, max(map(len, pieces))
+
+    def log_total(word, lang):
+        word, logs = WORD_MARK + word, [0.0]
+        for i in range(1, len(word) + 1):
+            ways = [logs[i - 1] + math.log(language_id.UNKNOWN)]
+            ways += [logs[j] + math.log(table[ids[word[j:i]], lang]) for j in range(max(0, i - longest), i) if word[j:i] in ids]
+            logs.append(max(ways) + math.log(sum(math.exp(w - max(ways)) for w in ways)))
+        return logs[-1]
+
+    unseen = "".join(p for p in pieces if len(p) == 1 and p != WORD_MARK)[-400:]
+    unknown = "\U00013000" * 300
+    assert unknown[0] not in ids and len(unseen) == 400
+    for word in (unknown, unseen, "the" + unknown + "end", "international" * 12 + unknown, unseen[:39], unseen[:40], unseen[:80]):
+        got = model.word_scores([word])[0]
+        assert got == pytest.approx([log_total(word, k) for k in range(2)], rel=1e-9)
+    names, scores = model.predict(["the house " + unknown, unseen])
+    assert np.isfinite(scores).all() and "und" not in names
+
+
 def test_fitting_raises_the_likelihood(pieces):
     index = language_id.PieceIndex(pieces)
     words, weights = ["the", "then", "thou", "other"], np.array([5.0, 2.0, 1.0, 3.0])

@@ -7,7 +7,8 @@ not cross words, so a word's scores are computed once per run of texts. Scoring
 documents without a shuffle.
 
 Fitting reads at most MAX_FIT_ROWS labelled rows in expectation (a documented bound, chosen by a
-hash of the id and shared evenly by the languages); everything else covers every row and whole texts.
+hash of the id and shared evenly by the languages); their words are learned from whatever their
+length, so unspaced scripts are too; everything else covers every row and whole texts.
 
 Defined cases: null texts and texts without a letter are `und` with score 0; rows with a null id
 are not held out and not learned from; an empty training set makes every text `und`; rows that repeat
@@ -19,6 +20,7 @@ from __future__ import annotations
 import math
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,13 +40,16 @@ UNKNOWN = 1e-7
 UNDETERMINED = "und"
 LEAST_SCORE = 0.5
 LONG = 40
+#: Up to so many words the pieces that end at a character are added up at once.
+FEW = 16
 
 
 class Lattice:
-    """For words of one length the ids of all pieces by end and length; the last row of a table of probabilities is 0."""
+    """For some words, shorter ones filled up, the ids of all pieces by end and length; the last row of a table of probabilities is 0."""
 
     def __init__(self, words: list[str], index: PieceIndex):
-        n = len(words[0])
+        self.ends = np.array([len(w) for w in words])
+        n = int(self.ends.max())
         self.n, self.longest = n, min(index.longest, n)
         chars = char_matrix(words, n)
         self.ids = np.full((len(words), n + 1, self.longest + 1), index.absent, np.int32)
@@ -53,8 +58,8 @@ class Lattice:
             hashes = index.extend(hashes[:, : n - size + 1], chars[:, size - 1 :])
             self.ids[:, size:, size] = index.find(hashes)
 
-    def forward(self, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Scaled sums over segmentations of every prefix, (word, end, language), and the logs of the scales.
+    def forward(self, table: np.ndarray) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
+        """Scaled sums over segmentations of every prefix, (word, end, language), and the logs of the scales with the first end each holds for.
 
         Every LONG positions the window that later ones read is divided by its newest sum. A sum is at least
         UNKNOWN times the one before it, so that the newest falls to 1e-280 at the lowest until the next time,
@@ -63,31 +68,45 @@ class Lattice:
         w, langs = len(self.ids), table.shape[1]
         alpha = np.zeros((w, self.n + 1, langs))
         alpha[:, 0] = 1
-        logs = np.zeros((w, langs))
+        scales = []
         for i in range(1, self.n + 1):
-            total = alpha[:, i - 1] * UNKNOWN
-            for size in range(1, min(self.longest, i) + 1):
-                total += alpha[:, i - size] * table[self.ids[:, i, size]]
+            total, k = alpha[:, i - 1] * UNKNOWN, min(self.longest, i)
+            if w <= FEW:
+                total += np.einsum("wkl,wkl->wl", alpha[:, i - k : i][:, ::-1], table[self.ids[:, i, 1 : k + 1]])
+            else:
+                for size in range(1, k + 1):
+                    total += alpha[:, i - size] * table[self.ids[:, i, size]]
             alpha[:, i] = total
             if i % LONG == 0 and i < self.n:
                 back = slice(max(0, i - self.longest), i + 1)
                 scale = alpha[:, i].copy()
                 alpha[:, back] /= scale[:, None]
-                logs += np.log(scale)
-        return alpha, logs
-
-    def counts(self, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Expected uses of each lattice entry over all segmentations (words of at most LONG characters, one language)."""
-        alpha, beta = self.forward(table)[0][:, :, 0], np.zeros((len(self.ids), self.n + 1))
-        beta[:, self.n] = 1
-        used = np.zeros(self.ids.shape)
+                scales.append((back.start, np.log(scale)))
+        return alpha, scales
+
+    def counts(self, table: np.ndarray, weights: np.ndarray, total: np.ndarray) -> None:
+        """Add to `total` the expected uses of each piece over all segmentations (one language), scaled as in `forward`."""
+        alpha, scales = self.forward(table)
+        before = np.log(alpha[:, :, 0])
+        for start, log in scales:
+            before[:, start:] += log
+        before -= before[np.arange(len(self.ids)), self.ends, None]
+        beta, logs = np.zeros((len(self.ids), self.n + 1)), np.zeros(len(self.ids))
+        after = np.full(beta.shape, -np.inf)
         for i in range(self.n, 0, -1):
+            beta[self.ends == i, i] = 1
+            k, begun = min(self.longest, i), self.ends >= i
+            if i % LONG == 0:
+                scale = np.where(begun, beta[:, i], 1)
+                beta[:, i - k : i + 1] /= scale[:, None]
+                logs += np.log(scale)
+            after[begun, i] = np.log(beta[begun, i]) + logs[begun]
+            beta[:, i - k : i] += table[self.ids[:, i, k:0:-1], 0] * beta[:, i, None]
             beta[:, i - 1] += beta[:, i] * UNKNOWN
-            for size in range(1, min(self.longest, i) + 1):
-                p = table[self.ids[:, i, size], 0]
-                used[:, i, size] = alpha[:, i - size] * p * beta[:, i]
-                beta[:, i - size] += p * beta[:, i]
-        return used / alpha[:, self.n, None, None], self.ids
+        for size in range(1, self.longest + 1):
+            ids = self.ids[:, size:, size]
+            used = table[ids, 0] * np.exp(before[:, :-size] + after[:, size:]) * weights[:, None]
+            total += np.bincount(ids.ravel(), used.ravel(), len(total))
 
 
 def by_length(words: list[str], at_once: int = 5000) -> Iterator[list[int]]:
@@ -99,18 +118,32 @@ def by_length(words: list[str], at_once: int = 5000) -> Iterator[list[int]]:
             yield g[i : i + at_once]
 
 
+def long_groups(words: list[str], chars: int = 200_000) -> Iterator[list[int]]:
+    """The words of more than LONG characters by rising length, in groups of about `chars` characters; a longer word is a group of its own."""
+    group: list[int] = []
+    for i in sorted((i for i, w in enumerate(words) if len(w) > LONG), key=lambda i: len(words[i])):
+        if group and (len(group) + 1) * len(words[i]) > chars:
+            yield group
+            group = []
+        group.append(i)
+    if group:
+        yield group
+
+
 def fit_language(words: list[str], weights: np.ndarray, index: PieceIndex, rounds: int = ROUNDS) -> np.ndarray:
-    """Piece probabilities of a language by expectation maximisation over its distinct words."""
+    """Piece probabilities of a language by expectation maximisation over its distinct words, of any length.
+
+    Lattices of words of up to LONG characters are kept for all rounds, those of longer ones are made again.
+    """
     size = index.absent
     table = np.append(np.full(size, 1 / size), 0)[:, None]
     marked = [WORD_MARK + w for w in words]
-    keep = [g for g in by_length(marked) if len(marked[g[0]]) <= LONG]
-    lattices = [(Lattice([marked[i] for i in g], index), weights[g]) for g in keep]
+    made = lambda g: (Lattice([marked[i] for i in g], index), weights[g])
+    lattices = [made(g) for g in by_length(marked) if len(marked[g[0]]) <= LONG]
     for _ in range(rounds):
         total = np.zeros(size + 1)
-        for lattice, w in lattices:
-            used, ids = lattice.counts(table)
-            total += np.bincount(ids.ravel(), (used * w[:, None, None]).ravel(), size + 1)
+        for lattice, w in chain(lattices, map(made, long_groups(marked))):
+            lattice.counts(table, w, total)
         total = total[:size] + SMOOTHING
         table = np.append(total / total.sum(), 0)[:, None]
     return table[:, 0]
@@ -132,8 +165,8 @@ class Model:
         marked = [WORD_MARK + w for w in words]
         for g in by_length(marked):
             lattice = Lattice([marked[i] for i in g], self.index)
-            alpha, logs = lattice.forward(self.table)
-            out[g] = np.log(alpha[:, -1]) + logs
+            alpha, scales = lattice.forward(self.table)
+            out[g] = np.log(alpha[:, -1]) + sum(log for _, log in scales)
         return out
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:

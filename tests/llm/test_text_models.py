@@ -88,6 +88,30 @@ def test_fitting_raises_the_likelihood(pieces):
     assert score[0] < score[1] <= score[2]
 
 
+def test_fit_reads_words_of_any_length(pieces):
+    index, rng = language_id.PieceIndex(pieces), random.Random(6)
+    single = [p for p in pieces if len(p) == 1 and p != WORD_MARK]
+    unspaced = ["".join(rng.choice(single[-60:]) for _ in range(n)) for n in (45, 300, 1200, 300)]
+    words, weights = ["the", "a" * 38, "ab" * 19 + "c", *unspaced, "\U00013000" * 200, "international" * 9], np.arange(1.0, 10)
+    size, ids, longest = len(pieces), {p: i for i, p in enumerate(pieces)}, max(map(len, pieces))
+    total = np.zeros(size)
+    with np.errstate(divide="ignore"):
+        for word, weight in zip(words, weights, strict=True):
+            word, n = WORD_MARK + word, len(word) + 1
+            steps = [[(i - k, ids.get(word[i - k : i]), 1 / size if word[i - k : i] in ids else 0) for k in range(1, min(longest, i) + 1)] for i in range(1, n + 1)]
+            alpha, beta = np.full(n + 1, -np.inf), np.full(n + 1, -np.inf)
+            alpha[0] = beta[n] = 0
+            for i in range(1, n + 1):
+                alpha[i] = np.logaddexp.reduce([alpha[j] + np.log(p + language_id.UNKNOWN * (j == i - 1)) for j, _, p in steps[i - 1]])
+            for i in range(n, 0, -1):
+                for j, k, p in steps[i - 1]:
+                    beta[j] = np.logaddexp(beta[j], beta[i] + np.log(p + language_id.UNKNOWN * (j == i - 1)))
+                    if k is not None:
+                        total[k] += weight * p * np.exp(alpha[j] + beta[i] - alpha[n])
+    want = (total + language_id.SMOOTHING) / (total + language_id.SMOOTHING).sum()
+    assert language_id.fit_language(words, weights, index, rounds=1)[:-1] == pytest.approx(want, rel=1e-6, abs=0)
+
+
 def test_language_of_held_out_documents(spark):
     out = queries.QUERIES["op7_language_id"](spark, "/root/testdata/sf0.01")
     joined = out.join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out")

@@ -1,10 +1,11 @@
 """WARC records in ZIP-packaged archives: a writer, and a reader that range-reads stored members.
 
 An archive is a ZIP file with stored (uncompressed) members: `archive/data.warc.gz`, one gzip member
-per record, and `indexes/index.cdxj`, one line per record with its offset and length. The reader
+per record, and `indexes/index.cdxj`, one line per record with its file name, offset and length. The reader
 parses the end-of-directory record, its ZIP64 extension where sizes or counts overflow, and the
 central directory; finds the index and the archive members; and reads each record by its byte range
-through any seekable file, without extracting a member.
+through any seekable file, without extracting a member. An index may name any member of `archive/`; without
+a name it is the only one. Indexes and archive members that are not stored are refused.
 
 On Spark the archives are rows (archive id, bytes) of a Parquet table, so any file system that Spark
 reads serves them. Archives roll over at ARCHIVE_BYTES, a task holds one at a time.
@@ -148,6 +149,8 @@ def zip_directory(f: BinaryIO) -> dict[str, tuple[int, int]]:
             if sign != LOCAL:
                 raise ValueError("a bad local header")
             found[name] = (offset + 30 + names + extras, plain)
+        elif name.startswith(("archive/", "indexes/")) and not name.endswith("/"):
+            raise ValueError(f"a member is not stored: {name}")
     return found
 
 
@@ -157,7 +160,7 @@ def archive(records: list[tuple[str, bytes]]) -> bytes:
     for key, rec in records:
         pack = zlib.compressobj(1, zlib.DEFLATED, 31)
         gz = pack.compress(rec) + pack.flush()
-        lines.append(json.dumps({"key": key, "offset": at, "length": len(gz)}))
+        lines.append(json.dumps({"key": key, "filename": DATA.removeprefix("archive/"), "offset": at, "length": len(gz)}))
         data.append(gz)
         at += len(gz)
     return zip_stored([(DATA, b"".join(data)), (INDEX, "\n".join(lines).encode())])
@@ -166,11 +169,15 @@ def archive(records: list[tuple[str, bytes]]) -> bytes:
 def read_archive(f: BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
     """(header fields, payload) of every record that an index of the archive lists, each read by its byte range."""
     members = zip_directory(f)
+    files = {n.removeprefix("archive/"): place for n, place in members.items() if n.startswith("archive/") and not n.endswith("/")}
     for name, (at, size) in sorted(members.items()):
-        if name.startswith("indexes/"):
-            base, limit = members[DATA]
+        if name.startswith("indexes/") and not name.endswith("/"):
             for line in read_range(f, at, size).splitlines():
                 entry = json.loads(line)
+                file = entry.get("filename") or (next(iter(files)) if len(files) == 1 else None)
+                if file not in files:
+                    raise ValueError(f"an index entry names no archive member: {file}")
+                base, limit = files[file]
                 if entry["offset"] + entry["length"] > limit:
                     raise ValueError("an index entry is out of range")
                 yield parse_record(zlib.decompress(read_range(f, base + entry["offset"], entry["length"]), 31))

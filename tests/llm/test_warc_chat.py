@@ -1,5 +1,7 @@
+import gzip
 import hashlib
 import io
+import json
 import random
 import zipfile
 
@@ -100,3 +102,22 @@ def test_format_is_reversible(spark):
         assert (got[c].n_turns, got[c].loss_chars, got[c].loss_sha256, got[c].formatted_chars) == (len(mine), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(whole))
     with pytest.raises(ValueError):
         list(chat.parse("<s>[INST] a < b [/INST]"))
+
+
+def test_reader_follows_file_names_and_refuses_compressed_members():
+    packs = {f: gzip.compress(warc.record(k, f"u{k}", b"page %d" % k, "00" * 20, 6, None)) for k, f in enumerate(["a.warc.gz", "b.warc.gz"])}
+    line = lambda f, named=True: json.dumps({"key": f, "offset": 0, "length": len(packs[f])} | ({"filename": f} if named else {})).encode()
+    files = [(f"archive/{f}", data) for f, data in packs.items()]
+    got = warc.read_archive(io.BytesIO(warc.zip_stored([*files, ("indexes/index.cdxj", line("b.warc.gz") + b"\n" + line("a.warc.gz"))])))
+    assert [p for _, p in got] == [b"page 1", b"page 0"]
+    alone = warc.zip_stored([files[1], ("indexes/index.cdxj", line("b.warc.gz", False))])
+    assert [p for _, p in warc.read_archive(io.BytesIO(alone))] == [b"page 1"]
+    with pytest.raises(ValueError, match="names no archive member"):
+        list(warc.read_archive(io.BytesIO(warc.zip_stored([*files, ("indexes/index.cdxj", line("a.warc.gz", False))]))))
+    for packed in (files[0][0], "indexes/index.cdxj"):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            for name, data in [*files, ("indexes/index.cdxj", line("b.warc.gz"))]:
+                z.writestr(name, data, zipfile.ZIP_DEFLATED if name == packed else zipfile.ZIP_STORED)
+        with pytest.raises(ValueError, match="not stored"):
+            list(warc.read_archive(out))

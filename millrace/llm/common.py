@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
+import gc
+import hashlib
+import re
+import secrets
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of fixed-width keys that may be broadcast; beyond it the same join shuffles.
@@ -16,12 +23,14 @@ BROADCAST_ROWS = 1 << 19
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one is set only where the session names none (tests)."""
+    """The folder of spark.checkpoint.dir. Where the session names none, a temporary one is set on a local master only: on a cluster nobody else would see it."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     own = spark.sparkContext._jsc.sc().getCheckpointDir()
     if own.isEmpty():
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="millrace-"))
         own = spark.sparkContext._jsc.sc().getCheckpointDir()
     return own.get().rstrip("/")
@@ -52,6 +61,54 @@ def materialize(df: DataFrame, name: str = "step", batch_rows: int = 1000) -> Da
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that `materialize` wrote and nothing reads any more; without it they go when the driver exits."""
+    for df in tables:
+        spark = df.sparkSession
+        for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """`name`, with underscores until no column of `df` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def quoted(name: str) -> Column:
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def boxed(docs: DataFrame, keep: list[str], made: list[str]) -> tuple[list[Column], list[str]]:
+    """The columns `keep` under the names c0, c1, ..., which clash with nothing, and their own names; those that `made` replaces go."""
+    names = [c for c in keep if c not in made]
+    return [quoted(c).alias(f"c{k}") for k, c in enumerate(names)], names
+
+
+def tidy(drop: Callable[[], None] | None = None) -> Callable:
+    """A decorator of maps of batches: at the end of a task the worker, which lives on, runs `drop` and gives its free memory back to the system."""
+
+    def wrap(rows: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+        @functools.wraps(rows)
+        def run(batches: Iterator) -> Iterator:
+            try:
+                yield from rows(batches)
+            finally:
+                if drop:
+                    drop()
+                gc.collect()
+                pa.default_memory_pool().release_unused()
+                with contextlib.suppress(OSError, AttributeError):
+                    ctypes.CDLL(None).malloc_trim(0)
+
+        return run
+
+    return wrap
+
+
 def bounded(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """`df` (already materialized, narrow rows) with a broadcast hint if it has at most `limit` rows, else as it is."""
     return F.broadcast(df) if df.count() <= limit else df
@@ -59,13 +116,16 @@ def bounded(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
 
 # --- byte-level text kernels -------------------------------------------------------------------
 
-_MULT = np.uint64(0x9E3779B97F4A7C15 | 1)
-_INV = np.uint64(pow(int(_MULT), -1, 1 << 64))
-_BYTE = np.random.default_rng(20240501).integers(1, 1 << 63, 256, dtype=np.uint64)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
-_POW = {"n": 0, "up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
+#: Words of more bytes are hashed by BLAKE2b one by one.
+BLOCKS = 8
+
+
+def new_key() -> int:
+    """A random key for `word_hashes`, drawn on the driver once per run and shipped with its tasks: no text can be made to collide."""
+    return secrets.randbits(64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -75,31 +135,33 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if _POW["n"] < n:
-        size = 1 << max(20, (n - 1).bit_length())
-        for name, base in (("up", _MULT), ("down", _INV)):
-            p = np.full(size, base, np.uint64)
-            p[0] = 1
-            _POW[name] = np.multiply.accumulate(p)
-        _POW["n"] = size
-    return _POW["up"], _POW["down"]
+def word_hashes(buf: bytes, key: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and keyed 64-bit hashes of the words `[^\\x20\\x09-\\x0D]+` of a buffer; equal words have equal hashes anywhere under one key.
 
-
-def word_hashes(buf: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and 64-bit hashes of the words `[^\\x20\\x09-\\x0D]+` of a buffer; equal words have equal hashes anywhere."""
+    A word is read in blocks of 8 bytes, and each is mixed into the state of the one before, all words at a time.
+    """
     a = np.frombuffer(buf, np.uint8)
-    space = _SPACE[a]
-    first = ~space
-    first[1:] &= space[:-1]
-    starts = np.flatnonzero(first)
+    edge = np.flatnonzero(np.diff(_SPACE[a].view(np.int8), prepend=1, append=1))
+    starts, ends = edge[::2], edge[1::2]
+    sizes = ends - starts
     if not len(starts):
         return starts, np.zeros(0, np.uint64)
-    up, down = _powers(len(a))
-    values = _BYTE[a]
-    values[space] = 0
-    values *= up[: len(a)]
-    return starts, mix(np.add.reduceat(values, starts) * down[starts])
+    padded = np.frombuffer(buf + bytes(8), np.uint8)
+    at = np.ndarray((len(a) + 1,), "<u8", padded, strides=(1,))  # the 8 bytes that begin anywhere
+    secret = mix(np.uint64([key & 0xFFFFFFFFFFFFFFFF, (key ^ 0xD1B54A32D192ED03) & 0xFFFFFFFFFFFFFFFF]))
+    state = mix(sizes.astype(np.uint64) ^ secret[0])
+    mask = np.uint64([(1 << 8 * k) - 1 for k in range(9)])
+    todo = np.arange(len(starts))
+    for k in range(BLOCKS):
+        left = sizes[todo] - 8 * k
+        state[todo] = mix(state[todo] ^ (at[starts[todo] + 8 * k] & mask[np.minimum(left, 8)])) + secret[1]
+        todo = todo[left > 8]
+        if not len(todo):
+            break
+    salt = secret.tobytes()
+    for i in todo.tolist():
+        state[i] = int.from_bytes(hashlib.blake2b(buf[starts[i] : ends[i]], digest_size=8, key=salt).digest(), "little")
+    return starts, state
 
 
 def packs_of(items: list[bytes], limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
@@ -114,28 +176,27 @@ def packs_of(items: list[bytes], limit: int = 1 << 20) -> Iterator[tuple[int, in
         yield i, len(items)
 
 
-def doc_words(items: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def doc_words(items: list[bytes], key: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes of all items and, per item, the offset of its first word (one more offset ends the last)."""
-    starts, hashes = word_hashes(b" ".join(items))
+    starts, hashes = word_hashes(b" ".join(items), key)
     begins = np.cumsum([0, *(len(x) + 1 for x in items)])
     return hashes, np.searchsorted(starts, begins)
 
 
-def shingle_sets(items: list[bytes], width: int = 5) -> Iterator[np.ndarray]:
+def shingle_sets(items: list[bytes], key: int = 0, width: int = 5) -> Iterator[np.ndarray]:
     """Per item (lower-cased bytes) the sorted distinct hashes of its word shingles; a shorter text is one shingle of all its words."""
-    hashes, offsets = doc_words(items)
-    factors = mix(np.arange(1, width + 1, dtype=np.uint64))
-    m = len(hashes)
-    rolled = np.zeros(max(0, m - width + 1), np.uint64)
-    for k in range(width):
-        rolled += hashes[k : m - width + 1 + k] * factors[k] if m >= width else 0
-    rolled = mix(rolled)
+    hashes, offsets = doc_words(items, key)
+    m = len(hashes) - width + 1
+    rolled = np.zeros(max(0, m), np.uint64)
+    for k in range(width if m > 0 else 0):
+        rolled = mix(rolled ^ hashes[k : k + m]) + np.uint64(k + 1)
     for i, j in zip(offsets[:-1], offsets[1:], strict=True):
         if j - i >= width:
             s = np.sort(rolled[i : j - width + 1])
             yield s[np.concatenate(([True], s[1:] != s[:-1]))]
         elif j > i:
-            yield mix(np.array([(hashes[i:j] * factors[: j - i]).sum() ^ np.uint64(j - i)], np.uint64))
+            whole = hashlib.blake2b(hashes[i:j].tobytes(), digest_size=8).digest()
+            yield np.frombuffer(whole, np.uint64)
         else:
             yield np.zeros(0, np.uint64)
 

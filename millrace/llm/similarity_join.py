@@ -1,18 +1,20 @@
 """Jaccard self-join of documents on word shingles by a count-vector R-tree, and its connected classes.
 
-Texts with the same set of shingles form a class; only one of each goes on. A class's shingles are
-hashed into GROUPS groups; the counts per group are a point. For two points the sum of the
-coordinate minima is an upper bound of the overlap, and for a box of points the minima with its upper
-corner are. An R-tree over the points of a routing bucket finds the pairs whose bound reaches the
-threshold; those are verified on the full sets.
-
-Routing: a class goes to the buckets of its SKETCH smallest shingle hashes. Two sets at similarity
-J or more share none of them with probability at most (1 - J) ** SKETCH, 1.7e-17 a pair at 0.8: less
-than the chance that two of the 64-bit shingle hashes collide. Sets of at most SKETCH shingles are
-routed by all of them. A pair belongs to the bucket of its smallest shared hash alone, so no pair is
-found twice. A bucket of more than BUCKET classes is split into chunks, and every pair of chunks
-meets in a bucket of its own; groups to verify are split by GROUP in the same way: memory stays
-bounded and no pair is lost.
+Texts with the same set of shingles form a class (named by BLAKE2b of the set); only one of each goes
+on. A class's shingles are hashed into GROUPS groups; the counts per group are a point. For two points
+the sum of the coordinate minima is an upper bound of the overlap, and for a box of points the minima
+with its upper corner are. An R-tree over the points of a routing bucket finds the pairs whose bound
+reaches the threshold; those are verified on the full sets.
+
+Routing is exact: two sets at similarity 0.8 or more share a hash among the n / 5 + 1 smallest of
+each, their prefixes. A class goes to the buckets of its prefix, and a pair belongs to the bucket of
+its smallest shared hash alone, so no pair is counted twice. Hashes are 64 bits under a random key
+that is drawn for each run, so that no text can be written to collide.
+
+A bucket of more than BUCKET classes is split: classes of one band of sizes (a factor of 5 / 4) are
+dealt into chunks, and only chunks of the same or of neighbouring bands meet, in buckets of their own, since sizes of
+linked sets differ by a factor of 5 / 4 at most. Groups to verify are split by GROUP sets and by
+SHINGLES in the same way: memory stays bounded and no pair is lost.
 
 Buckets emit classes with a group number, verification emits one row per class and group (its number
 of links and a neighbour towards the group's root); neither emits pairs, so rows grow with the
@@ -26,6 +28,7 @@ table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,48 +36,56 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, bounded, column, materialize, mix, packs_of, shingle_sets, slices, utf8
+from .common import LOWER, bounded, column, discard, free_name, materialize, new_key, packs_of, shingle_sets, slices, tidy, utf8
 
 GROUPS = 64
-SKETCH = 24
-BUCKET = 4096
+BUCKET = 1536
 GROUP = 1024
+SHINGLES = 1 << 22
 LEAF = 32
+#: Hashes that a bucket sees of each class: those that precede its own in the prefix; verification sees them all.
+RECENT = 8
 #: Linked: SHARE[0] * intersection >= SHARE[1] * (size + size), which is 100 * intersection >= 80 * union.
 SHARE = (9, 4)
-COUNT, FULL = np.dtype("<u2"), 65535
+COUNT, FULL = np.dtype("u1"), 255
 
 
 def signature(s: np.ndarray) -> tuple[int, int]:
-    """128 bits that identify a set of hashes."""
-    with np.errstate(over="ignore"):
-        a, b = mix(s).sum(dtype=np.uint64), mix(s ^ np.uint64(0x5BF0363D1E2C9A47)).sum(dtype=np.uint64)
-    return int(a.view(np.int64)), int(b.view(np.int64))
+    """128 bits that identify a set of hashes (in ascending order)."""
+    one, two = np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64)
+    return int(one), int(two)
 
 
-def features(docs: DataFrame, key: str, text: str, carry: dict[str, Column] | None = None) -> DataFrame:
-    """Per document: n, its class (c1, c2), its sketch in ascending order, its point, and the columns (longs) of `carry`."""
+def prefix(s: np.ndarray) -> np.ndarray:
+    """The smallest hashes of a set, one more than may be missing from a set that is linked to it."""
+    return s[: len(s) // 5 + 1]
+
+
+def features(docs: DataFrame, key: str, text: str, secret: int, carry: dict[str, Column] | None = None) -> DataFrame:
+    """Per document: n, its class (c1, c2), its prefix, its point, and the columns (longs) of `carry`."""
     carry = carry or {}
-    names = ["key", "n", "c1", "c2", "sketch", "point", *carry]
+    names = ["key", "n", "c1", "c2", "prefix", "point", *carry]
 
+    @tidy()
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             items = [x.translate(LOWER) for x in utf8(b, "text")]
-            n, c1, c2, sketch, point = [], [], [], [], []
+            n, c1, c2, first, point = [], [], [], [], []
             for i, j in packs_of(items):
-                for s in shingle_sets(items[i:j]):
+                for s in shingle_sets(items[i:j], secret):
                     one, two = signature(s)
                     n.append(len(s))
                     c1.append(one)
                     c2.append(two)
-                    sketch.append(s[:SKETCH].view(np.int64))
+                    first.append(prefix(s).view(np.int64))
                     point.append(np.minimum(np.bincount((s & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS), FULL).astype(COUNT).tobytes())
-            cols = [column(b, "key"), pa.array(n, pa.int64()), pa.array(c1, pa.int64()), pa.array(c2, pa.int64()), pa.array(sketch, pa.list_(pa.int64())), pa.array(point, pa.binary())]
+            cols = [column(b, "key"), pa.array(n, pa.int64()), pa.array(c1, pa.int64()), pa.array(c2, pa.int64()), pa.array(first, pa.list_(pa.int64())), pa.array(point, pa.binary())]
             yield pa.RecordBatch.from_arrays([*cols, *(column(b, k) for k in names[6:])], names)
 
     kind = docs.schema[key].dataType.simpleString()
-    schema = f"key {kind}, n long, c1 long, c2 long, sketch array<long>, point binary" + "".join(f", {k} long" for k in carry)
-    return docs.select(F.col(key).alias("key"), F.col(text).alias("text"), *(c.alias(k) for k, c in carry.items())).mapInArrow(run, schema)
+    schema = f"key {kind}, n long, c1 long, c2 long, prefix array<long>, point binary" + "".join(f", {k} long" for k in carry)
+    made = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), *(c.alias(k) for k, c in carry.items())).mapInArrow(run, schema)
+    return made.withColumn("row", F.monotonically_increasing_id())
 
 
 class RTree:
@@ -143,7 +154,7 @@ def overlaps(lists: list[np.ndarray]) -> np.ndarray:
     many = np.bincount(number)[number] > 1 if len(flat) else np.zeros(0, bool)
     number, owner = number[many], owner[many]
     number = np.unique(number, return_inverse=True)[1] if len(number) else number
-    out, width = np.zeros((m, m), np.float32), 4096
+    out, width = np.zeros((m, m)), 4096
     for lo in range(0, int(number.max()) + 1 if len(number) else 0, width):
         i, j = np.searchsorted(number, (lo, lo + width))
         part = np.zeros((m, width), np.float32)
@@ -166,28 +177,29 @@ def groups_of(batches: Iterator[pa.RecordBatch], keys: list[str], names: list[st
         yield at, rows
 
 
-def owned(prefixes: list[np.ndarray]) -> np.ndarray:
+def owned(smaller: list[np.ndarray]) -> np.ndarray:
     """Pairs that share no hash below the bucket's own: a pair belongs to the bucket of its smallest shared hash."""
-    return overlaps(prefixes) == 0
+    return overlaps(smaller) == 0
 
 
+@tidy()
 def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per bucket: the classes that have a partner by the R-tree's bound, numbered by connected group."""
-    names = ["token", "i", "j", "root", "c1", "c2", "chunk"]
+    names = ["token", "i", "j", "root", "c1", "c2", "n", "chunk"]
     out = []
 
     def batch() -> pa.RecordBatch:
         cols = list(zip(*out, strict=True)) or [[] for _ in names]
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names)
 
-    for (token, i, j), rows in groups_of(batches, ["token", "i", "j"], ["c1", "c2", "n", "chunk", "point", "prefix"]):
+    for (token, i, j), rows in groups_of(batches, ["token", "i", "j"], ["c1", "c2", "n", "chunk", "point", "recent"]):
         if len(rows) < 2:
             continue
         chunk = np.array([r[3] for r in rows])
         points = np.frombuffer(b"".join(r[4] for r in rows), COUNT).reshape(-1, GROUPS).astype(np.int32)
         points[points == FULL] = 1 << 24  # a count that did not fit bounds nothing
         tree = RTree(points, np.array([r[2] for r in rows]))
-        prefixes = [np.array(r[5], np.int64) for r in rows]
+        recent = [np.array(r[5], np.int64) for r in rows]
         shared = [frozenset.intersection(*(frozenset(rows[x][5]) for x in at)) for at in tree.leaves]
         joined, partner = Sets(len(rows)), np.zeros(len(rows), bool)
         for k, other in tree.leaf_pairs():
@@ -198,13 +210,13 @@ def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue  # nothing to find out: all are in one group
             keep = tree.fits(k, other)
             if keep.any():
-                keep &= owned([prefixes[x] for x in (*at.tolist(), *to.tolist())])[: len(at), len(at) :]
+                keep &= owned([recent[x] for x in (*at.tolist(), *to.tolist())])[: len(at), len(at) :]
                 if i != j:
                     keep &= chunk[at][:, None] != chunk[to][None]
             for x, y in zip(*(v.tolist() for v in np.nonzero(keep)), strict=True):
                 joined.join(int(at[x]), int(to[y]))
                 partner[at[x]] = partner[to[y]] = True
-        out += [(token, i, j, joined.root(k), rows[k][0], rows[k][1], rows[k][3]) for k in np.flatnonzero(partner).tolist()]
+        out += [(token, i, j, joined.root(k), *rows[k][:4]) for k in np.flatnonzero(partner).tolist()]
         if len(out) >= 5000:
             yield batch()
             out.clear()
@@ -221,6 +233,7 @@ def lowest_linked(linked: np.ndarray) -> list[int]:
         first = step
 
 
+@tidy()
 def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per group: each linked class, its links in documents, and the first class of its component in the group."""
     names = ["c1", "c2", "links", "p1", "p2"]
@@ -235,7 +248,7 @@ def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = list({(r[0], r[1]): r for r in rows}.values())
         sets = [np.frombuffer(r[5], np.uint64) for r in rows]
         n = np.array([len(s) for s in sets], np.float64)
-        linked = SHARE[0] * overlaps(sets).astype(np.float64) >= SHARE[1] * (n[:, None] + n[None])
+        linked = SHARE[0] * overlaps(sets) >= SHARE[1] * (n[:, None] + n[None])
         np.fill_diagonal(linked, False)
         for split, values in ((i != j, [r[2] for r in rows]), (gi != gj, [r[3] for r in rows])):
             if split:
@@ -243,7 +256,7 @@ def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not linked.any():
             continue
         own = np.array(token, np.int64).view(np.uint64)
-        linked &= owned([s[:SKETCH][s[:SKETCH] < own] for s in sets])
+        linked &= owned([prefix(s)[prefix(s) < own] for s in sets])
         links = np.where(linked, np.array([r[4] for r in rows]), 0).sum(axis=1)
         first = lowest_linked(linked)
         for k in np.flatnonzero(linked.any(axis=1)).tolist():
@@ -269,7 +282,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least(both).select("u", F.least("u", "m").alias("m")), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = least(large)
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        current = materialize(small.unionByName(low.withColumnRenamed("m", "v")).distinct(), "edges")
+        before, current = current, materialize(small.unionByName(low.withColumnRenamed("m", "v")).distinct(), "edges")
+        discard(before)
 
 
 def node(a: str, b: str) -> Column:
@@ -277,49 +291,65 @@ def node(a: str, b: str) -> Column:
     return F.concat(F.hex(a), F.lit("."), F.hex(b))
 
 
-def linked_classes(docs: DataFrame, rows: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+def bucketed(reps: DataFrame) -> DataFrame:
+    """(token, i, j, c1, c2, n, chunk, point, recent): the classes of `reps` in the buckets of their prefixes that others go to as well."""
+    placed = reps.select(F.posexplode("prefix").alias("at", "token"), "row", "n")
+    tokens = materialize(placed.groupBy("token").count().where("count > 1"), "tokens")
+    band = F.floor(F.log("n") / F.log(F.lit(1.25)) + 1e-9).cast("long")
+    # a hot token has BUCKET classes or more, and bands grow with the logarithm of the sizes: both tables are small
+    hot = bounded(tokens.where(F.col("count") > BUCKET).select("token"))
+    sizes = placed.join(hot, "token").groupBy("token", band.alias("band")).count()
+    chunks = F.ceil(F.col("count") / BUCKET).cast("long")
+    bands = bounded(materialize(sizes.groupBy("token").agg(F.map_from_entries(F.collect_list(F.struct("band", chunks))).alias("bands")), "bands"))
+    routed = placed.join(tokens.select("token"), "token").join(bands, "token", "left").withColumn("band", band)
+    code = lambda band, k: band * F.lit(1 << 32) + k
+    own = F.when(F.col("bands").isNotNull(), code(F.col("band"), F.pmod(F.xxhash64("row"), F.col("bands")[F.col("band")]))).otherwise(F.lit(0).cast("long"))
+    near = F.filter(F.sequence(F.col("band") - 1, F.col("band") + 1), lambda b: F.col("bands")[b].isNotNull())
+    met = F.flatten(F.transform(near, lambda b: F.transform(F.sequence(F.lit(0).cast("long"), F.col("bands")[b] - 1), lambda k: code(b, k))))
+    others = F.when(F.col("bands").isNotNull(), met).otherwise(F.array(F.lit(0).cast("long")))
+    split = routed.withColumn("chunk", own).withColumn("other", F.explode(others)).select("token", "at", "row", "chunk", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
+    recent = F.slice("prefix", F.greatest(F.col("at") - (RECENT - 1), F.lit(1)), F.least(F.col("at"), F.lit(RECENT)))
+    return split.join(reps, "row").select("token", "i", "j", "c1", "c2", "n", "chunk", "point", recent.alias("recent"))
+
+
+def linked_classes(docs: DataFrame, rows: DataFrame, key: str, text: str, secret: int) -> tuple[DataFrame, DataFrame]:
     """From the features of `docs`: (c1, c2, first, copies) of every class, and (c1, c2, root, component, links) of those that are linked."""
-    some = rows.select("key", "n", "c1", "c2", "sketch", "point").where("n > 0")
-    classes = materialize(some.groupBy("c1", "c2").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("copies")), "classes")
-    reps = materialize(some.dropDuplicates(["c1", "c2"]), "reps")
-
-    sketch = reps.select(F.posexplode("sketch").alias("at", "token"), "c1", "c2")
-    tokens = sketch.groupBy("token").count().where("count > 1").withColumn("chunks", F.ceil(F.col("count") / BUCKET)).drop("count")
-    routed = sketch.join(tokens, "token").withColumn("chunk", F.pmod("c1", "chunks"))
-    routed = routed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
-    buckets = (
-        routed.join(reps, ["c1", "c2"])
-        .select("token", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "c1", "c2", "n", "chunk", "point", F.slice("sketch", F.lit(1), F.col("at")).alias("prefix"))
-        .repartition("token", "i", "j")
-        .sortWithinPartitions("token", "i", "j")
-    )
-    members = materialize(buckets.mapInArrow(route, "token long, i long, j long, root long, c1 long, c2 long, chunk long"), "members")
+    some = rows.where("n > 0")
+    classes = materialize(some.groupBy("c1", "c2").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("copies"), F.min("row").alias("row")), "classes")
+    reps = materialize(some.select("row", "key", "n", "c1", "c2", "prefix", "point").join(bounded(classes.select("row")), "row", "left_semi"), "reps")
+
+    buckets = bucketed(reps).repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
+    members = materialize(buckets.mapInArrow(route, "token long, i long, j long, root long, c1 long, c2 long, n long, chunk long"), "members")
 
     wanted = members.select("c1", "c2").distinct().join(reps.select("c1", "c2", "key"), ["c1", "c2"])
-    keys = bounded(materialize(wanted.select("key").distinct(), "wanted"))
-    texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(keys.withColumnRenamed("key", "__key"), F.col("key").eqNullSafe(F.col("__key")), "left_semi")
-    sets = texts.select("text").mapInArrow(full_sets, "c1 long, c2 long, hashes binary")
+    wanted = materialize(wanted.select("key").distinct(), "wanted")
+    texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(bounded(wanted).withColumnRenamed("key", "__key"), F.col("key").eqNullSafe(F.col("__key")), "left_semi")
+    sets = texts.select("text").mapInArrow(full_sets(secret), "c1 long, c2 long, hashes binary")
     group = ["token", "i", "j", "root"]
-    parts = members.groupBy(*group).agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("parts"))
-    split = members.join(parts, group).withColumn("part", F.pmod("c2", "parts"))
+    many = F.greatest(F.ceil(F.count(F.lit(1)) / GROUP), F.ceil(F.sum("n") / SHINGLES))
+    split = members.join(members.groupBy(*group).agg(many.alias("parts")), group).withColumn("part", F.pmod("c2", "parts"))
     split = split.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    split = split.withColumns({"gi": F.least("part", "other"), "gj": F.greatest("part", "other")}).drop("other", "parts")
+    split = split.withColumns({"gi": F.least("part", "other"), "gj": F.greatest("part", "other")}).drop("other", "parts", "n")
     groups = (
-        split.join(classes.drop("first"), ["c1", "c2"]).join(sets, ["c1", "c2"]).repartition(*group, "gi", "gj").sortWithinPartitions(*group, "gi", "gj")
+        split.join(classes.drop("first", "row"), ["c1", "c2"]).join(sets, ["c1", "c2"]).repartition(*group, "gi", "gj").sortWithinPartitions(*group, "gi", "gj")
     )
     found = materialize(groups.mapInArrow(verify, "c1 long, c2 long, links long, p1 long, p2 long"), "links")
+    discard(members, reps, wanted)
 
     roots = components(found.select(node("c1", "c2").alias("u"), node("p1", "p2").alias("v")))
-    linked = found.groupBy("c1", "c2").agg(F.sum("links").alias("links")).join(classes, ["c1", "c2"]).withColumn("u", node("c1", "c2"))
+    linked = found.groupBy("c1", "c2").agg(F.sum("links").alias("links")).join(classes.drop("row"), ["c1", "c2"]).withColumn("u", node("c1", "c2"))
     rooted = linked.join(roots, "u", "left").withColumn("root", F.coalesce("v", "u"))
     smallest = rooted.groupBy("root").agg(F.min("first").alias("component"))
-    return classes, materialize(rooted.join(smallest, "root").select("c1", "c2", "root", "component", "links"), "placed")
+    placed = materialize(rooted.join(smallest, "root").select("c1", "c2", "root", "component", "links"), "placed")
+    discard(found, roots)
+    return classes, placed
 
 
 def similar_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row of `docs`: key, n_shingles, component_id (smallest key reachable by links), n_links (rows linked to it)."""
-    rows = materialize(features(docs, key, text), "features")
-    classes, placed = linked_classes(docs, rows, key, text)
+    secret = new_key()
+    rows = materialize(features(docs, key, text, secret), "features")
+    classes, placed = linked_classes(docs, rows, key, text, secret)
     table = classes.join(bounded(placed.drop("root")), ["c1", "c2"], "left").select("c1", "c2", F.coalesce("component", "first").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
     empty = F.col("n") == 0
     return rows.join(table, ["c1", "c2"], "left").select(
@@ -330,20 +360,26 @@ def similar_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     )
 
 
-def full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in slices(batches, 200):
-        items = [x.translate(LOWER) for x in utf8(b, "text")]
-        sets = [s for i, j in packs_of(items) for s in shingle_sets(items[i:j])]
-        ids = [signature(s) for s in sets]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([x[0] for x in ids], pa.int64()), pa.array([x[1] for x in ids], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["c1", "c2", "hashes"]
-        )
+def full_sets(secret: int):
+    """A map of texts to their classes and whole sets."""
+
+    @tidy()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 200):
+            items = [x.translate(LOWER) for x in utf8(b, "text")]
+            sets = [s for i, j in packs_of(items) for s in shingle_sets(items[i:j], secret)]
+            ids = [signature(s) for s in sets]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([x[0] for x in ids], pa.int64()), pa.array([x[1] for x in ids], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["c1", "c2", "hashes"]
+            )
+
+    return run
 
 
-def marks(key: str, text: str) -> dict[str, Column]:
+def marks(key: str, text: str) -> tuple[Column, Column]:
     """128 bits that tell rows apart by key (null is a key of its own) and text."""
     row = F.isnull(key), F.col(key), F.col(text)
-    return {"__m1": F.xxhash64(*row), "__m2": F.xxhash64(F.lit("second"), *row)}
+    return F.xxhash64(*row), F.xxhash64(F.lit("second"), *row)
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -352,15 +388,19 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     Survivors are chosen by component and told apart by key and text, so keys may be null or repeat: unlike
     texts all stay. A component without a key keeps one row; of rows equal in key and text any one stays.
     """
-    rows = materialize(features(docs, key, text, marks(key, text)), "features")
-    _, placed = linked_classes(docs, rows, key, text)
-    equal = rows.where("n > 0").groupBy("c1", "c2", "__m1", "__m2").agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("rows"))
-    best = equal.groupBy("c1", "c2").agg(F.min(F.struct(F.isnull("key").alias("none"), "key", "__m1", "__m2", "rows")).alias("best"))
+    secret, one, two, again = new_key(), *(free_name(docs, n) for n in ("__m1", "__m2", "__again"))
+    rows = materialize(features(docs, key, text, secret, dict(zip(("m1", "m2"), marks(key, text), strict=True))), "features")
+    _, placed = linked_classes(docs, rows, key, text, secret)
+    equal = rows.where("n > 0").groupBy("c1", "c2", "m1", "m2").agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("rows"))
+    best = equal.groupBy("c1", "c2").agg(F.min(F.struct(F.isnull("key").alias("none"), "key", "m1", "m2", "rows")).alias("best"))
     rooted = best.join(bounded(placed.select("c1", "c2", "root")), ["c1", "c2"], "left")
     first = rooted.groupBy(F.coalesce("root", node("c1", "c2")).alias("root")).agg(F.min("best").alias("best"))
-    kept = first.select("best.__m1", "best.__m2", (F.col("best.rows") > 1).alias("__again"))
-    empty = rows.where("n = 0").select("__m1", "__m2", F.lit(False).alias("__again")).distinct()
+    kept = first.select(F.col("best.m1").alias(one), F.col("best.m2").alias(two), (F.col("best.rows") > 1).alias(again))
+    empty = rows.where("n = 0").select(F.col("m1").alias(one), F.col("m2").alias(two), F.lit(False).alias(again)).distinct()
     kept = materialize(kept.unionByName(empty), "kept")
-    found = docs.withColumns(marks(key, text)).join(bounded(kept), ["__m1", "__m2"])
-    single, again = found.where("NOT __again"), found.where("__again")
-    return single.select(*docs.columns).unionByName(again.dropDuplicates(["__m1", "__m2"]).select(*docs.columns))
+    discard(rows, placed)
+    found = docs.withColumns(dict(zip((one, two), marks(key, text), strict=True))).join(bounded(kept), [one, two])
+    out = found.where(~F.col(again)).select(*docs.columns)
+    if kept.where(again).isEmpty():
+        return out
+    return out.unionByName(found.where(again).dropDuplicates([one, two]).select(*docs.columns))

@@ -15,13 +15,17 @@ document or another; matches never cross documents.
    It stops there: boundaries without a value are common prefixes of MIN_LENGTH or more.
 4. Runs of repeated windows are merged per text and the bytes removed.
 
-Anchors with more than HOT distinct contexts are not indexed: the contexts are cut into single
-windows, which one aggregate counts. This is exact too, has map-side aggregation and bounds every
-index.
-Identical texts share their spans (keyed by two 64-bit hashes of the text), so copies are not gathered.
+An anchor with more than HOT distinct contexts is split before it is indexed: its windows are dealt
+into blocks of neighbouring anchor offsets, and a block's windows by the bytes that all of them
+share. Equal windows stay together, so each part is indexed on its own; parts that are still hot are split
+into smaller blocks, down to single windows, of which a part has only one. Every index is bounded.
+Contexts are told apart by BLAKE2b of their bytes. Identical texts share their spans (keyed by two
+64-bit hashes of the text), so copies are not gathered; a long text's places are gathered in parts of
+PART window starts.
 
 Defined cases: null text is empty; texts under MIN_LENGTH bytes lose nothing; repeated rows are copies
-of each other; null ids are kept as they are; an empty table gives no rows; extra columns pass through.
+of each other; null ids are kept as they are; an empty table gives no rows; extra columns pass through, and
+those named as an output column are replaced.
 """
 
 from __future__ import annotations
@@ -33,23 +37,44 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import _BYTE, _powers, bounded, column, materialize, mix, packs_of, slices, utf8
+from .common import bounded, boxed, column, discard, materialize, mix, packs_of, slices, tidy, utf8
 
 MIN_LENGTH = 200
 GRAM = 64
-HOT = 4000
+#: Distinct contexts that are indexed together; an anchor with more is split into blocks of so many offsets, one width after the other.
+HOT = 1000
+WIDTHS = (24, 4, 1)
 INDEX_BYTES = 1 << 18
 #: A document is read in pieces of this many window starts; positions in a run of pieces fit POSITION bits.
 PIECE = 1 << 24
 POSITION = 26
 #: An occurrence's place: first window start, then windows - 1 and the anchor's offset, 8 bits each.
 SPAN, OFFSET = 256, 256
+PART = 1 << 21
+
+_MULT = np.uint64(0x9E3779B97F4A7C15 | 1)
+_INV = np.uint64(pow(int(_MULT), -1, 1 << 64))
+_BYTE = np.random.default_rng(20240501).integers(1, 1 << 63, 256, dtype=np.uint64)
+_POW: dict[str, np.ndarray] = {}
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first `n` powers or more of the rolling hash's base and of its inverse."""
+    if len(_POW.get("up", ())) < n:
+        size = 1 << max(20, (n - 1).bit_length())
+        for name, base in (("up", _MULT), ("down", _INV)):
+            p = np.full(size, base, np.uint64)
+            p[0] = 1
+            _POW[name] = np.multiply.accumulate(p)
+    return _POW["up"], _POW["down"]
 
 
 def occurrences(items: list[bytes], length: int = MIN_LENGTH, gram: int = GRAM) -> Iterator[tuple[np.ndarray, ...]]:
-    """Occurrences of anchors, as parallel arrays: item, anchor hash, context hash, first window start, windows - 1, anchor's offset from that start."""
+    """Occurrences of anchors, as parallel arrays: item, anchor hash, first window start, windows - 1, anchor's offset from that start.
+
+    The rolling hash only picks anchors: equal strings have equal hashes, and nothing else is asked of it.
+    """
     pieces, owner, base = [], [], []
     for k, x in enumerate(items):
         for o in range(0, len(x) - length + 1, PIECE):
@@ -62,7 +87,7 @@ def occurrences(items: list[bytes], length: int = MIN_LENGTH, gram: int = GRAM)
         run = pieces[i:j]
         a = np.frombuffer(b"".join(run), np.uint8)
         n = len(a)
-        up, down = _powers(n + 1)
+        up, down = powers(n + 1)
         prefix = np.zeros(n + 1, np.uint64)
         np.cumsum(_BYTE[a] * up[:n], out=prefix[1:])
         grams = mix((prefix[gram:] - prefix[:-gram]) * down[: n - gram + 1])
@@ -87,10 +112,8 @@ def occurrences(items: list[bytes], length: int = MIN_LENGTH, gram: int = GRAM)
         first = starts[new]
         count = np.diff(np.append(np.flatnonzero(new), len(starts)))
         at = at[new]
-        end = first + count - 1 + length
-        context = mix(((prefix[end] - prefix[first]) * down[first]) ^ mix((at - first).astype(np.uint64)))
         piece = np.searchsorted(begins, first, "right") - 1
-        yield owner[i:j][piece], grams[at].view(np.int64), context.view(np.int64), first - begins[piece] + base[i:j][piece], count - 1, at - first
+        yield owner[i:j][piece], grams[at].view(np.int64), first - begins[piece] + base[i:j][piece], count - 1, at - first
 
 
 def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
@@ -169,11 +192,6 @@ def repeated_windows(strings: list[bytes], counts: list[int], length: int = MIN_
     return [np.ones(n - length + 1, bool) if c > 1 else shared[b : b + n - length + 1] for b, n, c in zip(begins, sizes, counts, strict=True)]
 
 
-def keyed(docs: DataFrame, text: str) -> DataFrame:
-    body = F.coalesce(F.col(text), F.lit(""))
-    return docs.withColumns({"__k1": F.xxhash64(body), "__k2": F.xxhash64(F.lit("second"), body)})
-
-
 def place(start: np.ndarray, more: np.ndarray, offset: np.ndarray) -> np.ndarray:
     return (start * SPAN + more) * OFFSET + offset
 
@@ -183,16 +201,21 @@ def unplace(x: int) -> tuple[int, int]:
     return x // (SPAN * OFFSET), x // OFFSET % SPAN
 
 
+@tidy(_POW.clear)
 def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every occurrence's anchor and a hash of its context."""
     for b in slices(batches):
-        for _, fp, context, *_ in occurrences(utf8(b, "text")):
-            yield pa.RecordBatch.from_arrays([pa.array(fp), pa.array(context)], ["fp", "context"])
+        texts = utf8(b, "text")
+        for item, fp, start, more, offset in occurrences(texts):
+            context = [window_hash(texts[k][s : s + m + MIN_LENGTH], o) for k, s, m, o in zip(item.tolist(), start.tolist(), more.tolist(), offset.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(fp), pa.array(context, pa.int64())], ["fp", "context"])
 
 
+@tidy(_POW.clear)
 def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in slices(batches):
-        k1, k2 = column(b, "__k1").to_numpy(), column(b, "__k2").to_numpy()
-        for item, fp, _, start, more, offset in occurrences(utf8(b, "text")):
+        k1, k2 = column(b, "k1").to_numpy(), column(b, "k2").to_numpy()
+        for item, fp, start, more, offset in occurrences(utf8(b, "text")):
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (fp, k1[item], k2[item], place(start, more, offset))], ["fp", "k1", "k2", "place"])
 
 
@@ -201,6 +224,7 @@ def window_hash(text: bytes, offset: int) -> int:
     return int.from_bytes(hashlib.blake2b(text, digest_size=8, person=b"%d" % offset).digest(), "little", signed=True)
 
 
+@tidy()
 def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The contexts of the occurrences that are open; sid tells the contexts of an anchor apart."""
     names = ["fp", "sid", "k1", "k2", "place", "bytes"]
@@ -214,7 +238,7 @@ def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start, more, offset = place_ // (SPAN * OFFSET), place_ // OFFSET % SPAN, place_ % OFFSET
         cut = [texts[r][s : s + m + MIN_LENGTH] for r, s, m in zip(row.tolist(), start.tolist(), more.tolist(), strict=True)]
         sid = [window_hash(x, o) for x, o in zip(cut, offset.tolist(), strict=True)]
-        k1, k2 = column(b, "__k1").to_numpy()[row], column(b, "__k2").to_numpy()[row]
+        k1, k2 = column(b, "k1").to_numpy()[row], column(b, "k2").to_numpy()[row]
         yield pa.RecordBatch.from_arrays([pa.array(fp), pa.array(sid, pa.int64()), pa.array(k1), pa.array(k2), pa.array(place_), pa.array(cut, pa.binary())], names)
 
 
@@ -223,6 +247,7 @@ def runs_of(repeated: np.ndarray) -> list[int]:
     return np.flatnonzero(np.diff(repeated.view(np.int8), prepend=0, append=0)).tolist()
 
 
+@tidy()
 def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Index the contexts, whole anchors at a time; contexts with repeated windows come out with the runs of these."""
     held: list[tuple] = []
@@ -246,22 +271,46 @@ def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch()
 
 
-def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The single windows of hot contexts."""
-    for b in slices(batches, 1000):
-        out: list[tuple] = []
-        for fp, sid, data, n, offset in zip(*(column(b, k).to_pylist() for k in ("fp", "sid", "bytes", "n", "offset")), strict=True):
-            out += [(fp, sid, i, n, window_hash(data[i : i + MIN_LENGTH], offset - i)) for i in range(len(data) - MIN_LENGTH + 1)]
-        cols = list(zip(*out, strict=True)) or [[]] * 5
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["fp", "sid", "i", "n", "window"])
-
-
-def resolve_hot(distinct: DataFrame) -> DataFrame:
-    """(fp, sid, runs) by counting windows."""
-    cut = distinct.mapInArrow(windows, "fp long, sid long, i long, n long, window long")
-    often = cut.groupBy("fp", "window").agg(F.sum("n").alias("n")).where("n > 1").select("fp", "window")
-    at = cut.join(often, ["fp", "window"]).groupBy("fp", "sid").agg(F.array_sort(F.collect_set(F.col("i").cast("int"))).alias("at"))
-    return at.select("fp", "sid", F.flatten(F.transform("at", lambda i: F.array(i, i + 1))).alias("runs"))
+def split(width: int):
+    """A map of hot contexts to their windows in blocks of `width` offsets of the anchor; windows that share the bytes common to their block get one fp2."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["fp", "sid", "shift", "n", "fp2", "sid2", "bytes", "offset"]
+        for b in slices(batches, 500):
+            out: list[tuple] = []
+            for fp, sid, data, n, offset in zip(*(column(b, k).to_pylist() for k in ("fp", "sid", "bytes", "n", "offset")), strict=True):
+                windows = len(data) - MIN_LENGTH + 1
+                for block in range((offset - windows + 1) // width, offset // width + 1):
+                    low, high = block * width, min(block * width + width - 1, MIN_LENGTH - GRAM)
+                    first, last = max(0, offset - high), min(windows - 1, offset - low)
+                    common = hashlib.blake2b(data[offset - low : offset - high + MIN_LENGTH], digest_size=8, person=b"%d.%d" % (block, width))
+                    cut = data[first : last + MIN_LENGTH]
+                    out.append((fp, sid, first, n, int.from_bytes(common.digest(), "little", signed=True), window_hash(cut, offset - first), cut, offset - first))
+            cols = list(zip(*out, strict=True)) or [[]] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if k == "bytes" else pa.int64()) for k, c in zip(names, cols, strict=True)], names)
+
+    return run
+
+
+def collapsed(contexts_: DataFrame, name: str) -> DataFrame:
+    """(fp, sid, n, bytes, offset): the distinct contexts with the number of their occurrences."""
+    found = contexts_.groupBy("fp", "sid").agg(F.sum("n").alias("n"), F.first("bytes").alias("bytes"), F.first("offset").alias("offset"))
+    return materialize(found, name)
+
+
+def repeated_runs(distinct: DataFrame, widths: tuple[int, ...] = WIDTHS) -> DataFrame:
+    """(fp, sid, runs): the repeated windows of each context that has any; a context of a split anchor has several rows."""
+    index = lambda some: some.repartition("fp").sortWithinPartitions("fp").mapInArrow(resolve, "fp long, sid long, runs array<int>")
+    hot = materialize(distinct.groupBy("fp").count().where(F.col("count") > HOT).select("fp"), "hot") if widths else None
+    if hot is None or hot.isEmpty():
+        return index(distinct)
+    cool = distinct.join(bounded(hot), "fp", "left_anti")
+    schema = "fp long, sid long, shift long, n long, fp2 long, sid2 long, bytes binary, offset long"
+    parts = materialize(distinct.join(bounded(hot), "fp", "left_semi").mapInArrow(split(widths[0]), schema), "parts")
+    smaller = collapsed(parts.select(F.col("fp2").alias("fp"), F.col("sid2").alias("sid"), "n", "bytes", "offset"), "split")
+    found = repeated_runs(smaller, widths[1:]).withColumnsRenamed({"fp": "fp2", "sid": "sid2"})
+    moved = F.transform("runs", lambda x: x + F.col("shift").cast("int")).alias("runs")
+    return index(cool).unionByName(parts.select("fp", "sid", "shift", "fp2", "sid2").join(found, ["fp2", "sid2"]).select("fp", "sid", moved))
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -286,13 +335,15 @@ def covered(whole: list[int], places: list[int], runs: list[list[int]]) -> list[
     return merged(spans)
 
 
+OUTPUT = ["__spans", "__n_bytes", "__n_removed", "__kept_sha256", "__kept"]
+
+
 def remove_repeats(docs: DataFrame, text: str = "text", keep: list[str] | None = None, payload: bool = True) -> DataFrame:
     """`docs` (or its columns `keep`) plus __spans (removed byte ranges, merged), __n_bytes, __n_removed, __kept_sha256, and, with `payload`, __kept: the remaining bytes."""
-    keep = docs.columns if keep is None else keep
-    rows = keyed(docs, text)
-    body = F.coalesce(F.col(text), F.lit("")).alias("text")
-    texts = rows.select("__k1", "__k2", body)
-    long = texts.where(F.octet_length("text") >= MIN_LENGTH)
+    kept, names = boxed(docs, docs.columns if keep is None else keep, OUTPUT)
+    body = F.coalesce(F.col(text), F.lit(""))
+    rows = docs.select(*kept, body.alias("text"), F.xxhash64(body).alias("k1"), F.xxhash64(F.lit("second"), body).alias("k2"))
+    long = rows.select("k1", "k2", "text").where(F.octet_length("text") >= MIN_LENGTH)
 
     repeats = (
         long.select("text").mapInArrow(anchors, "fp long, context long")
@@ -304,50 +355,49 @@ def remove_repeats(docs: DataFrame, text: str = "text", keep: list[str] | None =
     repeats = materialize(repeats, "anchors")
     found = long.mapInArrow(places, "fp long, k1 long, k2 long, place long").join(bounded(repeats), "fp")
     item = F.struct("place", "fp")
+    part = F.floor(F.col("place") / (SPAN * OFFSET * PART)).alias("part")
     per_text = materialize(
-        found.groupBy("k1", "k2").agg(
+        found.groupBy("k1", "k2", part).agg(
             F.collect_set(F.when(~F.col("open"), F.col("place"))).alias("whole"), F.collect_set(F.when(F.col("open"), item)).alias("open")
         ),
         "texts",
     )
 
-    unsure = per_text.where(F.size("open") > 0).select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), "open")
-    some = long.join(bounded(unsure.select("__k1", "__k2")), ["__k1", "__k2"], "left_semi")
-    cut = materialize(some.join(unsure, ["__k1", "__k2"]).mapInArrow(contexts, "fp long, sid long, k1 long, k2 long, place long, bytes binary"), "contexts")
-    distinct = materialize(
-        cut.groupBy("fp", "sid").agg(F.count(F.lit(1)).alias("n"), F.first("bytes").alias("bytes"), F.first(F.col("place") % OFFSET).alias("offset")), "distinct"
-    )
-    hot = bounded(materialize(distinct.groupBy("fp").count().where(F.col("count") > HOT).select("fp"), "hot"))
-    indexed = distinct.join(hot, "fp", "left_anti").repartition("fp").sortWithinPartitions("fp")
-    runs = indexed.mapInArrow(resolve, "fp long, sid long, runs array<int>").unionByName(resolve_hot(distinct.join(hot, "fp", "left_semi")))
-    partial = cut.drop("bytes").join(runs, ["fp", "sid"]).groupBy("k1", "k2").agg(F.collect_set(F.struct("place", "runs")).alias("parts"))
+    unsure = per_text.where(F.size("open") > 0).select("k1", "k2", "open")
+    some = long.join(bounded(unsure.select("k1", "k2")), ["k1", "k2"], "left_semi")
+    cut = materialize(some.join(unsure, ["k1", "k2"]).mapInArrow(contexts, "fp long, sid long, k1 long, k2 long, place long, bytes binary"), "contexts")
+    distinct = collapsed(cut.select("fp", "sid", F.lit(1).cast("long").alias("n"), "bytes", (F.col("place") % OFFSET).alias("offset")), "distinct")
+    partial = cut.drop("bytes").join(repeated_runs(distinct), ["fp", "sid"]).groupBy("k1", "k2", part).agg(F.collect_set(F.struct("place", "runs")).alias("parts"))
     parts = F.coalesce("parts", F.array().cast(partial.schema["parts"].dataType))
-    spans = materialize(
-        per_text.select("k1", "k2", "whole")
-        .join(partial, ["k1", "k2"], "left")
-        .select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), "whole", F.transform(parts, lambda p: p["place"]).alias("places"), F.transform(parts, lambda p: p["runs"]).alias("runs"))
-        .mapInArrow(merge_spans, "__k1 long, __k2 long, __spans array<struct<lo:long,hi:long>>"),
-        "spans",
+    merged_parts = (
+        per_text.select("k1", "k2", "part", "whole")
+        .join(partial, ["k1", "k2", "part"], "left")
+        .select("k1", "k2", "whole", F.transform(parts, lambda p: p["place"]).alias("places"), F.transform(parts, lambda p: p["runs"]).alias("runs"))
+        .mapInArrow(merge_spans, "k1 long, k2 long, spans array<struct<lo:long,hi:long>>")
     )
-
-    touched = bounded(spans.select("__k1", "__k2"))
-    clean = rows.join(touched, ["__k1", "__k2"], "left_anti").select(
-        *keep,
+    spans = materialize(merged_parts.groupBy("k1", "k2").agg(F.flatten(F.collect_list("spans")).alias("spans")), "spans")
+    discard(repeats, per_text, cut, distinct)
+
+    touched = bounded(spans.select("k1", "k2"))
+    box = [f"c{k}" for k in range(len(names))]
+    utf = F.encode("text", "UTF-8")
+    clean = rows.join(touched, ["k1", "k2"], "left_anti").select(
+        *box,
         F.array().cast("array<struct<lo:long,hi:long>>").alias("__spans"),
-        F.octet_length(body).cast("long").alias("__n_bytes"),
+        F.octet_length("text").cast("long").alias("__n_bytes"),
         F.lit(0).cast("long").alias("__n_removed"),
-        F.sha2(F.encode(body, "UTF-8"), 256).alias("__kept_sha256"),
-        (F.encode(body, "UTF-8") if payload else F.lit(None).cast("binary")).alias("__kept"),
+        F.sha2(utf, 256).alias("__kept_sha256"),
+        (utf if payload else F.lit(None).cast("binary")).alias("__kept"),
     )
-    hit = rows.select(*dict.fromkeys([*keep, "__k1", "__k2"]), body.alias("__text")).join(touched, ["__k1", "__k2"], "left_semi").join(spans, ["__k1", "__k2"])
-    schema = T.StructType([*(docs.schema[k] for k in keep), *clean.schema.fields[-5:]])
+    hit = rows.join(touched, ["k1", "k2"], "left_semi").join(spans, ["k1", "k2"]).select(*box, "text", "spans")
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 200):
-            sizes, removed, digests, rests = [], [], [], []
-            for data, gone in zip(utf8(b, "__text"), column(b, "__spans").to_pylist(), strict=True):
+            gone, sizes, removed, digests, rests = [], [], [], [], []
+            for data, found in zip(utf8(b, "text"), column(b, "spans").to_pylist(), strict=True):
                 parts, at = [], 0
-                for s in gone:
+                gone.append([{"lo": lo, "hi": hi} for lo, hi in merged([(s["lo"], s["hi"]) for s in found])])
+                for s in gone[-1]:
                     parts.append(data[at : s["lo"]])
                     at = s["hi"]
                 rest = b"".join([*parts, data[at:]])
@@ -355,19 +405,21 @@ def remove_repeats(docs: DataFrame, text: str = "text", keep: list[str] | None =
                 removed.append(len(data) - len(rest))
                 digests.append(hashlib.sha256(rest).hexdigest())
                 rests.append(rest if payload else None)
-            made = [column(b, "__spans"), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(digests, pa.string()), pa.array(rests, pa.binary())]
-            yield pa.RecordBatch.from_arrays([*(column(b, k) for k in keep), *made], schema.names)
+            made = [pa.array(gone, RANGES), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(digests, pa.string()), pa.array(rests, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*(column(b, k) for k in box), *made], [*box, *OUTPUT])
+
+    return clean.unionByName(hit.mapInArrow(cut_out, clean.schema)).toDF(*names, *OUTPUT)
+
 
-    return clean.unionByName(hit.mapInArrow(cut_out, schema))
+RANGES = pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))
 
 
 def merge_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kind = pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))
     for b in slices(batches):
         k1, k2, out = [], [], []
-        for a, c, *found in zip(*(column(b, n).to_pylist() for n in ("__k1", "__k2", "whole", "places", "runs")), strict=True):
+        for a, c, *found in zip(*(column(b, n).to_pylist() for n in ("k1", "k2", "whole", "places", "runs")), strict=True):
             if spans := covered(*found):
                 k1.append(a)
                 k2.append(c)
                 out.append([{"lo": lo, "hi": hi} for lo, hi in spans])
-        yield pa.RecordBatch.from_arrays([pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(out, kind)], ["__k1", "__k2", "__spans"])
+        yield pa.RecordBatch.from_arrays([pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(out, RANGES)], ["k1", "k2", "spans"])

@@ -189,8 +189,26 @@ def test_anchors_do_not_depend_on_what_stands_around():
     for _ in range(20):
         left = rng.randrange(50)
         items = [rng.randbytes(left) + window + rng.randbytes(rng.randrange(50))]
-        for _, fp, _, start, more, offset in suffix_dedup.occurrences(items):
+        for _, fp, start, more, offset in suffix_dedup.occurrences(items):
             for f, s, m, o in zip(fp, start, more, offset, strict=True):
                 if s <= left <= s + m:
                     seen.add((int(f), int(s + o - left)))
     assert len(seen) == 1
+
+
+def test_words_that_fooled_a_polynomial_hash_are_not_linked(spark):
+    # two words of 1,024 letters whose polynomial hashes modulo 2^64 are equal for every odd base
+    one = "".join("ab"[bin(k).count("1") % 2] for k in range(1024))
+    other = one.translate(str.maketrans("ab", "ba"))
+    got = similarity_join.similar_classes(spark.createDataFrame([(1, one), (2, other)], "doc_id long, text string"))
+    assert {tuple(r) for r in got.collect()} == {(1, 1, 1, 0), (2, 1, 2, 0)}
+
+
+def test_prefixes_of_linked_sets_meet():
+    rng = np.random.default_rng(5)
+    for n in range(1, 200):
+        whole = np.sort(rng.choice(1 << 40, n, replace=False).astype(np.uint64))
+        low, high = whole[: n - n // 5], whole[n // 5 :]  # nothing in common but the middle, at the ends of the order
+        for a, b in ((whole, low), (whole, high)):
+            if 100 * len(np.intersect1d(a, b)) >= 80 * len(np.union1d(a, b)):
+                assert len(np.intersect1d(similarity_join.prefix(a), similarity_join.prefix(b)))

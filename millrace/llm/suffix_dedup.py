@@ -43,7 +43,7 @@ from .common import bounded, boxed, column, discard, materialize, mix, packs_of,
 MIN_LENGTH = 200
 GRAM = 64
 #: Distinct contexts that are indexed together; an anchor with more is split into blocks of so many offsets, one width after the other.
-HOT = 1000
+HOT = 256
 WIDTHS = (24, 4, 1)
 INDEX_BYTES = 1 << 18
 #: A document is read in pieces of this many window starts; positions in a run of pieces fit POSITION bits.

@@ -6,10 +6,13 @@ the sum of the coordinate minima is an upper bound of the overlap, and for a box
 with its upper corner are. An R-tree over the points of a routing bucket finds the pairs whose bound
 reaches the threshold; those are verified on the full sets.
 
-Routing is exact: two sets at similarity 0.8 or more share a hash among the n / 5 + 1 smallest of
-each, their prefixes. A class goes to the buckets of its prefix, and a pair belongs to the bucket of
+Routing: two sets at similarity 0.8 or more share a hash among the n / 5 + 1 smallest of each, their
+prefixes. A class goes to the buckets of its prefix, of SKETCH hashes at most, and a pair belongs to the bucket of
 its smallest shared hash alone, so no pair is counted twice. Hashes are 64 bits under a random key
-that is drawn for each run, so that no text can be written to collide.
+that is drawn for each run, so that no text can be written to collide, and whatever the texts, a pair of
+sets with longer prefixes shares none of its sketches with probability at most 0.2 ** SKETCH, 1.7e-17: as
+likely as a collision among a few dozen hashes. `sketch=None` routes by whole prefixes and loses nothing
+but costs four times the shuffle.
 
 A bucket of more than BUCKET classes is split: classes of one band of sizes (a factor of 5 / 4) are
 dealt into chunks, and only chunks of the same or of neighbouring bands meet, in buckets of their own, since sizes of
@@ -39,12 +42,13 @@ from pyspark.sql import functions as F
 from .common import LOWER, bounded, column, discard, free_name, materialize, new_key, packs_of, shingle_sets, slices, tidy, utf8
 
 GROUPS = 64
+SKETCH = 24
 BUCKET = 1536
 GROUP = 1024
 SHINGLES = 1 << 22
 LEAF = 32
 #: Hashes that a bucket sees of each class: those that precede its own in the prefix; verification sees them all.
-RECENT = 8
+RECENT = 24
 #: Linked: SHARE[0] * intersection >= SHARE[1] * (size + size), which is 100 * intersection >= 80 * union.
 SHARE = (9, 4)
 COUNT, FULL = np.dtype("u1"), 255
@@ -56,12 +60,12 @@ def signature(s: np.ndarray) -> tuple[int, int]:
     return int(one), int(two)
 
 
-def prefix(s: np.ndarray) -> np.ndarray:
-    """The smallest hashes of a set, one more than may be missing from a set that is linked to it."""
-    return s[: len(s) // 5 + 1]
+def prefix(s: np.ndarray, sketch: int | None) -> np.ndarray:
+    """The smallest hashes of a set, one more than may be missing from a set that is linked to it, or `sketch` of them."""
+    return s[: min(len(s) // 5 + 1, sketch or len(s))]
 
 
-def features(docs: DataFrame, key: str, text: str, secret: int, carry: dict[str, Column] | None = None) -> DataFrame:
+def features(docs: DataFrame, key: str, text: str, secret: int, carry: dict[str, Column] | None = None, sketch: int | None = SKETCH) -> DataFrame:
     """Per document: n, its class (c1, c2), its prefix, its point, and the columns (longs) of `carry`."""
     carry = carry or {}
     names = ["key", "n", "c1", "c2", "prefix", "point", *carry]
@@ -77,7 +81,7 @@ def features(docs: DataFrame, key: str, text: str, secret: int, carry: dict[str,
                     n.append(len(s))
                     c1.append(one)
                     c2.append(two)
-                    first.append(prefix(s).view(np.int64))
+                    first.append(prefix(s, sketch).view(np.int64))
                     point.append(np.minimum(np.bincount((s & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS), FULL).astype(COUNT).tobytes())
             cols = [column(b, "key"), pa.array(n, pa.int64()), pa.array(c1, pa.int64()), pa.array(c2, pa.int64()), pa.array(first, pa.list_(pa.int64())), pa.array(point, pa.binary())]
             yield pa.RecordBatch.from_arrays([*cols, *(column(b, k) for k in names[6:])], names)
@@ -233,38 +237,42 @@ def lowest_linked(linked: np.ndarray) -> list[int]:
         first = step
 
 
-@tidy()
-def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per group: each linked class, its links in documents, and the first class of its component in the group."""
-    names = ["c1", "c2", "links", "p1", "p2"]
-    out = []
+def verify(sketch: int | None):
+    """A map of groups to each linked class, its links in documents, and the first class of its component in the group."""
 
-    def batch() -> pa.RecordBatch:
-        cols = list(zip(*out, strict=True)) or [[] for _ in names]
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names)
+    @tidy()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["c1", "c2", "links", "p1", "p2"]
+        out = []
+
+        def batch() -> pa.RecordBatch:
+            cols = list(zip(*out, strict=True)) or [[] for _ in names]
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names)
+
+        keys = ["token", "i", "j", "root", "gi", "gj"]
+        for (token, i, j, _, gi, gj), rows in groups_of(batches, keys, ["c1", "c2", "chunk", "part", "copies", "hashes"]):
+            rows = list({(r[0], r[1]): r for r in rows}.values())
+            sets = [np.frombuffer(r[5], np.uint64) for r in rows]
+            n = np.array([len(s) for s in sets], np.float64)
+            linked = SHARE[0] * overlaps(sets) >= SHARE[1] * (n[:, None] + n[None])
+            np.fill_diagonal(linked, False)
+            for split, values in ((i != j, [r[2] for r in rows]), (gi != gj, [r[3] for r in rows])):
+                if split:
+                    linked &= np.array(values)[:, None] != np.array(values)[None]
+            if not linked.any():
+                continue
+            own = np.array(token, np.int64).view(np.uint64)
+            linked &= owned([(first := prefix(s, sketch))[first < own] for s in sets])
+            links = np.where(linked, np.array([r[4] for r in rows]), 0).sum(axis=1)
+            lowest = lowest_linked(linked)
+            for k in np.flatnonzero(linked.any(axis=1)).tolist():
+                out.append((rows[k][0], rows[k][1], int(links[k]), rows[lowest[k]][0], rows[lowest[k]][1]))
+            if len(out) >= 5000:
+                yield batch()
+                out.clear()
+        yield batch()
 
-    keys = ["token", "i", "j", "root", "gi", "gj"]
-    for (token, i, j, _, gi, gj), rows in groups_of(batches, keys, ["c1", "c2", "chunk", "part", "copies", "hashes"]):
-        rows = list({(r[0], r[1]): r for r in rows}.values())
-        sets = [np.frombuffer(r[5], np.uint64) for r in rows]
-        n = np.array([len(s) for s in sets], np.float64)
-        linked = SHARE[0] * overlaps(sets) >= SHARE[1] * (n[:, None] + n[None])
-        np.fill_diagonal(linked, False)
-        for split, values in ((i != j, [r[2] for r in rows]), (gi != gj, [r[3] for r in rows])):
-            if split:
-                linked &= np.array(values)[:, None] != np.array(values)[None]
-        if not linked.any():
-            continue
-        own = np.array(token, np.int64).view(np.uint64)
-        linked &= owned([prefix(s)[prefix(s) < own] for s in sets])
-        links = np.where(linked, np.array([r[4] for r in rows]), 0).sum(axis=1)
-        first = lowest_linked(linked)
-        for k in np.flatnonzero(linked.any(axis=1)).tolist():
-            out.append((rows[k][0], rows[k][1], int(links[k]), rows[first[k]][0], rows[first[k]][1]))
-        if len(out) >= 5000:
-            yield batch()
-            out.clear()
-    yield batch()
+    return run
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -312,7 +320,7 @@ def bucketed(reps: DataFrame) -> DataFrame:
     return split.join(reps, "row").select("token", "i", "j", "c1", "c2", "n", "chunk", "point", recent.alias("recent"))
 
 
-def linked_classes(docs: DataFrame, rows: DataFrame, key: str, text: str, secret: int) -> tuple[DataFrame, DataFrame]:
+def linked_classes(docs: DataFrame, rows: DataFrame, key: str, text: str, secret: int, sketch: int | None = SKETCH) -> tuple[DataFrame, DataFrame]:
     """From the features of `docs`: (c1, c2, first, copies) of every class, and (c1, c2, root, component, links) of those that are linked."""
     some = rows.where("n > 0")
     classes = materialize(some.groupBy("c1", "c2").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("copies"), F.min("row").alias("row")), "classes")
@@ -327,13 +335,14 @@ def linked_classes(docs: DataFrame, rows: DataFrame, key: str, text: str, secret
     sets = texts.select("text").mapInArrow(full_sets(secret), "c1 long, c2 long, hashes binary")
     group = ["token", "i", "j", "root"]
     many = F.greatest(F.ceil(F.count(F.lit(1)) / GROUP), F.ceil(F.sum("n") / SHINGLES))
-    split = members.join(members.groupBy(*group).agg(many.alias("parts")), group).withColumn("part", F.pmod("c2", "parts"))
+    large = bounded(materialize(members.groupBy(*group).agg(many.alias("parts")).where("parts > 1"), "large"))
+    split = members.join(large, group, "left").withColumn("parts", F.coalesce("parts", F.lit(1).cast("long"))).withColumn("part", F.pmod("c2", "parts"))
     split = split.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     split = split.withColumns({"gi": F.least("part", "other"), "gj": F.greatest("part", "other")}).drop("other", "parts", "n")
     groups = (
         split.join(classes.drop("first", "row"), ["c1", "c2"]).join(sets, ["c1", "c2"]).repartition(*group, "gi", "gj").sortWithinPartitions(*group, "gi", "gj")
     )
-    found = materialize(groups.mapInArrow(verify, "c1 long, c2 long, links long, p1 long, p2 long"), "links")
+    found = materialize(groups.mapInArrow(verify(sketch), "c1 long, c2 long, links long, p1 long, p2 long"), "links")
     discard(members, reps, wanted)
 
     roots = components(found.select(node("c1", "c2").alias("u"), node("p1", "p2").alias("v")))
@@ -345,11 +354,11 @@ def linked_classes(docs: DataFrame, rows: DataFrame, key: str, text: str, secret
     return classes, placed
 
 
-def similar_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def similar_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", sketch: int | None = SKETCH) -> DataFrame:
     """Per row of `docs`: key, n_shingles, component_id (smallest key reachable by links), n_links (rows linked to it)."""
     secret = new_key()
-    rows = materialize(features(docs, key, text, secret), "features")
-    classes, placed = linked_classes(docs, rows, key, text, secret)
+    rows = materialize(features(docs, key, text, secret, sketch=sketch), "features")
+    classes, placed = linked_classes(docs, rows, key, text, secret, sketch)
     table = classes.join(bounded(placed.drop("root")), ["c1", "c2"], "left").select("c1", "c2", F.coalesce("component", "first").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
     empty = F.col("n") == 0
     return rows.join(table, ["c1", "c2"], "left").select(

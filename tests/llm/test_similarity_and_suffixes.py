@@ -57,8 +57,8 @@ def copies(rng):
     return out
 
 
-@pytest.mark.parametrize("bucket", [similarity_join.BUCKET, 3])
-def test_join_equals_brute_force(spark, monkeypatch, bucket):
+@pytest.mark.parametrize(("bucket", "sketch"), [(similarity_join.BUCKET, similarity_join.SKETCH), (3, similarity_join.SKETCH), (3, None)])
+def test_join_equals_brute_force(spark, monkeypatch, bucket, sketch):
     monkeypatch.setattr(similarity_join, "BUCKET", bucket)
     monkeypatch.setattr(similarity_join, "GROUP", min(bucket, similarity_join.GROUP))
     rng = random.Random(11)
@@ -66,7 +66,7 @@ def test_join_equals_brute_force(spark, monkeypatch, bucket):
     docs = [(k * 3, t) for k, t in enumerate(texts)] + [(1, texts[0]), (None, texts[1]), (4, texts[2]), (4, texts[2])]
     rng.shuffle(docs)
     df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("n", F.lit(0))
-    got = similarity_join.similar_classes(df)
+    got = similarity_join.similar_classes(df, sketch=sketch)
     assert sorted((tuple(r) for r in got.collect()), key=str) == brute_join(docs)
 
 
@@ -211,4 +211,4 @@ def test_prefixes_of_linked_sets_meet():
         low, high = whole[: n - n // 5], whole[n // 5 :]  # nothing in common but the middle, at the ends of the order
         for a, b in ((whole, low), (whole, high)):
             if 100 * len(np.intersect1d(a, b)) >= 80 * len(np.union1d(a, b)):
-                assert len(np.intersect1d(similarity_join.prefix(a), similarity_join.prefix(b)))
+                assert len(np.intersect1d(similarity_join.prefix(a, None), similarity_join.prefix(b, None)))

@@ -1,144 +1,211 @@
 """Benchmark decontamination by spaced-seed hashing.
 
-Words are lower-cased runs without ASCII punctuation or white space. Every mask of MASKS, laid on
-every position, hashes the words under its ones and ignores those under its zeros. Hashes of the
-benchmark are looked up from every position of every document; each hit fixes an alignment of an
-item with the document, and the overlap around it is verified word by word: a window of WINDOW
-aligned words must agree in at least AGREE of them. The masks find every such window (tests check
-all placements of its substitutions). Items shorter than WINDOW must occur whole; those of fewer
-than MIN_WORDS words are too short to be evidence and never match.
-
-The benchmark is the stated query set: it is read in blocks of at most BLOCK_BYTES of text, each
-block's table of hashes is sent to the tasks, and a document passes all blocks in one map without a
-shuffle, so neither a hot passage nor a large benchmark gathers rows.
+Words are lower-cased runs without punctuation, symbols or white space of any script. Every mask of MASKS, laid on
+every position, hashes the words under its ones and ignores those under its zeros. The seeds of the
+benchmark and of the documents are joined on their hashes; each hit fixes an alignment of an item with
+a document, and the overlap around it is verified: a window of WINDOW aligned words that holds the
+seed must agree in all but ALLOWED of them. Items of fewer words are a window of their own with a
+tolerance in proportion (one word from 7 words on, none below), and items too short for the masks
+are looked up whole. The masks find every window that is tolerated (tests check all placements).
+
+A seed goes with the words around it, SIDE on either side, as hashes; so a hit is verified where the
+join finds it, and neither texts nor items are gathered. Seeds of documents pass a bit table of
+2 * 2 ** BITS bits at most, whatever the benchmark's size, before they are shuffled. Within one text or item equal seeds
+with equal surroundings count once. The seeds of the benchmark are broadcast only if they are few
+(SEED_ROWS), else the join shuffles. Hashes are 64 bits under a random key drawn for each run.
 
 Defined cases: null and empty texts or items match nothing; a null item id is reported as null;
 repeated items all are reported, in ascending order; repeated documents get the same answer; an
-empty benchmark leaves every document clean; other columns pass through.
+empty benchmark leaves every document clean; other columns pass through, and those named as an output
+column are replaced.
 """
 
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import column, doc_words, mix, packs_of, slices
+from .common import bounded, boxed, column, discard, doc_words, free_name, materialize, mix, new_key, packs_of, slices, tidy
 
-WINDOW, AGREE, MIN_WORDS = 13, 11, 5
+WINDOW, ALLOWED = 13, 2
 MASKS = ("11111", "11011", "1100111")
-BLOCK_BYTES = 16 << 20
+SIDE = WINDOW - 1
+BITS = 24
+SEED_ROWS = 1 << 17
 _DROP = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
-_FACTORS = mix(np.arange(101, 101 + 64, dtype=np.uint64))
+#: Punctuation, symbols, separators and controls beyond ASCII.
+_ODD = re.compile("[" + "".join(c for c in map(chr, range(0x80, 0xD800)) if unicodedata.category(c) in ("Cc", "Cf") or unicodedata.category(c)[0] in "PSZ") + "豈︰-﹯！-／：-＠［-｀｛-･]")
+#: What stands in a document's or an item's surroundings beyond its ends.
+NO_WORD, NO_ITEM = np.uint64(0), np.uint64(1)
 
 
 def normal(text: str | None) -> bytes:
-    return (text or "").lower().encode("utf-8", "surrogatepass").translate(_DROP)
+    text = (text or "").lower()
+    return (text if text.isascii() else _ODD.sub(" ", text)).encode("utf-8", "surrogatepass").translate(_DROP)
+
+
+def window_of(words: int) -> tuple[int, int]:
+    """(words of the window that an item is judged by, words of it that must agree)"""
+    window = min(words, WINDOW)
+    return window, window - window * ALLOWED // WINDOW
 
 
 def seeds(hashes: np.ndarray, mask: str) -> np.ndarray:
     """Hash of the words under the mask's ones, for every position where the mask fits."""
     n = len(hashes) - len(mask) + 1
-    total = np.zeros(max(n, 0), np.uint64)
+    total = np.full(max(n, 0), int("1" + mask, 2), np.uint64)
     if n > 0:
         for k, c in enumerate(mask):
             if c == "1":
-                total += hashes[k : k + n] * _FACTORS[k]
-    return mix(total ^ np.uint64(int("1" + mask, 2)))
-
-
-class Index:
-    """A block of the benchmark: word hashes of its items, and sorted seed hashes with a bit table before them."""
-
-    BITS = 22
-
-    def __init__(self, items: list[tuple[int | None, str | None]]):
-        self.ids, self.words = [], []
-        keep = [(i, w) for i, w in ((i, doc_words([normal(t)])[0]) for i, t in items) if len(w) >= MIN_WORDS]
-        for i, w in sorted(keep, key=lambda x: (x[0] is not None, x[0] or 0)):
-            self.ids.append(i)
-            self.words.append(w)
-        self.tables = []
-        for mask in MASKS:
-            found = [(h, k, q) for k, w in enumerate(self.words) for q, h in enumerate(seeds(w, mask))]
-            hashes = np.array([f[0] for f in found], np.uint64)
-            order = np.argsort(hashes, kind="stable")
-            bits = np.zeros(1 << self.BITS, bool)
-            bits[hashes >> np.uint64(64 - self.BITS)] = True
-            self.tables.append((mask, hashes[order], np.array([f[1] for f in found], np.int64)[order], np.array([f[2] for f in found], np.int64)[order], bits))
-
-    def agreement(self, doc: np.ndarray, k: int, shift: int) -> int:
-        """Words of the item that agree with the document where it lies at `shift`, 0 if no window agrees enough."""
-        item = self.words[k]
-        lo, hi = max(0, -shift), min(len(item), len(doc) - shift)
-        same = item[lo:hi] == doc[lo + shift : hi + shift]
-        if len(item) < WINDOW:
-            return len(item) if len(same) == len(item) and same.all() else 0
-        if hi - lo < WINDOW:
-            return 0
-        run = np.cumsum(np.concatenate(([0], same)))
-        return int(run[-1]) if (run[WINDOW:] - run[:-WINDOW]).max() >= AGREE else 0
-
-    def search(self, items: list[bytes]) -> list[dict[int, int]]:
-        """Per document: item number -> agreeing words."""
-        hashes, offsets = doc_words(items)
-        aligned = defaultdict(set)
-        for mask, known, item, place, bits in self.tables:
-            if not len(known) or len(hashes) < len(mask):
-                continue
-            got = seeds(hashes, mask)
-            at = np.flatnonzero(bits[got >> np.uint64(64 - self.BITS)])
-            lo, hi = np.searchsorted(known, got[at], "left"), np.searchsorted(known, got[at], "right")
-            for p, x, y in zip(at[hi > lo].tolist(), lo[hi > lo].tolist(), hi[hi > lo].tolist(), strict=True):
-                d = int(np.searchsorted(offsets, p, "right")) - 1
-                if p + len(mask) <= offsets[d + 1]:
-                    aligned[d].update(zip(item[x:y].tolist(), (p - int(offsets[d]) - place[x:y]).tolist(), strict=True))
-        out: list[dict[int, int]] = [{} for _ in items]
-        for d, spots in aligned.items():
-            doc = hashes[offsets[d] : offsets[d + 1]]
-            for k, shift in spots:
-                if (n := self.agreement(doc, k, shift)) > out[d].get(k, 0):
-                    out[d][k] = n
-        return out
-
-
-def blocks(benchmark: DataFrame, key: str, text: str, block_bytes: int) -> Iterator[list[tuple[int | None, str | None]]]:
-    """The benchmark in blocks of about `block_bytes` of text."""
-    size = benchmark.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    n = max(1, -(-size // block_bytes))
-    part = F.pmod(F.xxhash64(key, text), F.lit(n))
-    for k in range(n):
-        yield [tuple(r) for r in benchmark.where(part == k).select(key, text).collect()]
+                total = mix(total ^ hashes[k : k + n]) + np.uint64(k + 1)
+    return total
+
+
+def surroundings(hashes: np.ndarray, at: np.ndarray, low: np.ndarray, high: np.ndarray, outside: np.uint64) -> np.ndarray:
+    """The SIDE words before each place and the SIDE + 1 from it on; `outside` for those not in [low, high)."""
+    around = at[:, None] + np.arange(-SIDE, SIDE + 1)
+    inside = (around >= low[:, None]) & (around < high[:, None])
+    return np.where(inside, hashes[np.clip(around, 0, max(len(hashes) - 1, 0))], outside)
+
+
+def item_seeds(key: int):
+    """A map of items to their seeds: item, id, seed, words of the item, surroundings; equal ones of an item once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["item", "id", "seed", "n", "around"]
+        for b in slices(batches, 200):
+            out = []
+            for item, ident, text in zip(*(column(b, k).to_pylist() for k in ("item", "id", "text")), strict=True):
+                words = doc_words([normal(text)], key)[0]
+                n, found = len(words), set()
+                for mask in MASKS if n >= len(MASKS[0]) else ("1" * n,):
+                    got = seeds(words, mask) if n else words
+                    at = np.arange(len(got))
+                    around = surroundings(words, at, np.zeros(len(got), int), np.full(len(got), n), NO_ITEM)
+                    found |= set(zip(got.view(np.int64).tolist(), (x.tobytes() for x in around), strict=True))
+                out += [(item, ident, seed, n, around) for seed, around in sorted(found)]
+            cols = list(zip(*out, strict=True)) or [[]] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if k == "around" else pa.int64()) for k, c in zip(names, cols, strict=True)], names)
+
+    return run
+
+
+def document_seeds(key: int, masks: tuple[str, ...], table):
+    """A map of texts to their seeds that the bit table lets pass: k1, k2, seed, surroundings; equal ones of a text once."""
+
+    @tidy()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["k1", "k2", "seed", "around"]
+        bits = np.unpackbits(np.frombuffer(table.value, np.uint8), bitorder="little").view(bool)
+        low = np.uint64((1 << BITS) - 1)
+        for b in slices(batches):
+            k1, k2 = column(b, "k1").to_pylist(), column(b, "k2").to_pylist()
+            texts = [normal(t) for t in column(b, "text").to_pylist()]
+            out = []
+            for i, j in packs_of(texts):
+                hashes, offsets = doc_words(texts[i:j], key)
+                found = set()
+                for mask in masks:
+                    got = seeds(hashes, mask)
+                    at = np.flatnonzero(bits[got >> np.uint64(64 - BITS)])
+                    at = at[bits[got[at] & low]]
+                    doc = np.searchsorted(offsets, at, "right") - 1
+                    at, doc = at[whole := at + len(mask) <= offsets[doc + 1]], doc[whole]
+                    for lo in range(0, len(at), 20_000):
+                        some, of = at[lo : lo + 20_000], doc[lo : lo + 20_000]
+                        around = surroundings(hashes, some, offsets[of], offsets[of + 1], NO_WORD)
+                        found |= set(zip(of.tolist(), got[some].view(np.int64).tolist(), (x.tobytes() for x in around), strict=True))
+                out += [(k1[i + d], k2[i + d], seed, around) for d, seed, around in sorted(found)]
+            cols = list(zip(*out, strict=True)) or [[]] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if k == "around" else pa.int64()) for k, c in zip(names, cols, strict=True)], names)
+
+    return run
+
+
+def agreements(document: np.ndarray, item: np.ndarray, words: int) -> np.ndarray:
+    """Per hit the most agreeing words of a window that holds the seed's first word and lies in both, 0 if they are too few."""
+    window, least = window_of(words)
+    first = SIDE - window + 1
+    cut = slice(first, SIDE + window)
+    same = np.cumsum(np.pad(document[:, cut] == item[:, cut], ((0, 0), (1, 0))), axis=1)
+    missing = np.cumsum(np.pad((document[:, cut] == NO_WORD) | (item[:, cut] == NO_ITEM), ((0, 0), (1, 0))), axis=1)
+    held = np.where(missing[:, window:] == missing[:, :-window], same[:, window:] - same[:, :-window], 0).max(axis=1)
+    return np.where(held >= least, held, 0)
+
+
+def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Hits whose surroundings agree, with the number of words that do."""
+    for b in slices(batches, 5000):
+        words = column(b, "n").to_numpy()
+        matrix = lambda name, b=b: np.frombuffer(b"".join(column(b, name).to_pylist()), np.uint64).reshape(-1, 2 * SIDE + 1)
+        document, item = matrix("around"), matrix("item_around")
+        agree = np.zeros(b.num_rows, np.int64)
+        for n in np.unique(np.minimum(words, WINDOW)).tolist():
+            some = np.flatnonzero(np.minimum(words, WINDOW) == n)
+            agree[some] = agreements(document[some], item[some], n)
+        hit = pa.array(agree > 0)
+        cols = [*(column(b, k).filter(hit) for k in ("k1", "k2", "item", "id")), pa.array(agree[agree > 0], pa.int32())]
+        yield pa.RecordBatch.from_arrays(cols, ["k1", "k2", "item", "id", "agree"])
+
+
+def bit_table(known: DataFrame) -> bytes:
+    """Two bits of 2 ** BITS for each seed; at most 2 ** (BITS - 6) rows reach the driver."""
+    low = F.lit((1 << BITS) - 1).cast("long")
+    bits = known.select(F.explode(F.array(F.shiftrightunsigned("seed", 64 - BITS), F.col("seed").bitwiseAND(low))).alias("bit"))
+    one = F.expr("shiftleft(1L, cast(bit & 63 AS int))")
+    words = np.zeros(1 << BITS - 6, np.int64)
+    for r in bits.groupBy(F.shiftright("bit", 6).alias("at")).agg(F.bit_or(one).alias("word")).collect():
+        words[r["at"]] = r["word"]
+    return words.tobytes()
+
+
+def text_keys(text: str) -> tuple[Column, Column]:
+    body = F.coalesce(F.col(text), F.lit(""))
+    return F.xxhash64(body), F.xxhash64(F.lit("second"), body)
+
+
+def contaminated_texts(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", seed_rows: int = SEED_ROWS) -> DataFrame:
+    """(k1, k2, items, overlap): the texts, by two hashes of each, in which items were found; written to the shared folder."""
+    key, spark = new_key(), docs.sparkSession
+    items = benchmark.select(F.monotonically_increasing_id().alias("item"), F.col(item_key).cast("long").alias("id"), F.col(item_text).alias("text"))
+    known = materialize(items.mapInArrow(item_seeds(key), "item long, id long, seed long, n long, around binary"), "seeds")
+    short = [r["n"] for r in known.where(F.col("n") < len(MASKS[0])).select("n").distinct().collect()]  # at most four lengths
+    table = spark.sparkContext.broadcast(bit_table(known))
+    one, two = text_keys(text)
+    texts = docs.select(one.alias("k1"), two.alias("k2"), F.col(text).alias("text"))
+    masks = (*MASKS, *("1" * n for n in sorted(short)))
+    hits = materialize(texts.mapInArrow(document_seeds(key, masks, table), "k1 long, k2 long, seed long, around binary"), "hits")
+    table.unpersist()
+    met = hits.join(bounded(known.withColumnRenamed("around", "item_around"), seed_rows), "seed").select("k1", "k2", "item", "id", "n", "around", "item_around")
+    found = met.mapInArrow(verified, "k1 long, k2 long, item long, id long, agree int").groupBy("k1", "k2", "item").agg(F.first("id").alias("id"), F.max("agree").alias("agree"))
+    held = found.groupBy("k1", "k2").agg(F.array_sort(F.transform(F.collect_list(F.struct("id")), lambda x: x["id"])).alias("items"), F.max("agree").alias("overlap"))
+    held = materialize(held, "contaminated")
+    discard(known, hits)
+    return held
 
 
 def contaminated(
-    docs: DataFrame, benchmark: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", keep: list[str] | None = None, block_bytes: int = BLOCK_BYTES
+    docs: DataFrame, benchmark: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", keep: list[str] | None = None, seed_rows: int = SEED_ROWS
 ) -> DataFrame:
-    """`docs` plus __items (ids of the items found) and __overlap (most agreeing words of one item)."""
-    keep = docs.columns if keep is None else keep
-    schema = T.StructType([*docs.schema.fields, T.StructField("__items", T.ArrayType(T.LongType())), T.StructField("__overlap", T.IntegerType())])
-    out = docs.withColumns({"__items": F.array().cast("array<long>"), "__overlap": F.lit(0)})
-    for block in blocks(benchmark, item_key, item_text, block_bytes):
-        index = docs.sparkSession.sparkContext.broadcast(Index(block))
-
-        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
-            for b in slices(batches):
-                texts = [normal(t) for t in column(b, text).to_pylist()]
-                found = [x for i, j in packs_of(texts) for x in index.value.search(texts[i:j])]
-                ids = [old + [index.value.ids[k] for k in sorted(x)] for old, x in zip(column(b, "__items").to_pylist(), found, strict=True)]
-                most = [max([old, *x.values()]) for old, x in zip(column(b, "__overlap").to_pylist(), found, strict=True)]
-                yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(ids, pa.list_(pa.int64())), pa.array(most, pa.int32())], b.schema.names)
-
-        out = out.mapInArrow(run, schema)
-    return out.withColumn("__items", F.array_sort("__items")).select(*keep, "__items", "__overlap")
+    """`docs` plus __items (ids of the items found) and __overlap (most agreeing words of one window, 0 if there is none)."""
+    made = ["__items", "__overlap"]
+    kept, names = boxed(docs, docs.columns if keep is None else keep, made)
+    held = contaminated_texts(docs, benchmark, text, item_key, item_text, seed_rows)
+    one, two = text_keys(text)
+    rows = docs.select(*kept, one.alias("k1"), two.alias("k2")).join(bounded(held), ["k1", "k2"], "left")
+    none = F.array().cast("array<long>")
+    return rows.select(*(f"c{k}" for k in range(len(names))), F.coalesce("items", none), F.coalesce("overlap", F.lit(0))).toDF(*names, *made)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """The documents in which no item was found, with their columns."""
-    return contaminated(docs, benchmark, text).where(F.size("__items") == 0).select(*docs.columns)
+    held = contaminated_texts(docs, benchmark, text)
+    names = [free_name(docs, k) for k in ("__k1", "__k2")]
+    keyed = docs.withColumns(dict(zip(names, text_keys(text), strict=True)))
+    return keyed.join(bounded(held.select("k1", "k2").toDF(*names)), names, "left_anti").select(*docs.columns)

@@ -212,50 +212,58 @@ def test_best_fit_decreasing_equals_search():
 def test_masks_find_every_tolerated_window():
     from itertools import combinations
 
-    for bad in combinations(range(decontamination.WINDOW), decontamination.WINDOW - decontamination.AGREE):
-        assert any(
-            all(s + k not in bad for k, c in enumerate(m) if c == "1") for m in decontamination.MASKS for s in range(decontamination.WINDOW - len(m) + 1)
-        )
+    for n in range(5, 30):
+        window, least = decontamination.window_of(n)
+        for bad in combinations(range(window), window - least):
+            assert any(all(s + k not in bad for k, c in enumerate(m) if c == "1") for m in decontamination.MASKS for s in range(window - len(m) + 1))
+    assert [decontamination.window_of(n) for n in (1, 4, 6, 7, 11, 12, 13, 40)] == [(1, 1), (4, 4), (6, 6), (7, 6), (11, 10), (12, 11), (13, 11), (13, 11)]
 
 
-def test_decontamination_equals_alignment(spark):
+@pytest.mark.parametrize("seed_rows", [decontamination.SEED_ROWS, 0])
+def test_decontamination_equals_alignment(spark, seed_rows):
     rng = random.Random(7)
     vocabulary = [f"w{k}" for k in range(400)]
     say = lambda n: [rng.choice(vocabulary) for _ in range(n)]
-    items = [(k, say(n)) for k, n in enumerate([30, 20, 13, 14, 9, 5, 4, 1])] + [(8, [])]
-    docs = []
+    items = [(k, say(n)) for k, n in enumerate([30, 20, 13, 14, 11, 9, 7, 6, 5, 4, 3])] + [(11, []), (12, ["same"] * 40)]
+    docs = [(400, ["same"] * 3000), (401, ["same"] * 12), (402, ["same"] * 11 + ["no", "no"]), (403, ["same"] * 11 + ["no", "no"] + ["same"] * 3)]
     for d in range(300):
         words = say(rng.randint(0, 60))
-        if rng.random() < 0.6:
-            _, item = rng.choice(items)
+        if rng.random() < 0.7:
+            _, item = rng.choice(items[:-2])
             cut = [w if rng.random() > rng.choice([0, 0.1, 0.3]) else "sub" for w in item[rng.choice([0, 0, 3]) :]]
             at = rng.randint(0, len(words))
             words = words[:at] + cut + words[at:]
         docs.append((d, words))
 
     def found(words, item):
-        if len(item) < decontamination.MIN_WORDS:
-            return False
-        for shift in range(-len(item) + 1, len(words)):
-            same = [0 <= q + shift < len(words) and words[q + shift] == w for q, w in enumerate(item)]
-            if len(item) < decontamination.WINDOW:
-                if all(same):
-                    return True
-            for q in range(len(item) - decontamination.WINDOW + 1):
-                inside = 0 <= q + shift and q + shift + decontamination.WINDOW <= len(words)
-                if inside and sum(same[q : q + decontamination.WINDOW]) >= decontamination.AGREE:
+        size = min(len(item), 13)
+        least = 11 if size == 13 else size - 1 if size >= 7 else size
+        for p in range(len(words) - size + 1) if size else ():
+            for q in range(len(item) - size + 1):
+                if sum(a == b for a, b in zip(words[p : p + size], item[q : q + size], strict=True)) >= least:
                     return True
         return False
 
-    df = spark.createDataFrame([(d, ", ".join(w).upper() if d % 2 else " ".join(w)) for d, w in docs] + [(1000, None), (1001, "")], "doc_id long, text string").withColumn("__y", F.lit(1))
+    marks = [", ", " \u2014 ", "\u300d\u3000", "\u201d "]
+    df = spark.createDataFrame([(d, marks[d % 4].join(w).upper() if d % 2 else " ".join(w)) for d, w in docs] + [(1000, None), (1001, "")], "doc_id long, text string")
+    df = df.withColumns({"__y": F.lit(1), "__items": F.lit("gone"), "k1": F.lit(2)})
     bench = spark.createDataFrame([(k, " ".join(w)) for k, w in items] + [(None, " ".join(items[0][1])), (9, None)], "item_id long, text string")
-    for block in (1 << 20, 300):
-        got = {r.doc_id: r["__items"] for r in decontamination.contaminated(df, bench, block_bytes=block).collect()}
-        for d, words in docs:
-            want = sorted(k for k, item in items if found(words, item))
-            want = want + [None] if 0 in want else want
-            assert got[d] == want
-        assert got[1000] == [] and got[1001] == []
-    assert decontamination.drop_contaminated(df, bench).columns == df.columns
-    assert decontamination.drop_contaminated(df, bench.where("false")).count() == 302
+    out = decontamination.contaminated(df, bench, seed_rows=seed_rows)
+    assert out.columns == ["doc_id", "text", "__y", "k1", "__items", "__overlap"]
+    got = {r.doc_id: r["__items"] for r in out.collect()}
+    for d, words in docs:
+        want = sorted(k for k, item in items if found(words, item))
+        want = want + [None] if 0 in want else want
+        assert got[d] == want
+    assert got[1000] == [] and got[1001] == [] and sum(map(bool, got.values())) > 50
+    clean = decontamination.drop_contaminated(df, bench)
+    assert clean.columns == df.columns and {r.doc_id for r in clean.collect()} == {d for d, x in got.items() if not x}
+    assert decontamination.drop_contaminated(df, bench.where("false")).count() == 306
     assert decontamination.contaminated(df.where("false"), bench).count() == 0
+
+
+def test_short_items_with_one_word_in_curly_quotes(spark):
+    bench = spark.createDataFrame([(1, "why does the sky look so blue at noon in summer"), (2, "name three rivers"), (3, "name four rivers")], "item_id long, text string")
+    texts = ["a: why does the sky look so \u201cred\u201d at noon in summer!", "Name \u2018three\u2019 rivers.", "name five rivers", "why does the sky seem so red at noon in summer"]
+    got = decontamination.contaminated(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), bench)
+    assert {r.doc_id: r["__items"] for r in got.collect()} == {0: [1], 1: [2], 2: [], 3: []}

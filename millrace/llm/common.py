@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Rows of fixed-width keys that may be broadcast; beyond it the same join shuffles.
 BROADCAST_ROWS = 1 << 19
@@ -114,6 +115,22 @@ def bounded(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= limit else df
 
 
+def annotate(docs: DataFrame, text: str, keep: list[str], schema: str, work: Callable[[list[str | None]], list[pa.Array]], drop: Callable[[], None] | None = None, rows: int = 500) -> DataFrame:
+    """The columns `keep` of `docs` plus those of `schema`, which `work` makes of `rows` texts at a time. Only the text goes to the Python workers."""
+    kind = T.StructType.fromDDL(schema)
+    kept, names = boxed(docs, keep, kind.names)
+
+    @tidy(drop)
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for a in batches:
+            parts = [work(a.slice(i, rows).to_pylist()) for i in range(0, max(len(a), 1), rows)]
+            yield pa.StructArray.from_arrays([pa.concat_arrays(x) for x in zip(*parts, strict=True)], kind.names)
+
+    made = F.arrow_udf(run, kind).asNondeterministic()(quoted(text)).alias("made")
+    out = docs.select(*kept, made)
+    return out.select(*(f"c{k}" for k in range(len(names))), *(f"made.{k}" for k in kind.names)).toDF(*names, *kind.names)
+
+
 # --- byte-level text kernels -------------------------------------------------------------------
 
 _SPACE = np.zeros(256, bool)

@@ -6,29 +6,29 @@ into pieces, of the product of piece probabilities; the forward algorithm comput
 not cross words, so a word's scores are computed once per run of texts. Scoring is one map over the
 documents without a shuffle.
 
-Fitting reads at most MAX_FIT_ROWS labelled rows in expectation (a documented bound, chosen by a
-hash of the id and shared evenly by the languages); their words are learned from whatever their
+Fitting reads at most MAX_FIT_ROWS labelled rows (a documented bound, shared evenly by the languages,
+one row each at least; those with the smallest hashes of the id); their words are learned from whatever their
 length, so unspaced scripts are too; everything else covers every row and whole texts.
 
 Defined cases: null texts and texts without a letter are `und` with score 0; rows with a null id
 are not held out and not learned from; an empty training set makes every text `und`; rows that repeat
-get the same answer; ties go to the first language in code point order; other columns pass through.
+get the same answer; ties go to the first language in code point order; other columns pass through, and
+those named as an output column are replaced.
 """
 
 from __future__ import annotations
 
-import math
 from collections import defaultdict
 from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import column, slices
+from ..functions.text import tokens
+from .common import annotate
 from .mixing import draw
 from .vocabulary import PIECES, WORD_MARK, PieceIndex, WordTable, char_matrix, load_pieces, text_runs
 
@@ -109,13 +109,15 @@ class Lattice:
             total += np.bincount(ids.ravel(), used.ravel(), len(total))
 
 
-def by_length(words: list[str], at_once: int = 5000) -> Iterator[list[int]]:
+def by_length(words: list[str], at_once: int = 5000, chars: int = 200_000) -> Iterator[list[int]]:
+    """Words of one length each, at most `at_once` and about `chars` characters."""
     groups = defaultdict(list)
     for i, w in enumerate(words):
         groups[len(w)].append(i)
-    for g in groups.values():
-        for i in range(0, len(g), at_once):
-            yield g[i : i + at_once]
+    for size, g in groups.items():
+        step = max(1, min(at_once, chars // max(size, 1)))
+        for i in range(0, len(g), step):
+            yield g[i : i + step]
 
 
 def long_groups(words: list[str], chars: int = 200_000) -> Iterator[list[int]]:
@@ -159,6 +161,10 @@ class Model:
     def __getstate__(self):
         return self.__dict__ | {"words": None, "index": None}
 
+    def forget(self) -> None:
+        """Give up what belongs to one worker."""
+        self.words = self.index = None
+
     def word_scores(self, words: list[str]) -> np.ndarray:
         """Log probability of each word in each language, all segmentations summed."""
         out = np.zeros((len(words), len(self.langs)))
@@ -201,11 +207,13 @@ def fit(docs: DataFrame, path: str = PIECES, key: str = "doc_id", text: str = "t
     langs = sorted(sizes)
     if not langs:
         return Model(pieces, [], np.zeros((len(pieces) + 1, 0)))
-    share = math.ceil(max_rows / len(langs))
-    rate = F.create_map(*[F.lit(x) for k in langs for x in (k, min(1.0, share / sizes[k]))])
-    chosen = labelled.where(draw(key, "fit") < rate[F.col(lang)])
-    word = F.explode(F.split(text, r"\s+")).alias("word")
-    counted = chosen.select(F.col(lang).alias("lang"), word).where("word <> ''").groupBy("lang", "word").count().toPandas()
+    share = max(1, max_rows // len(langs))
+    # several times the share by rate, then the first of each language: only ids and draws of the few are ranked
+    rate = F.create_map(*[F.lit(x) for k in langs for x in (k, min(1.0, (4 * share + 40) / sizes[k]))])
+    drawn = labelled.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.col(key).alias("key"), draw(key, "fit").alias("draw")).where(F.col("draw") < rate[F.col("lang")])
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "key", "text"))
+    chosen = drawn.withColumn("rank", rank).where(F.col("rank") <= share)
+    counted = chosen.select("lang", F.explode(tokens(F.col("text"))).alias("word")).groupBy("lang", "word").count().toPandas()
     index = PieceIndex(pieces)
     fitted = [fit_language(list(c.word), c["count"].to_numpy(float), index) for c in (counted[counted.lang == k] for k in langs)]
     return Model(pieces, langs, np.stack(fitted, axis=1))
@@ -213,21 +221,17 @@ def fit(docs: DataFrame, path: str = PIECES, key: str = "doc_id", text: str = "t
 
 def identify(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """`docs` (or its columns `keep`) plus __lang (a learned language or `und`) and __score (its posterior at equal priors, 0 to 1)."""
-    keep = docs.columns if keep is None else keep
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        try:
-            for b in slices(batches):
-                names, scores = shipped.value.predict(column(b, text).to_pylist())
-                yield pa.RecordBatch.from_arrays([*(column(b, k) for k in keep), pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*keep, "__lang", "__score"])
-        finally:
-            shipped.value.words = shipped.value.index = None  # the worker lives on
+    def work(texts: list[str | None]) -> list[pa.Array]:
+        names, scores = shipped.value.predict(texts)
+        return [pa.array(names, pa.string()), pa.array(scores, pa.float64())]
 
-    schema = T.StructType([*(docs.schema[k] for k in keep), T.StructField("__lang", T.StringType()), T.StructField("__score", T.DoubleType())])
-    return docs.mapInArrow(score, schema)
+    return annotate(docs, text, docs.columns if keep is None else keep, "__lang string, __score double", work, lambda: shipped.value.forget())
 
 
 def accepted(docs: DataFrame, model: Model, text: str = "text", least: float = LEAST_SCORE) -> DataFrame:
     """The rows of `docs` in a learned language with a score of at least `least`, with their columns."""
-    return identify(docs, model, text).where((F.col("__lang") != UNDETERMINED) & (F.col("__score") >= least)).select(*docs.columns)
+    shadowed = docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))
+    found = identify(shadowed, model, f"c{docs.columns.index(text)}")
+    return found.where((F.col("__lang") != UNDETERMINED) & (F.col("__score") >= least)).select(*shadowed.columns).toDF(*docs.columns)

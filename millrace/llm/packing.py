@@ -24,13 +24,13 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import column, slices
+from .common import column, slices, tidy
 from .vocabulary import BYTE_RANKS, factorize, load_ranks, text_runs
 
 ROW = 2048
 BUFFER = 1 << 20
 #: Characters that are tokenized at once; a word that recurs within is encoded once.
-RUN = 1 << 22
+RUN = 1 << 21
 #: Fixed value: the pre-token pattern that belongs to the public ranks.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SCHEMA = "pack_id long, n_tokens int, input_ids binary, position_ids binary, cu_seqlens array<int>, doc_ids array<long>, doc_offsets array<long>"
@@ -104,7 +104,7 @@ class Tokenizer:
 
         if self.encoding is None:
             self.encoding = tiktoken.Encoding("public", pat_str=PATTERN, mergeable_ranks=self.ranks, special_tokens={})
-        plain, words, counts = self.encoding.encode_ordinary, [], []
+        plain, words, counts = self.encoding.encode_to_numpy, [], []
         for t in texts:
             if not t or self.ODD.search(t):
                 counts.append(0)
@@ -126,7 +126,7 @@ class Tokenizer:
         out = []
         for k, t in enumerate(texts):
             whole = not counts[k] and t
-            out.append(np.array(plain(t), np.uint32) if whole else all_ids[bounds[k] : bounds[k + 1]])
+            out.append(plain(t).astype(np.uint32) if whole else all_ids[bounds[k] : bounds[k + 1]])
         return out
 
     def encode_new(self, words: list[str], new: list[int], ids: list[bytes | None]) -> None:
@@ -174,9 +174,10 @@ def pack_documents(docs: DataFrame, path: str = BYTE_RANKS, size: int = ROW, key
         types = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64()))
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out.values(), types, strict=True)], list(out))
 
+    @tidy(lambda: shipped.value.known.clear())
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, held, waiting = TaskContext.get().partitionId() << 33, 0, []
-        for b in slices(batches, 2000):
+        for b in slices(batches, 1000):
             keys, texts = column(b, key).to_pylist(), [t or "" for t in column(b, text).to_pylist()]
             for i, j in text_runs(texts, RUN):
                 for k, ids in zip(keys[i:j], shipped.value.encode(texts[i:j]), strict=True):
@@ -187,7 +188,6 @@ def pack_documents(docs: DataFrame, path: str = BYTE_RANKS, size: int = ROW, key
                     for p in range(0, len(packs), 256):
                         yield rows(first + p, packs[p : p + 256])
                     first, held, waiting = first + len(packs), 0, []
-        shipped.value.known.clear()  # the worker lives on
         if waiting:
             yield rows(first, list(pack(waiting, size)))
 

@@ -3,26 +3,26 @@
 The distinct pre-tokens (words after a word mark) of a run of texts form a trie. A walk over it
 computes, once per trie node, the best forward score of the prefix it spells and the number of
 pieces of that best segmentation; the terminal counts of the pre-tokens are stored and summed per
-document. The walk goes level by level, all nodes of a depth at once. Every piece has the score of its rank under Zipf's law; a character outside the vocabulary
+document. The walk goes level by level, all nodes of a depth at once, and for long words path by path. Every piece has the score of its rank under Zipf's law; a character outside the vocabulary
 costs one byte piece per UTF-8 byte. Counting is one map over the documents without a shuffle.
 
 Defined cases: null and empty texts have 0 pre-tokens and 0 tokens; equal scores take the fewer
-pieces; repeated rows repeat their counts; other columns pass through.
+pieces; repeated rows repeat their counts; other columns pass through, and those named as an output
+column are replaced.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import types as T
 
-from .common import column, slices
+from .common import annotate
 from .vocabulary import PIECES, WORD_MARK, PieceIndex, WordTable, char_matrix, load_pieces, text_runs
 
+#: A level of the trie costs as much for one node as for many: levels of words of up to so many characters are scored at once, longer words path by path.
 LONG = 64
 
 
@@ -77,20 +77,31 @@ class Trie:
         return out
 
 
-def path_count(word: str, scores: dict[str, float], longest: int, per_byte: float) -> int:
-    """Pieces of the best segmentation of one word."""
-    best, used = [0.0], [0]
-    for i, char in enumerate(word, 1):
-        size = len(char.encode("utf-8", "surrogatepass"))
-        top, count = best[-1] + size * per_byte, used[-1] + size
-        for j in range(max(0, i - longest), i):
-            if (s := scores.get(word[j:i])) is not None:
-                s, m = s + best[j], used[j] + 1
-                if s > top or s == top and m < count:
-                    top, count = s, m
-        best.append(top)
-        used.append(count)
-    return used[-1]
+def deep_counts(words: list[str], scores: dict[str, float], longest: int, per_byte: float) -> list[int]:
+    """Per word the pieces of its best segmentation, by a walk down the trie path after path.
+
+    In sorted order a word's node hangs below the last common prefix with the word before, whose scores
+    are kept: every node of the trie is scored once, and only one path is held. For long words, where
+    a level holds few nodes.
+    """
+    out, last, best, used = [0] * len(words), "", [0.0], [0]
+    for k in sorted(range(len(words)), key=words.__getitem__):
+        word, i = words[k], 0
+        while i < len(word) and i < len(last) and word[i] == last[i]:
+            i += 1
+        del best[i + 1 :], used[i + 1 :]
+        for end in range(i + 1, len(word) + 1):
+            size = len(word[end - 1].encode("utf-8", "surrogatepass"))
+            top, count = best[-1] + size * per_byte, used[-1] + size
+            for j in range(max(0, end - longest), end):
+                if (s := scores.get(word[j:end])) is not None:
+                    s, m = s + best[j], used[j] + 1
+                    if s > top or s == top and m < count:
+                        top, count = s, m
+            best.append(top)
+            used.append(count)
+        out[k], last = used[-1], word
+    return out
 
 
 class Counter:
@@ -110,11 +121,14 @@ class Counter:
         out = np.zeros((len(words), 1), np.int64)
         if short := [i for i, w in enumerate(marked) if len(w) <= LONG]:
             out[short, 0] = Trie([marked[i] for i in short]).terminal_counts(self.index, self.scores, self.per_byte)
-        for i, w in enumerate(marked):
-            if len(w) > LONG:  # a path of its own: a level of the trie costs as much for one node as for many
-                out[i, 0] = path_count(w, self.by_piece, self.index.longest, self.per_byte)
+        if deep := [i for i, w in enumerate(marked) if len(w) > LONG]:
+            out[deep, 0] = deep_counts([marked[i] for i in deep], self.by_piece, self.index.longest, self.per_byte)
         return out
 
+    def forget(self) -> None:
+        """Give up what belongs to one worker."""
+        self.words = self.index = self.by_piece = None
+
     def count(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if self.words is None:
             self.index, self.by_piece = PieceIndex(self.pieces), zipf_scores(self.pieces)
@@ -127,16 +141,10 @@ class Counter:
 
 def count_tokens(docs: DataFrame, path: str = PIECES, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """`docs` (or its columns `keep`) plus __pretokens and __tokens."""
-    keep = docs.columns if keep is None else keep
     shipped = docs.sparkSession.sparkContext.broadcast(Counter(load_pieces(path)))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        try:
-            for b in slices(batches):
-                pre, tokens = shipped.value.count([t or "" for t in column(b, text).to_pylist()])
-                yield pa.RecordBatch.from_arrays([*(column(b, k) for k in keep), pa.array(pre, pa.int64()), pa.array(tokens, pa.int64())], [*keep, "__pretokens", "__tokens"])
-        finally:
-            shipped.value.words = shipped.value.index = shipped.value.by_piece = None  # the worker lives on
+    def work(texts: list[str | None]) -> list[pa.Array]:
+        pre, tokens = shipped.value.count([t or "" for t in texts])
+        return [pa.array(pre, pa.int64()), pa.array(tokens, pa.int64())]
 
-    schema = T.StructType([*(docs.schema[k] for k in keep), T.StructField("__pretokens", T.LongType()), T.StructField("__tokens", T.LongType())])
-    return docs.mapInArrow(count, schema)
+    return annotate(docs, text, docs.columns if keep is None else keep, "__pretokens long, __tokens long", work, lambda: shipped.value.forget())

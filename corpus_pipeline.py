@@ -9,7 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from millrace.llm import decontamination, language_id, mixing, packing, similarity_join
-from millrace.llm.common import materialize
+from millrace.llm.common import discard, materialize
+
+#: Rows that Python workers get at a time in the last stage, whose rows are the widest.
+BATCH = 500
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +37,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Fixed-length rows of token ids."""
-    return packing.pack_documents(docs)
+    return materialize(packing.pack_documents(docs), "packs", BATCH)
 
 
 STAGES = [
@@ -50,9 +53,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = materialize(docs, name)
-    return docs
+    docs, written = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for name, stage in STAGES[:-1]:
+        before, written = written, materialize(stage(spark, docs, sf_dir), name)
+        docs = written
+        if before is not None:
+            discard(before)
+    return STAGES[-1][1](spark, docs, sf_dir)

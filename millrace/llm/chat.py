@@ -2,8 +2,9 @@ r"""Chat formatting from an event log: fold events into final messages, render t
 
 Events: conv, msg, copy (optional, tells messages of one number apart), seq, op, role, text. `start` opens a message with its role, `delta` appends to it,
 `edit` replaces its text, `regenerate` empties it so that the deltas after it count, `delete` drops
-it. A message's events are sorted by seq and folded in one pass; folding is keyed by message, so a
-conversation of any length spreads over tasks. Messages are rendered one by one into segments; a
+it. The log is partitioned by conversation, sorted by sequence and folded in one pass that holds the
+conversation's open messages. A conversation of more than SHARD messages is dealt out in shards of
+neighbouring messages, so it spreads over tasks and none holds more than a shard. Messages are rendered one by one into segments; a
 conversation's formatted text is its segments in order. Only the reading back of digests walks a
 conversation in order, as a stream that holds one segment.
 
@@ -26,17 +27,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import column
+from .common import column, tidy
 
 #: The template's control strings.
 USER, ASSISTANT, OTHER = ("<s>[INST] ", " [/INST]"), (" ", " </s>"), ("<<ROLE ", ">> ", " <</ROLE>>")
-SEGMENT = re.compile(
-    r"<s>\[INST\] (?P<user>(?:\\.|[^\\<\[])*) \[/INST\]"
-    r"|<<ROLE (?P<role>(?:\\.|[^\\<\[])*?)>> (?P<other>(?:\\.|[^\\<\[])*) <</ROLE>>"
-    r"| (?P<assistant>(?:\\.|[^\\<\[])*) </s>",
+SEGMENT = re.compile(  # each text takes the space before the mark that ends it along; nothing is ever tried twice
+    r"<s>\[INST\] (?P<user>[^\\<\[]*+(?:\\.[^\\<\[]*+)*+)\[/INST\]"
+    r"|<<ROLE (?P<role>[^\\<\[>]*+(?:\\.[^\\<\[>]*+)*+)>> (?P<other>[^\\<\[]*+(?:\\.[^\\<\[]*+)*+)<</ROLE>>"
+    r"| (?P<assistant>[^\\<\[]*+(?:\\.[^\\<\[]*+)*+)</s>",
     re.DOTALL,
 )
-UNESCAPE = re.compile(r"\\(.)", re.DOTALL)
+SHARD = 512
 
 
 def escape(text: Column) -> Column:
@@ -47,32 +48,43 @@ def escape_role(role: Column) -> Column:
     return F.regexp_replace(role, r"([\\<\[>])", r"\\$1")
 
 
+def unescape(text: str) -> str:
+    """The other way round: no escaped character stands alone in `text`, so the backslashes, doubled, may come last."""
+    for mark in "<[>\\":
+        text = text.replace("\\" + mark, mark)
+    return text
+
+
 def fold(events: DataFrame) -> DataFrame:
-    """(conv, msg, copy, role, text) of the messages that the log leaves, by a streamed fold over the sorted events of each message."""
+    """(conv, msg, copy, role, text) of the messages that the log leaves, by a streamed fold over each conversation's events in sequence."""
 
+    @tidy()
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, role, parts, alive = None, "", [], False
+        at, open_ = None, {}
         for b in batches:
             out = []
-            for conv, msg, copy, op, who, text in zip(*(column(b, n).to_pylist() for n in ("conv", "msg", "copy", "op", "role", "text")), strict=True):
-                if (conv, msg, copy) != at:
-                    if alive:
-                        out.append((*at, role, "".join(parts)))
-                    at, role, parts, alive = (conv, msg, copy), "", [], True
+            for conv, shard, msg, copy, op, who, text in zip(*(column(b, n).to_pylist() for n in ("conv", "shard", "msg", "copy", "op", "role", "text")), strict=True):
+                if (conv, shard) != at:
+                    out += closed(at, open_)
+                    at, open_ = (conv, shard), {}
+                message = open_.setdefault((msg, copy), ["", [], True])
                 if op == "start":
-                    role = who or ""
+                    message[0] = who or ""
                 elif op == "delta":
-                    parts.append(text or "")
+                    message[1].append(text or "")
                 elif op == "edit":
-                    parts = [text or ""]
+                    message[1] = [text or ""]
                 elif op == "regenerate":
-                    parts = []
+                    message[1] = []
                 elif op == "delete":
-                    alive = False
+                    message[2] = False
                 else:
                     raise ValueError(f"unknown event: {op}")
             yield batch_of(out)
-        yield batch_of([(*at, role, "".join(parts))] if alive else [])
+        yield batch_of(closed(at, open_))
+
+    def closed(at: tuple | None, messages: dict) -> list[tuple]:
+        return [(at[0], msg, copy, role, "".join(parts)) for (msg, copy), (role, parts, alive) in messages.items() if alive]
 
     def batch_of(rows: list) -> pa.RecordBatch:
         names = ["conv", "msg", "copy", "role", "text"]
@@ -80,9 +92,10 @@ def fold(events: DataFrame) -> DataFrame:
         types = (pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.string())
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
 
-    copy = F.col("copy") if "copy" in events.columns else F.lit(0)
-    log = events.select("conv", "msg", copy.cast("int").alias("copy"), "seq", "op", "role", "text")
-    ordered = log.repartition("conv", "msg", "copy").sortWithinPartitions("conv", "msg", "copy", "seq", "op", "role", "text")
+    copy = (F.col("copy") if "copy" in events.columns else F.lit(0)).cast("int")
+    shard = F.floor((F.coalesce("msg", F.lit(0)) + F.abs(F.coalesce(copy, F.lit(0)))) / SHARD)
+    log = events.select("conv", shard.alias("shard"), "msg", copy.alias("copy"), "seq", "op", "role", "text")
+    ordered = log.repartition("conv", "shard").sortWithinPartitions("conv", "shard", "seq", "msg", "copy", "op", "role", "text")
     return ordered.mapInArrow(run, "conv long, msg long, copy int, role string, text string")
 
 
@@ -108,8 +121,10 @@ def parse(segment: str) -> Iterator[tuple[str, str]]:
             raise ValueError(f"no turn at character {at}")
         at = m.end()
         kind = m.lastgroup
-        role = UNESCAPE.sub(r"\1", m["role"]) if kind == "other" else kind
-        yield role, UNESCAPE.sub(r"\1", m[kind])
+        role = unescape(m["role"]) if kind == "other" else kind
+        if m[kind][-1:] != " ":
+            raise ValueError(f"no space ends the text of the turn before character {at}")
+        yield role, unescape(m[kind][:-1])
 
 
 def read_back(segments: DataFrame) -> DataFrame:

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import chat, decontamination, exact_dedup, language_id, mixing, packing, similarity_join, suffix_dedup, token_counts, warc
-from .common import materialize
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,7 +15,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     digest = F.sha2(F.coalesce("text", F.lit("")), 256)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", digest.alias("text_sha256"))
-    out = exact_dedup.exact_duplicates(docs, same=F.col("text_sha256"))
+    out = exact_dedup.exact_duplicates(docs, same="text_sha256")
     return out.select(
         "doc_id",
         F.col("__keep_id").alias("keep_id"),
@@ -97,24 +96,31 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
     again = F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy("role", "text"))
-    events = rows.withColumn("copy", again).select(
-        F.col("conv_id").alias("conv"),
-        F.col("turn").alias("msg"),
-        "copy",
-        F.explode(
-            F.array(
-                F.struct(F.lit(0).alias("seq"), F.lit("start").alias("op"), "role", F.lit("").alias("text")),
-                F.struct(F.lit(1).alias("seq"), F.lit("delta").alias("op"), F.lit("").alias("role"), F.coalesce("text", F.lit("")).alias("text")),
-            )
-        ).alias("e"),
-    )
-    return chat.read_back(chat.render(chat.fold(events.select("conv", "msg", "copy", "e.*"))))
+    return chat.read_back(chat.render(chat.fold(event_log(rows.withColumn("copy", again)))))
+
+
+def event_log(rows: DataFrame) -> DataFrame:
+    """The messages as they might have come about: streamed in pieces; every fourth drafted and edited after the next
+    message began, every fourth drafted and regenerated, some with a message beside them that was deleted."""
+    text, k = F.coalesce("text", F.lit("")), F.pmod(F.coalesce("conv_id", F.lit(0)) * 31 + F.coalesce("turn", F.lit(0)), F.lit(4))
+    seq = F.coalesce("turn", F.lit(0)).cast("long") * 16
+    draft = F.concat(F.lit("[draft] "), F.reverse(text))
+    event = lambda at, op, said=F.lit(""), role=F.lit(""), ghost=False: F.struct((seq + at).alias("seq"), F.lit(op).alias("op"), role.alias("role"), said.alias("text"), F.lit(ghost).alias("ghost"))
+    third = F.ceil(F.length(text) / 3).cast("int")
+    piece = lambda c, n: F.substring(c, third * n + 1, third)
+    start = event(0, "start", role=F.col("role"))
+    streamed = [event(n + 1, "delta", piece(text, F.lit(n))) for n in range(3)]
+    edited = [event(1, "delta", draft), event(30, "edit", text)]
+    again = [event(1, "delta", draft), event(2, "regenerate"), *(event(n + 3, "delta", piece(text, F.lit(n))) for n in range(3))]
+    deleted = [event(6, "start", role=F.lit("user"), ghost=True), event(7, "delta", draft, ghost=True), event(20, "delete", ghost=True)]
+    events = F.when(k == 1, F.array(start, *edited)).when(k == 2, F.array(start, *again)).when(k == 3, F.array(start, *streamed, *deleted)).otherwise(F.array(start, *streamed))
+    log = rows.select(F.col("conv_id").alias("conv"), F.col("turn").alias("msg"), "copy", F.explode(events).alias("e")).select("conv", "msg", "copy", "e.*")
+    return log.withColumn("copy", F.when(F.col("ghost"), -F.col("copy")).otherwise(F.col("copy"))).drop("ghost")
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    archives = materialize(warc.write_archives(warc.plan_records(pages)), "archives")
-    return warc.read_archives(archives).drop("url")
+    return warc.read_archives(warc.write_archives(warc.plan_records(pages))).drop("url")
 
 
 OP4_SQL = """

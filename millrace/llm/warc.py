@@ -7,8 +7,11 @@ central directory; finds the index and the archive members; and reads each recor
 through any seekable file, without extracting a member. An index may name any member of `archive/`; without
 a name it is the only one. Indexes and archive members that are not stored are refused.
 
-On Spark the archives are rows (archive id, bytes) of a Parquet table, so any file system that Spark
-reads serves them. Archives roll over at ARCHIVE_BYTES, a task holds one at a time.
+On Spark the archives are files in the shared folder, written by the tasks that hold the records and
+listed in a table of paths: an attempt names its files anew, so what a lost one left is read by
+nobody. A reading task opens an archive where it lies, in any file system that pyarrow opens by
+URI, and reads the directory, the index and then each record by its range. Archives roll over at ARCHIVE_BYTES, a
+writing task holds one at a time, a reading task one record.
 
 Payloads of at least MIN_SHARED bytes that are equal are stored once: the record with the largest
 page id is the `response`, the others are `revisit` records that name its id and carry no payload.
@@ -16,7 +19,8 @@ Equality is decided on (SHA-1, length) with map-side aggregation, so no group is
 
 Defined cases: null payloads are empty; empty and short payloads are always responses; null page ids
 never win against others and are written as an empty id; rows that repeat an id and a payload are
-all responses if that id is the largest; an empty table gives no archives; other columns are ignored.
+all responses if that id is the largest; an empty table gives no archives; a very long payload is an archive of its own;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,19 +31,23 @@ import io
 import json
 import re
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 from typing import BinaryIO
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, column, materialize, slices
+from .common import bounded, column, materialize, scratch_path, slices, tidy
 
 MIN_SHARED = 1000
-ARCHIVE_BYTES = 4 << 20
+ARCHIVE_BYTES = 8 << 20
+#: Records that a reading task hands on at a time.
+READ_ROWS = 500
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 #: Fixed values of the ZIP format: signatures, and the sizes and counts that point to ZIP64 fields.
 LOCAL, CENTRAL, END, END64, LOCATOR64 = 0x04034B50, 0x02014B50, 0x06054B50, 0x06064B50, 0x07064B50
@@ -197,46 +205,67 @@ def plan_records(pages: DataFrame, key: str = "page_id", url: str = "url", html:
     return hashed.join(shared, ["digest", "size"], "left").withColumn("refers_to", refers).drop("first")
 
 
-def write_archives(planned: DataFrame, limit: int = ARCHIVE_BYTES) -> DataFrame:
-    """(archive_id, data): the records of each task in archives of about `limit` bytes of records."""
+def opened(uri: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a URI and the path in it."""
+    return fs.FileSystem.from_uri(re.sub(r"^file:/(?!/)", "file:///", uri))
 
+
+def write_archives(planned: DataFrame, limit: int = ARCHIVE_BYTES, folder: str | None = None) -> DataFrame:
+    """(path, records): the records of each task in archive files of about `limit` bytes of records, under `folder` or in the shared folder."""
+    folder = folder or scratch_path(planned.sparkSession, "archives")
+
+    @tidy()
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, size, held = TaskContext.get().partitionId() << 33, 0, []
+        store, base = opened(folder)
+        store.create_dir(base, recursive=True)
+        attempt, written, size, held = f"{TaskContext.get().partitionId():06}-{uuid.uuid4().hex}", 0, 0, []
         for b in slices(batches, 200):
             names = ("page_id", "url", "payload", "digest", "size", "refers_to")
             for row in zip(*(column(b, n).to_pylist() for n in names), strict=True):
                 held.append((str(row[0]), record(*row)))
                 size += len(held[-1][1])
                 if size >= limit:
-                    yield out(number, held)
-                    number, size, held = number + 1, 0, []
+                    yield out(store, f"{base}/{attempt}-{written:06}.wacz", held)
+                    written, size, held = written + 1, 0, []
         if held:
-            yield out(number, held)
+            yield out(store, f"{base}/{attempt}-{written:06}.wacz", held)
 
-    def out(number: int, held: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([archive(held)], pa.binary())], ["archive_id", "data"])
+    def out(store: fs.FileSystem, path: str, held: list) -> pa.RecordBatch:
+        with store.open_output_stream(path, compression=None) as f:
+            f.write(archive(held))
+        return pa.RecordBatch.from_arrays([pa.array([f"{folder}/{path.rpartition('/')[2]}"]), pa.array([len(held)], pa.int64())], ["path", "records"])
 
-    return planned.mapInArrow(run, "archive_id long, data binary")
+    return materialize(planned.mapInArrow(run, "path string, records long"), "archive-list", 200)
 
 
 def read_archives(archives: DataFrame, payloads: bool = False) -> DataFrame:
-    """page_id, url, record_type, payload_bytes, payload_digest (bare hex SHA-1), refers_to, and payload if asked.
+    """page_id, url, record_type, payload_bytes, payload_digest (bare hex SHA-1), refers_to, and payload if asked, of the archives at `path`.
 
     Length and digest of a response are taken from its payload, which must agree with its header; a
     revisit has those of the payload it stands for.
     """
 
+    @tidy()
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 1):
-            rows = []
-            for fields, payload in read_archive(io.BytesIO(column(b, "data")[0].as_py())):
-                kind, digest = fields["WARC-Type"], base64.b32decode(fields["WARC-Payload-Digest"].removeprefix("sha1:")).hex()
-                size = int(fields["WARC-Payload-Length"])
-                if kind == "response" and (len(payload), hashlib.sha1(payload).hexdigest()) != (size, digest):
-                    raise ValueError("a payload differs from its digest")
-                rows.append((ident(fields["WARC-Record-ID"]), fields["WARC-Target-URI"], kind, size, digest, ident(fields.get("WARC-Refers-To", "")), payload if kind == "response" else None))
-            cols = list(zip(*rows, strict=True))[: len(names)] or [[] for _ in names]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=False)], names)
+        for b in batches:
+            for path in column(b, "path").to_pylist():
+                store, place = opened(path)
+                rows = []
+                with store.open_input_file(place) as f:
+                    for fields, payload in read_archive(f):
+                        kind, digest = fields["WARC-Type"], base64.b32decode(fields["WARC-Payload-Digest"].removeprefix("sha1:")).hex()
+                        size = int(fields["WARC-Payload-Length"])
+                        if kind == "response" and (len(payload), hashlib.sha1(payload).hexdigest()) != (size, digest):
+                            raise ValueError("a payload differs from its digest")
+                        rows.append((ident(fields["WARC-Record-ID"]), fields["WARC-Target-URI"], kind, size, digest, ident(fields.get("WARC-Refers-To", "")), payload if payloads and kind == "response" else None))
+                        if len(rows) >= READ_ROWS or payloads and size >= 1 << 20:
+                            yield batch_of(rows)
+                            rows = []
+                yield batch_of(rows)
+
+    def batch_of(rows: list) -> pa.RecordBatch:
+        cols = list(zip(*rows, strict=True))[: len(names)] or [[] for _ in names]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=False)], names)
 
     def ident(urn: str) -> int | None:
         found = urn.removeprefix("<urn:page:").removesuffix(">")
@@ -245,4 +274,6 @@ def read_archives(archives: DataFrame, payloads: bool = False) -> DataFrame:
     names = ["page_id", "url", "record_type", "payload_bytes", "payload_digest", "refers_to", "payload"][: 6 + payloads]
     types = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
     schema = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long" + ", payload binary" * payloads
-    return archives.mapInArrow(run, schema)
+    # the list of paths is small: its rows are dealt out, a few to a task
+    tasks = max(1, min(archives.count(), 8 * archives.sparkSession.sparkContext.defaultParallelism))
+    return archives.select("path").repartition(tasks).mapInArrow(run, schema)

@@ -48,7 +48,18 @@ def test_exact_cases(spark):
 
 def test_exact_hashes_in_full_only_what_recurs(spark):
     df = docs(spark, [(1, "same", "s"), (2, "same", "s"), (3, "lone text", "s")])
-    assert {r.doc_id: r["__full"] is not None for r in exact_dedup.refine(df).collect()} == {1: True, 2: True, 3: False}
+    assert {r.doc_id: r.full is not None for r in exact_dedup.refine(df, F.col("text"), F.sha2("text", 256)).collect()} == {1: True, 2: True, 3: False}
+
+
+@pytest.mark.parametrize("limit", [exact_dedup.BROADCAST_ROWS, 0])
+def test_exact_beyond_the_broadcast_bound_and_with_clashing_names(spark, limit):
+    rows = [(k, f"text {k % 7}" if k % 3 else f"alone {k}") for k in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"full": F.lit("mine"), "len": F.lit(1), "__kept": F.lit("gone"), "c0": F.lit("box")})
+    got = exact_dedup.exact_duplicates(df, limit=limit)
+    assert got.columns == ["doc_id", "text", "full", "len", "c0", "__keep_id", "__group_size", "__kept"]
+    found = got.withColumn("sha", F.sha2("text", 256)).select("doc_id", "__keep_id", "__group_size", "__kept", "sha").collect()
+    assert sorted((tuple(r) for r in found), key=str) == brute_exact(rows)
+    assert exact_dedup.drop_exact(df).columns == df.columns
 
 
 def level(sizes, weights, cap=3):

@@ -3,12 +3,13 @@ import hashlib
 import io
 import json
 import random
+import tracemalloc
 import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.llm import chat, warc
+from millrace.llm import chat, queries, warc
 
 
 @pytest.mark.parametrize("zip64", [False, True])
@@ -54,8 +55,9 @@ def test_write_and_read_back(spark):
     big, other = "é" * 600, "o" * 999
     rows = [(1, "u1", big), (2, None, big), (3, "a\r\nb", big), (4, "u", other), (5, "u", other), (6, "u", None), (7, "u", ""), (8, "u", "\r\n\r\nWARC/1.1\r\n" * 100), (None, "u", big), (9, "u", "z" * 300_000), (3, "again", big)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit("mine"))
-    archives = warc.write_archives(warc.plan_records(df.coalesce(1)), limit=5000).cache()
-    assert archives.count() > 1
+    archives = warc.write_archives(warc.plan_records(df.coalesce(1)), limit=5000)
+    assert archives.count() > 1 and archives.agg(F.sum("records")).first()[0] == len(rows)
+    assert all(zipfile.is_zipfile(r.path.removeprefix("file:")) for r in archives.collect())
     got = warc.read_archives(archives, payloads=True).collect()
     want = []
     for i, _, html in rows:
@@ -121,3 +123,22 @@ def test_reader_follows_file_names_and_refuses_compressed_members():
                 z.writestr(name, data, zipfile.ZIP_DEFLATED if name == packed else zipfile.ZIP_STORED)
         with pytest.raises(ValueError, match="not stored"):
             list(warc.read_archive(out))
+
+
+def test_a_conversation_of_many_shards_and_of_no_rows(spark, monkeypatch):
+    rows = [(7, t, ["user", "assistant"][t % 2], f"text {t} <of> [many]") for t in range(1500)] + [(8, 0, "user", None)] * 3 + [(None, 1, None, "x"), (9, None, "assistant", "y")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("copy", F.expr("1").cast("int"))
+    log = queries.event_log(df.where("conv_id <=> 7 OR conv_id IS NULL OR conv_id = 9"))
+    assert {r.op for r in log.collect()} == {"start", "delta", "edit", "regenerate", "delete"}
+    got = {(r.conv, r.msg): (r.role, r.text) for r in chat.fold(log.orderBy(F.xxhash64("seq", "text"))).collect()}
+    assert got == {(c, t): (r or "", x) for c, t, r, x in rows if c != 8}
+    assert chat.read_back(chat.render(chat.fold(queries.event_log(df.where("false"))))).count() == 0
+
+
+def test_a_very_long_message_is_parsed_in_place():
+    text = "a\\<b[ " * 700_000
+    escaped = text.replace("\\", "\\\\").replace("<", "\\<").replace("[", "\\[")
+    tracemalloc.start()
+    assert list(chat.parse(f" {escaped} </s>")) == [("assistant", text)]
+    assert tracemalloc.get_traced_memory()[1] < 100_000_000
+    tracemalloc.stop()

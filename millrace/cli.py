@@ -8,11 +8,13 @@ from __future__ import annotations
 import argparse
 import importlib
 import time
+from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .fixed import ISOLATION_RULE
+from . import suite
+from .fixed import BASELINE_RECALL_PCT, ISOLATION_RULE
 from .operators import curate, evaluate, ingest, split, threads, training
 from .sources import files
 
@@ -47,7 +49,7 @@ def run_ingest(spark: SparkSession, a: argparse.Namespace) -> dict:
 def run_clean(spark: SparkSession, a: argparse.Namespace) -> dict:
     records = files.read_table(spark, a.input_parquet)
     if "ord" not in records.columns:
-        records = records.withColumn("ord", F.monotonically_increasing_id())
+        records = records.select("*", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("ord"))
     posts, comments = threads.kept_parts(records, a.min_date, a.min_body_length)
     files.write_table(threads.threads(posts, comments), a.output_parquet)
     reasons = {r.reason: r.n for r in threads.reason_counts(records, min_date=a.min_date, min_body=a.min_body_length).collect()}
@@ -68,11 +70,12 @@ def run_curate(spark: SparkSession, a: argparse.Namespace) -> dict:
     if a.rejected_parquet:
         files.write_table(decided.where("NOT curation_passed").drop("pre_filtered"), a.rejected_parquet)
     found = totals(curate.curation_report(decided))
+    asked = found["total_evaluated"] - found["pre_filtered_promos"]
     found["pass_rate_pct"] = round(found["pass_rate_pct"], 2)
     return found | {
         "thresholds": {"rag_relevance_min_prob": a.rag_threshold, "technical_quality_min_score": a.min_quality_score},
         "taxonomy_distribution": files.counts_map(decided.where("NOT pre_filtered"), "taxonomy_topic"),
-        "inference_stats": {"total_inference_sec": round(took, 2)},
+        "inference_stats": {"device": a.device, "avg_latency_ms": round(1000 * took / asked, 2) if asked else 0.0, "total_inference_sec": round(took, 2)},
         "output_parquet": a.output_parquet,
         "parquet_size_bytes": files.size_bytes(spark, a.output_parquet),
     }
@@ -103,34 +106,62 @@ def run_prepare(spark: SparkSession, a: argparse.Namespace) -> dict:
 
 
 def run_benchmark(spark: SparkSession, a: argparse.Namespace) -> dict:
-    items = files.read_benchmark(spark, a.input_jsonl)
+    """Items of a file, or the package's own, checked and written with their counts."""
+    items = files.read_benchmark(spark, a.input_jsonl) if a.input_jsonl else evaluate.suite(spark)
     faults = totals(evaluate.benchmark_faults(items))
     if any(faults.values()):
         raise ValueError(f"the benchmark has faults: {faults}")
-    files.write_json_lines(items, a.output_jsonl)
+    files.write_json_lines(items.coalesce(1), a.output_jsonl)
     counts = {plural: files.counts_map(items, name) for name, plural in (("category", "categories"), ("difficulty", "difficulties"), ("test_type", "test_types"))}
-    return {"total_questions": items.count()} | counts | {"isolation_rule": ISOLATION_RULE, "output_file": a.output_jsonl}
+    named = {"benchmark_name": a.benchmark_name, "version": a.benchmark_version, "created_at_utc": datetime.now(UTC).isoformat()}
+    return named | {"total_questions": items.count()} | counts | {"isolation_rule": ISOLATION_RULE, "output_file": a.output_jsonl}
+
+
+#: Result rows that a report holds itself; more are only written beside it.
+REPORT_ROWS = 1000
 
 
 def run_evaluate(spark: SparkSession, a: argparse.Namespace) -> dict:
-    """Completions are JSON lines of id, text, tokens, seconds, made by any model."""
+    """Completions are JSON lines of id, text, tokens, seconds, made by any model. The form is full, notebook (percent, loose match) or trained (percent, strict match, gain over a baseline)."""
     items = curate.first_rows(files.read_benchmark(spark, a.benchmark_path), "id", a.sample_limit)
     answers = spark.read.schema("id string, text string, tokens long, seconds double").json(a.completions_path)
-    rows = evaluate.question_rows(evaluate.coverage(answers, items)).persist()
+    covered = evaluate.coverage(answers, items, evaluate.strict_match if a.form == "trained" else evaluate.loose_match)
+    rows = evaluate.question_rows(evaluate.answer_rows(covered).drop("thinking_trace")).persist()
     summary = evaluate.rollup(rows).collect()
     overall = next((r for r in summary if r.level == "overall"), None)
-    level = lambda k: {r.name: round(r.avg_recall, 4) for r in summary if r.level == k}
-    shown = rows.withColumnsRenamed({"matched": "matched_concepts", "missing": "missing_concepts", "recall": "concept_recall", "tokens": "generated_tokens"}).drop("text", "seconds")
-    report = {
-        "model_id": a.model_id,
-        "total_questions_evaluated": overall.questions if overall else 0,
-        "overall_concept_recall": round(overall.avg_recall or 0.0, 4) if overall else 0.0,
-        "total_tokens_generated": (overall.total_tokens or 0) if overall else 0,
-        "overall_tokens_per_second": round(overall.tokens_per_second, 2) if overall else 0.0,
-        "category_summary": level("category"),
-        "difficulty_summary": level("difficulty"),
-        "results": [r.asDict(recursive=True) for r in shown.orderBy("id").collect()],
-    }
+    recall, speed = (overall.avg_recall or 0.0, overall.tokens_per_second) if overall else (0.0, 0.0)
+    level = lambda k, scale, digits: {r.name: round(scale * r.avg_recall, digits) for r in summary if r.level == k}
+    percent = round(100 * recall, 2)
+    names = {"matched": "matched_concepts", "missing": "missing_concepts", "recall": "concept_recall", "tokens": "generated_tokens"}
+    if a.form == "notebook":
+        shown = rows.select("id", "category", "recall", "tokens", F.col("tokens_per_second").alias("tok_per_sec"), F.col("has_thinking_trace").alias("has_think"), "matched", "missing")
+        report = {"model_id": a.model_id, "avg_recall_pct": percent, "avg_speed_tok_s": round(speed, 2), "category_recall_pct": level("category", 100, 1)}
+    elif a.form == "trained":
+        shown = rows.withColumnsRenamed({"matched": "matched_concepts", "missing": "missing_concepts", "has_thinking_trace": "has_think", "text": "raw_completion"})
+        trained = totals(evaluate.trained_report(covered, a.baseline_pct))
+        report = {
+            "model_id": a.model_id,
+            "baseline_recall_pct": a.baseline_pct,
+            "post_trained_recall_pct": percent,
+            "delta_improvement_pct": round(percent - a.baseline_pct, 2),
+            "thinking_trace_pct": round(trained["thinking_trace_pct"], 2),
+            "category_summary": level("category", 100, 1),
+        }
+    else:
+        shown = rows.withColumnsRenamed(names).drop("text", "seconds", "final_answer")
+        report = {
+            "model_id": a.model_id,
+            "total_questions_evaluated": overall.questions if overall else 0,
+            "overall_concept_recall": round(recall, 4),
+            "total_tokens_generated": (overall.total_tokens or 0) if overall else 0,
+            "overall_tokens_per_second": round(speed, 2),
+            "category_summary": level("category", 1, 4),
+            "difficulty_summary": level("difficulty", 1, 4),
+        }
+    if a.results_path:
+        files.write_json_lines(shown, a.results_path)
+    few = shown.orderBy("id").limit(REPORT_ROWS + 1).collect()
+    report["results"] = [r.asDict(recursive=True) for r in few] if len(few) <= REPORT_ROWS else a.results_path
     rows.unpersist()
     return report
 
@@ -154,11 +185,11 @@ def parser() -> argparse.ArgumentParser:
 
     stage("ingest", run_ingest, posts_path=..., comments_path=..., output_parquet=..., source_name="community_forum")
     stage("clean", run_clean, input_parquet=..., output_parquet=..., min_date=threads.MIN_DATE, min_body_length=threads.MIN_BODY)
-    stage("curate", run_curate, input_parquet=..., output_parquet=..., rejected_parquet=None, scorer=..., limit=0, rag_threshold=curate.RELEVANCE, min_quality_score=curate.QUALITY)
+    stage("curate", run_curate, input_parquet=..., output_parquet=..., rejected_parquet=None, scorer=..., device="cpu", limit=0, rag_threshold=curate.RELEVANCE, min_quality_score=curate.QUALITY)
     stage("partition", run_partition, input_parquet=..., output_dir=..., train_ratio=0.8, val_ratio=0.1, test_ratio=0.1, seed=42, stratify_col="taxonomy_topic", key="thread_id")
     stage("prepare", run_prepare, train_input=..., val_input=..., train_output=..., val_output=...)
-    stage("benchmark", run_benchmark, input_jsonl=..., output_jsonl=...)
-    stage("evaluate", run_evaluate, model_id=..., benchmark_path=..., completions_path=..., sample_limit=0)
+    stage("benchmark", run_benchmark, input_jsonl=None, output_jsonl=..., benchmark_name=suite.NAME, benchmark_version=suite.VERSION)
+    stage("evaluate", run_evaluate, model_id=..., benchmark_path=..., completions_path=..., sample_limit=0, form="full", baseline_pct=BASELINE_RECALL_PCT, results_path=None)
     stage("inspect", run_inspect, path=..., num_samples=20)
     return top
 
@@ -167,7 +198,7 @@ def main(argv: list[str] | None = None) -> dict:
     args = parser().parse_args(argv)
     spark = SparkSession.builder.appName(f"millrace-{args.stage}").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     report = args.run(spark, args)
-    return files.write_report(report, args.report_path) if args.report_path else report
+    return files.write_report(report, args.report_path, spark) if args.report_path else report
 
 
 if __name__ == "__main__":

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..fixed import CHATTER_PATTERN, CONCEPTS, STOP_WORDS, URL_PATTERN
-from .text import first_think, has_think, normalize, once, or_default, pattern, spaced, strip, tokens, without_think
+from .text import completion_text, first_think, has_think, normalize, once, or_default, pattern, spaced, strip, tokens, without_think
 
 
 def rounded(c: Column, digits: int | None) -> Column:
@@ -51,16 +53,35 @@ def hits(text: Column, terms: Column) -> Column:
     return once(F.struct(text.alias("t"), spaced(text).alias("s")), lambda x: F.filter(terms, lambda term: occurs(x, term)))
 
 
+def distinct_terms(concepts: dict[str, list[str]]) -> list[str]:
+    return list(dict.fromkeys(t for terms in concepts.values() for t in terms))
+
+
+def concept_score(found: Column, planned: Column, topic: Column, concepts: dict[str, list[str]], cap: float, digits: int | None) -> Column:
+    """The reward from the terms found in the text and in its plan; both may hold terms of other vocabularies."""
+    every, own = literal_terms(distinct_terms(concepts)), topic_terms(topic, concepts)
+    wanted = F.when(or_default(topic, "") == "", every).otherwise(own)
+    count = lambda terms, of: F.size(F.filter(terms, lambda t: F.array_contains(of, t)))
+    mine = count(found, own)
+    score = 0.15 * count(planned, wanted) + 0.4 * mine + 0.2 * (count(found, every) - mine)
+    return F.least(rounded(score, digits), F.lit(cap))
+
+
 def concept_reward(text: Column, topic: Column, concepts: dict[str, list[str]] = CONCEPTS, cap: float = 2.0, digits: int | None = 3) -> Column:
     """0.4 per concept of the topic, 0.2 per other concept, and 0.15 per concept planned in the first think block, up to `cap`."""
-    every = literal_terms(list(dict.fromkeys(t for terms in concepts.values() for t in terms)))
-    own = F.array_distinct(topic_terms(topic, concepts))
-    planned = F.when(or_default(topic, "") == "", every).otherwise(topic_terms(topic, concepts))
-    think = F.coalesce(F.size(hits(normalize(first_think(text)), planned)), F.lit(0))
-    found = hits(normalize(text), every)
-    mine = F.size(F.array_intersect(found, own))
-    score = 0.15 * F.greatest(think, F.lit(0)) + 0.4 * mine + 0.2 * (F.size(found) - mine)
-    return F.least(rounded(score, digits), F.lit(cap))
+    every = literal_terms(distinct_terms(concepts))
+    in_plan = F.coalesce(hits(normalize(first_think(text)), every), literal_terms([]))
+    both = F.struct(hits(normalize(text), every).alias("found"), in_plan.alias("planned"))
+    return once(both, lambda x: concept_score(x["found"], x["planned"], topic, concepts, cap, digits))
+
+
+def concept_rewards(df: DataFrame, text: Column, topic: Column, presets: dict[str, dict[str, list[str]]], cap: float = 2.0, digits: int | None = 3) -> DataFrame:
+    """`df` plus a reward per preset of concepts. Texts are normalized and searched once, for the terms of all presets together."""
+    every = literal_terms(list(dict.fromkeys(t for concepts in presets.values() for t in distinct_terms(concepts))))
+    names = ["__body", "__plan", "__found", "__planned"]
+    ready = df.withColumns({"__body": normalize(text), "__plan": normalize(first_think(text))})
+    searched = ready.withColumns({"__found": hits(F.col("__body"), every), "__planned": F.coalesce(hits(F.col("__plan"), every), literal_terms([]))})
+    return searched.withColumns({name: concept_score(F.col("__found"), F.col("__planned"), topic, concepts, cap, digits) for name, concepts in presets.items()}).drop(*names)
 
 
 def content_words(c: Column) -> Column:
@@ -83,7 +104,8 @@ def grounding_reward(text: Column, reference: Column, digits: int | None = 3) ->
 
 def distinct_ratio(words: Column, n: int = 4) -> Column:
     """Distinct n-grams per n-gram."""
-    grams = once(words, lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.array_join(F.slice(w, i, n), " ")))
+    gram = lambda w, i: F.concat_ws(" ", *(F.get(w, i + k) for k in range(n)))
+    grams = once(words, lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: gram(w, i)))
     return once(grams, lambda g: F.size(F.array_distinct(g)) / F.size(g))
 
 
@@ -109,3 +131,23 @@ def all_rewards(text: Column, topic: Column, reference: Column, digits: int | No
         "reward_grounding": grounding_reward(text, reference, digits=digits),
         "reward_repetition": repetition_reward(text, digits=digits),
     }
+
+
+def callables(spark: SparkSession, digits: int | None = 3) -> list[Callable[..., list[float]]]:
+    """The ordered rewards as functions for a trainer: completions (texts, messages or lists of these) and columns in, a list of floats out.
+
+    A batch of a trainer is some dozens of rows; for tables use `all_rewards`.
+    """
+
+    def made(name: str) -> Callable[..., list[float]]:
+        def reward(completions: list, taxonomy_topic: list[str] | None = None, reference_answer: list[str] | None = None, **others) -> list[float]:
+            n = len(completions)
+            rows = zip(range(n), map(completion_text, completions), taxonomy_topic or [None] * n, reference_answer or [None] * n, strict=True)
+            df = spark.createDataFrame(list(rows), "row int, text string, topic string, reference string")
+            scored = df.select("row", all_rewards(F.col("text"), F.col("topic"), F.col("reference"), digits)[name].alias("r"))
+            return [r.r for r in sorted(scored.collect(), key=lambda r: r.row)]
+
+        reward.__name__ = name
+        return reward
+
+    return [made(name) for name in all_rewards(F.lit(""), F.lit(""), F.lit(""))]

@@ -82,6 +82,15 @@ def message_text(messages: Column) -> Column:
     return F.array_join(F.transform(messages, lambda m: F.coalesce(m["content"], F.lit(""))), "\n")
 
 
+def completion_text(completion) -> str:
+    """The text of a completion as a trainer hands it over: a string, a message, or a list of these."""
+    if isinstance(completion, dict):
+        return str(completion.get("content", ""))
+    if isinstance(completion, list):
+        return "\n".join(map(completion_text, completion))
+    return str(completion)
+
+
 def json_string(c: Column) -> Column:
     """The JSON literal of a string, non-ASCII characters as they are."""
     whole = F.to_json(F.struct(c.alias("c")))

@@ -40,33 +40,32 @@ def is_promo(title: Column, body: Column) -> Column:
     return hinted & both.rlike("|".join(map(pattern, PROMO_PATTERNS))) | links & (F.size(words) <= 10) | (F.length(text) < 100) & linked & (plain < 6)
 
 
-def state_columns(max_chars: int = MAX_STATE_CHARS) -> dict[str, Column]:
-    """The texts that a model sees: stripped, the long ones cut to `max_chars`."""
-    text = lambda c: strip(F.coalesce(c, F.lit("")))
+def state_columns(max_chars: int = MAX_STATE_CHARS, stripped: bool = True) -> dict[str, Column]:
+    """The texts that a model sees: stripped, the long ones cut to `max_chars`. The notebook preset is stripped=False: title and body as they are."""
+    text = lambda c: strip(F.coalesce(c, F.lit(""))) if stripped or c == "best_answer_body" else F.coalesce(c, F.lit(""))
     return {"title": text("title"), "post_body": F.substring(text("post_body"), 1, max_chars), "best_answer": F.substring(text("best_answer_body"), 1, max_chars)}
 
 
-def states(threads: DataFrame, max_chars: int = MAX_STATE_CHARS) -> DataFrame:
+def states(threads: DataFrame, max_chars: int = MAX_STATE_CHARS, stripped: bool = True) -> DataFrame:
     """thread_id and the texts that a model sees; empty bodies and answers are null."""
-    text = state_columns(max_chars)
+    text = state_columns(max_chars, stripped)
     return threads.select("thread_id", text["title"].alias("title"), *(F.nullif(text[k], F.lit("")).alias(k) for k in ("post_body", "best_answer")))
 
 
 def score(threads: DataFrame, make_scorer: Callable[[], Scorer], max_chars: int = MAX_STATE_CHARS) -> DataFrame:
-    """`threads` plus noul, score, choice, confidence; a missing answer is 0.0 or `other`. One map, no shuffle."""
-    width = len(threads.columns)
-    ready = threads.withColumns({f"__{k}": c for k, c in state_columns(max_chars).items()})
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in threads.schema.fields) + ", noul double, score double, choice string, confidence double"
+    """`threads` plus noul, score, choice, confidence; a missing answer is 0.0 or `other`. Only the id and the three short texts go to Python."""
+    names = ["thread_id", "title", "post_body", "best_answer"]
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
         scorer = make_scorer()
-        for frame in frames:
-            state = frame[["thread_id", "__title", "__post_body", "__best_answer"]].rename(columns=lambda c: c.removeprefix("__"))
-            answer = scorer(state).reset_index(drop=True).reindex(columns=DECISION)
-            answer = answer.fillna({"noul": 0.0, "score": 0.0, "choice": "other", "confidence": 0.0})
-            yield pd.concat([frame.iloc[:, :width].reset_index(drop=True), answer], axis=1)
+        for columns in batches:
+            answer = scorer(pd.DataFrame(dict(zip(names, columns, strict=True)))).reset_index(drop=True).reindex(columns=DECISION)
+            yield answer.fillna({"noul": 0.0, "score": 0.0, "choice": "other", "confidence": 0.0})
 
-    return ready.mapInPandas(run, schema)
+    answers = F.pandas_udf(run, "noul double, score double, choice string, confidence double").asNondeterministic()
+    text = state_columns(max_chars)
+    asked = threads.withColumn("__answer", answers(F.col("thread_id"), *(text[k] for k in names[1:])))
+    return asked.withColumns({k: F.col(f"__answer.{k}") for k in DECISION}).drop("__answer")
 
 
 def decide(scored: DataFrame, relevance: float = RELEVANCE, quality: float = QUALITY, digits: int = 4) -> DataFrame:

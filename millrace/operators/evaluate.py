@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..fixed import BASELINE_RECALL_PCT
+from .. import schemas
+from ..fixed import BASELINE_RECALL_PCT, CONCEPTS
 from ..functions.rewards import rounded
-from ..functions.text import SPACE, WORD, normalize, reasoning, spaced, tagged_answer
+from ..functions.text import SPACE, WORD, normalize, reasoning, spaced, strip, tagged_answer
+from ..suite import SUITE
 
 
 def variants(concept: Column) -> Column:
@@ -105,14 +107,31 @@ def benchmark_metadata(items: DataFrame) -> DataFrame:
     return items.unpivot([], fields, "field", "value").groupBy("field", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
-def benchmark_faults(items: DataFrame, min_question: int = 20, min_concepts: int = 1) -> DataFrame:
-    """One row of counts that are 0 for a sound benchmark."""
-    blank = lambda c: F.coalesce(F.length(c), F.lit(0)) == 0
+def suite(spark: SparkSession) -> DataFrame:
+    """The package's own benchmark items."""
+    return spark.createDataFrame(SUITE, schemas.BENCHMARK)
+
+
+def category_recall(rows: DataFrame, digits: int | None = 1) -> DataFrame:
+    """(category, recall_pct): mean recall in percent, as the notebooks' reports have it."""
+    return rows.groupBy("category").agg(rounded(100 * F.avg("recall"), digits).alias("recall_pct"))
+
+
+def benchmark_faults(items: DataFrame, min_question: int = 21, min_concepts: int = 3, min_reasoning: int = 51, min_items: int = 10, categories: tuple[str, ...] = tuple(CONCEPTS)) -> DataFrame:
+    """One row of counts that are 0 for a sound benchmark. Lengths are those of stripped texts."""
+    size = lambda c: F.coalesce(F.length(strip(F.col(c))), F.lit(0))
+    rubric = [F.coalesce(F.length(f"scoring_rubric.{k}"), F.lit(0)) == 0 for k in ("correctness", "grounding", "tradeoffs")]
+    known = F.size(F.array_intersect(F.collect_set("category"), F.array(*map(F.lit, categories))))
     return items.agg(
         (F.count(F.lit(1)) - F.count_distinct("id")).alias("repeated_ids"),
-        F.count_if(blank("category") | blank("difficulty") | blank("test_type")).alias("blank_labels"),
-        F.count_if(F.coalesce(F.length("question"), F.lit(0)) < min_question).alias("short_questions"),
+        F.count_if((size("category") == 0) | (size("difficulty") == 0) | (size("test_type") == 0)).alias("blank_labels"),
+        F.count_if(size("question") < min_question).alias("short_questions"),
         F.count_if(F.coalesce(F.size("expected_concepts"), F.lit(-1)) < min_concepts).alias("few_concepts"),
+        F.count_if(size("reference_reasoning") < min_reasoning).alias("short_reasoning"),
+        F.count_if(rubric[0] | rubric[1] | rubric[2]).alias("blank_rubrics"),
+        (F.lit(len(categories)) - known).cast("long").alias("missing_categories"),
+        F.count_if(~F.col("category").isin(*categories)).alias("foreign_categories"),
+        F.greatest(F.lit(min_items) - F.count(F.lit(1)), F.lit(0)).cast("long").alias("missing_items"),
     )
 
 

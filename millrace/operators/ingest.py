@@ -80,12 +80,14 @@ def union_records(posts: DataFrame, comments: DataFrame) -> DataFrame:
 
 def read_records(spark: SparkSession, posts: str, comments: str, source: str = "community_forum") -> DataFrame:
     """All lines of both files, normalized, duplicates and malformed lines included."""
-    return union_records(normalize(read_json_lines(spark, posts), False, source), normalize(read_json_lines(spark, comments), True, source))
+    read = lambda path, of_comments: normalize(read_json_lines(spark, path), of_comments, source, keep=["file"])
+    return union_records(read(posts, False), read(comments, True))
 
 
 def distinct_records(lines: DataFrame) -> DataFrame:
     """Well-formed lines, the first of each id; one id space for posts and comments."""
-    return first_of_each(lines.where(~F.col("malformed")), ["id"], ["src", "ord"])
+    order = [c for c in ("src", "file", "ord") if c in lines.columns]
+    return first_of_each(lines.where(~F.col("malformed")), ["id"], order)
 
 
 def health(records: DataFrame) -> DataFrame:

@@ -1,7 +1,8 @@
 """Records to threads: reject rules with one reason per row, the join of comments to posts, turns, best answers, transcripts.
 
 Thread rows hold a thread's whole text by definition. `turns` computes the merged turns with windows
-alone and spills where a thread is long; `threads` folds the sorted comments of a thread in its row.
+alone and spills where a thread is long; `threads` assembles its rows from them. Everything is keyed by
+thread, so one shuffle of the comments serves windows, aggregates and joins.
 """
 
 from __future__ import annotations
@@ -61,19 +62,25 @@ def prompt_of(title: Column, body: Column) -> Column:
     return F.when((body != "") & (body != title), both).otherwise(strip(title))
 
 
-def best_answers(posts: DataFrame, comments: DataFrame) -> DataFrame:
-    """Per kept post: comment count and the answer of the highest score, the earliest of equals; '' and 0 without comments."""
-    pick = F.struct((-F.col("score")).alias("s"), "created_at", "ord", "id", "author", strip(F.col("body")).alias("body"))
-    best = comments.groupBy("thread_id").agg(F.count(F.lit(1)).alias("n"), F.min(pick).alias("b"))
+BEST = ["comment_count", "best_answer_id", "best_answer_author", "best_answer_score", "best_answer_body"]
+
+
+def best_pick() -> Column:
+    """The least of these over a thread's comments is its best answer: the highest score, the earliest of equals."""
+    return F.struct((-F.col("score")).alias("s"), "created_at", "ord", "id", "author", strip(F.col("body")).alias("body"))
+
+
+def best_columns() -> dict[str, Column]:
+    """The columns BEST from n (comments) and b (the best pick), null where a thread has none."""
     text = lambda c: F.coalesce(c, F.lit(""))
-    return posts.select("thread_id").join(best, "thread_id", "left").select(
-        "thread_id",
-        F.coalesce("n", F.lit(0)).alias("comment_count"),
-        text(F.col("b.id")).alias("best_answer_id"),
-        text(F.col("b.author")).alias("best_answer_author"),
-        F.coalesce(-F.col("b.s"), F.lit(0)).alias("best_answer_score"),
-        text(F.col("b.body")).alias("best_answer_body"),
-    )
+    values = F.coalesce("n", F.lit(0)), text(F.col("b.id")), text(F.col("b.author")), F.coalesce(-F.col("b.s"), F.lit(0)), text(F.col("b.body"))
+    return dict(zip(BEST, values, strict=True))
+
+
+def best_answers(posts: DataFrame, comments: DataFrame) -> DataFrame:
+    """Per kept post: comment count and the best answer; '' and 0 without comments."""
+    best = comments.groupBy("thread_id").agg(F.count(F.lit(1)).alias("n"), F.min(best_pick()).alias("b"))
+    return posts.select("thread_id").join(best, "thread_id", "left").withColumns(best_columns()).select("thread_id", *BEST)
 
 
 def turns(posts: DataFrame, comments: DataFrame) -> DataFrame:
@@ -90,22 +97,15 @@ def turns(posts: DataFrame, comments: DataFrame) -> DataFrame:
 
 def threads(posts: DataFrame, comments: DataFrame) -> DataFrame:
     """A row per post with the 17 thread columns."""
-    c = F.struct("created_at", "ord", "id", "author", "score", "body")
-    gathered = comments.groupBy("thread_id").agg(F.array_sort(F.collect_list(c)).alias("c"))
-    joined = posts.join(gathered, "thread_id", "left").withColumn("c", F.coalesce("c", F.array().cast(gathered.schema["c"].dataType)))
-    joined = joined.join(best_answers(posts, comments), "thread_id")
+    line = F.concat(F.lit("**["), "author", F.lit("]** *(Score: "), F.col("score").cast("string"), F.lit(", "), "created_at", F.lit(")*:\n"), strip(F.col("body")), F.lit("\n"))
+    c = F.struct("created_at", "ord", line.alias("line"), "body")
+    gathered = comments.groupBy("thread_id").agg(F.array_sort(F.collect_list(c)).alias("c"), F.count(F.lit(1)).alias("n"), F.min(best_pick()).alias("b"))
+    as_json = F.concat(F.lit('{"role": "'), "role", F.lit('", "content": '), json_string(F.col("content")), F.lit("}"))
+    said = turns(posts, comments).groupBy("thread_id").agg(F.array_sort(F.collect_list(F.struct("turn", as_json.alias("json")))).alias("m"))
+    joined = posts.join(gathered, "thread_id", "left").join(said, "thread_id").withColumns(best_columns())
+    none = F.array().cast("array<string>")
+    lines, bodies = (F.coalesce(F.col(f"c.{k}"), none) for k in ("line", "body"))
     title, body, when = F.col("title"), F.col("body"), F.col("created_at")
-
-    said = F.transform("c", lambda x: F.struct(role_of(x["author"], F.col("author")).alias("role"), strip(x["body"]).alias("content")))
-    start = F.array(F.struct(F.lit("user").alias("role"), prompt_of(title, body).alias("content")))
-
-    def merge(done: Column, x: Column) -> Column:
-        last = F.element_at(done, -1)
-        longer = F.struct(last["role"].alias("role"), F.concat(last["content"], F.lit("\n\n"), x["content"]).alias("content"))
-        return F.when(last["role"] == x["role"], F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(longer))).otherwise(F.concat(done, F.array(x)))
-
-    conversation = F.aggregate(said, start.cast("array<struct<role:string,content:string>>"), merge)
-    as_json = lambda m: F.concat(F.lit('{"role": "'), m["role"], F.lit('", "content": '), json_string(m["content"]), F.lit("}"))
     head = F.array(
         F.concat(F.lit("# "), title),
         F.concat(F.lit("**Author:** "), F.col("author"), F.lit(" | **Score:** "), F.col("score").cast("string"), F.lit(" | **Date:** "), when),
@@ -113,12 +113,8 @@ def threads(posts: DataFrame, comments: DataFrame) -> DataFrame:
         F.when(body == "", "*(No body text)*").otherwise(body),
         *map(F.lit, ("", "---", "## Discussion & Solutions", "")),
     )
-    lines = F.transform(
-        "c", lambda x: F.concat(F.lit("**["), x["author"], F.lit("]** *(Score: "), x["score"].cast("string"), F.lit(", "), x["created_at"], F.lit(")*:\n"), strip(x["body"]), F.lit("\n"))
-    )
-    space = F.lit(" ")
-    full = F.concat(title, space, body, space, F.array_join(F.transform("c", lambda x: x["body"]), " "))
-    return joined.withColumns({"m": conversation, "full": full}).select(
+    full = F.concat_ws(" ", title, body, F.array_join(bodies, " "))
+    return joined.withColumn("full", full).select(
         "thread_id",
         "community",
         "title",
@@ -126,13 +122,9 @@ def threads(posts: DataFrame, comments: DataFrame) -> DataFrame:
         when.alias("post_created_at"),
         F.col("score").alias("post_score"),
         body.alias("post_body"),
-        "comment_count",
-        "best_answer_id",
-        "best_answer_author",
-        "best_answer_score",
-        "best_answer_body",
+        *BEST,
         F.size("m").cast("long").alias("conversation_turns"),
-        F.concat(F.lit("["), F.array_join(F.transform("m", as_json), ", "), F.lit("]")).alias("conversation_json"),
+        F.concat(F.lit("["), F.array_join(F.transform("m", lambda x: x["json"]), ", "), F.lit("]")).alias("conversation_json"),
         F.array_join(F.concat(head, lines), "\n").alias("discussion_transcript"),
         F.size(tokens(F.col("full"))).cast("long").alias("total_word_count"),
         F.length("full").cast("long").alias("total_char_count"),

@@ -46,8 +46,7 @@ def clean_answer(c: Column) -> Column:
     """Link texts without targets, no URLs, no sign-off to the end of its line, single spaces."""
     c = F.regexp_replace(c, r"\[([^\]]+)\]\([^)]+\)", "$1")
     c = F.regexp_replace(c, r"https?://" + NO_SPACE + "+", "")
-    chatter = CHATTER_PATTERN.replace("good luck|cheers", "cheers|good luck")
-    c = F.regexp_replace(c, "(?i)" + pattern(chatter) + r"[^\n]*", "")
+    c = F.regexp_replace(c, "(?i)" + pattern(CHATTER_PATTERN) + r"[^\n]*", "")
     return strip(F.regexp_replace(c, SPACE + "+", " "))
 
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from ..fixed import BOTS, CHATTER_PATTERN, CONCEPTS, EMPTY_BODIES, FAILURE_MODES, OTHER_FAILURE, PROMO_DECISION, SHORT_CONCEPTS, STOP_WORDS, SYSTEM_PROMPT
+from ..fixed import BOTS, CHATTER_PATTERN, CONCEPTS, EMPTY_BODIES, FAILURE_MODES, OTHER_FAILURE, PROMO_DECISION, PROMO_PATTERNS, SHORT_CONCEPTS, STOP_WORDS, SYSTEM_PROMPT
 from ..functions.text import NO_SPACE, SPACE, WHITE
-from .views import BASE_RECORDS, COMPLETIONS, DECISIONS, ITEM_ROWS, ITEMS, RECORDS, duck
+from .views import BASE_RECORDS, COMPLETIONS, DECISIONS, ITEM_ROWS, ITEMS, RAW_LINES, RECORDS, duck
 
 
 def q(text: str) -> str:
@@ -80,9 +80,10 @@ FULL = "p.title || ' ' || p.body || ' ' || coalesce(b.bodies, '')"
 HEAD = """'# ' || p.title || chr(10) || '**Author:** ' || p.author || ' | **Score:** ' || p.score || ' | **Date:** ' || p.created_at || chr(10) || chr(10)
   || CASE WHEN p.body = '' THEN '*(No body text)*' ELSE p.body END || chr(10) || chr(10) || '---' || chr(10) || '## Discussion & Solutions' || chr(10)"""
 
-PROMO = r"""(regexp_matches(' ' || both_ || ' ', '[^\p{L}\p{N}_](discord(\.gg|\.com|@+server)?|telegram|whatsapp|join@+(our|the)@+(discord|server|community|group)|subreddit@+(rules|update|moderator|feedback)|welcome@+to@+(the@+)?(sub|community|rag)|weekly@+discussion@+thread|monthly@+recap)[^\p{L}\p{N}_]')
+INNER = "|".join(p.removeprefix(r"\b").removesuffix(r"\b") for p in PROMO_PATTERNS).replace(r"\s", SPACE)
+PROMO = rf"""(regexp_matches(' ' || both_ || ' ', '[^\p{{L}}\p{{N}}_]({INNER})[^\p{{L}}\p{{N}}_]')
   OR (regexp_matches(body_, '^https?://') AND len(words_) <= 10)
-  OR (length(body_) < 100 AND regexp_matches(body_, 'https?://') AND len([w for w in words_ if w NOT LIKE 'http%']) < 6))""".replace("@", SPACE)
+  OR (length(body_) < 100 AND regexp_matches(body_, 'https?://') AND len([w for w in words_ if w NOT LIKE 'http%']) < 6))"""
 
 DECIDED = f"""
 rows_ AS ({duck(DECISIONS)}),
@@ -197,10 +198,48 @@ CASE WHEN contains(text, '<think>') AND contains(text, '</think>') THEN
        CASE WHEN {HAS} AND length({strip(FIRST)}) >= 50 THEN CASE WHEN contains(text, '<answer>') AND contains(text, '</answer>') THEN 1.0 ELSE 0.8 END ELSE 0.4 END
      WHEN contains(text, '<think>') OR contains(text, '</think>') THEN -0.5 ELSE -1.0 END::DOUBLE"""
 
+
+
+def member(name: str) -> str:
+    """A member as text, null where it is absent, null, empty, zero or false."""
+    return f"""CASE WHEN json_type(v -> '$.{name}') IS NULL OR json_type(v -> '$.{name}') = 'NULL' OR (v ->> '$.{name}') = ''
+      OR (json_type(v -> '$.{name}') <> 'VARCHAR' AND (v ->> '$.{name}') IN ('0', '0.0', 'false', '[]', '{{}}')) THEN NULL ELSE v ->> '$.{name}' END"""
+
+
+def stripped(*names: str) -> str:
+    return strip(f"coalesce({', '.join(member(n) for n in names)}, '')")
+
+
+NORMAL = f"""
+lines AS (SELECT src, ord, TRY_CAST({strip('line')} AS JSON) AS j FROM ({duck(RAW_LINES)}) r WHERE {strip('line')} <> ''),
+opened AS (SELECT src, ord, CASE WHEN json_type(j) <> 'OBJECT' THEN NULL WHEN json_type(j -> '$.data') = 'OBJECT' THEN j -> '$.data' ELSE j END AS v FROM lines),
+members AS (
+  SELECT src, ord, v, {stripped('id')} AS id, {stripped('link_id')} AS link, {stripped('parent_id')} AS parent, {strip(f"coalesce({member('author')}, '[deleted]')")} AS author,
+         lower({strip(f"coalesce({member('subreddit')}, {member('community')}, 'rag')")}) AS community, TRY_CAST(coalesce({member('created_utc')}, {member('created')}) AS DOUBLE) AS seconds,
+         {stripped('title')} AS title, {stripped('selftext', 'body')} AS post_body, {stripped('body')} AS comment_body, json_type(v -> '$.score') AS kind, v ->> '$.score' AS score_
+  FROM opened
+),
+normal AS (
+  SELECT src, ord, coalesce(id, '') = '' AS malformed, 'community_forum' AS source, community, id, CASE WHEN src = 1 THEN parent ELSE '' END AS parent_id,
+         CASE WHEN src = 0 THEN id WHEN link LIKE 't3\\_%' ESCAPE '\\' THEN substr(link, 4) WHEN parent LIKE 't3\\_%' ESCAPE '\\' THEN substr(parent, 4) WHEN link <> '' THEN link ELSE parent END AS post_id,
+         author, CASE WHEN seconds BETWEEN 946684800 AND 4102444800 THEN strftime(make_timestamp(CAST(floor(seconds) AS BIGINT) * 1000000), '%Y-%m-%dT%H:%M:%S')
+                      || CASE WHEN seconds > floor(seconds) THEN '.' || lpad(CAST(CAST(round((seconds - floor(seconds)) * 1000000) AS BIGINT) AS VARCHAR), 6, '0') ELSE '' END || '+00:00' ELSE '' END AS created_at,
+         CASE WHEN src = 0 THEN title ELSE '' END AS title, CASE WHEN src = 0 THEN post_body ELSE comment_body END AS body,
+         CASE WHEN kind = 'VARCHAR' THEN CASE WHEN regexp_matches(score_, '^[+-]?[0-9]+$') THEN TRY_CAST(score_ AS BIGINT) ELSE 0 END WHEN kind = 'BOOLEAN' THEN CAST(score_ = 'true' AS BIGINT)
+              WHEN kind = 'NULL' OR kind IS NULL THEN 0 ELSE CAST(trunc(TRY_CAST(score_ AS DOUBLE)) AS BIGINT) END::BIGINT AS score
+  FROM members
+)
+"""
+FIELDS = "source, community, id, parent_id, post_id, author, created_at, title, body, score, ord"
+
 FIRSTS = f"firsts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY src, ord) AS rn FROM ({duck(RECORDS)}) r) x WHERE rn = 1)"
 RECORD_COLUMNS = "source, community, id, parent_id, post_id, author, created_at, title, body, score, src, ord"
 
 ORACLES = {
+    "ingest_normalize_posts": f"WITH {NORMAL} SELECT {FIELDS} FROM normal WHERE src = 0 AND NOT malformed",
+    "ingest_normalize_comments": f"WITH {NORMAL} SELECT {FIELDS} FROM normal WHERE src = 1 AND NOT malformed",
+    "ingest_malformed": f"WITH {NORMAL} SELECT src, count(*) FILTER (malformed) AS malformed, count(*) FILTER (NOT malformed) AS well_formed FROM normal GROUP BY src",
+    "ingest_distinct_ids": f"WITH {NORMAL} SELECT id, src, ord FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY src, ord) AS rn FROM normal WHERE NOT malformed) x WHERE rn = 1",
     "ingest_dedup_first": f"WITH {FIRSTS} SELECT {RECORD_COLUMNS} FROM firsts",
     "ingest_health": f"""WITH {FIRSTS}
 SELECT count(*) AS total_records, count(*) FILTER (src = 0) AS posts, count(*) FILTER (src = 1) AS comments,
@@ -233,6 +272,17 @@ FROM decided""",
     "taxonomy_distribution": f"WITH {DECIDED} SELECT taxonomy_topic, count(*) AS n FROM decided WHERE NOT pre_filtered GROUP BY taxonomy_topic",
     "model_states": f"""WITH rows_ AS ({duck(DECISIONS)})
 SELECT thread_id, {TITLE} AS title, nullif(substring({BODY}, 1, 600), '') AS post_body, nullif(substring({strip('best_answer_body')}, 1, 600), '') AS best_answer FROM rows_""",
+    "notebook_states": f"""WITH rows_ AS ({duck(DECISIONS)})
+SELECT thread_id, title, nullif(substring(post_body, 1, 600), '') AS post_body, nullif(substring({strip('best_answer_body')}, 1, 600), '') AS best_answer FROM rows_""",
+    "audit_rows": f"""WITH {DECIDED}
+SELECT thread_id, title, taxonomy_topic, translate(substring(post_body, 1, 140), chr(10), ' ') AS post, translate(substring(best_answer_body, 1, 140), chr(10), ' ') AS answer
+FROM decided JOIN rows_ USING (thread_id) WHERE curation_passed ORDER BY thread_id LIMIT 20""",
+    "scored_by_plugin": f"""WITH {DECIDED}, asked AS (
+  SELECT thread_id, promo, length(substring({BODY}, 1, 600)) % 100 / 100.0::DOUBLE AS noul, (length({TITLE}) % 3)::DOUBLE AS score FROM marked
+)
+SELECT thread_id, CASE WHEN promo THEN {PROMO_DECISION[0]} ELSE noul END::DOUBLE AS is_rag_related, CASE WHEN promo THEN {PROMO_DECISION[1]} ELSE score END::DOUBLE AS technical_quality_score,
+       CASE WHEN promo THEN {q(PROMO_DECISION[2])} ELSE 'retrieval' END AS taxonomy_topic, NOT promo AND noul >= 0.6::DOUBLE AND score >= 0.6::DOUBLE AS curation_passed
+FROM asked""",
     "split_by_language": f"WITH {SPLIT} SELECT * FROM split_",
     "split_distribution": f"WITH {SPLIT} SELECT split, lang, count(*) AS n FROM split_ GROUP BY split, lang",
     "split_leakage": f"WITH {SPLIT} SELECT count(*) AS shared_ids FROM (SELECT doc_id FROM split_ GROUP BY doc_id HAVING count(DISTINCT split) > 1) x",
@@ -247,6 +297,8 @@ SELECT thread_id, user,
        || '4. Verified Resolution: Structure definitive technical guidance with explicit operational steps.' || chr(10) || '</think>' || chr(10)
        || '<answer>' || chr(10) || clean || chr(10) || '</answer>' AS assistant
 FROM found""",
+    "sft_first": None,
+    "sft_text": None,
     "reasoning_traces": f"""WITH {ANSWERS}
 SELECT id, CASE WHEN {HAS} THEN {strip(FIRST)} END AS trace, CASE WHEN {HAS} THEN {REST} ELSE {strip('text')} END AS answer,
        CASE WHEN NOT (contains(text, '<think>') AND contains(text, '</think>')) THEN text
@@ -272,6 +324,13 @@ SELECT doc_id, {HAS} AS has_thinking_trace, CASE WHEN {HAS} THEN length({strip(F
        length(CASE WHEN {HAS} THEN {REST} ELSE {strip('text')} END) AS answer_length_chars, tokens::DOUBLE / seconds AS tokens_per_second
 FROM covered""",
     "eval_rollup": f"{LOOSELY} {ROLLUP}",
+    "eval_categories": f"{LOOSELY} SELECT category, 100 * avg(recall) AS recall_pct FROM covered GROUP BY category",
+    "eval_answers": f"""{STRICTLY}
+SELECT doc_id, id, CASE WHEN {HAS} THEN {strip(FIRST)} ELSE '' END AS thinking_trace, recall,
+       CASE WHEN NOT (contains(text, '<think>') AND contains(text, '</think>')) THEN text
+            WHEN regexp_matches(text, '(?s)<answer>.*?</answer>') THEN {strip("regexp_extract(text, '(?s)<answer>(.*?)</answer>', 1)")}
+            ELSE {strip("string_split(text, '</think>')[-1]")} END AS final_answer
+FROM covered""",
     "eval_compare": f"""{LOOSELY}, {covered(STRICT, 'strictly')}
 SELECT category, left_pct, coalesce(right_pct, 0.0::DOUBLE) AS right_pct
 FROM (SELECT category, 100 * avg(recall) AS left_pct FROM covered GROUP BY category) a
@@ -286,6 +345,16 @@ UNION ALL SELECT 'difficulty', difficulty, count(*) FROM items GROUP BY difficul
 UNION ALL SELECT 'test_type', test_type, count(*) FROM items GROUP BY test_type""",
     "benchmark_faults": f"""WITH items AS ({duck(ITEMS)})
 SELECT count(*) - count(DISTINCT id) AS repeated_ids, count(*) FILTER (category = '' OR difficulty = '' OR test_type = '') AS blank_labels,
-       count(*) FILTER (length(question) < 20) AS short_questions, count(*) FILTER (len(string_split(concepts, '|')) < 1) AS few_concepts
+       count(*) FILTER (length({strip('question')}) < 21) AS short_questions, count(*) FILTER (len(string_split(concepts, '|')) < 3) AS few_concepts,
+       count(*) FILTER (length({strip('reasoning')}) < 51) AS short_reasoning, count(*) FILTER (coalesce(correctness, '') = '' OR coalesce(grounding, '') = '' OR coalesce(tradeoffs, '') = '') AS blank_rubrics,
+       6 - count(DISTINCT category) FILTER (category IN ({', '.join(map(q, CONCEPTS))})) AS missing_categories, count(*) FILTER (category NOT IN ({', '.join(map(q, CONCEPTS))})) AS foreign_categories,
+       greatest(10 - count(*), 0) AS missing_items
 FROM items""",
 }
+SFT = ORACLES["sft_records"]
+#: The first long answers are taken before their cleaned text is judged; the template wraps the three messages.
+ORACLES["sft_first"] = "SELECT thread_id, assistant FROM (" + SFT.replace("WHERE length(reference_answer) >= 150)", "WHERE length(reference_answer) >= 150 ORDER BY thread_id LIMIT 150)") + ") t"
+ORACLES["sft_text"] = f"""SELECT thread_id, '<|system|>' || chr(10) || {q(SYSTEM_PROMPT)} || chr(10) || '<|user|>' || chr(10) || "user" || chr(10) || '<|assistant|>' || chr(10) || assistant || chr(10) AS text FROM ({SFT}) t"""
+ORACLES["reward_composite"] = "SELECT id, f.reward AS reward_format, c.reward AS reward_concepts, g.reward AS reward_grounding, r.reward AS reward_repetition FROM " + " JOIN ".join(
+    f"({ORACLES[k]}) {a}" + (" USING (id)" if n else "") for n, (k, a) in enumerate([("reward_format", "f"), ("reward_concepts", "c"), ("reward_grounding", "g"), ("reward_repetition", "r")])
+)

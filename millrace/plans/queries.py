@@ -6,17 +6,41 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..fixed import SHORT_CONCEPTS
+from ..fixed import CONCEPTS, SHORT_CONCEPTS
 from ..functions import rewards
-from ..functions.text import reasoning, tagged_answer
+from ..functions.text import reasoning, strip, tagged_answer
 from ..operators import curate, evaluate, ingest, split, threads, training
-from .views import BASE_RECORDS, COMPLETIONS, DECISIONS, ITEM_ROWS, ITEMS, RECORDS, view
+from ..sources.files import open_objects
+from .views import BASE_RECORDS, COMPLETIONS, DECISIONS, ITEM_ROWS, ITEMS, RAW_LINES, RECORDS, spread, view
 
 
 def parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return threads.kept_parts(view(spark, sf_dir, BASE_RECORDS))
 
 
+def raw_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of posts and of comments through the tolerant reader's rules, malformed ones included."""
+    lines = view(spark, sf_dir, RAW_LINES).withColumn("line", strip(F.make_valid_utf8("line"))).where("line <> ''")
+    part = lambda src: ingest.normalize(open_objects(lines.where(F.col("src") == src).drop("src")), bool(src))
+    return ingest.union_records(part(0), part(1))
+
+
+def ingest_normalize_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return raw_records(spark, sf_dir).where("src = 0 AND NOT malformed").drop("malformed", "src")
+
+
+def ingest_normalize_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return raw_records(spark, sf_dir).where("src = 1 AND NOT malformed").drop("malformed", "src")
+
+
+def ingest_malformed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return raw_records(spark, sf_dir).groupBy("src").agg(F.count_if("malformed").alias("malformed"), F.count_if(~F.col("malformed")).alias("well_formed"))
+
+
+def ingest_distinct_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.distinct_records(raw_records(spark, sf_dir)).select("id", "src", "ord")
+
+
 def ingest_dedup_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.first_of_each(view(spark, sf_dir, RECORDS), ["id"], ["src", "ord"])
 
@@ -79,6 +103,14 @@ def model_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curate.states(view(spark, sf_dir, DECISIONS))
 
 
+def notebook_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return curate.states(view(spark, sf_dir, DECISIONS), stripped=False)
+
+
+def audit_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return curate.audit(recorded(spark, sf_dir).where("curation_passed")).drop("is_rag_related", "technical_quality_score", "topic_confidence")
+
+
 def length_scorer():
     """A stand-in model: relevance from the body's length, quality from the title's."""
 
@@ -96,7 +128,7 @@ def scored_by_plugin(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def split_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,6 +157,20 @@ def sft_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("thread_id", F.col("messages")[1]["content"].alias("user"), F.col("messages")[2]["content"].alias("assistant"))
 
 
+def sft_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first long answers by id, taken before their cleaned text is judged."""
+    return training.fine_tuning(prompt_records(spark, sf_dir), first=150).select("thread_id", F.col("messages")[2]["content"].alias("assistant"))
+
+
+def plain_template():
+    """A stand-in for a tokenizer's chat template."""
+    return lambda messages: "".join(f"<|{m['role']}|>\n{m['content']}\n" for m in messages)
+
+
+def sft_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return training.apply_template(training.fine_tuning(prompt_records(spark, sf_dir), first=None), plain_template)
+
+
 def completions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, COMPLETIONS)
 
@@ -140,8 +186,8 @@ def reward_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reward_concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    score = lambda **k: rewards.concept_reward(F.col("text"), F.col("topic"), digits=None, **k)
-    return completions(spark, sf_dir).select("id", score().alias("reward"), score(concepts=SHORT_CONCEPTS).alias("notebook_reward"))
+    scored = rewards.concept_rewards(completions(spark, sf_dir), F.col("text"), F.col("topic"), {"reward": CONCEPTS, "notebook_reward": SHORT_CONCEPTS}, digits=None)
+    return scored.select("id", "reward", "notebook_reward")
 
 
 def reward_grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -153,6 +199,10 @@ def reward_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return completions(spark, sf_dir).select("id", rewards.repetition_reward(F.col("text"), digits=None).alias("reward"), short.alias("notebook_reward"))
 
 
+def reward_composite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return completions(spark, sf_dir).select("id", *(c.alias(k) for k, c in rewards.all_rewards(F.col("text"), F.col("topic"), F.col("reference"), digits=None).items()))
+
+
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, ITEM_ROWS).withColumn("expected_concepts", F.split("concepts", "[|]")).drop("concepts")
 
@@ -180,6 +230,14 @@ def eval_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.rollup(covered(spark, sf_dir))
 
 
+def eval_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.category_recall(covered(spark, sf_dir), digits=None)
+
+
+def eval_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.answer_rows(covered(spark, sf_dir, evaluate.strict_match)).select("doc_id", "id", "thinking_trace", "final_answer", "recall")
+
+
 def eval_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     some = covered(spark, sf_dir, evaluate.strict_match).where("category <> 'retrieval'")
     return evaluate.compare(evaluate.rollup(covered(spark, sf_dir)), evaluate.rollup(some))
@@ -194,15 +252,17 @@ def benchmark_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def benchmark_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluate.benchmark_faults(view(spark, sf_dir, ITEMS).withColumn("expected_concepts", F.split("concepts", "[|]")))
+    rubric = F.struct("correctness", "grounding", "tradeoffs").alias("scoring_rubric")
+    rows = view(spark, sf_dir, ITEMS).select("*", F.split("concepts", "[|]").alias("expected_concepts"), F.col("reasoning").alias("reference_reasoning"), rubric)
+    return evaluate.benchmark_faults(rows)
 
 
 QUERIES = {
     f.__name__: f
     for f in (
-        ingest_dedup_first, ingest_health, reject_reasons, thread_best_answer, thread_rows, thread_transcript, thread_conversation, thread_report,
-        conversation_turns, promo_filter, curation_decisions, curation_report, taxonomy_distribution, model_states, scored_by_plugin, split_by_language,
-        split_distribution, split_leakage, rl_prompts, sft_records, reasoning_traces, reward_format, reward_concepts, reward_grounding, reward_repetition,
-        concept_coverage, strict_coverage, question_rows, eval_rollup, eval_compare, trained_report, benchmark_metadata, benchmark_faults,
+        ingest_normalize_posts, ingest_normalize_comments, ingest_malformed, ingest_distinct_ids, ingest_dedup_first, ingest_health, reject_reasons, thread_best_answer, thread_rows, thread_transcript, thread_conversation, thread_report,
+        conversation_turns, promo_filter, curation_decisions, curation_report, taxonomy_distribution, model_states, notebook_states, audit_rows, scored_by_plugin, split_by_language,
+        split_distribution, split_leakage, rl_prompts, sft_records, sft_first, sft_text, reasoning_traces, reward_format, reward_concepts, reward_grounding, reward_repetition, reward_composite,
+        concept_coverage, strict_coverage, question_rows, eval_rollup, eval_categories, eval_answers, eval_compare, trained_report, benchmark_metadata, benchmark_faults,
     )
 }

@@ -37,6 +37,34 @@ SELECT source, community, id, parent_id, post_id, author, created_at, concat(tit
 FROM base WHERE ord % 9 = 2
 """
 
+#: Conversations as raw lines of JSON: envelopes, aliases, cut and foreign lines, blank ones, numbers as text, times of every kind.
+RAW_LINES = """
+WITH escaped AS (
+  SELECT conv_id, turn, conv_id * 7 + turn AS k,
+         replace(replace(replace(replace(coalesce(text, ''), chr(92), concat(chr(92), chr(92))), chr(34), concat(chr(92), chr(34))), chr(10), concat(chr(92), 'n')), chr(9), concat(chr(92), 't')) AS body
+  FROM {conversations}
+),
+objects AS (
+  SELECT conv_id, turn, k, concat(chr(123), '"',
+    CASE k % 29 WHEN 3 THEN 'id": null, "' WHEN 8 THEN '' WHEN 11 THEN concat('id": ', 100000 + k, ', "') ELSE concat('id": " c', conv_id, '_', turn, ' ", "') END,
+    CASE k % 7 WHEN 0 THEN '' WHEN 1 THEN 'author": null, "' WHEN 2 THEN 'author": "", "' ELSE concat('author": " user_', k % 50, ' ", "') END,
+    CASE k % 5 WHEN 0 THEN 'subreddit": "RAG ", "' WHEN 1 THEN 'community": "LocalModels", "' ELSE '' END,
+    CASE k % 6 WHEN 0 THEN 'created_utc": 1704067200.5, "' WHEN 1 THEN concat('created_utc": "', 1704067200 + k, '", "') WHEN 2 THEN concat('created": ', 1704067200 + k * 60, ', "')
+               WHEN 3 THEN 'created_utc": 12, "' WHEN 4 THEN 'created_utc": "soon", "' ELSE 'created_utc": 0, "created": 1706659200, "' END,
+    CASE k % 8 WHEN 0 THEN 'score": "12", "' WHEN 1 THEN 'score": 3.7, "' WHEN 2 THEN 'score": "4.5", "' WHEN 3 THEN 'score": null, "' WHEN 4 THEN 'score": true, "'
+               WHEN 5 THEN '' WHEN 6 THEN 'score": -3, "' ELSE concat('score": ', k, ', "') END,
+    CASE k % 4 WHEN 0 THEN concat('link_id": "t3_c', conv_id, '_0", "parent_id": "t1_x", "') WHEN 1 THEN concat('parent_id": "t3_c', conv_id, '_0", "')
+               WHEN 2 THEN 'link_id": "abc", "' ELSE 'parent_id": " t1_z", "' END,
+    concat('title": " Turn ', turn, ' of ', conv_id, '", "'),
+    CASE k % 3 WHEN 0 THEN 'selftext": "' ELSE 'body": "' END, body, '"', chr(125)) AS line
+  FROM escaped
+)
+SELECT CASE WHEN turn = 0 THEN 0 ELSE 1 END AS src, CAST(conv_id * 1000 + turn AS BIGINT) AS ord,
+       CASE k % 23 WHEN 4 THEN substr(line, 1, length(line) - 5) WHEN 9 THEN concat('[', line, ']') WHEN 14 THEN concat(chr(123), '"kind": "t1", "data": ', line, chr(125))
+                   WHEN 17 THEN '   ' WHEN 19 THEN concat('  ', line, ' ') ELSE line END AS line
+FROM objects
+"""
+
 #: Documents as completions with reasoning tags, answers, links, chatter and loops; topics and references to score against.
 COMPLETIONS = """
 SELECT doc_id AS id,
@@ -86,17 +114,28 @@ SELECT concat('q', item_id % 40) AS id, text AS question,
        CASE item_id % 4 WHEN 0 THEN 'the and|Thou-gh / onre or erea|Une (LA)'
             WHEN 1 THEN 'with by|of the|hybrid-search'
             WHEN 2 THEN 'Der Die / und|for (in)|knowledge graph'
-            ELSE 'que|thatre or de la|ed' END AS concepts
+            ELSE 'que|thatre or de la|ed' END AS concepts,
+       CASE WHEN item_id % 7 = 3 THEN 'too short' ELSE text END AS reasoning,
+       CASE WHEN item_id % 5 = 2 THEN NULL ELSE 'right' END AS correctness, 'sourced' AS grounding, CASE WHEN item_id % 11 = 4 THEN '' ELSE 'weighed' END AS tradeoffs
 FROM {benchmark}
 """
 #: Items in one row per id.
 ITEM_ROWS = f"SELECT id, min(question) AS question, min(category) AS category, min(difficulty) AS difficulty, min(test_type) AS test_type, min(concepts) AS concepts FROM ({ITEMS}) i GROUP BY id"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """`df`, dealt out over the cores if its files make fewer tasks than there are: work per row outweighs a shuffle of so little."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
 def view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     names = ["conversations", "documents", "labels", "benchmark"]
-    return spark.sql(sql, **{n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names if "{" + n + "}" in sql})
+    tables = {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names if "{" + n + "}" in sql}
+    return spark.sql(sql, **tables | ({"documents": spread(tables["documents"])} if "documents" in tables else {}))
 
 
 def duck(sql: str) -> str:
-    return sql.format(conversations="conversations", documents="documents", labels="labels", benchmark="benchmark")
+    for name in ("conversations", "documents", "labels", "benchmark"):
+        sql = sql.replace("{" + name + "}", name)
+    return sql

@@ -44,15 +44,16 @@ def kind(v: Column) -> Column:
 
 
 def read_json_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(ord, v): a VARIANT object per non-blank line in file order, null where the line is not a JSON object.
+    """(file, ord, v): a VARIANT object per non-blank line, null where the line is not a JSON object; (file, ord) is the order of lines, files by name.
 
     Invalid UTF-8 becomes U+FFFD; a missing file has no lines. An envelope `{"data": {...}}` is opened.
     A line must end with the closing brace, since the parser ignores what follows a value.
     """
     if not exists(spark, path):
-        return spark.createDataFrame([], "ord long, v variant")
+        return spark.createDataFrame([], "file string, ord long, v variant")
     line = strip(F.make_valid_utf8("value"))
-    return open_objects(spark.read.text(path).select(F.monotonically_increasing_id().alias("ord"), line.alias("line")).where("line <> ''"))
+    place = F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("ord")
+    return open_objects(spark.read.text(path).select(*place, line.alias("line")).where("line <> ''"))
 
 
 def open_objects(lines: DataFrame) -> DataFrame:
@@ -85,17 +86,26 @@ def write_json_lines(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
-def write_report(report: dict, path: str) -> dict:
-    """Write a report with its UTC time as indented JSON on the driver."""
+def write_report(report: dict, path: str, spark: SparkSession | None = None) -> dict:
+    """Write a report with its UTC time as indented JSON, through the file system of `path` if a session is given."""
     report = {"timestamp_utc": datetime.now(UTC).isoformat()} | report
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text(json.dumps(report, indent=2, ensure_ascii=False, default=str), encoding="utf-8")
+    text = json.dumps(report, indent=2, ensure_ascii=False, default=str)
+    if spark is None:
+        Path(path).parent.mkdir(parents=True, exist_ok=True)
+        Path(path).write_text(text, encoding="utf-8")
+    else:
+        fs, where = filesystem(spark, path)
+        out = fs.create(where, True)
+        try:
+            out.write(bytearray(text.encode()))
+        finally:
+            out.close()
     return report
 
 
 def counts_map(df: DataFrame, key: str, limit: int = 1000) -> dict[str, int]:
-    """Rows per value of a category column, for a report; a column with more than `limit` values is no category."""
-    found = df.groupBy(key).count().limit(limit + 1).collect()
-    if len(found) > limit:
-        raise ValueError(f"{key} has more than {limit} values")
-    return {r[0]: r[1] for r in found}
+    """Rows per value of a category column, for a report: the `limit` most frequent values, all others as `(other)`."""
+    counts = df.groupBy(key).count()
+    found = {r[0]: r[1] for r in counts.orderBy(F.desc("count"), key).limit(limit).collect()}
+    rest = (counts.agg(F.sum("count")).first()[0] or 0) - sum(found.values()) if len(found) == limit else 0
+    return found | ({"(other)": rest} if rest else {})

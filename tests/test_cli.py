@@ -3,6 +3,8 @@ import json
 import pandas as pd
 
 from millrace import cli
+from millrace.fixed import CONCEPTS
+from millrace.sources import files
 from millrace.streaming.ingest import stream_records
 
 
@@ -35,14 +37,22 @@ def test_stages_in_order(spark, tmp_path):
     cli.main(["inspect", "--path", f"{d}/good", "--num-samples", "1"])
 
     rubric = {"correctness": "c", "grounding": "g", "tradeoffs": "t"}
-    items = [{"id": f"q{k}", "category": "retrieval", "difficulty": "easy", "test_type": "x", "question": "What is hybrid search good for?", "expected_concepts": ["BM25", "reranker"], "reference_reasoning": "r", "scoring_rubric": rubric} for k in range(2)]
+    items = [{"id": f"q{k}", "category": list(CONCEPTS)[k % 6], "difficulty": "easy", "test_type": "x", "question": "What is hybrid search good for?", "expected_concepts": ["BM25", "reranker", "rank"], "reference_reasoning": "r" * 60, "scoring_rubric": rubric} for k in range(12)]
     (tmp_path / "bench.jsonl").write_text("\n".join(map(json.dumps, items)))
     got = run("benchmark", input_jsonl=f"{d}/bench.jsonl", output_jsonl=f"{d}/bench_out")
-    assert (got["total_questions"], got["categories"]) == (2, {"retrieval": 2})
-    answers = [{"id": "q0", "text": "<think>x</think>bm25 and a reranker", "tokens": 10, "seconds": 2.0}, {"id": "q1", "text": "bm25", "tokens": 30, "seconds": 2.0}]
+    assert (got["total_questions"], got["categories"]) == (12, dict.fromkeys(CONCEPTS, 2))
+    answers = [{"id": "q0", "text": "<think>x</think>bm25 and a reranker, rank", "tokens": 10, "seconds": 2.0}, {"id": "q1", "text": "bm25 and rank", "tokens": 30, "seconds": 2.0}]
     (tmp_path / "answers.jsonl").write_text("\n".join(map(json.dumps, answers)))
     got = run("evaluate", model_id="m", benchmark_path=f"{d}/bench_out", completions_path=f"{d}/answers.jsonl")
-    assert (got["overall_concept_recall"], got["overall_tokens_per_second"], got["category_summary"]) == (0.75, 10.0, {"retrieval": 0.75})
+    assert (got["overall_concept_recall"], got["overall_tokens_per_second"], got["category_summary"]) == (0.8334, 10.0, {"retrieval": 1.0, "chunking_and_indexing": 0.6667})
+    notebook = run("evaluate", form="notebook", model_id="m", benchmark_path=f"{d}/bench_out", completions_path=f"{d}/answers.jsonl")
+    assert (notebook["avg_recall_pct"], notebook["avg_speed_tok_s"], notebook["category_recall_pct"]["retrieval"], notebook["results"][1]["missing"]) == (83.34, 10.0, 100.0, ["reranker"])
+    trained = run("evaluate", form="trained", model_id="m", benchmark_path=f"{d}/bench_out", completions_path=f"{d}/answers.jsonl", results_path=f"{d}/rows")
+    assert (trained["baseline_recall_pct"], trained["delta_improvement_pct"], trained["thinking_trace_pct"]) == (23.08, 60.26, 50.0)
+    assert trained["results"][0]["has_think"] and spark.read.json(f"{d}/rows").count() == 2
+    built = run("benchmark", output_jsonl=f"{d}/own")
+    assert (built["total_questions"], built["version"], sum(built["categories"].values())) == (13, "1.0.0", 13)
+    assert files.read_benchmark(spark, f"{d}/own").count() == 13
     assert got["results"][0]["has_thinking_trace"] and got["results"][1]["missing_concepts"] == ["reranker"]
 
 

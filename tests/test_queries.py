@@ -21,8 +21,8 @@ def test_query_equals_sql(spark, con, name):
     assert_same(spark, con, QUERIES[name], ORACLES[name], SF)
 
 
-def test_only_the_plug_in_has_no_sql():
-    assert set(QUERIES) - set(ORACLES) == {"scored_by_plugin"}
+def test_every_query_has_sql():
+    assert set(QUERIES) == set(ORACLES)
 
 
 def test_plug_in(spark):
@@ -40,6 +40,10 @@ def test_inputs_are_not_vacuous(spark):
     assert len({r.reward for r in QUERIES["reward_concepts"](spark, SF).collect()}) > 5
     assert len({r.recall for r in QUERIES["concept_coverage"](spark, SF).collect()}) > 2
     assert {r.promo for r in QUERIES["promo_filter"](spark, SF).collect()} == {True, False}
+    bad = {r.src: (r.malformed, r.well_formed) for r in QUERIES["ingest_malformed"](spark, SF).collect()}
+    assert all(min(x) > 0 for x in bad.values()) and len(bad) == 2
+    faults = QUERIES["benchmark_faults"](spark, SF).first()
+    assert faults.short_reasoning and faults.blank_rubrics and not faults.missing_categories
     dup = QUERIES["ingest_dedup_first"](spark, SF).count()
     assert dup == view(spark, SF, BASE_RECORDS).count()
     assert view(spark, SF, COMPLETIONS).count() == view(spark, SF, DECISIONS).count()

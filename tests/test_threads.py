@@ -108,3 +108,16 @@ def test_thresholds_use_unrounded_values(spark):
     df = spark.createDataFrame([("t", 0.59996, 0.9, "x", 0.5)], "thread_id string, noul double, score double, choice string, confidence double")
     row = curate.decide(df).first()
     assert row.is_rag_related == 0.6 and not row.curation_passed
+
+
+def test_a_thread_of_many_comments(spark):
+    n = 100_000
+    comments = spark.range(n).select(
+        F.lit("p").alias("thread_id"), F.concat(F.lit("c"), "id").alias("id"), F.when(F.col("id") % 3 == 0, "op").otherwise("x").alias("author"), (F.col("id") % 50).alias("score"),
+        F.lit("2024-01-02").alias("created_at"), F.concat(F.lit("body "), "id").alias("body"), F.col("id").alias("ord"),
+    )
+    posts = spark.createDataFrame([("p", "c", "p", "op", "2024-01-01", "Title", "Body", 1)], "thread_id string, community string, id string, author string, created_at string, title string, body string, score long")
+    row = threads.threads(posts, comments).first()
+    messages = json.loads(row.conversation_json)
+    assert (row.comment_count, row.best_answer_id, row.best_answer_score) == (n, "c49", 49)
+    assert len(messages) == row.conversation_turns and "\n\n".join(m["content"] for m in messages).split("\n\n") == ["Title", "Body", *(f"body {k}" for k in range(n))]

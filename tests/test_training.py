@@ -1,7 +1,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.fixed import CONCEPTS, LONG_ONLY, SHORT_CONCEPTS
+from millrace import schemas
+from millrace.fixed import CONCEPTS, SHORT_CONCEPTS
 from millrace.functions import rewards, text
 from millrace.operators import evaluate, split, training
 
@@ -61,7 +62,7 @@ def test_concepts(spark):
     assert value(spark, score, x="bi encoder", t="retrieval") == 0.0
     assert value(spark, score, x=" ".join(CONCEPTS["retrieval"]), t="retrieval") == 2.0
     assert sum(map(len, CONCEPTS.values())) == 91 and len({t for v in CONCEPTS.values() for t in v}) == 90
-    assert sum(map(len, SHORT_CONCEPTS.values())) == 68 and not {t for v in SHORT_CONCEPTS.values() for t in v} & set(LONG_ONLY)
+    assert sum(map(len, SHORT_CONCEPTS.values())) == 68
 
 
 def test_grounding(spark):
@@ -152,7 +153,29 @@ def test_variants_and_coverage(spark):
 
 
 def test_benchmark_checks(spark):
-    rows = [("a", "c", "d", "t", "A question that is long enough", ["x"]), ("a", "", "d", "t", "short", [])]
-    df = spark.createDataFrame(rows, "id string, category string, difficulty string, test_type string, question string, expected_concepts array<string>")
-    assert tuple(evaluate.benchmark_faults(df).first()) == (1, 1, 1, 1)
-    assert {(r.field, r.value): r.n for r in evaluate.benchmark_metadata(df).collect()}[("difficulty", "d")] == 2
+    whole, part = ("right", "sourced", "weighed"), ("right", None, "weighed")
+    rows = [("a", "retrieval", "d", "t", "A question that is long enough", ["x", "y", "z"], "r" * 51, whole), ("a", "", "d", "t", "short", ["x"], " r ", part)]
+    found = evaluate.benchmark_faults(spark.createDataFrame(rows, schemas.BENCHMARK)).first()
+    assert found.asDict() == {
+        "repeated_ids": 1, "blank_labels": 1, "short_questions": 1, "few_concepts": 1, "short_reasoning": 1, "blank_rubrics": 1, "missing_categories": 5, "foreign_categories": 1, "missing_items": 8,
+    }
+    items = evaluate.suite(spark)
+    assert items.count() == 13 and not any(evaluate.benchmark_faults(items).first())
+    assert {(r.field, r.value): r.n for r in evaluate.benchmark_metadata(items).collect()}[("category", "retrieval")] == 3
+
+
+def test_trainer_callables(spark):
+    texts = ["<think>" + "t" * 50 + "</think> use bm25 " + "a" * 30, {"role": "assistant", "content": "bm25"}, [{"content": "good luck"}, "x"]]
+    functions = rewards.callables(spark)
+    assert [f.__name__ for f in functions] == ["reward_format", "reward_concepts", "reward_grounding", "reward_repetition"]
+    assert functions[0](texts) == [0.8, -1.0, -1.0]
+    assert functions[1](texts, taxonomy_topic=["retrieval"] * 3, other=1) == [0.4, 0.4, 0.0]
+    assert functions[2](texts, reference_answer=["", None, "good luck"])[:2] == [0.5, 0.5]
+    assert text.completion_text(texts[2]) == "good luck\nx" and text.completion_text({"role": "x"}) == ""
+
+
+def test_presets_are_searched_together(spark):
+    df = spark.createDataFrame([("<think>bm25 and docker</think> dot product, graph rag", t) for t in ("retrieval", "tooling_and_frameworks", None, "unknown")], "x string, t string")
+    got = rewards.concept_rewards(df, F.col("x"), F.col("t"), {"long": CONCEPTS, "short": SHORT_CONCEPTS}).collect()
+    alone = df.select(rewards.concept_reward(F.col("x"), F.col("t")).alias("a"), rewards.concept_reward(F.col("x"), F.col("t"), SHORT_CONCEPTS).alias("b")).collect()
+    assert [(r.long, r.short) for r in got] == [tuple(r) for r in alone] and len({r.long for r in got}) > 2

@@ -13,11 +13,28 @@ from ..sources.files import kind, read_json_lines
 EARLIEST, LATEST = 946684800, 4102444800
 
 
+MEMBERS = ["id", "link_id", "parent_id", "created_utc", "created", "subreddit", "community", "author", "title", "selftext", "body", "score"]
+
+
+def with_members(raw: DataFrame) -> DataFrame:
+    """`raw` with, for each member, __text_*, __kind_* and __given_*, its text or null where Python takes it for false (absent, null, "", 0, false, empty), in place of v.
+
+    Plain columns in projections of their own: a line is searched once for each member, however often the rules refer to it.
+    """
+    found = {f"__text_{k}": F.try_variant_get("v", f"$.{k}", "string") for k in MEMBERS} | {f"__kind_{k}": kind(F.try_variant_get("v", f"$.{k}", "variant")) for k in MEMBERS}
+    number = F.try_variant_get("v", "$.score", "double")
+
+    def given(name: str) -> Column:
+        text = F.col(f"__text_{name}")
+        false = (text == "") | (F.col(f"__kind_{name}") != "STRING") & text.rlike(r"^(-?0+(\.0+)?([eE].*)?|false|\[\]|\{\})$")
+        return F.when(~F.coalesce(false, F.lit(True)), text)
+
+    members = raw.withColumns(found | {"__number": number, "__broken": F.col("v").isNull()}).drop("v")
+    return members.withColumns({f"__given_{k}": given(k) for k in MEMBERS})
+
+
 def field(name: str) -> Column:
-    """A member as text; null where Python takes it for false (absent, null, "", 0, false, empty)."""
-    text, value = F.try_variant_get("v", f"$.{name}", "string"), F.try_variant_get("v", f"$.{name}", "variant")
-    false = (text == "") | (kind(value) != "STRING") & text.rlike(r"^(-?0+(\.0+)?([eE].*)?|false|\[\]|\{\})$")
-    return F.when(value.isNull() | F.coalesce(false, text.isNull()), None).otherwise(text)
+    return F.col(f"__given_{name}")
 
 
 def iso_time(seconds: Column) -> Column:
@@ -29,13 +46,12 @@ def iso_time(seconds: Column) -> Column:
     return F.when(seconds.between(EARLIEST, LATEST), text)
 
 
-def whole_number(name: str) -> Column:
-    """Integer text, or a number cut to an integer; 0 for all else."""
-    text, value = strip(F.try_variant_get("v", f"$.{name}", "string")), F.try_variant_get("v", f"$.{name}", "variant")
+def whole_number(text: Column, value: Column, number: Column) -> Column:
+    """Integer text, or a number cut to an integer; 0 for all else. `value` is the kind of the member."""
+    text = strip(text)
     as_text = F.when(text.rlike(r"^[+-]?[0-9]+$"), text.try_cast("bigint"))
-    as_number = F.try_variant_get("v", f"$.{name}", "double").try_cast("bigint")
     flag = F.when(text == "true", 1).otherwise(0)
-    return F.coalesce(F.when(kind(value) == "STRING", as_text).when(kind(value) == "BOOLEAN", flag).otherwise(F.coalesce(as_text, as_number)), F.lit(0)).cast("long")
+    return F.coalesce(F.when(value == "STRING", as_text).when(value == "BOOLEAN", flag).otherwise(F.coalesce(as_text, number.try_cast("bigint"))), F.lit(0)).cast("long")
 
 
 def post_of(link: Column, parent: Column) -> Column:
@@ -47,10 +63,10 @@ def post_of(link: Column, parent: Column) -> Column:
 def normalize(raw: DataFrame, comments: bool, source: str = "community_forum", keep: list[str] | None = None) -> DataFrame:
     """Records plus ord, malformed and the columns `keep`; malformed rows have no id."""
     text = lambda *names: strip(F.coalesce(*map(field, names), F.lit("")))
-    ident = F.coalesce(strip(field("id")), F.lit(""))
-    link, parent = text("link_id"), text("parent_id")
-    when = F.coalesce(field("created_utc"), field("created")).try_cast("double")
-    return raw.select(
+    made = {"__id": F.coalesce(strip(field("id")), F.lit("")), "__link": text("link_id"), "__parent": text("parent_id")}
+    rows = with_members(raw).withColumns(made | {"__when": F.coalesce(field("created_utc"), field("created")).try_cast("double")})
+    ident, link, parent, when = map(F.col, ("__id", "__link", "__parent", "__when"))
+    return rows.select(
         F.lit(source).alias("source"),
         F.lower(strip(F.coalesce(field("subreddit"), field("community"), F.lit("rag")))).alias("community"),
         ident.alias("id"),
@@ -60,9 +76,10 @@ def normalize(raw: DataFrame, comments: bool, source: str = "community_forum", k
         F.coalesce(iso_time(when), F.lit("")).alias("created_at"),
         (F.lit("") if comments else text("title")).alias("title"),
         (text("body") if comments else text("selftext", "body")).alias("body"),
-        whole_number("score").alias("score"),
+        whole_number(F.col("__text_score"), F.col("__kind_score"), F.col("__number")).alias("score"),
         "ord",
-        (F.col("v").isNull() | (ident == "")).alias("malformed"),
+        # rand is never negative; as it isn't deterministic, filters on this column stay above the parsing instead of repeating it
+        ((F.col("__broken") | (ident == "")) & (F.rand(0) >= 0)).alias("malformed"),
         *(keep or []),
     )
 

@@ -185,7 +185,34 @@ FROM sets JOIN roots ON id = doc_id
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = decontamination.contaminated(docs, table(spark, sf_dir, "benchmark"), keep=["doc_id"])
-    return out.select("doc_id", (F.size("__items") > 0).alias("contaminated"), F.col("__items").alias("item_ids"), F.col("__overlap").alias("overlap"))
+    items = F.array_join(F.transform("__items", lambda x: x.cast("string")), ",", "null")
+    return out.select("doc_id", (F.size("__items") > 0).alias("contaminated"), items.alias("item_ids"), F.col("__overlap").cast("long").alias("overlap"))
+
+
+OP9_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(lower(coalesce(text, '')), '(?:[a-z0-9]|[^\x00-\x7F\p{P}\p{S}\p{Z}\p{Cc}\p{Cf}])+') AS w FROM documents
+), i AS (
+  SELECT row_number() OVER () AS iid, item_id, regexp_extract_all(lower(coalesce(text, '')), '(?:[a-z0-9]|[^\x00-\x7F\p{P}\p{S}\p{Z}\p{Cc}\p{Cf}])+') AS w FROM benchmark
+), sized AS (
+  SELECT iid, item_id, w, len(w) AS n, least(len(w), 13) AS win, least(len(w), 13) - least(len(w), 13) * 2 // 13 AS agree FROM i WHERE len(w) > 0
+), dw AS (
+  SELECT rid, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d
+), iw AS (
+  SELECT iid, agree, unnest(w) AS word, generate_subscripts(w, 1) AS q FROM sized
+), aligned AS (
+  SELECT rid, iid, p - q AS shift, list(q) AS qs FROM dw JOIN iw USING (word) GROUP BY rid, iid, p - q HAVING count(*) >= min(agree)
+), placed AS (
+  SELECT a.rid, a.iid, item_id, shift, qs, win, agree, len(d.w) AS dn, unnest(range(1, n - win + 2)) AS start FROM aligned a JOIN sized USING (iid) JOIN d USING (rid)
+), judged AS (
+  SELECT rid, iid, item_id, len([x for x in qs if x >= start AND x < start + win]) AS same, agree FROM placed WHERE start + shift >= 1 AND start + shift + win - 1 <= dn
+), items AS (
+  SELECT rid, iid, item_id, max(same) AS same FROM judged WHERE same >= agree GROUP BY rid, iid, item_id
+), found AS (
+  SELECT rid, string_agg(coalesce(item_id::VARCHAR, 'null'), ',' ORDER BY item_id NULLS LAST) AS item_ids, max(same) AS overlap FROM items GROUP BY rid
+)
+SELECT doc_id, item_ids IS NOT NULL AS contaminated, coalesce(item_ids, '') AS item_ids, coalesce(overlap, 0)::BIGINT AS overlap FROM d LEFT JOIN found USING (rid)
+"""
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -200,6 +227,31 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+OP5_SQL = """
+WITH docs AS (
+  SELECT row_number() OVER () AS rid, doc_id, encode(coalesce(text, '')) AS b FROM documents
+), starts AS (
+  SELECT rid, unnest(range(1, octet_length(b) - 198)) AS s FROM docs WHERE octet_length(b) >= 200
+), windows AS (
+  SELECT rid, s, count(*) OVER (PARTITION BY md5(b[s:s + 199])) AS n FROM starts JOIN docs USING (rid)
+), steps AS (
+  SELECT rid, s, CASE WHEN s > lag(s) OVER (PARTITION BY rid ORDER BY s) + 200 THEN 1 ELSE 0 END AS step FROM windows WHERE n > 1
+), numbered AS (
+  SELECT rid, s, sum(step) OVER (PARTITION BY rid ORDER BY s) AS span FROM steps
+), spans AS (
+  SELECT rid, span, min(s) AS lo, max(s) + 200 AS hi FROM numbered GROUP BY rid, span
+), cuts AS (
+  SELECT rid, lo, hi, coalesce(lag(hi) OVER (PARTITION BY rid ORDER BY lo), 1) AS before FROM spans
+), kept AS (
+  SELECT rid, count(*) AS n_spans, sum(hi - lo) AS n_removed, max(hi) AS rest,
+         string_agg(CASE WHEN lo > before THEN hex(b[before:lo - 1]) ELSE '' END, '' ORDER BY lo) AS head FROM cuts JOIN docs USING (rid) GROUP BY rid
+)
+SELECT doc_id, octet_length(b) AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       CASE WHEN rest IS NULL THEN sha256(b) ELSE sha256(unhex(head || CASE WHEN rest <= octet_length(b) THEN hex(b[rest:octet_length(b)]) ELSE '' END)) END AS kept_sha256
+FROM docs LEFT JOIN kept USING (rid)
+"""
+
+
 QUERIES = {
     "op1_packed_tokens": op1_packed_tokens,
     "op2_ngram_jaccard": op2_ngram_jaccard,
@@ -212,4 +264,12 @@ QUERIES = {
     "op9_decontamination": op9_decontamination,
     "op10_token_counts": op10_token_counts,
 }
-ORACLES = {"op2_ngram_jaccard": OP2_SQL, "op3_mixing": OP3_SQL, "op4_warc": OP4_SQL, "op6_exact_dedup": OP6_SQL, "op8_chat_format": OP8_SQL}
+ORACLES = {
+    "op2_ngram_jaccard": OP2_SQL,
+    "op3_mixing": OP3_SQL,
+    "op4_warc": OP4_SQL,
+    "op5_suffix_dedup": OP5_SQL,
+    "op6_exact_dedup": OP6_SQL,
+    "op8_chat_format": OP8_SQL,
+    "op9_decontamination": OP9_SQL,
+}

@@ -1,5 +1,6 @@
 import math
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -267,3 +268,83 @@ def test_short_items_with_one_word_in_curly_quotes(spark):
     texts = ["a: why does the sky look so \u201cred\u201d at noon in summer!", "Name \u2018three\u2019 rivers.", "name five rivers", "why does the sky seem so red at noon in summer"]
     got = decontamination.contaminated(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), bench)
     assert {r.doc_id: r["__items"] for r in got.collect()} == {0: [1], 1: [2], 2: [], 3: []}
+
+
+def segmentations(word, pieces):
+    """Every way to cut a word into pieces and unknown characters, with the pieces used."""
+    if not word:
+        yield []
+        return
+    for size in range(1, len(word) + 1):
+        if (p := word[:size]) in pieces:
+            yield from ([p, *rest] for rest in segmentations(word[size:], pieces))
+    yield from ([None, *rest] for rest in segmentations(word[1:], pieces))
+
+
+def brute_model(docs, pieces):
+    """Piece probabilities by language: expectation maximisation over all segmentations."""
+    tables = {}
+    for lang in sorted({k for _, _, k in docs}):
+        words = [w for _, t, k in docs if k == lang for w in (t or "").split()]
+        table = dict.fromkeys(pieces, 1 / len(pieces))
+        for _ in range(language_id.ROUNDS):
+            total = dict.fromkeys(pieces, language_id.SMOOTHING)
+            for w in words:
+                ways = [(s, math.prod(language_id.UNKNOWN if p is None else table[p] for p in s)) for s in segmentations("▁" + w, table)]
+                whole = sum(x for _, x in ways)
+                for s, x in ways:
+                    for p in s:
+                        if p is not None:
+                            total[p] += x / whole
+            table = {p: x / sum(total.values()) for p, x in total.items()}
+        tables[lang] = table
+    return tables
+
+
+def test_language_id_equals_brute_force(spark, monkeypatch):
+    rng = random.Random(8)
+    pieces = ["▁", "▁a", "▁b", "a", "b", "c", "ab", "bc", "abc", "é", "▁ab", "ca"]
+    monkeypatch.setattr(language_id, "load_pieces", lambda path: pieces)
+    say = lambda letters: " ".join("".join(rng.choice(letters) for _ in range(rng.randint(1, 6))) for _ in range(rng.randint(1, 9)))
+    rows = [(k, say(["aab", "bcc", "aéz"][k % 3]), ["x", "y", "z"][k % 3]) for k in range(60)] + [(60, "a b　c", "x"), (61, None, "x"), (62, "12 - 3", "y"), (63, "abc", None), (None, "abc", "q"), (64, "", "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumns({"__lang": F.lit("gone"), "made": F.lit("kept")})
+    learned = [(k, t, lang) for k, t, lang in rows if k is not None and lang and t is not None and zlib.crc32(str(k).encode()) % 4 != 2]
+    tables = brute_model(learned, pieces)
+    out = language_id.identify(df, language_id.fit(df))
+    assert out.columns == ["doc_id", "text", "lang", "made", "__lang", "__score"]
+    got = {(r.doc_id, r.text): (r["__lang"], r["__score"]) for r in out.collect()}
+    for k, t, _ in rows:
+        if not any(map(str.isalpha, t or "")):
+            assert got[k, t] == ("und", 0.0)
+            continue
+        logs = {
+            lang: sum(math.log(sum(math.prod(language_id.UNKNOWN if p is None else table[p] for p in s) for s in segmentations("▁" + w, table))) for w in t.split())
+            for lang, table in tables.items()
+        }
+        best = max(sorted(logs), key=logs.get)
+        assert got[k, t][0] == best and got[k, t][1] == pytest.approx(1 / sum(math.exp(x - logs[best]) for x in logs.values()))
+
+
+def test_the_fit_reads_a_bounded_sample_of_every_language(spark):
+    words = ["alpha", "beta", "gamma"]
+    df = spark.range(9000).select(F.col("id").alias("doc_id"), F.concat(F.lit(words[0]), F.col("id") % 300).alias("text"), F.concat(F.lit("l"), F.col("id") % 300).alias("lang"))
+    model = language_id.fit(df, max_rows=600)
+    assert len(model.langs) == 300 and not np.isclose(model.table[:-1].max(axis=0), 1 / (len(model.table) - 1)).any()
+
+
+def test_unspaced_scripts_are_learned(spark):
+    say = {"ja": "これは長い文章ですから分かち書きはしませんがそれでも学習できなければなりません" * 3, "th": "ภาษาไทยเขียนติดกันโดยไม่มีช่องว่างระหว่างคำจึงต้องเรียนรู้ได้เช่นกัน" * 3, "en": "the words of this text stand apart from one another " * 3}
+    df = spark.createDataFrame([(k, t[k % 20 :], lang) for k in range(40) for lang, t in say.items()], "doc_id long, text string, lang string")
+    got = language_id.identify(df.withColumn("text", F.substring("text", 5, 60)), language_id.fit(df))
+    assert {r.lang for r in got.collect()} == {r["__lang"] for r in got.collect()} and got.where("lang <> __lang").count() == 0
+
+
+def test_packing_null_ids_repeats_and_odd_spaces(spark):
+    rows = [(None, "a  b\x00c " * 3000), (None, "lone"), (5, "x y"), (5, "x y"), (6, None)]
+    got = packing.pack_documents(spark.createDataFrame(rows, "doc_id long, text string"), size=64).collect()
+    import tiktoken
+
+    plain = tiktoken.Encoding("plain", pat_str=packing.PATTERN, mergeable_ranks=load_ranks(), special_tokens={})
+    found = sorted((str(d), o) for r in got for d, o in zip(r.doc_ids, r.doc_offsets, strict=True))
+    want = sorted((str(k), o) for k, t in rows for o in range(0, len(plain.encode_ordinary(t or "")), 64))
+    assert found == want and sum(r.n_tokens for r in got) == sum(len(plain.encode_ordinary(t or "")) for _, t in rows)

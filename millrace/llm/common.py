@@ -46,19 +46,28 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Python workers of this session get at most `rows` rows at a time: ten thousand long texts, on both sides, are much memory. A setting of the session's own stays."""
+    if spark.conf.get(BATCH_ROWS) == "10000":  # Spark's default
+        spark.conf.set(BATCH_ROWS, str(rows))
+
+
 def materialize(df: DataFrame, name: str = "step", batch_rows: int = 1000) -> DataFrame:
     """Cut the lineage: write `df` as Parquet in the shared folder and read it back.
 
     Python workers get at most `batch_rows` rows at a time meanwhile, so that rows with long texts need
     little memory on both sides; the session's own setting is restored.
     """
-    spark, path, setting = df.sparkSession, scratch_path(df.sparkSession, name), "spark.sql.execution.arrow.maxRecordsPerBatch"
-    old = spark.conf.get(setting)
-    spark.conf.set(setting, str(batch_rows))
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
+    old = spark.conf.get(BATCH_ROWS)
+    spark.conf.set(BATCH_ROWS, str(min(batch_rows, int(old))) if int(old) > 0 else str(batch_rows))
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.set(setting, old)
+        spark.conf.set(BATCH_ROWS, old)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -7,7 +7,8 @@ shuffles the narrow side of a join that AQE may split.
 
 Defined cases: null text has size 0; the null source is a source of its own, last in order; rows
 that share an id share the draw (a null id draws as the empty string); sizes of 0 give a target of
-0 and no copies; an empty table gives no rows; other columns pass through, `__` names are reserved.
+0 and no copies; an empty table gives no rows; other columns pass through, and those named as an output
+column are replaced.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import boxed, materialize, quoted
 
 MAX_REPEAT = 3
 WEIGHTS = (1, 2, 3)
@@ -58,17 +59,19 @@ def draw(key: str, seed: str = SEED) -> Column:
 
 def mix_plan(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id") -> DataFrame:
     """All rows of `docs` plus __size, __source_size, __target and __copies (0 to 3)."""
-    sized = docs.withColumn("__size", word_count(text))
-    sums = sized.groupBy(F.col(source).alias("source")).agg(F.sum("__size").alias("source_size"))
-    names = {"source": "__source", "source_size": "__source_size", "target": "__target"}
-    table = materialize(source_targets(sums), "targets").withColumnsRenamed(names)
-    rate = F.when(F.col("__source_size") > 0, F.col("__target") / F.col("__source_size")).otherwise(0.0)
-    copies = F.least(F.lit(MAX_REPEAT).cast("long"), F.floor(rate) + (draw(key) < rate - F.floor(rate)).cast("long"))
-    joined = sized.join(table, F.col(source).eqNullSafe(F.col("__source")), "left").drop("__source")
-    return joined.withColumn("__copies", copies)
+    made = ["__size", "__source_size", "__target", "__copies"]
+    kept, names = boxed(docs, docs.columns, made)
+    sized = docs.select(*kept, quoted(source).alias("source"), word_count(text).alias("size"), draw(key).alias("draw"))
+    sums = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
+    table = materialize(source_targets(sums), "targets").withColumnRenamed("source", "name")
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    copies = F.least(F.lit(MAX_REPEAT).cast("long"), F.floor(rate) + (F.col("draw") < rate - F.floor(rate)).cast("long"))
+    joined = sized.join(table, F.col("source").eqNullSafe(F.col("name")), "left")
+    return joined.select(*(f"c{k}" for k in range(len(names))), "size", "source_size", "target", copies).toDF(*names, *made)
 
 
 def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id") -> DataFrame:
     """`docs` with each row as often as the mix takes it."""
-    planned = mix_plan(docs, text, source, key).where("__copies > 0")
-    return planned.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*docs.columns)
+    box = [f"c{k}" for k in range(len(docs.columns))]
+    planned = mix_plan(docs.toDF(*box), *(box[docs.columns.index(c)] for c in (text, source, key))).where("__copies > 0")
+    return planned.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*box).toDF(*docs.columns)

@@ -49,6 +49,8 @@ INDEX_BYTES = 1 << 18
 #: A document is read in pieces of this many window starts; positions in a run of pieces fit POSITION bits.
 PIECE = 1 << 24
 POSITION = 26
+#: Bytes of text whose occurrences are worked out together, a longer piece alone.
+RUN_BYTES = 1 << 19
 #: An occurrence's place: first window start, then windows - 1 and the anchor's offset, 8 bits each.
 SPAN, OFFSET = 256, 256
 PART = 1 << 21
@@ -83,7 +85,7 @@ def occurrences(items: list[bytes], length: int = MIN_LENGTH, gram: int = GRAM)
             base.append(o)
     owner, base = np.array(owner, np.int64), np.array(base, np.int64)
     low = np.uint64((1 << POSITION) - 1)
-    for i, j in packs_of(pieces):
+    for i, j in packs_of(pieces, RUN_BYTES):
         run = pieces[i:j]
         a = np.frombuffer(b"".join(run), np.uint8)
         n = len(a)
@@ -204,7 +206,7 @@ def unplace(x: int) -> tuple[int, int]:
 @tidy(_POW.clear)
 def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Every occurrence's anchor and a hash of its context."""
-    for b in slices(batches):
+    for b in slices(batches, 200):
         texts = utf8(b, "text")
         for item, fp, start, more, offset in occurrences(texts):
             context = [window_hash(texts[k][s : s + m + MIN_LENGTH], o) for k, s, m, o in zip(item.tolist(), start.tolist(), more.tolist(), offset.tolist(), strict=True)]
@@ -213,7 +215,7 @@ def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @tidy(_POW.clear)
 def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in slices(batches):
+    for b in slices(batches, 200):
         k1, k2 = column(b, "k1").to_numpy(), column(b, "k2").to_numpy()
         for item, fp, start, more, offset in occurrences(utf8(b, "text")):
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (fp, k1[item], k2[item], place(start, more, offset))], ["fp", "k1", "k2", "place"])

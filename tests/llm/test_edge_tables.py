@@ -33,6 +33,29 @@ def test_nulls(spark, nulls):
     assert decontamination.contaminated(nulls, bench.limit(0)).columns[:5] == nulls.columns
 
 
+def test_names_that_clash(spark):
+    """Columns named as an output are replaced, all others pass through, whatever an operator calls its own."""
+    text = "many different words follow one another in this text and this one repeats, " * 4
+    taken = ["key", "n", "c0", "c1", "made", "k1", "k2", "part", "body", "full", "root", "token", "__k1", "__m1", "__again", "__source", "seed", "fp"]
+    rows = [(k, text if k < 3 else f"alone {k}", "en", "s") for k in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumns({c: F.lit(f"my {c}") for c in taken})
+    clash = df.withColumns({c: F.lit(0) for c in ("__items", "__overlap", "__lang", "__score", "__tokens", "__pretokens", "__keep_id", "__kept", "__spans", "__n_bytes")})
+    bench = spark.createDataFrame([(1, "no such words here")], "item_id long, text string")
+    for out in (
+        exact_dedup.exact_duplicates(clash), language_id.identify(clash, language_id.fit(clash)), token_counts.count_tokens(clash), decontamination.contaminated(clash, bench), suffix_dedup.remove_repeats(clash),
+    ):
+        assert len(set(out.columns)) == len(out.columns) and set(taken) <= set(out.columns)
+        found = out.collect()
+        assert len(found) == 6 and all(r[c] == f"my {c}" for r in found for c in taken)
+    kept = {
+        "drop_exact": (exact_dedup.drop_exact(clash), 4), "accepted": (language_id.accepted(clash, language_id.fit(clash)), 6), "clean": (decontamination.drop_contaminated(clash, bench), 6),
+        "one": (similarity_join.one_of_each(clash), 4), "mix": (mixing.mix(clash), None),
+    }
+    for out, n in kept.values():
+        assert out.columns == clash.columns and (n is None or out.count() == n)
+    assert similarity_join.similar_classes(clash).count() == 6 and packing.pack_documents(clash).count() > 0
+
+
 def test_long_texts(spark, long_texts):
     bench = spark.createDataFrame([(1, "different words follow one another in this text many different words follow one")], "item_id long, text string")
     assert exact_dedup.drop_exact(long_texts).count() == 4

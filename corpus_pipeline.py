@@ -9,14 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from millrace.llm import decontamination, language_id, mixing, packing, similarity_join
-from millrace.llm.common import discard, materialize
-
-#: Rows that Python workers get at a time in the last stage, whose rows are the widest.
-BATCH = 500
+from millrace.llm.common import discard, materialize, small_batches
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the labelled rows teach; undetermined ones go."""
+    small_batches(spark)
     return language_id.accepted(docs, language_id.fit(docs))
 
 
@@ -37,7 +35,8 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Fixed-length rows of token ids."""
-    return materialize(packing.pack_documents(docs), "packs", BATCH)
+    small_batches(spark)
+    return packing.pack_documents(docs)
 
 
 STAGES = [

@@ -78,8 +78,8 @@ def normalize(raw: DataFrame, comments: bool, source: str = "community_forum", k
         (text("body") if comments else text("selftext", "body")).alias("body"),
         whole_number(F.col("__text_score"), F.col("__kind_score"), F.col("__number")).alias("score"),
         "ord",
-        # rand is never negative; as it isn't deterministic, filters on this column stay above the parsing instead of repeating it
-        ((F.col("__broken") | (ident == "")) & (F.rand(0) >= 0)).alias("malformed"),
+        # a partition's number is never negative; as it isn't deterministic, filters on this column stay above the parsing instead of repeating it
+        ((F.col("__broken") | (ident == "")) & (F.spark_partition_id() >= 0)).alias("malformed"),
         *(keep or []),
     )
 

@@ -30,7 +30,7 @@ from .vocabulary import BYTE_RANKS, factorize, load_ranks, text_runs
 ROW = 2048
 BUFFER = 1 << 20
 #: Characters that are tokenized at once; a word that recurs within is encoded once.
-RUN = 1 << 21
+RUN = 1 << 22
 #: Fixed value: the pre-token pattern that belongs to the public ranks.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SCHEMA = "pack_id long, n_tokens int, input_ids binary, position_ids binary, cu_seqlens array<int>, doc_ids array<long>, doc_offsets array<long>"
@@ -153,7 +153,8 @@ def pack(segments: list[tuple[int | None, int, np.ndarray]], size: int) -> Itera
     yield from ([rest[k] for k in b] for b in best_fit_decreasing([len(s[2]) for s in rest], size))
 
 
-def pack_documents(docs: DataFrame, path: str = BYTE_RANKS, size: int = ROW, key: str = "doc_id", text: str = "text", buffer: int = BUFFER) -> DataFrame:
+def pack_documents(docs: DataFrame, path: str = BYTE_RANKS, size: int = ROW, key: str = "doc_id", text: str = "text", buffer: int = BUFFER, run: int = RUN) -> DataFrame:
+    """Packed rows of `docs`. A smaller `run` needs less memory and encodes more words again."""
     ranks = load_ranks(path)
     vocabulary = max(ranks.values()) + 1
     kind = np.dtype("<u2" if max(vocabulary, size) < 1 << 16 else "<u4")
@@ -179,7 +180,7 @@ def pack_documents(docs: DataFrame, path: str = BYTE_RANKS, size: int = ROW, key
         first, held, waiting = TaskContext.get().partitionId() << 33, 0, []
         for b in slices(batches, 1000):
             keys, texts = column(b, key).to_pylist(), [t or "" for t in column(b, text).to_pylist()]
-            for i, j in text_runs(texts, RUN):
+            for i, j in text_runs(texts, run):
                 for k, ids in zip(keys[i:j], shipped.value.encode(texts[i:j]), strict=True):
                     waiting += [(k, o, ids[o : o + size]) for o in range(0, len(ids), size)]
                     held += len(ids)

@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from millrace.llm import decontamination, language_id, mixing, packing, similarity_join
 from millrace.llm.common import discard, materialize, small_batches
 
+#: Characters that are tokenized at once: executors that have four stages behind them have less memory to spare.
+RUN = 1 << 20
+
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the labelled rows teach; undetermined ones go."""
@@ -36,7 +39,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Fixed-length rows of token ids."""
     small_batches(spark)
-    return packing.pack_documents(docs)
+    return packing.pack_documents(docs, run=RUN)
 
 
 STAGES = [

@@ -16,16 +16,16 @@ table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from .common import column, slices, tidy
-from .vocabulary import BYTE_RANKS, factorize, load_ranks, text_runs
+from .vocabulary import BYTE_RANKS, load_ranks, text_runs
 
 ROW = 2048
 BUFFER = 1 << 20
@@ -89,61 +89,62 @@ def best_fit_decreasing(lengths: list[int], size: int) -> list[list[int]]:
 
 
 class Tokenizer:
-    """Byte-level BPE over public ranks. Words between single spaces are encoded once and reused; ids equal a plain encoding."""
+    """Byte-level BPE over public ranks. Words between single spaces are encoded once a run of texts; ids equal a plain encoding."""
 
-    ODD = re.compile(r"\s\s|\x00")
+    #: White space as Python and the pattern know it, for a regular expression that knows no Unicode classes of that name.
+    SPACES = r"[\x{9}-\x{d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+    #: Texts that are encoded whole, and words that are encoded one by one.
+    ODD, ALONE = SPACES + "{2}" + r"|\x00|\A\z", r"\n|\A\z|" + SPACES + r"\z"
+    BEGIN, SPACE, FEED, NOTHING = (pa.scalar(x, pa.large_string()) for x in ("\0", " ", "\n", ""))
 
-    def __init__(self, ranks: dict[bytes, int], keep: int = 200_000):
-        self.ranks, self.keep, self.encoding, self.known = ranks, keep, None, {}
+    def __init__(self, ranks: dict[bytes, int]):
+        self.ranks, self.encoding = ranks, None
 
     def __getstate__(self):
-        return {"ranks": self.ranks, "keep": self.keep, "encoding": None, "known": {}}
+        return {"ranks": self.ranks, "encoding": None}
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         import tiktoken
 
         if self.encoding is None:
             self.encoding = tiktoken.Encoding("public", pat_str=PATTERN, mergeable_ranks=self.ranks, special_tokens={})
-        plain, words, counts = self.encoding.encode_to_numpy, [], []
-        for t in texts:
-            if not t or self.ODD.search(t):
-                counts.append(0)
-            else:  # a single space between other characters always begins a pre-token
-                parts = t.split(" ")
-                parts[0] = "\0" + parts[0]
-                words += parts
-                counts.append(len(parts))
-        codes, distinct = factorize(words)
-        known = self.known
-        ids = [known.get(w) for w in distinct]
-        self.encode_new(distinct, [k for k, x in enumerate(ids) if x is None], ids)
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        flat = np.frombuffer(b"".join(ids), np.uint32)
+        every = pa.array(texts, pa.large_string())
+        odd = pc.match_substring_regex(every, self.ODD)
+        # a single space between other characters always begins a pre-token; a text's first word has none before it
+        split = pc.split_pattern(pc.binary_join_element_wise(self.BEGIN, every.filter(pc.invert(odd)), self.NOTHING), " ")
+        words = split.flatten().dictionary_encode()
+        codes = words.indices.to_numpy()
+        ids, begins, sizes = self.encode_words(words.dictionary)
         each = sizes[codes]
         ends = np.cumsum(each)
-        all_ids = flat[np.repeat((np.cumsum(sizes) - sizes)[codes] - ends + each, each) + np.arange(int(each.sum()))]
-        bounds = np.concatenate(([0], ends))[np.cumsum([0, *counts])]
-        out = []
-        for k, t in enumerate(texts):
-            whole = not counts[k] and t
-            out.append(plain(t).astype(np.uint32) if whole else all_ids[bounds[k] : bounds[k + 1]])
+        ids = ids[np.repeat(begins[codes] - ends + each, each) + np.arange(int(each.sum()))]
+        bounds = iter(np.concatenate(([0], ends))[split.offsets.to_numpy()].tolist())
+        out, at = [], next(bounds)
+        for text, whole in zip(texts, odd.to_pylist(), strict=True):
+            if whole:
+                out.append(self.encoding.encode_to_numpy(text).astype(np.uint32))
+            else:
+                begin, at = at, next(bounds)
+                out.append(ids[begin:at])
         return out
 
-    def encode_new(self, words: list[str], new: list[int], ids: list[bytes | None]) -> None:
-        """Fill in the ids of words not seen yet. Words without a line feed are encoded in one call, a line each: a line feed is a token of its own."""
-        full = [w[1:] if w[:1] == "\0" else " " + w for w in (words[k] for k in new)]
-        lines = [i for i, w in enumerate(full) if w and not w[0] == w[-1] == " " and "\n" not in w and not w[-1].isspace()]
-        every = self.encoding.encode_to_numpy("\n".join([full[i] for i in lines])).astype(np.uint32)
-        cuts = np.flatnonzero(every == self.ranks[b"\n"])
-        begins, ends = np.concatenate(([0], cuts + 1)), np.append(cuts, len(every))
-        data = every.tobytes()
-        for i, a, b in zip(lines, begins.tolist(), ends.tolist(), strict=False):
-            ids[new[i]] = data[4 * a : 4 * b]
-        for k, w in zip(new, full, strict=True):
-            if ids[k] is None:
-                ids[k] = np.array(self.encoding.encode_ordinary(w), np.uint32).tobytes()
-            if len(self.known) < self.keep:
-                self.known[words[k]] = ids[k]
+    def encode_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, each word's begin in them, its number of ids). Words without a line feed are encoded in one call, a line each: a line feed is a token of its own."""
+        full = pc.if_else(pc.starts_with(words, "\0"), pc.utf8_slice_codeunits(words, 1), pc.binary_join_element_wise(self.SPACE, words, self.NOTHING))
+        alone = pc.match_substring_regex(full, self.ALONE)
+        is_line = ~alone.to_numpy(zero_copy_only=False)
+        joined = pc.binary_join(pa.ListArray.from_arrays([0, int(is_line.sum())], full.filter(pc.invert(alone))), self.FEED)
+        lines = self.encoding.encode_to_numpy(joined[0].as_py()).astype(np.uint32)
+        feed = lines == self.ranks[b"\n"]
+        ends = np.append(np.flatnonzero(feed), len(lines))[: int(is_line.sum())]
+        others = [self.encoding.encode_to_numpy(w).astype(np.uint32) for w in full.filter(alone).to_pylist()]
+        sizes = np.zeros(len(words), np.int64)
+        sizes[is_line] = np.diff(ends, prepend=-1) - 1
+        sizes[~is_line] = [len(x) for x in others]
+        begins = np.zeros(len(words), np.int64)
+        ranked = np.concatenate((np.flatnonzero(is_line), np.flatnonzero(~is_line)))
+        begins[ranked] = np.cumsum(sizes[ranked]) - sizes[ranked]
+        return np.concatenate((lines[~feed], *others)), begins, sizes
 
 
 def pack(segments: list[tuple[int | None, int, np.ndarray]], size: int) -> Iterator[list[tuple[int | None, int, np.ndarray]]]:
@@ -175,7 +176,7 @@ def pack_documents(docs: DataFrame, path: str = BYTE_RANKS, size: int = ROW, key
         types = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64()))
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out.values(), types, strict=True)], list(out))
 
-    @tidy(lambda: shipped.value.known.clear())
+    @tidy()
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, held, waiting = TaskContext.get().partitionId() << 33, 0, []
         for b in slices(batches, 1000):

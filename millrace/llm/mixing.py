@@ -1,7 +1,7 @@
 """Mixing sources to target weights with integer repetition plus one hash-seeded Bernoulli copy.
 
-Tokens per source are one aggregate; targets come from a water level over the (small) table of
-sources; each document is then decided on its own, so a hot source needs no shuffle of its rows.
+Tokens per source are one aggregate; targets come from a water level over the table of sources, which is
+ranked in ranges; each document is then decided on its own, so a hot source needs no shuffle of its rows.
 The table of sources is written first: Spark broadcasts it by its file size or, if it is too large,
 shuffles the narrow side of a join that AQE may split.
 
@@ -28,27 +28,40 @@ def word_count(text: str) -> Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def numbered(table: DataFrame, *order: Column) -> DataFrame:
+    """`table` written in ranges of `order`, with the number of each row's range; ranges are in that order, and so may be ranked each on its own."""
+    return materialize(table.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()), "ranges")
+
+
+def earlier(ranges: DataFrame, **sums: Column) -> DataFrame:
+    """Per range the sums over all ranges before it: one row a range, however many rows there are."""
+    per_range = ranges.groupBy("__range").agg(*(c.alias(k) for k, c in sums.items()))
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    return per_range.select("__range", *(F.coalesce(F.sum(k).over(before), F.lit(0)).alias(k) for k in sums))
+
+
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeat: int = MAX_REPEAT) -> DataFrame:
     """(source, source_size) plus target: shares of the total by weight, no source above max_repeat times its size.
 
     The excess of capped sources is shared again by weight until none is above its cap. In order of
     cap / weight the capped sources are a prefix, and the level at which the others stand is the
-    largest of the levels that the prefixes leave.
+    largest of the levels that the prefixes leave. Both orders are made by ranges that tasks rank on their own and
+    offsets of the ranges, so sources may be as many as documents.
     """
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    by_cap = Window.orderBy("__ratio", F.col("source").asc_nulls_last())
-    before, rest = by_cap.rowsBetween(Window.unboundedPreceding, -1), by_cap.rowsBetween(0, Window.unboundedFollowing)
-    everything = Window.partitionBy()
-    weight = F.element_at(F.array(*map(F.lit, weights)), ((F.row_number().over(by_name) - 1) % len(weights) + 1).cast("int"))
-    cap = F.col("source_size") * max_repeat
-    level = (F.sum("source_size").over(everything) - F.coalesce(F.sum(cap).over(before), F.lit(0))) / F.sum("__w").over(rest)
-    return (
-        sizes.withColumn("__w", weight)
-        .withColumn("__ratio", cap.cast("double") / F.col("__w"))
-        .withColumn("__level", level)
-        .withColumn("target", F.least(cap.cast("double"), F.max("__level").over(everything) * F.col("__w")))
-        .select("source", "source_size", "target")
-    )
+    name, cap = F.col("source").asc_nulls_last(), F.col("source_size") * max_repeat
+    named = numbered(sizes, name)
+    rank = F.row_number().over(Window.partitionBy("__range").orderBy(name)) + F.col("__rows")
+    weight = F.element_at(F.array(*map(F.lit, weights)), ((rank - 1) % len(weights) + 1).cast("int"))
+    weighed = named.join(F.broadcast(earlier(named, __rows=F.count(F.lit(1)))), "__range").select("source", "source_size", weight.alias("__w"))
+    by_cap = F.col("__ratio").asc(), name
+    capped = numbered(weighed.withColumn("__ratio", cap.cast("double") / F.col("__w")), *by_cap)
+    all_size, all_weight = capped.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("__w"), F.lit(0))).first()
+    before = Window.partitionBy("__range").orderBy(*by_cap).rowsBetween(Window.unboundedPreceding, -1)
+    passed = lambda x, offset: F.coalesce(F.sum(x).over(before), F.lit(0)) + F.col(offset)
+    level = (F.lit(all_size) - passed(cap, "__caps")) / (F.lit(all_weight) - passed(F.col("__w"), "__weights"))
+    offsets = earlier(capped, __caps=F.sum(cap), __weights=F.sum("__w"))
+    top = capped.join(F.broadcast(offsets), "__range").select(level.alias("level")).agg(F.max("level")).first()[0]
+    return capped.select("source", "source_size", F.least(cap.cast("double"), F.lit(top) * F.col("__w")).alias("target"))
 
 
 def draw(key: str, seed: str = SEED) -> Column:
@@ -63,7 +76,7 @@ def mix_plan(docs: DataFrame, text: str = "text", source: str = "source", key: s
     kept, names = boxed(docs, docs.columns, made)
     sized = docs.select(*kept, quoted(source).alias("source"), word_count(text).alias("size"), draw(key).alias("draw"))
     sums = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    table = materialize(source_targets(sums), "targets").withColumnRenamed("source", "name")
+    table = materialize(source_targets(materialize(sums, "sources")), "targets").withColumnRenamed("source", "name")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     copies = F.least(F.lit(MAX_REPEAT).cast("long"), F.floor(rate) + (F.col("draw") < rate - F.floor(rate)).cast("long"))
     joined = sized.join(table, F.col("source").eqNullSafe(F.col("name")), "left")

@@ -84,6 +84,20 @@ def test_targets(spark, sizes):
     assert sum(got.values()) == pytest.approx(sum(sizes))
 
 
+def test_targets_of_many_sources_in_several_ranges(spark):
+    sizes = [0 if k % 17 == 0 else k * 7919 % 10_007 if k % 5 else 3 for k in range(1500)]
+    df = spark.createDataFrame([(f"s{k:05d}", n) for k, n in enumerate(sizes)] + [(None, 12)], "source string, source_size long").repartition(7)
+    key, old = "spark.sql.adaptive.coalescePartitions.enabled", spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set(key, "false")
+    try:
+        assert mixing.numbered(df, F.col("source").asc_nulls_last()).select("__range").distinct().count() > 2
+        got = {r.source: r.target for r in mixing.source_targets(df).collect()}
+    finally:
+        spark.conf.set(key, old)
+    want = level([*sizes, 12], [1 + k % 3 for k in range(len(sizes) + 1)])  # the null source is last
+    assert [got[f"s{k:05d}"] for k in range(len(sizes))] + [got[None]] == pytest.approx(want)
+
+
 def test_mix(spark):
     rows = [(i, " ".join(["w"] * (1 + i % 50)), f"s{i % 7}" if i % 3 else "hot") for i in range(3000)] + [(3000, None, None), (3001, "a\tb c\nd", None), (None, "x", "s1")]
     df = docs(spark, rows)

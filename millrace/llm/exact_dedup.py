@@ -2,9 +2,10 @@
 
 Light keys (length, prefix hash) are counted with map-side aggregation; only rows whose length and
 prefix both recur have their full text hashed. The keys that recur and the groups of equal texts are
-written as narrow tables and, if they are few enough, broadcast, so that no text is shuffled; beyond
-the bound only rows with a recurring key meet in a join that AQE may split. No group is
-collected: a group of any size is two aggregate rows per task.
+written as narrow tables and, if they are few enough, broadcast, so that no text is shuffled. Beyond
+the bound of the prefixes that recur the rows are shuffled once by length and prefix, with their texts where `same`
+names no hash; beyond that of the groups only rows with a recurring key meet again. AQE may split both
+joins. No group is collected: a group of any size is two aggregate rows per task.
 
 Defined cases: null text counts as empty; a null id never wins against another id (a group of null
 ids only has a null __keep_id and keeps them all); rows repeating both id and text share one decision;

@@ -190,6 +190,18 @@ def test_packing_round_trip(spark, texts, size):
     assert packing.pack_documents(frame(spark, texts).where("false")).count() == 0
 
 
+def test_encoding_in_runs_equals_plain_encoding():
+    import tiktoken
+
+    ranks, r = load_ranks(), random.Random(11)
+    plain = tiktoken.Encoding("plain", pat_str=packing.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    parts = [*" ab1.\n\t\r\x1c\x85\u3000\xa0\u2028\0漢é\U0001f600", " ", " ", "'s", "the", "  ", " word", "x\ny"]
+    runs = [["".join(r.choices(parts, k=r.randint(0, 12))) for _ in range(n)] for n in (0, 1, 1, 7, 8000)]
+    for texts in [*runs, [""], [" "], ["\n"], ["a\n", "", "a"], ["w" * 30_000 + " w" * 30_000]]:
+        tokenizer = packing.Tokenizer(ranks)
+        assert [x.tolist() for x in tokenizer.encode(texts)] == [plain.encode_ordinary(t) for t in texts]
+
+
 def test_best_fit_decreasing_equals_search():
     rng = random.Random(2)
     for _ in range(50):

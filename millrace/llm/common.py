@@ -15,7 +15,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -124,6 +124,35 @@ def bounded(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= limit else df
 
 
+def positions(df: DataFrame, by: str, order: list[Column], name: str) -> DataFrame:
+    """`df`, written to the shared folder, with `name`: the place of each row, from 0 on, among those of equal `by`.
+
+    Rows are dealt out by ranges of (`by`, `order`) and numbered in each range; a group that spans several is carried on from the ranges before, so it may hold any share of the rows.
+    """
+    ranged = materialize(df.repartitionByRange(F.col(by).asc_nulls_first(), *order).withColumn("__range", F.spark_partition_id()), "ranges")
+    counts = ranged.groupBy("__range", by).agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy(by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    # groups that lie in one range begin at 0
+    spread = counts.withColumn("__before", F.sum("__n").over(before)).where("__before IS NOT NULL").select("__range", F.col(by).alias("__by"), "__before")
+    place = F.row_number().over(Window.partitionBy("__range", by).orderBy(*order)) - 1
+    out = ranged.withColumn(name, place).join(bounded(materialize(spread, "spread")).withColumnRenamed("__range", "__at"), (F.col("__range") == F.col("__at")) & F.col(by).eqNullSafe(F.col("__by")), "left")
+    return out.withColumn(name, (F.col(name) + F.coalesce("__before", F.lit(0))).cast("long")).drop("__range", "__at", "__by", "__before")
+
+
+def with_copies(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+    """`rows` plus copy: 1, or for rows that share `key` their place in `order`. Only rows whose key repeats (found by counts) are ranked, so texts in `order` stay where they are."""
+    mark = F.xxhash64(*(c for k in key for c in (F.col(k).isNull(), F.col(k))))
+    marked = rows.withColumn("__mark", mark)
+    again = materialize(marked.groupBy("__mark").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select("__mark"), "again")
+    if again.isEmpty():
+        return rows.withColumn("copy", F.lit(1).cast("long"))
+    hint = bounded(again)
+    alone = marked.join(hint, "__mark", "left_anti").drop("__mark").withColumn("copy", F.lit(1).cast("long"))
+    group = F.to_json(F.struct(*key))
+    tied = positions(marked.join(hint, "__mark", "left_semi").drop("__mark").withColumn("__group", group), "__group", [F.col(c).asc() for c in order], "copy")
+    return alone.unionByName(tied.withColumn("copy", F.col("copy") + 1).drop("__group"))
+
+
 def annotate(docs: DataFrame, text: str, keep: list[str], schema: str, work: Callable[[list[str | None]], list[pa.Array]], drop: Callable[[], None] | None = None, rows: int = 500) -> DataFrame:
     """The columns `keep` of `docs` plus those of `schema`, which `work` makes of `rows` texts at a time. Only the text goes to the Python workers."""
     kind = T.StructType.fromDDL(schema)

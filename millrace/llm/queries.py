@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, exact_dedup, language_id, mixing, packing, similarity_join, suffix_dedup, token_counts, warc
+from . import chat, decontamination, exact_dedup, language_id, mixing, packing, prefix_trie, similarity_join, spelling, suffix_dedup, token_counts, url_filters, warc
 from .common import small_batches
 
 
@@ -253,6 +253,124 @@ SELECT doc_id, octet_length(b) AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_r
 FROM docs LEFT JOIN kept USING (rid)
 """
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variant_groups(spelling.word_counts(table(spark, sf_dir, "documents")))
+
+
+#: The 256 remainders that a CRC-32 by bytes takes, made from its fixed polynomial.
+CRC_TABLE = """
+bits AS (
+  SELECT range AS i, range AS c, 0 AS k FROM range(256) UNION ALL SELECT i, xor(c >> 1, 3988292384 * (c & 1)), k + 1 FROM bits WHERE k < 8
+), crc AS (
+  SELECT list(c ORDER BY i) AS t FROM bits WHERE k = 8
+)"""
+
+
+def crc32_sql(text: str) -> str:
+    """DuckDB SQL for the unsigned CRC-32 of a text's UTF-8, beside a column t of the table of remainders."""
+    octets = f"list_transform(range(octet_length(encode({text}))), lambda i: ('0x' || substr(hex(encode({text})), (2 * i + 1)::INTEGER, 2))::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295, {octets}), lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)])), 4294967295)"
+
+
+OP11_SQL = rf"""
+WITH RECURSIVE {CRC_TABLE}, runs AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents
+), counted AS (
+  SELECT doc_id, run, count(*) AS k FROM runs WHERE length(run) >= 5 GROUP BY doc_id, run
+), hashed AS (
+  SELECT run, k, {crc32_sql("(coalesce(doc_id::VARCHAR, '') || ':' || run)")} AS h FROM counted, crc
+), kept AS (
+  SELECT CASE WHEN h % 97 = 0 THEN left(run, (h % length(run))::INTEGER) || substr(run, (h % length(run) + 2)::INTEGER) ELSE run END AS word, k FROM hashed
+), words AS (
+  SELECT word, sum(k)::BIGINT AS n FROM kept WHERE length(word) >= 5 GROUP BY word HAVING sum(k) >= 3
+), cut AS (
+  SELECT word, n, i, left(word, (i - 1)::INTEGER) || substr(word, (i + 1)::INTEGER) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)
+), near AS (
+  SELECT a.word, b.word AS other, b.n FROM cut a JOIN cut b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT cut.word, words.word, words.n FROM cut JOIN words ON cut.rest = words.word
+  UNION SELECT words.word, cut.word, cut.n FROM cut JOIN words ON cut.rest = words.word
+), best AS (
+  SELECT word, count(*) AS n_near, (list(other ORDER BY n DESC, other))[1] AS other, max(n) AS other_n FROM near GROUP BY word
+), formed AS (
+  SELECT words.word, words.n, coalesce(n_near, 0) AS n_near,
+         CASE WHEN other_n >= 2 * n THEN other END AS form, CASE WHEN other_n >= 2 * n THEN other_n END AS form_n FROM words LEFT JOIN best USING (word)
+), climbed AS (
+  SELECT word, word AS root FROM formed UNION ALL SELECT climbed.word, formed.form FROM climbed JOIN formed ON formed.word = climbed.root WHERE formed.form IS NOT NULL
+), roots AS (
+  SELECT climbed.word, climbed.root FROM climbed JOIN formed ON formed.word = climbed.root WHERE formed.form IS NULL
+)
+SELECT word, form, root, n, n_near, form_n FROM formed JOIN roots USING (word)
+"""
+
+
+#: Rules of the urls of the web pages: verdict, host, path.
+URL_RULES = [
+    ("allow", "com", "/"),
+    ("block", "example.com", "/en/"),
+    ("allow", "www.example.com", "/en/"),
+    ("block", "net", "/es/"),
+    ("block", "net", "/fr/"),
+]
+
+
+def op12_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "verdict string, host string, path string")
+    out = url_filters.judge(table(spark, sf_dir, "pages"), rules, keep=["page_id"])
+    return out.withColumnsRenamed({f"__{k}": k for k in ("host", "path", "rule", "verdict")})
+
+
+OP12_SQL = f"""
+WITH rests AS (
+  SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+), parts AS (
+  SELECT row_number() OVER () AS rid, page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM rests
+), rules AS (
+  SELECT * FROM (VALUES {", ".join(map(str, URL_RULES))}) AS r(verdict, rule_host, rule_path)
+), best AS (
+  SELECT rid, rule_host || rule_path AS rule, verdict FROM parts JOIN rules ON ends_with('.' || host, '.' || rule_host) AND starts_with(path, rule_path)
+  QUALIFY row_number() OVER (PARTITION BY rid ORDER BY length(rule_host) DESC, length(rule_path) DESC) = 1
+)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM parts LEFT JOIN best USING (rid)
+"""
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.nodes(prefix_trie.rebuilt(prefix_trie.numbered_turns(table(spark, sf_dir, "conversations"))))
+
+
+OP13_SQL = f"""
+WITH RECURSIVE {CRC_TABLE}, own AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS p, coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL
+), convs AS (
+  SELECT conv_id, conv_id - conv_id % 100 AS base, {crc32_sql("conv_id::VARCHAR")} % 6 AS h FROM (SELECT DISTINCT conv_id FROM own), crc
+), heads AS (
+  SELECT convs.conv_id, own.p, own.role, own.text FROM convs JOIN own ON own.conv_id = base AND own.p < h
+), lent AS (
+  SELECT conv_id, count(*) AS m FROM heads GROUP BY conv_id
+), turns AS (
+  SELECT * FROM heads UNION ALL SELECT own.conv_id, own.p - h + coalesce(m, 0), role, text FROM own JOIN convs USING (conv_id) LEFT JOIN lent USING (conv_id) WHERE own.p >= h
+), lists AS (
+  SELECT convs.conv_id, coalesce(list(sha256(length(role) || ':' || role || text) ORDER BY p) FILTER (p IS NOT NULL), []) AS keys,
+         coalesce(list(length(text) ORDER BY p) FILTER (p IS NOT NULL), []) AS chars FROM convs LEFT JOIN turns USING (conv_id) GROUP BY convs.conv_id
+), prefixes AS (
+  SELECT conv_id, d, sha256(array_to_string(keys[1:d], ',')) || d AS node, CASE WHEN d > 0 THEN sha256(array_to_string(keys[1:d - 1], ',')) || (d - 1) END AS up, len(keys) = d AS ends, CASE WHEN d > 0 THEN chars[d] ELSE 0 END AS chars
+  FROM (SELECT *, unnest(range(len(keys) + 1)) AS d FROM lists)
+), grouped AS (
+  SELECT node, any_value(d) AS depth, any_value(up) AS up, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(chars) AS saved,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256 FROM prefixes GROUP BY node
+), counted AS (
+  SELECT g.*, (SELECT count(*) FROM grouped c WHERE c.up = g.node) AS n_children FROM grouped g
+), below AS (
+  SELECT prefixes.node AS top, n_children, saved FROM counted JOIN prefixes ON prefixes.conv_id = counted.conv_id AND prefixes.d <= counted.depth
+), sums AS (
+  SELECT top AS node, count(*) FILTER (n_children = 0) AS n_leaves, sum(saved)::BIGINT AS saved_tokens FROM below GROUP BY top
+)
+SELECT c.conv_id, c.depth, p.conv_id AS parent_conv_id, c.n_convs, c.n_children, n_leaves, saved_tokens, c.ends_sha256
+FROM counted c JOIN sums USING (node) LEFT JOIN counted p ON p.node = c.up
+"""
+
 
 QUERIES = {
     "op1_packed_tokens": op1_packed_tokens,
@@ -265,6 +383,9 @@ QUERIES = {
     "op8_chat_format": op8_chat_format,
     "op9_decontamination": op9_decontamination,
     "op10_token_counts": op10_token_counts,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_url_filters": op12_url_filters,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 ORACLES = {
     "op2_ngram_jaccard": OP2_SQL,
@@ -274,4 +395,7 @@ ORACLES = {
     "op6_exact_dedup": OP6_SQL,
     "op8_chat_format": OP8_SQL,
     "op9_decontamination": OP9_SQL,
+    "op11_spelling_variants": OP11_SQL,
+    "op12_url_filters": OP12_SQL,
+    "op13_prefix_trie": OP13_SQL,
 }

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..fixed import CHATTER_PATTERN, CONCEPTS, STOP_WORDS, URL_PATTERN
-from .text import completion_text, first_think, has_think, normalize, once, or_default, pattern, spaced, strip, tokens, without_think
+from .matching import concepts_in
+from .text import first_think, has_think, normalize, once, or_default, pattern, strip, tokens, without_think
 
 
 def rounded(c: Column, digits: int | None) -> Column:
@@ -43,16 +42,6 @@ def topic_terms(topic: Column, concepts: dict[str, list[str]]) -> Column:
     return F.coalesce(F.element_at(known, F.coalesce(topic, F.lit(""))), literal_terms([]))
 
 
-def hits(text: Column, terms: Column) -> Column:
-    """The terms that occur in a normalized text, hyphens as they are or as spaces.
-
-    One search a term: a term with a hyphen can't occur in the spaced text, and one without that occurs
-    in the text as it is occurs in the spaced one too.
-    """
-    occurs = lambda x, term: F.when(F.contains(term, F.lit("-")), F.contains(x["t"], term)).otherwise(F.contains(x["s"], term))
-    return once(F.struct(text.alias("t"), spaced(text).alias("s")), lambda x: F.filter(terms, lambda term: occurs(x, term)))
-
-
 def distinct_terms(concepts: dict[str, list[str]]) -> list[str]:
     return list(dict.fromkeys(t for terms in concepts.values() for t in terms))
 
@@ -69,19 +58,15 @@ def concept_score(found: Column, planned: Column, topic: Column, concepts: dict[
 
 def concept_reward(text: Column, topic: Column, concepts: dict[str, list[str]] = CONCEPTS, cap: float = 2.0, digits: int | None = 3) -> Column:
     """0.4 per concept of the topic, 0.2 per other concept, and 0.15 per concept planned in the first think block, up to `cap`."""
-    every = literal_terms(distinct_terms(concepts))
-    in_plan = F.coalesce(hits(normalize(first_think(text)), every), literal_terms([]))
-    both = F.struct(hits(normalize(text), every).alias("found"), in_plan.alias("planned"))
-    return once(both, lambda x: concept_score(x["found"], x["planned"], topic, concepts, cap, digits))
+    return once(concepts_in(text, distinct_terms(concepts)), lambda x: concept_score(x["found"], x["planned"], topic, concepts, cap, digits))
 
 
 def concept_rewards(df: DataFrame, text: Column, topic: Column, presets: dict[str, dict[str, list[str]]], cap: float = 2.0, digits: int | None = 3) -> DataFrame:
     """`df` plus a reward per preset of concepts. Texts are normalized and searched once, for the terms of all presets together."""
-    every = literal_terms(list(dict.fromkeys(t for concepts in presets.values() for t in distinct_terms(concepts))))
-    names = ["__body", "__plan", "__found", "__planned"]
-    ready = df.withColumns({"__body": normalize(text), "__plan": normalize(first_think(text))})
-    searched = ready.withColumns({"__found": hits(F.col("__body"), every), "__planned": F.coalesce(hits(F.col("__plan"), every), literal_terms([]))})
-    return searched.withColumns({name: concept_score(F.col("__found"), F.col("__planned"), topic, concepts, cap, digits) for name, concepts in presets.items()}).drop(*names)
+    every = list(dict.fromkeys(t for concepts in presets.values() for t in distinct_terms(concepts)))
+    searched = df.withColumn("__terms", concepts_in(text, every))
+    found, planned = F.col("__terms.found"), F.col("__terms.planned")
+    return searched.withColumns({name: concept_score(found, planned, topic, concepts, cap, digits) for name, concepts in presets.items()}).drop("__terms")
 
 
 def content_words(c: Column) -> Column:
@@ -131,23 +116,3 @@ def all_rewards(text: Column, topic: Column, reference: Column, digits: int | No
         "reward_grounding": grounding_reward(text, reference, digits=digits),
         "reward_repetition": repetition_reward(text, digits=digits),
     }
-
-
-def callables(spark: SparkSession, digits: int | None = 3) -> list[Callable[..., list[float]]]:
-    """The ordered rewards as functions for a trainer: completions (texts, messages or lists of these) and columns in, a list of floats out.
-
-    A batch of a trainer is some dozens of rows; for tables use `all_rewards`.
-    """
-
-    def made(name: str) -> Callable[..., list[float]]:
-        def reward(completions: list, taxonomy_topic: list[str] | None = None, reference_answer: list[str] | None = None, **others) -> list[float]:
-            n = len(completions)
-            rows = zip(range(n), map(completion_text, completions), taxonomy_topic or [None] * n, reference_answer or [None] * n, strict=True)
-            df = spark.createDataFrame(list(rows), "row int, text string, topic string, reference string")
-            scored = df.select("row", all_rewards(F.col("text"), F.col("topic"), F.col("reference"), digits)[name].alias("r"))
-            return [r.r for r in sorted(scored.collect(), key=lambda r: r.row)]
-
-        reward.__name__ = name
-        return reward
-
-    return [made(name) for name in all_rewards(F.lit(""), F.lit(""), F.lit(""))]

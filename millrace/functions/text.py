@@ -13,7 +13,7 @@ SPACE = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{202
 NO_SPACE = SPACE.replace("[", "[^", 1)
 WORD = r"[\p{L}\p{N}_]"
 BORDER = rf"(?:(?<={WORD})(?!{WORD})|(?<!{WORD})(?={WORD}))"
-NOT_TERM = r"[^\p{L}\p{N}_\-" + SPACE[1:]
+NO_TERM = r"[^\p{L}\p{N}_\-]"
 THINK = r"(?s)<think>(.*?)</think>"
 
 
@@ -44,7 +44,7 @@ def pattern(python: str) -> str:
 
 def normalize(c: Column) -> Column:
     """Lower case, only word characters, hyphens and single spaces."""
-    return strip(F.regexp_replace(F.regexp_replace(F.lower(c), NOT_TERM, " "), SPACE + "+", " "))
+    return strip(F.regexp_replace(F.lower(c), NO_TERM + "+", " "))
 
 
 def spaced(c: Column) -> Column:
@@ -82,13 +82,31 @@ def message_text(messages: Column) -> Column:
     return F.array_join(F.transform(messages, lambda m: F.coalesce(m["content"], F.lit(""))), "\n")
 
 
+def variant_text(v: Column) -> Column:
+    """Text of a completion of any shape, held as VARIANT: a string, a message, or an array of these.
+
+    A message without content is empty. Scalars read as Python writes them; an object or array where a text should be reads as JSON.
+    """
+
+    def scalar(x: Column) -> Column:
+        kind = F.schema_of_variant(x)
+        flag = F.initcap(F.try_variant_get(x, "$", "string"))
+        deep = kind.startswith("OBJECT") | kind.startswith("ARRAY")
+        return F.when(kind == "VOID", "None").when(kind == "BOOLEAN", flag).when(deep, F.to_json(x)).otherwise(F.try_variant_get(x, "$", "string"))
+
+    def content(x: Column) -> Column:
+        inner = F.try_variant_get(x, "$.content", "variant")
+        return F.when(inner.isNull(), "").otherwise(scalar(inner))
+
+    piece = lambda x: F.when(F.schema_of_variant(x).startswith("OBJECT"), content(x)).otherwise(scalar(x))
+    many = F.array_join(F.transform(F.try_variant_get(v, "$", "array<variant>"), piece), "\n")
+    return F.when(F.schema_of_variant(v).startswith("ARRAY"), many).otherwise(piece(v))
+
+
 def completion_text(completion) -> str:
     """The text of a completion as a trainer hands it over: a string, a message, or a list of these."""
-    if isinstance(completion, dict):
-        return str(completion.get("content", ""))
-    if isinstance(completion, list):
-        return "\n".join(map(completion_text, completion))
-    return str(completion)
+    piece = lambda x: str(x.get("content", "")) if isinstance(x, dict) else str(x)
+    return "\n".join(map(piece, completion)) if isinstance(completion, list) else piece(completion)
 
 
 def json_string(c: Column) -> Column:

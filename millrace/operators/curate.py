@@ -7,6 +7,7 @@ best_answer) to a frame of noul, score, choice, confidence, built once per worke
 from __future__ import annotations
 
 import re
+import time
 from collections.abc import Callable, Iterator
 from functools import reduce
 from operator import or_
@@ -52,20 +53,28 @@ def states(threads: DataFrame, max_chars: int = MAX_STATE_CHARS, stripped: bool
     return threads.select("thread_id", text["title"].alias("title"), *(F.nullif(text[k], F.lit("")).alias(k) for k in ("post_body", "best_answer")))
 
 
-def score(threads: DataFrame, make_scorer: Callable[[], Scorer], max_chars: int = MAX_STATE_CHARS) -> DataFrame:
-    """`threads` plus noul, score, choice, confidence; a missing answer is 0.0 or `other`. Only the id and the three short texts go to Python."""
+def score(threads: DataFrame, make_scorer: Callable[[], Scorer], max_chars: int = MAX_STATE_CHARS, latency: str | None = None) -> DataFrame:
+    """`threads` plus noul, score, choice, confidence; a missing answer is 0.0 or `other`. Only the id and the three short texts go to Python.
+
+    `latency` names a column for the milliseconds that the scorer took for a row: its share of the call for its batch, and nothing else.
+    """
     names = ["thread_id", "title", "post_body", "best_answer"]
 
     def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
         scorer = make_scorer()
         for columns in batches:
-            answer = scorer(pd.DataFrame(dict(zip(names, columns, strict=True)))).reset_index(drop=True).reindex(columns=DECISION)
-            yield answer.fillna({"noul": 0.0, "score": 0.0, "choice": "other", "confidence": 0.0})
-
-    answers = F.pandas_udf(run, "noul double, score double, choice string, confidence double").asNondeterministic()
+            asked = pd.DataFrame(dict(zip(names, columns, strict=True)))
+            began = time.perf_counter()
+            answer = scorer(asked)
+            took = 1000 * (time.perf_counter() - began) / max(len(asked), 1)
+            answer = answer.reset_index(drop=True).reindex(columns=DECISION).fillna({"noul": 0.0, "score": 0.0, "choice": "other", "confidence": 0.0})
+            yield answer.assign(took=took)
+
+    answers = F.pandas_udf(run, "noul double, score double, choice string, confidence double, took double").asNondeterministic()
     text = state_columns(max_chars)
     asked = threads.withColumn("__answer", answers(F.col("thread_id"), *(text[k] for k in names[1:])))
-    return asked.withColumns({k: F.col(f"__answer.{k}") for k in DECISION}).drop("__answer")
+    made = {k: F.col(f"__answer.{k}") for k in DECISION} | ({latency: F.col("__answer.took")} if latency else {})
+    return asked.withColumns(made).drop("__answer")
 
 
 def decide(scored: DataFrame, relevance: float = RELEVANCE, quality: float = QUALITY, digits: int = 4) -> DataFrame:
@@ -88,19 +97,24 @@ def curate(threads: DataFrame, scored: Callable[[DataFrame], DataFrame], relevan
     asked = decide(scored(threads.where(~promo)), relevance, quality).withColumn("pre_filtered", F.lit(False))
     constant = dict(zip(("is_rag_related", "technical_quality_score", "taxonomy_topic", "topic_confidence"), map(F.lit, PROMO_DECISION), strict=True))
     skipped = threads.where(promo).withColumns(constant | {"curation_passed": F.lit(False), "pre_filtered": F.lit(True)})
-    return asked.unionByName(skipped)
+    return asked.unionByName(skipped, allowMissingColumns=True)
 
 
-def curation_report(curated: DataFrame) -> DataFrame:
-    """One row: evaluated, pre-filtered, passed, rejected, pass rate in percent (0 for no rows)."""
+def report_columns() -> list[Column]:
+    """Figures over decided threads: evaluated, pre-filtered, passed, rejected, pass rate in percent (0 for no rows)."""
     passed = F.count_if("curation_passed")
-    return curated.agg(
+    return [
         F.count(F.lit(1)).alias("total_evaluated"),
         F.count_if("pre_filtered").alias("pre_filtered_promos"),
         passed.alias("curated_passed"),
         F.count_if(~F.col("curation_passed")).alias("curated_rejected"),
         F.coalesce(F.try_divide(F.lit(100.0) * passed, F.count(F.lit(1))), F.lit(0.0)).alias("pass_rate_pct"),
-    )
+    ]
+
+
+def curation_report(curated: DataFrame) -> DataFrame:
+    """One row of figures over decided threads."""
+    return curated.agg(*report_columns())
 
 
 def topic_counts(curated: DataFrame) -> DataFrame:

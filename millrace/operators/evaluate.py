@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..fixed import BASELINE_RECALL_PCT, CONCEPTS
 from ..functions.rewards import rounded
-from ..functions.text import SPACE, WORD, normalize, reasoning, spaced, strip, tagged_answer
+from ..functions.text import SPACE, normalize, reasoning, spaced, strip, tagged_answer
 from ..suite import SUITE
 
 
@@ -23,33 +23,52 @@ def variants(concept: Column) -> Column:
     return F.array_distinct(F.filter(more, lambda v: F.length(v) >= 2))
 
 
-def loose_match(text: Column, variant: Column) -> Column:
-    """Long or spaced variants anywhere in a normalized text, short ones at word borders."""
-    short = (F.length(variant) < 4) & ~variant.contains(" ")
-    border = F.concat(F.lit(rf"(?<!{WORD})\Q"), variant, F.lit(rf"\E(?!{WORD})"))
-    at = lambda t: F.when(short, F.contains(t, variant) & F.regexp_like(t, border)).otherwise(F.contains(t, variant))
-    return at(text) | at(spaced(text))
+def padded(text: Column) -> Column:
+    return F.concat(F.lit(" "), text, F.lit(" "))
 
 
-def strict_match(text: Column, variant: Column) -> Column:
-    """Variants as whole words between spaces."""
-    pad = lambda t: F.concat(F.lit(" "), t, F.lit(" "))
-    return F.contains(pad(text), pad(variant)) | F.contains(pad(spaced(text)), pad(variant))
+def loose_match(text: Column, plain: Column, variant: Column) -> Column:
+    """Long or spaced variants anywhere in a normalized text or in its spaced form `plain`, both padded; short ones at word borders.
+
+    In a normalized text only spaces and hyphens are no word characters, so a border is one of these and needs no pattern.
+    """
+    short, hyphen = (F.length(variant) < 4) & ~F.contains(variant, F.lit(" ")), F.contains(variant, F.lit("-"))
+    around = lambda a, b: F.contains(text, F.concat(F.lit(a), variant, F.lit(b)))
+    at_border = F.when(hyphen, around(" ", " ") | around("-", " ") | around(" ", "-") | around("-", "-")).otherwise(F.contains(plain, padded(variant)))
+    return F.when(short, at_border).otherwise(F.contains(text, variant) | F.contains(plain, variant))
+
+
+def strict_match(text: Column, plain: Column, variant: Column) -> Column:
+    """Variants as whole words between spaces, in a normalized text or in its spaced form, both padded."""
+    return F.contains(text, padded(variant)) | F.contains(plain, padded(variant))
 
 
 def coverage(answers: DataFrame, items: DataFrame, match=loose_match, digits: int | None = 4) -> DataFrame:
-    """(id, answer columns and the item's, matched, missing, recall): answers (id, text) joined to items (id, expected_concepts).
+    """(id, answer columns and the item's, matched, missing, recall): answers (id, text) joined to items (id, expected_concepts)."""
+    return coverages(answers, items, {"": match}, digits)
+
+
+def coverages(answers: DataFrame, items: DataFrame, matches: dict, digits: int | None = 4) -> DataFrame:
+    """As `coverage`, with matched, missing and recall for each matcher, under its prefix: answers are joined and normalized once for all.
 
     Variants are worked out once per item, not per answer; the items follow the answers by id.
     """
     known = items.withColumn("__variants", F.transform("expected_concepts", lambda c: F.struct(c.alias("concept"), variants(c).alias("v"))))
-    joined = answers.join(known, "id").withColumn("__text", normalize(F.col("text")))
-    hit = lambda c: F.exists(c["v"], lambda v: match(F.col("__text"), v))
-    marked = joined.withColumn("__hits", F.transform("__variants", lambda c: F.struct(c["concept"].alias("concept"), hit(c).alias("hit"))))
+    joined = answers.join(known, "id").withColumn("__text", padded(normalize(F.col("text")))).withColumn("__plain", spaced(F.col("__text")))
+    out = joined
+    for prefix, match in matches.items():
+        out = marked(out, prefix, match, digits)
+    return out.drop("__variants", "__text", "__plain")
+
+
+def marked(joined: DataFrame, prefix: str, match, digits: int | None) -> DataFrame:
+    """`joined` plus matched, missing and recall by one matcher, under its prefix."""
+    hit = lambda c: F.exists(c["v"], lambda v: match(F.col("__text"), F.col("__plain"), v))
+    hits = joined.withColumn("__hits", F.transform("__variants", lambda c: F.struct(c["concept"].alias("concept"), hit(c).alias("hit"))))
     names = lambda yes: F.transform(F.filter("__hits", lambda h: h["hit"] == F.lit(yes)), lambda h: h["concept"])
-    done = marked.withColumns({"matched": names(True), "missing": names(False)})
-    recall = F.coalesce(F.try_divide(F.size("matched"), F.size("expected_concepts")), F.lit(0.0))
-    return done.withColumn("recall", rounded(recall, digits)).drop("__variants", "__text", "__hits")
+    done = hits.withColumns({f"{prefix}matched": names(True), f"{prefix}missing": names(False)})
+    recall = F.coalesce(F.try_divide(F.size(f"{prefix}matched"), F.size("expected_concepts")), F.lit(0.0))
+    return done.withColumn(f"{prefix}recall", rounded(recall, digits)).drop("__hits")
 
 
 def question_rows(covered: DataFrame, digits: bool = True) -> DataFrame:
@@ -101,6 +120,12 @@ def compare(left: DataFrame, right: DataFrame) -> DataFrame:
     return pick(left, "left_pct").join(pick(right, "right_pct"), "category", "left").withColumn("right_pct", F.coalesce("right_pct", F.lit(0.0)))
 
 
+def side_by_side(rows: DataFrame, left: Column, right: Column) -> DataFrame:
+    """As `compare`, of two recalls that the same answers were given in one pass; null is no answer."""
+    percent = lambda c: F.coalesce(100 * F.avg(c), F.lit(0.0))
+    return rows.groupBy("category").agg(percent(left).alias("left_pct"), percent(right).alias("right_pct"))
+
+
 def benchmark_metadata(items: DataFrame) -> DataFrame:
     """(field, value, n): items per category, difficulty and test type."""
     fields = ["category", "difficulty", "test_type"]

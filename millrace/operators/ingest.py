@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..fixed import DELETED_AUTHOR, DELETED_BODIES
 from ..functions.text import or_default, strip
-from ..sources.files import kind, read_json_lines
+from ..sources.files import kind, read_json_lines, read_lines
 
 #: Epoch seconds of the years that are taken for timestamps (2000 to 2100).
 EARLIEST, LATEST = 946684800, 4102444800
-
+#: The order of lines in which the first of an id wins: posts before comments, then as files have them.
+ORDER = ["src", "file", "block", "ord"]
 
 MEMBERS = ["id", "link_id", "parent_id", "created_utc", "created", "subreddit", "community", "author", "title", "selftext", "body", "score"]
+TEXT_MEMBERS = MEMBERS[:-1]
 
 
 def with_members(raw: DataFrame) -> DataFrame:
@@ -30,7 +36,44 @@ def with_members(raw: DataFrame) -> DataFrame:
         return F.when(~F.coalesce(false, F.lit(True)), text)
 
     members = raw.withColumns(found | {"__number": number, "__broken": F.col("v").isNull()}).drop("v")
-    return members.withColumns({f"__given_{k}": given(k) for k in MEMBERS})
+    score = whole_number(F.col("__text_score"), F.col("__kind_score"), F.col("__number"))
+    return members.withColumns({f"__given_{k}": given(k) for k in TEXT_MEMBERS} | {"__score": score})
+
+
+def python_members(line: str) -> tuple | None:
+    """The members of a line as Python reads them: texts of those it takes for true, the score as an integer; None if the line holds no object."""
+    try:
+        found = json.loads(line)
+    except ValueError:
+        return None
+    except RecursionError:
+        return None
+    if isinstance(found, dict) and isinstance(found.get("data"), dict):
+        found = found["data"]
+    if not isinstance(found, dict):
+        return None
+    try:
+        score = int(found.get("score") or 0)
+    except (ValueError, TypeError, OverflowError):
+        score = 0
+    return (*(str(found[k]).encode("utf-8", "replace").decode() if found.get(k) else None for k in TEXT_MEMBERS), score if -(1 << 63) <= score < 1 << 63 else 0)
+
+
+def with_python_members(lines: DataFrame) -> DataFrame:
+    """`lines` (line and other columns) with __given_*, __score and __broken in place of line, by Python's own reader in Arrow batches."""
+    names = [*TEXT_MEMBERS, "score", "broken"]
+    kinds = [*[pa.string()] * len(TEXT_MEMBERS), pa.int64(), pa.bool_()]
+
+    @F.arrow_udf(", ".join(f"{k} {'long' if k == 'score' else 'boolean' if k == 'broken' else 'string'}" for k in names))
+    def read(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for a in batches:
+            rows = [(*found, False) if (found := python_members(x)) else (*[None] * len(TEXT_MEMBERS), 0, True) for x in a.to_pylist()]
+            columns = list(zip(*rows, strict=True)) or [[]] * len(names)
+            yield pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
+
+    read_once = lines.withColumn("__read", read.asNondeterministic()("line")).drop("line")
+    members = {f"__given_{k}": F.col(f"__read.{k}") for k in TEXT_MEMBERS}
+    return read_once.withColumns(members | {"__score": F.col("__read.score"), "__broken": F.col("__read.broken")}).drop("__read")
 
 
 def field(name: str) -> Column:
@@ -60,11 +103,15 @@ def post_of(link: Column, parent: Column) -> Column:
     return F.when(link.startswith("t3_"), tail(link)).when(parent.startswith("t3_"), tail(parent)).otherwise(or_default(link, parent))
 
 
-def normalize(raw: DataFrame, comments: bool, source: str = "community_forum", keep: list[str] | None = None) -> DataFrame:
-    """Records plus ord, malformed and the columns `keep`; malformed rows have no id."""
+def normalize(raw: DataFrame, comments: bool, source: str = "community_forum", keep: list[str] | None = None, strict: bool = False) -> DataFrame:
+    """Records plus ord, malformed and the columns `keep`, of VARIANT objects v; malformed rows have no id.
+
+    `strict` takes lines of text in place of v and reads them with Python's rules: the last of repeated keys counts, NaN is a number, text
+    after a value is an error, numbers read as Python writes them. Integers beyond 64 bits, which no table can hold, are 0, and lines that hold no object are malformed.
+    """
     text = lambda *names: strip(F.coalesce(*map(field, names), F.lit("")))
     made = {"__id": F.coalesce(strip(field("id")), F.lit("")), "__link": text("link_id"), "__parent": text("parent_id")}
-    rows = with_members(raw).withColumns(made | {"__when": F.coalesce(field("created_utc"), field("created")).try_cast("double")})
+    rows = (with_python_members if strict else with_members)(raw).withColumns(made | {"__when": F.coalesce(field("created_utc"), field("created")).try_cast("double")})
     ident, link, parent, when = map(F.col, ("__id", "__link", "__parent", "__when"))
     return rows.select(
         F.lit(source).alias("source"),
@@ -76,7 +123,7 @@ def normalize(raw: DataFrame, comments: bool, source: str = "community_forum", k
         F.coalesce(iso_time(when), F.lit("")).alias("created_at"),
         (F.lit("") if comments else text("title")).alias("title"),
         (text("body") if comments else text("selftext", "body")).alias("body"),
-        whole_number(F.col("__text_score"), F.col("__kind_score"), F.col("__number")).alias("score"),
+        F.col("__score").alias("score"),
         "ord",
         # a partition's number is never negative; as it isn't deterministic, filters on this column stay above the parsing instead of repeating it
         ((F.col("__broken") | (ident == "")) & (F.spark_partition_id() >= 0)).alias("malformed"),
@@ -84,10 +131,13 @@ def normalize(raw: DataFrame, comments: bool, source: str = "community_forum", k
     )
 
 
-def first_of_each(records: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The first row of each key in the given order."""
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return records.withColumn("__rank", rank).where("__rank = 1").drop("__rank")
+def first_of_each(records: DataFrame, keys: list[str], order: list, copies: str | None = None) -> DataFrame:
+    """The first row of each key in the given order; with the number of the key's rows if `copies` names a column for it."""
+    group = Window.partitionBy(*keys)
+    ranked = records.withColumn("__rank", F.row_number().over(group.orderBy(*order)))
+    if copies:
+        ranked = ranked.withColumn(copies, F.count(F.lit(1)).over(group))
+    return ranked.where("__rank = 1").drop("__rank")
 
 
 def union_records(posts: DataFrame, comments: DataFrame) -> DataFrame:
@@ -95,24 +145,30 @@ def union_records(posts: DataFrame, comments: DataFrame) -> DataFrame:
     return posts.withColumn("src", F.lit(0)).unionByName(comments.withColumn("src", F.lit(1)))
 
 
-def read_records(spark: SparkSession, posts: str, comments: str, source: str = "community_forum") -> DataFrame:
+def read_records(spark: SparkSession, posts: str, comments: str, source: str = "community_forum", strict: bool = False) -> DataFrame:
     """All lines of both files, normalized, duplicates and malformed lines included."""
-    read = lambda path, of_comments: normalize(read_json_lines(spark, path), of_comments, source, keep=["file"])
+    lines = read_lines if strict else read_json_lines
+    read = lambda path, of_comments: normalize(lines(spark, path), of_comments, source, keep=["file", "block"], strict=strict)
     return union_records(read(posts, False), read(comments, True))
 
 
-def distinct_records(lines: DataFrame) -> DataFrame:
+def distinct_records(lines: DataFrame, copies: str | None = None) -> DataFrame:
     """Well-formed lines, the first of each id; one id space for posts and comments."""
-    order = [c for c in ("src", "file", "ord") if c in lines.columns]
-    return first_of_each(lines.where(~F.col("malformed")), ["id"], order)
+    order = [c for c in ORDER if c in lines.columns]
+    return first_of_each(lines.where(~F.col("malformed")), ["id"], order, copies)
 
 
-def health(records: DataFrame) -> DataFrame:
-    """One row of figures over de-duplicated records (src 0: posts, 1: comments)."""
+def line_counts() -> list[Column]:
+    """Figures over all lines."""
+    return [F.count_if("malformed").alias("malformed"), F.count_if(~F.col("malformed")).alias("well_formed")]
+
+
+def health_counts() -> list[Column]:
+    """Figures over de-duplicated records (src 0: posts, 1: comments)."""
     post, comment = F.col("src") == 0, F.col("src") == 1
     deleted = (F.col("author") == DELETED_AUTHOR) | F.col("body").isin(DELETED_BODIES)
     dated = F.nullif("created_at", F.lit(""))
-    return records.agg(
+    return [
         F.count(F.lit(1)).alias("total_records"),
         F.count_if(post).alias("posts"),
         F.count_if(comment).alias("comments"),
@@ -121,4 +177,9 @@ def health(records: DataFrame) -> DataFrame:
         F.count_if(comment & (F.col("body") == "")).alias("empty_comments"),
         F.min(dated).alias("min_date"),
         F.max(dated).alias("max_date"),
-    )
+    ]
+
+
+def health(records: DataFrame) -> DataFrame:
+    """One row of figures over de-duplicated records."""
+    return records.agg(*health_counts())

@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..fixed import CHATTER_PATTERN, FAILURE_MODES, OTHER_FAILURE, SHORT_CONCEPTS, SYSTEM_PROMPT
-from ..functions.rewards import literal_terms
-from ..functions.text import NO_SPACE, NOT_TERM, SPACE, once, or_default, pattern, strip
+from ..functions.matching import terms_in
+from ..functions.rewards import distinct_terms
+from ..functions.text import NO_SPACE, SPACE, once, or_default, pattern, strip
 
 MIN_PROMPT, MIN_ANSWER, MIN_CLEAN, FIRST = 20, 150, 100, 1500
 
@@ -52,9 +53,7 @@ def clean_answer(c: Column) -> Column:
 
 def dynamic_think(title: Column, topic: Column, answer: Column, concepts: dict[str, list[str]] = SHORT_CONCEPTS) -> Column:
     """Four reasoning lines on a question; the first three concepts found, in the order of the vocabulary."""
-    every = literal_terms(list(dict.fromkeys(t for terms in concepts.values() for t in terms)))
-    text = F.regexp_replace(F.lower(F.concat(title, F.lit(" "), answer)), NOT_TERM, " ")
-    top = once(text, lambda t: F.slice(F.filter(every, lambda term: F.contains(t, term)), 1, 3))
+    top = F.slice(terms_in(F.concat(title, F.lit(" "), answer), distinct_terms(concepts)), 1, 3)
     modes = F.create_map(*[F.lit(x) for pair in FAILURE_MODES.items() for x in pair])
     failure = F.coalesce(F.element_at(modes, topic), F.lit(OTHER_FAILURE))
     third = once(
@@ -80,7 +79,9 @@ def fine_tuning(records: DataFrame, first: int | None = FIRST, order: str = "thr
     """thread_id and the three messages of a reasoned answer. The first `first` long answers by `order` are taken before the check of the cleaned text."""
     long = records.where(F.length("reference_answer") >= min_answer)
     taken = long if first is None else long.orderBy(order).limit(first)
-    ready = taken.where(F.size("prompt") > 0).withColumn("__clean", clean_answer(F.col("reference_answer"))).where(F.length("__clean") >= min_clean)
+    # an answer is cleaned once: a filter on a plain column would be pushed below it and clean it again
+    cleaned = F.filter(F.array(clean_answer(F.col("reference_answer"))), lambda c: F.length(c) >= min_clean)
+    ready = taken.where(F.size("prompt") > 0).select("*", F.explode(cleaned).alias("__clean"))
     topic = or_default(F.col("taxonomy_topic"), "retrieval")
     think = dynamic_think(F.coalesce("title", F.lit("")), topic, F.col("__clean"))
     reply = F.concat(think, F.lit("\n<answer>\n"), F.col("__clean"), F.lit("\n</answer>"))

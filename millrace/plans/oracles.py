@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ..fixed import BOTS, CHATTER_PATTERN, CONCEPTS, EMPTY_BODIES, FAILURE_MODES, OTHER_FAILURE, PROMO_DECISION, PROMO_PATTERNS, SHORT_CONCEPTS, STOP_WORDS, SYSTEM_PROMPT
 from ..functions.text import NO_SPACE, SPACE, WHITE
-from .views import BASE_RECORDS, COMPLETIONS, DECISIONS, ITEM_ROWS, ITEMS, RAW_LINES, RECORDS, duck
+from .views import ASKED, BASE_RECORDS, COMPLETIONS, DECISIONS, ITEM_ROWS, ITEMS, ODD_LINES, RAW_LINES, RECORDS, SHAPES, duck
 
 
 def q(text: str) -> str:
@@ -235,6 +235,11 @@ FIELDS = "source, community, id, parent_id, post_id, author, created_at, title,
 FIRSTS = f"firsts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY src, ord) AS rn FROM ({duck(RECORDS)}) r) x WHERE rn = 1)"
 RECORD_COLUMNS = "source, community, id, parent_id, post_id, author, created_at, title, body, score, src, ord"
 
+LEAKED = f"""
+rows_ AS ({duck(ASKED)}), asked_ AS (SELECT DISTINCT {norm('question')} AS q_ FROM ({duck(ITEMS)}) i WHERE {norm('question')} <> ''),
+marked_ AS (SELECT *, coalesce({norm('title')} IN (SELECT q_ FROM asked_), false) OR coalesce({norm('post_body')} IN (SELECT q_ FROM asked_), false) AS leaked FROM rows_)
+"""
+
 ORACLES = {
     "ingest_normalize_posts": f"WITH {NORMAL} SELECT {FIELDS} FROM normal WHERE src = 0 AND NOT malformed",
     "ingest_normalize_comments": f"WITH {NORMAL} SELECT {FIELDS} FROM normal WHERE src = 1 AND NOT malformed",
@@ -350,6 +355,23 @@ SELECT count(*) - count(DISTINCT id) AS repeated_ids, count(*) FILTER (category
        6 - count(DISTINCT category) FILTER (category IN ({', '.join(map(q, CONCEPTS))})) AS missing_categories, count(*) FILTER (category NOT IN ({', '.join(map(q, CONCEPTS))})) AS foreign_categories,
        greatest(10 - count(*), 0) AS missing_items
 FROM items""",
+    "ingest_strict": f"""WITH lines AS ({duck(ODD_LINES)}), judged AS (
+  SELECT ord, k, ord // 1000 AS conv, k % 12 IN (0, 6, 7, 8, 11) AS malformed FROM lines
+)
+SELECT ord, CASE WHEN malformed THEN NULL WHEN k % 12 = 3 THEN concat(conv + 1, '.0') WHEN k % 12 = 9 THEN 'True' ELSE concat('c', conv) END AS id,
+       CASE WHEN malformed THEN NULL ELSE CASE k % 12 WHEN 1 THEN 7 WHEN 3 THEN -3 WHEN 5 THEN 5 WHEN 9 THEN 1 ELSE 0 END END::BIGINT AS score, malformed
+FROM judged""",
+    "completion_texts": f"""WITH shapes AS ({duck(SHAPES)}), said AS (
+  SELECT id, shape, CASE shape WHEN 0 THEN text WHEN 1 THEN text WHEN 2 THEN 'why' || chr(10) || text WHEN 3 THEN text || chr(10) || 'tail' || chr(10) || 'end'
+    WHEN 5 THEN chr(10) || id || chr(10) || 'True' || chr(10) || 'None' || chr(10) || text WHEN 6 THEN 'None' ELSE '' END AS text FROM shapes
+)
+SELECT id, shape, text, CASE WHEN contains(text, '<think>') OR contains(text, '</think>') THEN NULL ELSE -1.0::DOUBLE END AS reward FROM said""",
+    "benchmark_leaks": f"""WITH {LEAKED} , cut AS (
+  SELECT *, row_number() OVER (PARTITION BY taxonomy_topic ORDER BY md5('42|' || thread_id), thread_id) AS place, count(*) OVER (PARTITION BY taxonomy_topic) AS size FROM marked_
+)
+SELECT CASE WHEN place <= floor(size * 0.8::DOUBLE) THEN 'train' WHEN place <= floor(size * 0.8::DOUBLE) + floor(size * 0.1::DOUBLE) THEN 'val' ELSE 'test' END AS split, count(*) AS n, count(*) FILTER (leaked) AS leaks
+FROM cut GROUP BY 1""",
+    "isolated_threads": f"WITH {LEAKED} SELECT thread_id, title FROM marked_ WHERE NOT leaked",
 }
 SFT = ORACLES["sft_records"]
 #: The first long answers are taken before their cleaned text is judged; the template wraps the three messages.

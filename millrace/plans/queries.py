@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 
 from ..fixed import CONCEPTS, SHORT_CONCEPTS
 from ..functions import rewards
-from ..functions.text import reasoning, strip, tagged_answer
+from ..functions.text import reasoning, strip, tagged_answer, variant_text
 from ..operators import curate, evaluate, ingest, split, threads, training
 from ..sources.files import open_objects
-from .views import BASE_RECORDS, COMPLETIONS, DECISIONS, ITEM_ROWS, ITEMS, RAW_LINES, RECORDS, spread, view
+from .views import ASKED, BASE_RECORDS, COMPLETIONS, DECISIONS, ITEM_ROWS, ITEMS, ODD_LINES, RAW_LINES, RECORDS, SHAPES, spread, view
 
 
-def parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return threads.kept_parts(view(spark, sf_dir, BASE_RECORDS))
+def kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return threads.kept(view(spark, sf_dir, BASE_RECORDS))
 
 
 def raw_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,27 +54,27 @@ def reject_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def thread_best_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return threads.best_answers(*parts(spark, sf_dir))
+    return threads.best_answers(kept(spark, sf_dir))
 
 
 def thread_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return threads.threads(*parts(spark, sf_dir)).drop("conversation_json", "discussion_transcript")
+    return threads.threads(kept(spark, sf_dir)).drop("conversation_json", "discussion_transcript")
 
 
 def thread_transcript(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return threads.threads(*parts(spark, sf_dir)).select("thread_id", "discussion_transcript")
+    return threads.threads(kept(spark, sf_dir)).select("thread_id", "discussion_transcript")
 
 
 def thread_conversation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return threads.threads(*parts(spark, sf_dir)).select("thread_id", "conversation_json")
+    return threads.threads(kept(spark, sf_dir)).select("thread_id", "conversation_json")
 
 
 def thread_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return threads.thread_report(threads.threads(*parts(spark, sf_dir)))
+    return threads.thread_report(threads.threads(kept(spark, sf_dir)))
 
 
 def conversation_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return threads.turns(*parts(spark, sf_dir))
+    return threads.turns(kept(spark, sf_dir))
 
 
 def promo_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -207,9 +207,9 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, ITEM_ROWS).withColumn("expected_concepts", F.split("concepts", "[|]")).drop("concepts")
 
 
-def covered(spark: SparkSession, sf_dir: str, match=evaluate.loose_match) -> DataFrame:
+def covered(spark: SparkSession, sf_dir: str, match=evaluate.loose_match, **more) -> DataFrame:
     answers = completions(spark, sf_dir).select(F.col("id").alias("doc_id"), F.col("item").alias("id"), "text", "tokens", "seconds")
-    return evaluate.coverage(answers, items(spark, sf_dir), match, digits=None)
+    return evaluate.coverages(answers, items(spark, sf_dir), {"": match} | more, digits=None)
 
 
 def concept_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -239,8 +239,8 @@ def eval_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def eval_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
-    some = covered(spark, sf_dir, evaluate.strict_match).where("category <> 'retrieval'")
-    return evaluate.compare(evaluate.rollup(covered(spark, sf_dir)), evaluate.rollup(some))
+    rows = covered(spark, sf_dir, strict_=evaluate.strict_match)
+    return evaluate.side_by_side(rows, F.col("recall"), F.when(F.col("category") != "retrieval", F.col("strict_recall")))
 
 
 def trained_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -257,6 +257,34 @@ def benchmark_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.benchmark_faults(rows)
 
 
+def ingest_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines on which readers of JSON differ, by the strict reader: Python's rules."""
+    rows = ingest.normalize(view(spark, sf_dir, ODD_LINES).select("ord", strip("line").alias("line")), False, strict=True)
+    return rows.select("ord", F.when(~F.col("malformed"), F.col("id")).alias("id"), F.when(~F.col("malformed"), F.col("score")).alias("score"), "malformed")
+
+
+def completion_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Completions of every shape in one VARIANT column, and the reward that they get."""
+    rows = view(spark, sf_dir, SHAPES).select("id", "shape", variant_text(F.parse_json("completion")).alias("text"))
+    return rows.select("id", "shape", "text", rewards.format_reward(F.col("text")).alias("reward"))
+
+
+def asked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return view(spark, sf_dir, ASKED), view(spark, sf_dir, ITEMS)
+
+
+def benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark questions in each split of threads, as titles or bodies."""
+    rows, items = asked(spark, sf_dir)
+    return split.leaks(split.stratified_split(rows, "taxonomy_topic", "thread_id"), items, ("title", "post_body"))
+
+
+def isolated_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The threads that may be trained on."""
+    rows, items = asked(spark, sf_dir)
+    return split.isolated(rows, items, ("title", "post_body")).select("thread_id", "title")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -264,5 +292,6 @@ QUERIES = {
         conversation_turns, promo_filter, curation_decisions, curation_report, taxonomy_distribution, model_states, notebook_states, audit_rows, scored_by_plugin, split_by_language,
         split_distribution, split_leakage, rl_prompts, sft_records, sft_first, sft_text, reasoning_traces, reward_format, reward_concepts, reward_grounding, reward_repetition, reward_composite,
         concept_coverage, strict_coverage, question_rows, eval_rollup, eval_categories, eval_answers, eval_compare, trained_report, benchmark_metadata, benchmark_faults,
+        ingest_strict, completion_texts, benchmark_leaks, isolated_threads,
     )
 }

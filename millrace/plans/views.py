@@ -123,6 +123,52 @@ FROM {benchmark}
 ITEM_ROWS = f"SELECT id, min(question) AS question, min(category) AS category, min(difficulty) AS difficulty, min(test_type) AS test_type, min(concepts) AS concepts FROM ({ITEMS}) i GROUP BY id"
 
 
+#: Threads some of which ask a question of the benchmark, in other case and with other marks, as a title or as a body.
+ASKED = """
+SELECT concat('t', d.doc_id) AS thread_id,
+       CASE WHEN d.doc_id % 17 = 3 THEN concat('  ', translate(b.text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ'), ' ?!') WHEN d.doc_id % 17 = 5 THEN NULL WHEN d.doc_id % 17 = 6 THEN ' ?! ' WHEN d.doc_id % 17 = 7 THEN concat(b.text, ' indeed') ELSE concat('On ', d.source) END AS title,
+       CASE WHEN d.doc_id % 19 = 4 THEN replace(b.text, ' ', ' , ') ELSE d.text END AS post_body,
+       d.lang AS taxonomy_topic
+FROM {documents} d LEFT JOIN {benchmark} b ON d.doc_id % 40 = b.item_id
+"""
+
+#: Lines on which readers of JSON differ: trailing text, repeated keys, NaN, numbers as ids, wide integers, values that are no objects.
+ODD_LINES = """
+SELECT CAST(conv_id * 1000 + turn AS BIGINT) AS ord, conv_id * 7 + turn AS k,
+       CASE (conv_id * 7 + turn) % 12
+            WHEN 0 THEN concat(chr(123), '"id": "c', conv_id, '", "score": 3.7', chr(125), ' trailing')
+            WHEN 1 THEN concat(chr(123), '"id": "first", "score": 1, "score": "7", "id": "c', conv_id, '"', chr(125))
+            WHEN 2 THEN concat(chr(123), '"id": "c', conv_id, '", "score": NaN', chr(125))
+            WHEN 3 THEN concat(chr(123), '"id": ', conv_id + 1, '.0, "score": -3.7', chr(125))
+            WHEN 4 THEN concat(chr(123), '"id": "c', conv_id, '", "score": 12345678901234567890', chr(125))
+            WHEN 5 THEN concat(chr(123), '"id": " c', conv_id, ' ", "score": " 5 "', chr(125))
+            WHEN 6 THEN '[1]' WHEN 7 THEN '"data"' WHEN 8 THEN 'null'
+            WHEN 9 THEN concat(chr(123), '"id": true, "score": true', chr(125))
+            WHEN 10 THEN concat(chr(123), '"data": ', chr(123), '"id": "c', conv_id, '", "score": "3.7"', chr(125), chr(125))
+            ELSE concat(chr(123), '"id": 0, "score": 3', chr(125)) END AS line
+FROM {conversations}
+"""
+
+#: Documents as completions of every shape that a trainer hands over, in JSON: a text, a message, messages, messages and texts mixed, a message without content, scalars.
+SHAPES = """
+WITH escaped AS (
+  SELECT doc_id, text, concat('"', replace(replace(replace(replace(replace(coalesce(text, ''), chr(92), concat(chr(92), chr(92))), chr(34), concat(chr(92), chr(34))), chr(10), concat(chr(92), 'n')), chr(9), concat(chr(92), 't')), chr(13), concat(chr(92), 'r')), '"') AS body
+  FROM {documents}
+)
+SELECT doc_id AS id, coalesce(text, '') AS text, doc_id % 8 AS shape,
+       CASE doc_id % 8
+            WHEN 0 THEN body
+            WHEN 1 THEN concat(chr(123), '"role": "assistant", "content": ', body, chr(125))
+            WHEN 2 THEN concat('[', chr(123), '"role": "user", "content": "why"', chr(125), ', ', chr(123), '"content": ', body, chr(125), ']')
+            WHEN 3 THEN concat('[', body, ', ', chr(123), '"content": "tail"', chr(125), ', "end"]')
+            WHEN 4 THEN concat(chr(123), '"role": "assistant"', chr(125))
+            WHEN 5 THEN concat('[', chr(123), '"role": "x"', chr(125), ', ', doc_id, ', true, null, ', body, ']')
+            WHEN 6 THEN concat(chr(123), '"content": null', chr(125))
+            ELSE '[]' END AS completion
+FROM escaped
+"""
+
+
 def spread(df: DataFrame) -> DataFrame:
     """`df`, dealt out over the cores if its files make fewer tasks than there are: work per row outweighs a shuffle of so little."""
     cores = df.sparkSession.sparkContext.defaultParallelism

@@ -33,6 +33,11 @@ def resolve_path(spark: SparkSession, path: str) -> str:
     return other if not exists(spark, path) and exists(spark, other) else path
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    fs, where = filesystem(spark, path)
+    fs.delete(where, True)
+
+
 def size_bytes(spark: SparkSession, path: str) -> int:
     """Bytes under a path, 0 if there is none."""
     fs, where = filesystem(spark, path)
@@ -43,17 +48,24 @@ def kind(v: Column) -> Column:
     return F.schema_of_variant(v)
 
 
+def line_place() -> list[Column]:
+    """file, block, ord: where a line stands, files by name, blocks of a file by offset, lines of a block by number."""
+    return [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("ord")]
+
+
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, block, ord, line): the non-blank lines of a file or folder, stripped; (file, block, ord) is their order. Invalid UTF-8 becomes U+FFFD; a missing file has no lines."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], "file string, block long, ord long, line string")
+    return spark.read.text(path).select(*line_place(), strip(F.make_valid_utf8("value")).alias("line")).where("line <> ''")
+
+
 def read_json_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, ord, v): a VARIANT object per non-blank line, null where the line is not a JSON object; (file, ord) is the order of lines, files by name.
+    """(file, block, ord, v): `read_lines` with a VARIANT object per line, null where the line is not a JSON object.
 
-    Invalid UTF-8 becomes U+FFFD; a missing file has no lines. An envelope `{"data": {...}}` is opened.
     A line must end with the closing brace, since the parser ignores what follows a value.
     """
-    if not exists(spark, path):
-        return spark.createDataFrame([], "file string, ord long, v variant")
-    line = strip(F.make_valid_utf8("value"))
-    place = F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("ord")
-    return open_objects(spark.read.text(path).select(*place, line.alias("line")).where("line <> ''"))
+    return open_objects(read_lines(spark, path))
 
 
 def open_objects(lines: DataFrame) -> DataFrame:
@@ -76,10 +88,34 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def write_table(df: DataFrame, path: str, split_by: str | None = None) -> None:
+def writer(df: DataFrame, group_rows: int | None = None):
+    """A zstd Parquet writer; `group_rows` bounds the rows of a row group."""
+    out = df.write.mode("overwrite").option("compression", "zstd")
+    return out.option("parquet.block.row.count.limit", group_rows) if group_rows else out
+
+
+def write_table(df: DataFrame, path: str, split_by: str | None = None, group_rows: int | None = None) -> None:
     """zstd Parquet, one folder per value of `split_by` if given. Zero rows leave a file with the schema alone."""
-    writer = df.write.mode("overwrite").option("compression", "zstd")
-    (writer.partitionBy(split_by) if split_by else writer).parquet(path)
+    out = writer(df, group_rows)
+    (out.partitionBy(split_by) if split_by else out).parquet(path)
+
+
+def write_parts(df: DataFrame, flag: str, paths: dict[bool, str | None], group_rows: int | None = None) -> None:
+    """One write of `df` into two tables by a boolean column, which both keep: a folder per value beside the first path, then moved. A table without a path is deleted, one without rows is a file with the schema alone."""
+    spark, whole = df.sparkSession, f"{paths[True]}.parts"
+    writer(df.withColumn("__part", F.col(flag)), group_rows).partitionBy("__part").parquet(whole)
+    fs, base = filesystem(spark, whole)
+    for value, path in paths.items():
+        _, made = filesystem(spark, f"{whole}/__part={str(value).lower()}")
+        if path is None:
+            continue
+        _, target = filesystem(spark, path)
+        fs.delete(target, True)
+        if not fs.exists(made):
+            write_table(spark.createDataFrame([], df.schema), path)
+        elif not fs.rename(made, target):
+            raise OSError(f"{made} could not be moved to {path}")
+    fs.delete(base, True)
 
 
 def write_json_lines(df: DataFrame, path: str) -> None:
@@ -103,9 +139,15 @@ def write_report(report: dict, path: str, spark: SparkSession | None = None) ->
     return report
 
 
-def counts_map(df: DataFrame, key: str, limit: int = 1000) -> dict[str, int]:
-    """Rows per value of a category column, for a report: the `limit` most frequent values, all others as `(other)`."""
-    counts = df.groupBy(key).count()
-    found = {r[0]: r[1] for r in counts.orderBy(F.desc("count"), key).limit(limit).collect()}
-    rest = (counts.agg(F.sum("count")).first()[0] or 0) - sum(found.values()) if len(found) == limit else 0
-    return found | ({"(other)": rest} if rest else {})
+#: Values of a category column that a report holds itself.
+REPORT_VALUES = 10_000
+
+
+def counts_map(df: DataFrame, key: str, path: str, limit: int = REPORT_VALUES) -> dict[str, int] | dict[str, str]:
+    """Rows per value of a category column, for a report. More than `limit` values are all written to `path` as JSON lines, and the report names it."""
+    counts = df.groupBy(F.col(key).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    found = counts.limit(limit + 1).collect()
+    if len(found) > limit:
+        write_json_lines(counts, path)
+        return {"file": path}
+    return {r.value: r.n for r in sorted(found, key=lambda r: (-r.n, str(r.value)))}

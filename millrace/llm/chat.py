@@ -13,8 +13,9 @@ Template: `<s>[INST] text [/INST]` for users, ` text </s>` for assistants (text
 `\` before it, so no control string can occur there and unescaping restores the text.
 
 Defined cases: null texts are empty, a null role is the empty role; events of equal seq are taken by
-op, role, text; a message without `start` has the empty role; a null conversation id is a
-conversation of its own; an empty log gives no rows; other columns are ignored.
+op, role, text; events that repeat are each applied, messages of one number are told apart by `copy`; a message without
+`start` has the empty role; a null conversation id is a conversation of its own; ids must be integers; messages
+of any length are held one at a time; an empty log gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations

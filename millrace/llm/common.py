@@ -49,12 +49,6 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Python workers of this session get at most `rows` rows at a time: ten thousand long texts, on both sides, are much memory. A setting of the session's own stays."""
-    if spark.conf.get(BATCH_ROWS) == "10000":  # Spark's default
-        spark.conf.set(BATCH_ROWS, str(rows))
-
-
 def materialize(df: DataFrame, name: str = "step", batch_rows: int = 1000) -> DataFrame:
     """Cut the lineage: write `df` as Parquet in the shared folder and read it back.
 
@@ -119,9 +113,10 @@ def tidy(drop: Callable[[], None] | None = None) -> Callable:
     return wrap
 
 
-def bounded(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """`df` (already materialized, narrow rows) with a broadcast hint if it has at most `limit` rows, else as it is."""
-    return F.broadcast(df) if df.count() <= limit else df
+def bounded(df: DataFrame, limit: int = BROADCAST_ROWS, weight: Column | None = None) -> DataFrame:
+    """`df` (already materialized, narrow rows) with a broadcast hint if it has at most `limit` rows, else as it is. Rows that may be wide count by `weight`."""
+    size = df.count() if weight is None else df.agg(F.coalesce(F.sum(weight), F.lit(0))).first()[0]
+    return F.broadcast(df) if size <= limit else df
 
 
 def positions(df: DataFrame, by: str, order: list[Column], name: str) -> DataFrame:

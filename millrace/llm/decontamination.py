@@ -9,20 +9,25 @@ tolerance in proportion (one word from 7 words on, none below), and items too sh
 are looked up whole. The masks find every window that is tolerated (tests check all placements).
 
 A seed goes with the words around it, SIDE on either side, as hashes; so a hit is verified where the
-join finds it, and neither texts nor items are gathered. Seeds of documents pass a bit table of
-2 * 2 ** BITS bits at most, whatever the benchmark's size, before they are shuffled. Within one text or item equal seeds
+join finds it, and neither texts nor items are gathered. Seeds of documents pass a bit table before they
+are shuffled. It has BITS_A_SEED bits for each distinct seed of the benchmark, which let about 1.4 % of
+all other positions pass, and it is built by tasks, a block of bits each. A benchmark of more seeds than
+TABLE_SEEDS is worked off in slices of the seeds' hashes: the texts are read once for each, so the table
+stays within its bound and as tight. Within one text or item equal seeds
 with equal surroundings count once. The seeds of the benchmark are broadcast only if they are few
 (SEED_ROWS), else the join shuffles. Hashes are 64 bits under a random key drawn for each run.
 
-Defined cases: null and empty texts or items match nothing; a null item id is reported as null;
-repeated items all are reported, in ascending order; repeated documents get the same answer; an
-empty benchmark leaves every document clean; other columns pass through, and those named as an output
-column are replaced.
+Defined cases: null and empty texts or items match nothing; item ids may be of any type that can be ordered, and a null
+one is reported as null; repeated items all are reported, in ascending order; repeated documents get the same answer;
+texts and items of any length are read whole; an empty table gives no rows, an empty benchmark leaves every document
+clean; other columns pass through, and those named as an output column are replaced.
 """
 
 from __future__ import annotations
 
+import functools
 import re
+import sys
 import unicodedata
 from collections.abc import Iterator
 
@@ -36,18 +41,38 @@ from .common import bounded, boxed, column, discard, doc_words, free_name, mater
 WINDOW, ALLOWED = 13, 2
 MASKS = ("11111", "11011", "1100111")
 SIDE = WINDOW - 1
-BITS = 24
+BITS_A_SEED, LEAST_BITS, BLOCK = 16, 1 << 16, 1 << 18
+#: Distinct seeds of the benchmark that one bit table holds: 64 MB at most.
+TABLE_SEEDS = 1 << 25
 SEED_ROWS = 1 << 17
 _DROP = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
-#: Punctuation, symbols, separators and controls beyond ASCII.
-_ODD = re.compile("[" + "".join(c for c in map(chr, range(0x80, 0xD800)) if unicodedata.category(c) in ("Cc", "Cf") or unicodedata.category(c)[0] in "PSZ") + "豈︰-﹯！-／：-＠［-｀｛-･]")
+
+
+
+@functools.cache
+def odd() -> re.Pattern:
+    """Runs of punctuation, symbols, separators and controls beyond ASCII, of all code points."""
+    ranges: list[list[int]] = []
+    for c in range(0x80, sys.maxunicode + 1):
+        kind = unicodedata.category(chr(c))
+        if kind[0] in "PSZ" or kind in ("Cc", "Cf"):
+            if ranges and ranges[-1][1] == c - 1:
+                ranges[-1][1] = c
+            else:
+                ranges.append([c, c])
+    return re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in ranges) + "]+")
+
+
 #: What stands in a document's or an item's surroundings beyond its ends.
 NO_WORD, NO_ITEM = np.uint64(0), np.uint64(1)
 
 
 def normal(text: str | None) -> bytes:
-    text = (text or "").lower()
-    return (text if text.isascii() else _ODD.sub(" ", text)).encode("utf-8", "surrogatepass").translate(_DROP)
+    """UTF-8 of a text with each letter lower-cased on its own, whatever stands around it, and a space for all that belongs to no word."""
+    text = text or ""
+    if not text.isascii():
+        text = odd().sub(" ", text.replace("\u03a3", "\u03c3").replace("\u0130", "i"))
+    return text.lower().encode("utf-8", "surrogatepass").translate(_DROP)
 
 
 def window_of(words: int) -> tuple[int, int]:
@@ -75,13 +100,13 @@ def surroundings(hashes: np.ndarray, at: np.ndarray, low: np.ndarray, high: np.n
 
 
 def item_seeds(key: int):
-    """A map of items to their seeds: item, id, seed, words of the item, surroundings; equal ones of an item once."""
+    """A map of items to their seeds: item, seed, words of the item, surroundings; equal ones of an item once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["item", "id", "seed", "n", "around"]
+        names = ["item", "seed", "n", "around"]
         for b in slices(batches, 200):
             out = []
-            for item, ident, text in zip(*(column(b, k).to_pylist() for k in ("item", "id", "text")), strict=True):
+            for item, text in zip(column(b, "item").to_pylist(), column(b, "text").to_pylist(), strict=True):
                 words = doc_words([normal(text)], key)[0]
                 n, found = len(words), set()
                 for mask in MASKS if n >= len(MASKS[0]) else ("1" * n,):
@@ -89,21 +114,31 @@ def item_seeds(key: int):
                     at = np.arange(len(got))
                     around = surroundings(words, at, np.zeros(len(got), int), np.full(len(got), n), NO_ITEM)
                     found |= set(zip(got.view(np.int64).tolist(), (x.tobytes() for x in around), strict=True))
-                out += [(item, ident, seed, n, around) for seed, around in sorted(found)]
+                out += [(item, seed, n, around) for seed, around in sorted(found)]
             cols = list(zip(*out, strict=True)) or [[]] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if k == "around" else pa.int64()) for k, c in zip(names, cols, strict=True)], names)
 
     return run
 
 
-def document_seeds(key: int, masks: tuple[str, ...], table):
-    """A map of texts to their seeds that the bit table lets pass: k1, k2, seed, surroundings; equal ones of a text once."""
+def passing(hashes: np.ndarray, table: np.ndarray, part: tuple[int, int]) -> np.ndarray:
+    """Places of the hashes of slice `part` (number, slices) whose two bits stand in the table."""
+    size = np.uint64(8 * len(table) - 1)  # a power of two less one
+    at = np.flatnonzero(hashes % np.uint64(part[1]) == np.uint64(part[0])) if part[1] > 1 else None
+    for shift in (8, 34):
+        bit = ((hashes if at is None else hashes[at]) >> np.uint64(shift)) & size
+        hit = np.flatnonzero(table[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8) & 1)
+        at = hit if at is None else at[hit]
+    return at
+
+
+def document_seeds(key: int, masks: tuple[str, ...], shipped, part: tuple[int, int]):
+    """A map of texts to their seeds of slice `part` that the bit table lets pass: k1, k2, seed, surroundings; equal ones of a text once."""
 
     @tidy()
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["k1", "k2", "seed", "around"]
-        bits = np.unpackbits(np.frombuffer(table.value, np.uint8), bitorder="little").view(bool)
-        low = np.uint64((1 << BITS) - 1)
+        table = np.frombuffer(shipped.value, np.uint8)
         for b in slices(batches):
             k1, k2 = column(b, "k1").to_pylist(), column(b, "k2").to_pylist()
             texts = [normal(t) for t in column(b, "text").to_pylist()]
@@ -113,8 +148,7 @@ def document_seeds(key: int, masks: tuple[str, ...], table):
                 found = set()
                 for mask in masks:
                     got = seeds(hashes, mask)
-                    at = np.flatnonzero(bits[got >> np.uint64(64 - BITS)])
-                    at = at[bits[got[at] & low]]
+                    at = passing(got, table, part)
                     doc = np.searchsorted(offsets, at, "right") - 1
                     at, doc = at[whole := at + len(mask) <= offsets[doc + 1]], doc[whole]
                     for lo in range(0, len(at), 20_000):
@@ -150,19 +184,28 @@ def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             some = np.flatnonzero(np.minimum(words, WINDOW) == n)
             agree[some] = agreements(document[some], item[some], n)
         hit = pa.array(agree > 0)
-        cols = [*(column(b, k).filter(hit) for k in ("k1", "k2", "item", "id")), pa.array(agree[agree > 0], pa.int32())]
-        yield pa.RecordBatch.from_arrays(cols, ["k1", "k2", "item", "id", "agree"])
+        cols = [*(column(b, k).filter(hit) for k in ("k1", "k2", "item")), pa.array(agree[agree > 0], pa.int32())]
+        yield pa.RecordBatch.from_arrays(cols, ["k1", "k2", "item", "agree"])
+
+
+def bit_table(known: DataFrame, seeds_in_all: int) -> bytes:
+    """Two bits for each of the distinct seeds, made by tasks in blocks; the driver joins the blocks."""
+    size = LEAST_BITS
+    while size < BITS_A_SEED * seeds_in_all:
+        size *= 2
+    block = min(BLOCK, size)
 
+    def run(key: tuple, bits: pa.Table) -> pa.Table:
+        packed = np.zeros(block, bool)
+        packed[bits.column("low").to_numpy()] = True
+        return pa.table({"block": pa.array([key[0].as_py()], pa.int64()), "bits": pa.array([np.packbits(packed, bitorder="little").tobytes()], pa.binary())})
 
-def bit_table(known: DataFrame) -> bytes:
-    """Two bits of 2 ** BITS for each seed; at most 2 ** (BITS - 6) rows reach the driver."""
-    low = F.lit((1 << BITS) - 1).cast("long")
-    bits = known.select(F.explode(F.array(F.shiftrightunsigned("seed", 64 - BITS), F.col("seed").bitwiseAND(low))).alias("bit"))
-    one = F.expr("shiftleft(1L, cast(bit & 63 AS int))")
-    words = np.zeros(1 << BITS - 6, np.int64)
-    for r in bits.groupBy(F.shiftright("bit", 6).alias("at")).agg(F.bit_or(one).alias("word")).collect():
-        words[r["at"]] = r["word"]
-    return words.tobytes()
+    bit = F.explode(F.array(*(F.shiftrightunsigned("seed", k).bitwiseAND(size - 1) for k in (8, 34)))).alias("bit")
+    bits = known.select(bit).distinct().select((F.col("bit") / block).cast("long").alias("block"), (F.col("bit") % block).alias("low"))
+    out = bytearray(size // 8)
+    for r in bits.groupBy("block").applyInArrow(run, "block long, bits binary").collect():
+        out[r["block"] * block // 8 : (r["block"] + 1) * block // 8] = r["bits"]
+    return bytes(out)
 
 
 def text_keys(text: str) -> tuple[Column, Column]:
@@ -170,23 +213,33 @@ def text_keys(text: str) -> tuple[Column, Column]:
     return F.xxhash64(body), F.xxhash64(F.lit("second"), body)
 
 
-def contaminated_texts(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", seed_rows: int = SEED_ROWS) -> DataFrame:
+def contaminated_texts(
+    docs: DataFrame, benchmark: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", seed_rows: int = SEED_ROWS, table_seeds: int = TABLE_SEEDS
+) -> DataFrame:
     """(k1, k2, items, overlap): the texts, by two hashes of each, in which items were found; written to the shared folder."""
     key, spark = new_key(), docs.sparkSession
-    items = benchmark.select(F.monotonically_increasing_id().alias("item"), F.col(item_key).cast("long").alias("id"), F.col(item_text).alias("text"))
-    known = materialize(items.mapInArrow(item_seeds(key), "item long, id long, seed long, n long, around binary"), "seeds")
+    items = materialize(benchmark.select(F.monotonically_increasing_id().alias("item"), F.col(item_key).alias("id"), F.col(item_text).alias("text")), "items")
+    known = materialize(items.select("item", "text").mapInArrow(item_seeds(key), "item long, seed long, n long, around binary"), "seeds")
     short = [r["n"] for r in known.where(F.col("n") < len(MASKS[0])).select("n").distinct().collect()]  # at most four lengths
-    table = spark.sparkContext.broadcast(bit_table(known))
+    masks = (*MASKS, *("1" * n for n in sorted(short)))
+    distinct = known.select("seed").distinct()
+    n_seeds = distinct.count()
+    slices_ = max(1, -(-n_seeds // table_seeds))
     one, two = text_keys(text)
     texts = docs.select(one.alias("k1"), two.alias("k2"), F.col(text).alias("text"))
-    masks = (*MASKS, *("1" * n for n in sorted(short)))
-    hits = materialize(texts.mapInArrow(document_seeds(key, masks, table), "k1 long, k2 long, seed long, around binary"), "hits")
-    table.unpersist()
-    met = hits.join(bounded(known.withColumnRenamed("around", "item_around"), seed_rows), "seed").select("k1", "k2", "item", "id", "n", "around", "item_around")
-    found = met.mapInArrow(verified, "k1 long, k2 long, item long, id long, agree int").groupBy("k1", "k2", "item").agg(F.first("id").alias("id"), F.max("agree").alias("agree"))
-    held = found.groupBy("k1", "k2").agg(F.array_sort(F.transform(F.collect_list(F.struct("id")), lambda x: x["id"])).alias("items"), F.max("agree").alias("overlap"))
+    hits = []
+    for k in range(slices_):
+        # the remainder of the seed as an unsigned number
+        own = F.pmod(F.pmod("seed", F.lit(slices_)) + F.when(F.col("seed") < 0, (1 << 64) % slices_).otherwise(0), F.lit(slices_)) == k
+        shipped = spark.sparkContext.broadcast(bit_table(distinct.where(own), -(-n_seeds // slices_)))
+        hits.append(materialize(texts.mapInArrow(document_seeds(key, masks, shipped, (k, slices_)), "k1 long, k2 long, seed long, around binary"), "hits"))
+        shipped.unpersist()
+    met = functools.reduce(DataFrame.unionByName, hits).join(bounded(known.withColumnRenamed("around", "item_around"), seed_rows), "seed").select("k1", "k2", "item", "n", "around", "item_around")
+    found = met.mapInArrow(verified, "k1 long, k2 long, item long, agree int").groupBy("k1", "k2", "item").agg(F.max("agree").alias("agree"))
+    named = found.join(bounded(items.select("item", "id")), "item")
+    held = named.groupBy("k1", "k2").agg(F.array_sort(F.transform(F.collect_list(F.struct("id")), lambda x: x["id"])).alias("items"), F.max("agree").alias("overlap"))
     held = materialize(held, "contaminated")
-    discard(known, hits)
+    discard(known, items, *hits)
     return held
 
 
@@ -198,8 +251,9 @@ def contaminated(
     kept, names = boxed(docs, docs.columns if keep is None else keep, made)
     held = contaminated_texts(docs, benchmark, text, item_key, item_text, seed_rows)
     one, two = text_keys(text)
-    rows = docs.select(*kept, one.alias("k1"), two.alias("k2")).join(bounded(held), ["k1", "k2"], "left")
-    none = F.array().cast("array<long>")
+    ids = F.size("items") if benchmark.schema[item_key].dataType.typeName() != "string" else F.octet_length(F.concat_ws(" ", "items"))
+    rows = docs.select(*kept, one.alias("k1"), two.alias("k2")).join(bounded(held, weight=ids + 4), ["k1", "k2"], "left")
+    none = F.array().cast(held.schema["items"].dataType)
     return rows.select(*(f"c{k}" for k in range(len(names))), F.coalesce("items", none), F.coalesce("overlap", F.lit(0))).toDF(*names, *made)
 
 

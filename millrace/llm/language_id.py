@@ -7,12 +7,14 @@ not cross words, so a word's scores are computed once per run of texts. Scoring
 documents without a shuffle.
 
 Fitting reads at most MAX_FIT_ROWS labelled rows (a documented bound, shared evenly by the languages,
-one row each at least; those with the smallest hashes of the id); their words are learned from whatever their
-length, so unspaced scripts are too; everything else covers every row and whole texts.
+one row each at least; those with the smallest hashes of id and text); their words are learned from whatever their
+length, so unspaced scripts are too; each language is fitted in a task of its own, and the driver gets a number for
+each piece of the vocabulary and language, of which there may be MAX_LANGUAGES (more are refused: a column of so
+many values is no column of languages). Everything else covers every row and whole texts.
 
 Defined cases: null texts and texts without a letter are `und` with score 0; rows with a null id
-are not held out and not learned from; an empty training set makes every text `und`; rows that repeat
-get the same answer; ties go to the first language in code point order; other columns pass through, and
+are not held out and not learned from; a language whose sampled rows have no word is not learned; an empty training
+set makes every text `und`; rows that repeat get the same answer; ties go to the first language in code point order; other columns pass through, and
 those named as an output column are replaced.
 """
 
@@ -33,6 +35,7 @@ from .mixing import draw
 from .vocabulary import PIECES, WORD_MARK, PieceIndex, WordTable, char_matrix, load_pieces, text_runs
 
 MAX_FIT_ROWS = 800
+MAX_LANGUAGES = 1024
 ROUNDS = 3
 SMOOTHING = 0.1
 #: Probability of a character that no piece covers; the same in all languages.
@@ -203,20 +206,28 @@ def fit(docs: DataFrame, path: str = PIECES, key: str = "doc_id", text: str = "t
     """The model of the languages in `lang`, from a bounded sample of the rows that are not held out."""
     pieces = load_pieces(path)
     labelled = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(key).isNotNull() & ~held_out(key))
-    sizes = dict(labelled.groupBy(lang).count().collect())
-    langs = sorted(sizes)
-    if not langs:
-        return Model(pieces, [], np.zeros((len(pieces) + 1, 0)))
-    share = max(1, max_rows // len(langs))
-    # several times the share by rate, then the first of each language: only ids and draws of the few are ranked
-    rate = F.create_map(*[F.lit(x) for k in langs for x in (k, min(1.0, (4 * share + 40) / sizes[k]))])
-    drawn = labelled.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.col(key).alias("key"), draw(key, "fit").alias("draw")).where(F.col("draw") < rate[F.col("lang")])
+    luck = draw(key, "fit", F.xxhash64(F.col(text)).cast("string"))
+    drawn = labelled.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.col(key).alias("key"), luck.alias("draw"))
+    sizes = {r["lang"]: r for r in drawn.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min("draw").alias("least")).limit(MAX_LANGUAGES + 1).collect()}
+    if len(sizes) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages to learn in column {lang}")
+    none = Model(pieces, [], np.zeros((len(pieces) + 1, 0)))
+    if not sizes:
+        return none
+    share = max(1, max_rows // len(sizes))
+    # several times the share by rate, and the row of the smallest draw anyhow, then the first of each language: only few are ranked
+    most = F.create_map(*[F.lit(x) for k, r in sizes.items() for x in (k, max(min(1.0, (4 * share + 40) / r.n), float(r.least)))])
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "key", "text"))
-    chosen = drawn.withColumn("rank", rank).where(F.col("rank") <= share)
-    counted = chosen.select("lang", F.explode(tokens(F.col("text"))).alias("word")).groupBy("lang", "word").count().toPandas()
-    index = PieceIndex(pieces)
-    fitted = [fit_language(list(c.word), c["count"].to_numpy(float), index) for c in (counted[counted.lang == k] for k in langs)]
-    return Model(pieces, langs, np.stack(fitted, axis=1))
+    chosen = drawn.where(F.col("draw") <= most[F.col("lang")]).withColumn("rank", rank).where(F.col("rank") <= share)
+    counted = chosen.select("lang", F.explode(tokens(F.col("text"))).alias("word")).groupBy("lang", "word").count()
+
+    def fitted(key: tuple, words: pa.Table) -> pa.Table:
+        words = words.sort_by("word")
+        table = fit_language(words.column("word").to_pylist(), words.column("count").to_numpy().astype(float), PieceIndex(pieces))
+        return pa.table({"lang": pa.array([key[0].as_py()], pa.string()), "table": pa.array([table.tobytes()], pa.binary())})
+
+    tables = {r["lang"]: np.frombuffer(r["table"], float) for r in counted.groupBy("lang").applyInArrow(fitted, "lang string, table binary").collect()}
+    return Model(pieces, sorted(tables), np.stack([tables[k] for k in sorted(tables)], axis=1)) if tables else none
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:

@@ -64,9 +64,9 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_rep
     return capped.select("source", "source_size", F.least(cap.cast("double"), F.lit(top) * F.col("__w")).alias("target"))
 
 
-def draw(key: str, seed: str = SEED) -> Column:
-    """A number in [0, 1) from 52 bits of MD5 over the seed and the id."""
-    digest = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col(key).cast("string"), F.lit(""))))
+def draw(key: str, seed: str = SEED, *more: Column) -> Column:
+    """A number in [0, 1) from 52 bits of MD5 over the seed and the id, and more if given."""
+    digest = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col(key).cast("string"), F.lit("")), *(x for c in more for x in (F.lit("|"), c))))
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / float(16**13)
 
 

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, decontamination, exact_dedup, language_id, mixing, packing, prefix_trie, similarity_join, spelling, suffix_dedup, token_counts, url_filters, warc
-from .common import small_batches
+from .common import materialize, with_copies
+
+# Queries that end in a map over texts write their result first: batches for Python are small meanwhile, and the session's setting is as it was.
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -77,16 +78,16 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = language_id.fit(docs)
     rows = docs.select("doc_id", language_id.held_out().alias("held_out"), "text")
     out = language_id.identify(rows, model, keep=["doc_id", "held_out"])
-    return out.withColumnsRenamed({"__lang": "lang_pred", "__score": "score"})
+    return materialize(out.withColumnsRenamed({"__lang": "lang_pred", "__score": "score"}), "languages")
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return token_counts.count_tokens(docs, keep=["doc_id"]).withColumnsRenamed({"__pretokens": "n_pretokens", "__tokens": "n_tokens"})
+    return materialize(token_counts.count_tokens(docs, keep=["doc_id"]).withColumnsRenamed({"__pretokens": "n_pretokens", "__tokens": "n_tokens"}), "counts")
 
 
 def op1_packed_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(table(spark, sf_dir, "documents"))
+    return materialize(packing.pack_documents(table(spark, sf_dir, "documents")), "packs")
 
 
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,8 +98,7 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("</s>[INST] ok [/INST]").alias("text"),
     )
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
-    again = F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy("role", "text"))
-    return chat.read_back(chat.render(chat.fold(event_log(rows.withColumn("copy", again)))))
+    return chat.read_back(chat.render(chat.fold(event_log(with_copies(rows, ["conv_id", "turn"], ["role", "text"])))))
 
 
 def event_log(rows: DataFrame) -> DataFrame:
@@ -220,13 +220,14 @@ SELECT doc_id, item_ids IS NOT NULL AS contaminated, coalesce(item_ids, '') AS i
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = suffix_dedup.remove_repeats(docs, keep=["doc_id"], payload=False)
-    return out.select(
+    digests = out.select(
         "doc_id",
         F.col("__n_bytes").alias("n_bytes"),
         F.col("__n_removed").alias("n_removed"),
         F.size("__spans").cast("long").alias("n_spans"),
         F.col("__kept_sha256").alias("kept_sha256"),
     )
+    return materialize(digests, "digests")
 
 
 OP5_SQL = """

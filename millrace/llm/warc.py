@@ -9,15 +9,15 @@ a name it is the only one. Indexes and archive members that are not stored are r
 
 On Spark the archives are files in the shared folder, written by the tasks that hold the records and
 listed in a table of paths: an attempt names its files anew, so what a lost one left is read by
-nobody. A reading task opens an archive where it lies, in any file system that pyarrow opens by
-URI, and reads the directory, the index and then each record by its range. Archives roll over at ARCHIVE_BYTES, a
+nobody. A reading task opens an archive where it lies, in a file system that pyarrow knows (Spark's names for them are
+turned into Arrow's; any other is refused before work starts), and reads the directory, the index and then each record by its range. Archives roll over at ARCHIVE_BYTES, a
 writing task holds one at a time, a reading task one record.
 
 Payloads of at least MIN_SHARED bytes that are equal are stored once: the record with the largest
 page id is the `response`, the others are `revisit` records that name its id and carry no payload.
 Equality is decided on (SHA-1, length) with map-side aggregation, so no group is collected.
 
-Defined cases: null payloads are empty; empty and short payloads are always responses; null page ids
+Defined cases: page ids are integers; null payloads are empty; empty and short payloads are always responses; null page ids
 never win against others and are written as an empty id; rows that repeat an id and a payload are
 all responses if that id is the largest; an empty table gives no archives; a very long payload is an archive of its own;
 other columns are ignored.
@@ -42,6 +42,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.handoff import opened
 from .common import bounded, column, materialize, scratch_path, slices, tidy
 
 MIN_SHARED = 1000
@@ -205,14 +206,10 @@ def plan_records(pages: DataFrame, key: str = "page_id", url: str = "url", html:
     return hashed.join(shared, ["digest", "size"], "left").withColumn("refers_to", refers).drop("first")
 
 
-def opened(uri: str) -> tuple[fs.FileSystem, str]:
-    """The file system of a URI and the path in it."""
-    return fs.FileSystem.from_uri(re.sub(r"^file:/(?!/)", "file:///", uri))
-
-
 def write_archives(planned: DataFrame, limit: int = ARCHIVE_BYTES, folder: str | None = None) -> DataFrame:
     """(path, records): the records of each task in archive files of about `limit` bytes of records, under `folder` or in the shared folder."""
     folder = folder or scratch_path(planned.sparkSession, "archives")
+    opened(folder)  # an unknown scheme or a library that is not there is refused before any work
 
     @tidy()
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -344,6 +344,23 @@ def test_the_fit_reads_a_bounded_sample_of_every_language(spark):
     assert len(model.langs) == 300 and not np.isclose(model.table[:-1].max(axis=0), 1 / (len(model.table) - 1)).any()
 
 
+def test_every_language_with_words_is_learned(spark):
+    """Rows of one id and text share a draw; the smallest is taken whatever the rate. Languages without a word are left out, too many are refused."""
+    ident = next(k for k in range(1, 5000) if zlib.crc32(str(k).encode()) % 4 != 2)
+    rows = [(ident, "dieselben worte immer wieder", "de")] * 3000 + [(k, f"many other words number {k}", "en") for k in range(400)] + [(k, "   ", "xx") for k in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for most in (4, 40, 800):
+        model = language_id.fit(df, max_rows=most)
+        assert model.langs == ["de", "en"]
+        assert model.predict(["immer dieselben worte", "many words"])[0] == ["de", "en"]
+    many = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("words").alias("text"), F.concat(F.lit("l"), "id").alias("lang"))
+    with pytest.raises(ValueError, match="more than 1024 languages"):
+        language_id.fit(many)
+    repeated = spark.createDataFrame([(7, "many words", "en"), (7, "many words", "en"), (7, "dieselben worte", "de"), (9, "worte", "de")], "doc_id long, text string, lang string")
+    out = language_id.identify(repeated, language_id.fit(df), keep=["doc_id"]).collect()
+    assert sorted((r.doc_id, r["__lang"]) for r in out) == [(7, "de"), (7, "en"), (7, "en"), (9, "de")]
+
+
 def test_unspaced_scripts_are_learned(spark):
     say = {"ja": "これは長い文章ですから分かち書きはしませんがそれでも学習できなければなりません" * 3, "th": "ภาษาไทยเขียนติดกันโดยไม่มีช่องว่างระหว่างคำจึงต้องเรียนรู้ได้เช่นกัน" * 3, "en": "the words of this text stand apart from one another " * 3}
     df = spark.createDataFrame([(k, t[k % 20 :], lang) for k in range(40) for lang, t in say.items()], "doc_id long, text string, lang string")

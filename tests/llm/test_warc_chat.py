@@ -135,6 +135,24 @@ def test_a_conversation_of_many_shards_and_of_no_rows(spark, monkeypatch):
     assert chat.read_back(chat.render(chat.fold(queries.event_log(df.where("false"))))).count() == 0
 
 
+def test_messages_that_share_a_number_through_the_query(spark, tmp_path):
+    """Rows that repeat and rows of one conversation and turn are messages of their own, in order of role and text."""
+    rows = [(8, 0, "user", None)] * 3 + [(8, 1, "assistant", "b"), (8, 1, "assistant", "a"), (8, 1, None, "z"), (None, None, "user", "x"), (None, None, "user", "x"), (9, 0, "user", "alone")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {r.conv_id: r for r in queries.op8_chat_format(spark, str(tmp_path)).collect()}
+    order = lambda c: [(r or "", x or "") for _, _, r, x in sorted((x for x in rows if x[0] == c), key=lambda x: (x[1] or 0, x[2] or "", x[3] or ""))]
+    for c in (8, 9, None):
+        assert got[c].n_turns == len(order(c))
+        assert got[c].turns_sha256 == hashlib.sha256("".join(f"{r}\n{x}\n" for r, x in order(c)).encode()).hexdigest()
+    assert got[8].loss_sha256 == hashlib.sha256(b"ab").hexdigest() and got[-1].n_turns == 2
+
+
+def test_an_unknown_store_is_refused_before_any_work(spark):
+    pages = spark.range(1).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.assert_true(F.lit(False)).cast("string").alias("html"))
+    with pytest.raises(ValueError, match="dbfs:/x"):
+        warc.write_archives(pages, folder="dbfs:/x")
+
+
 def test_a_very_long_message_is_parsed_in_place():
     text = "a\\<b[ " * 700_000
     escaped = text.replace("\\", "\\\\").replace("<", "\\<").replace("[", "\\[")

@@ -1,7 +1,8 @@
 """The corpus pipeline: language ID, near-duplicates, decontamination, mixing and packing, each over all that came before.
 
 All stages but the last return the columns of `documents`; each stage's result is written and read
-again before the next, so a lost executor costs one stage's tasks and not the lineage before it.
+again before the next, so a lost executor costs one stage's tasks and not the lineage before it. The first and the last
+stage, which end in a map over texts, write theirs themselves: batches for Python are small meanwhile, and the session's setting is as it was.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from millrace.llm import decontamination, language_id, mixing, packing, similarity_join
-from millrace.llm.common import discard, materialize, small_batches
+from millrace.llm.common import discard, materialize
 
 #: Characters that are tokenized at once: executors that have four stages behind them have less memory to spare.
 RUN = 1 << 20
@@ -17,8 +18,7 @@ RUN = 1 << 20
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the labelled rows teach; undetermined ones go."""
-    small_batches(spark)
-    return language_id.accepted(docs, language_id.fit(docs))
+    return materialize(language_id.accepted(docs, language_id.fit(docs)), "accepted")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,8 +38,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Fixed-length rows of token ids."""
-    small_batches(spark)
-    return packing.pack_documents(docs, run=RUN)
+    return materialize(packing.pack_documents(docs, run=RUN), "packs")
 
 
 STAGES = [
@@ -57,7 +56,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, written = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        before, written = written, materialize(stage(spark, docs, sf_dir), name)
+        out = stage(spark, docs, sf_dir)
+        before, written = written, out if stage is languages else materialize(out, name)
         docs = written
         if before is not None:
             discard(before)

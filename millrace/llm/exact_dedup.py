@@ -9,7 +9,7 @@ joins. No group is collected: a group of any size is two aggregate rows per task
 
 Defined cases: null text counts as empty; a null id never wins against another id (a group of null
 ids only has a null __keep_id and keeps them all); rows repeating both id and text share one decision;
-an empty table gives no rows; other columns pass through, and those named as an output column are replaced.
+texts of any length are compared whole; an empty table gives no rows; other columns pass through, and those named as an output column are replaced.
 """
 
 from __future__ import annotations

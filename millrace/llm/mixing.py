@@ -1,13 +1,14 @@
 """Mixing sources to target weights with integer repetition plus one hash-seeded Bernoulli copy.
 
 Tokens per source are one aggregate; targets come from a water level over the table of sources, which is
-ranked in ranges; each document is then decided on its own, so a hot source needs no shuffle of its rows.
+ranked in ranges (in one, unless there are more than RANGE_ROWS sources); each document is then decided on its own, so a
+hot source needs no shuffle of its rows.
 The table of sources is written first: Spark broadcasts it by its file size or, if it is too large,
 shuffles the narrow side of a join that AQE may split.
 
 Defined cases: null text has size 0; the null source is a source of its own, last in order; rows
 that share an id share the draw (a null id draws as the empty string); sizes of 0 give a target of
-0 and no copies; an empty table gives no rows; other columns pass through, and those named as an output
+0 and no copies; texts of any length are counted whole; an empty table gives no rows; other columns pass through, and those named as an output
 column are replaced.
 """
 
@@ -22,6 +23,8 @@ MAX_REPEAT = 3
 WEIGHTS = (1, 2, 3)
 WORD = r"[^\x20\x09-\x0D]+"
 SEED = "mix-1"
+#: Sources that one task ranks; more are dealt out by ranges.
+RANGE_ROWS = 1 << 14
 
 
 def word_count(text: str) -> Column:
@@ -29,7 +32,9 @@ def word_count(text: str) -> Column:
 
 
 def numbered(table: DataFrame, *order: Column) -> DataFrame:
-    """`table` written in ranges of `order`, with the number of each row's range; ranges are in that order, and so may be ranked each on its own."""
+    """`table` (a written one) with the number of each row's range of `order`; ranges are in that order, and so may be ranked each on its own. Few rows are one range."""
+    if table.count() <= RANGE_ROWS:
+        return table.withColumn("__range", F.lit(0))
     return materialize(table.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()), "ranges")
 
 
@@ -54,7 +59,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_rep
     weight = F.element_at(F.array(*map(F.lit, weights)), ((rank - 1) % len(weights) + 1).cast("int"))
     weighed = named.join(F.broadcast(earlier(named, __rows=F.count(F.lit(1)))), "__range").select("source", "source_size", weight.alias("__w"))
     by_cap = F.col("__ratio").asc(), name
-    capped = numbered(weighed.withColumn("__ratio", cap.cast("double") / F.col("__w")), *by_cap)
+    capped = numbered(materialize(weighed.withColumn("__ratio", cap.cast("double") / F.col("__w")), "weighed"), *by_cap)
     all_size, all_weight = capped.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("__w"), F.lit(0))).first()
     before = Window.partitionBy("__range").orderBy(*by_cap).rowsBetween(Window.unboundedPreceding, -1)
     passed = lambda x, offset: F.coalesce(F.sum(x).over(before), F.lit(0)) + F.col(offset)

@@ -9,8 +9,8 @@ Output, per packed row: pack_id, n_tokens, input_ids (little-endian ids, padded
 position_ids (same layout, 0 at each segment's begin), cu_seqlens (0, then the end of each segment),
 doc_ids, doc_offsets (token offset of the segment in its document).
 
-Defined cases: null and empty texts have no tokens and no segment; null ids stay null in doc_ids;
-repeated rows are packed as often as they occur; equal lengths are packed in input order; an empty
+Defined cases: null and empty texts have no tokens and no segment; ids are integers (others are refused before any work),
+null ids stay null in doc_ids; texts of any length are tokenized whole; repeated rows are packed as often as they occur; equal lengths are packed in input order; an empty
 table gives no rows; other columns are ignored.
 """
 
@@ -23,6 +23,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql.types import IntegralType
 
 from .common import column, slices, tidy
 from .vocabulary import BYTE_RANKS, load_ranks, text_runs
@@ -156,6 +157,8 @@ def pack(segments: list[tuple[int | None, int, np.ndarray]], size: int) -> Itera
 
 def pack_documents(docs: DataFrame, path: str = BYTE_RANKS, size: int = ROW, key: str = "doc_id", text: str = "text", buffer: int = BUFFER, run: int = RUN) -> DataFrame:
     """Packed rows of `docs`. A smaller `run` needs less memory and encodes more words again."""
+    if not isinstance(docs.schema[key].dataType, IntegralType):
+        raise ValueError(f"packed rows hold integer ids; {key} is of another type")
     ranks = load_ranks(path)
     vocabulary = max(ranks.values()) + 1
     kind = np.dtype("<u2" if max(vocabulary, size) < 1 << 16 else "<u4")

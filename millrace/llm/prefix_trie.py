@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded, column, discard, materialize, positions, tidy, with_copies
+from .common import BROADCAST_ROWS, bounded, column, discard, materialize, positions, tidy, with_copies
 
 #: Conversations are rebuilt upon the first turns of the first of each so many ids, of which they take fewer than SHARED.
 FAMILY, SHARED = 100, 6
@@ -76,19 +76,18 @@ def named(rows: DataFrame, what: list[str], first: int) -> tuple[DataFrame, int]
         return rows.withColumn("name", F.lit(0).cast("long")).drop(*what), first
     offset = F.create_map(*[F.lit(x).cast("long") for pair in offsets.items() for x in pair])[part.cast("long")]
     numbered = values.select(*what, (F.col("__id").bitwiseAND((1 << 33) - 1) + offset).alias("name"))
-    return rows.join(bounded(numbered), what).drop(*what), total
+    return rows.join(F.broadcast(numbered) if total - first <= BROADCAST_ROWS else numbered, what).drop(*what), total
 
 
 def prefix_names(turns: DataFrame) -> DataFrame:
     """(conv, d, name) of all prefixes of turns (conv, pos, key) with pos >= 0, and of the empty prefix (d 0, name 0) of the rows with pos -1."""
+    longest = turns.agg(F.max("pos")).first()[0]
     level, after = named(turns.where("pos >= 0").select("conv", F.col("pos").alias("j"), "key"), ["key"], 1)
     blocks = [materialize(level, "blocks")]
-    while True:  # blocks[k]: (conv, j, name) of the 2^k turns from j * 2^k on
+    while 2 << len(blocks) - 1 <= (longest or 0) + 1:  # blocks[k]: (conv, j, name) of the 2^k turns from j * 2^k on
         side = lambda odd: F.max(F.when(F.col("j") % 2 == odd, F.col("name"))).alias("ab"[odd])
         pairs = blocks[-1].groupBy("conv", F.shiftright("j", 1).alias("j")).agg(side(0), side(1)).where("a IS NOT NULL AND b IS NOT NULL")
         pairs = materialize(pairs, "pairs")
-        if pairs.isEmpty():
-            break
         level, after = named(pairs, ["a", "b"], after)
         blocks.append(materialize(level, "blocks"))
         discard(pairs)

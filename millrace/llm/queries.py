@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.views import spread
 from . import chat, decontamination, exact_dedup, language_id, mixing, packing, prefix_trie, similarity_join, spelling, suffix_dedup, token_counts, url_filters, warc
 from .common import materialize, with_copies
 
@@ -12,7 +13,8 @@ from .common import materialize, with_copies
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; one in fewer pieces than there are cores is dealt out, as the work on a text outweighs its shuffle."""
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,8 @@ document. The walk goes level by level, all nodes of a depth at once, and for lo
 costs one byte piece per UTF-8 byte. Counting is one map over the documents without a shuffle.
 
 Defined cases: null and empty texts have 0 pre-tokens and 0 tokens; equal scores take the fewer
-pieces; repeated rows repeat their counts; other columns pass through, and those named as an output
+pieces; repeated rows repeat their counts; ids may be of any type; texts and words of any length are scored whole; an
+empty table gives no rows; other columns pass through, and those named as an output
 column are replaced.
 """
 

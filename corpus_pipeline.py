@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from millrace.llm import decontamination, language_id, mixing, packing, similarity_join
 from millrace.llm.common import discard, materialize
+from millrace.plans.views import spread
 
 #: Characters that are tokenized at once: executors that have four stages behind them have less memory to spare.
 RUN = 1 << 20
@@ -54,7 +55,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, written = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    docs, written = spread(spark.read.parquet(f"{sf_dir}/documents.parquet")), None
     for name, stage in STAGES[:-1]:
         out = stage(spark, docs, sf_dir)
         before, written = written, out if stage is languages else materialize(out, name)

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Sequence
-from fractions import Fraction
 
 import pyarrow as pa
 
@@ -78,15 +77,19 @@ def grounding_score(text: str, reference: str | None, digits: int | None) -> flo
     return limited(min(0.5 * overlap + 0.5 * min(shared / len(wanted) * 1.5, 1.0), 1.0), digits)
 
 
+def gram_ratio(text: str, n: int = 4, least: int = 16) -> float:
+    """Distinct n-grams of words per n-gram; 1 for a text of fewer words than `least`."""
+    words = text.lower().split()
+    if len(words) < least:
+        return 1.0
+    return len(set(zip(*(words[k:] for k in range(n)), strict=False))) / (len(words) - n + 1)
+
+
 def repetition_score(text: str, max_chars: int | None = 3500, min_chars: int = 40, digits: int | None = 3) -> float:
     if len(text.strip()) < min_chars:
         return -1.5
     over = 0.0 if max_chars is None else max(0.0, min(1.0, (len(text) - max_chars) / 1000.0))
-    words, loop = text.lower().split(), 0.0
-    if len(words) >= 16:
-        grams = list(zip(words, words[1:], words[2:], words[3:], strict=False))
-        ratio = Fraction(len(set(grams)), len(grams))
-        loop = (0.65 - float(ratio)) * 2.0 if float(ratio) < 0.65 else 0.0
+    loop = max(0.0, (0.65 - gram_ratio(text)) * 2.0)
     return limited(0.0 - over - loop - (0.4 if LINK.search(text) else 0.0) - (0.3 if CHAT.search(text) else 0.0), digits)
 
 

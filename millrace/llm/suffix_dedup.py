@@ -337,6 +337,8 @@ def covered(whole: list[int], places: list[int], runs: list[list[int]]) -> list[
     return merged(spans)
 
 
+#: Places or spans, of two numbers each, that may be broadcast.
+PLACES = 1 << 20
 OUTPUT = ["__spans", "__n_bytes", "__n_removed", "__kept_sha256", "__kept"]
 
 
@@ -366,8 +368,9 @@ def remove_repeats(docs: DataFrame, text: str = "text", keep: list[str] | None =
     )
 
     unsure = per_text.where(F.size("open") > 0).select("k1", "k2", "open")
+    # the narrow side is broadcast, so that texts stay where they are; beyond its bound only texts that have such places are shuffled
     some = long.join(bounded(unsure.select("k1", "k2")), ["k1", "k2"], "left_semi")
-    cut = materialize(some.join(unsure, ["k1", "k2"]).mapInArrow(contexts, "fp long, sid long, k1 long, k2 long, place long, bytes binary"), "contexts")
+    cut = materialize(some.join(bounded(unsure, PLACES, F.size("open")), ["k1", "k2"]).mapInArrow(contexts, "fp long, sid long, k1 long, k2 long, place long, bytes binary"), "contexts")
     distinct = collapsed(cut.select("fp", "sid", F.lit(1).cast("long").alias("n"), "bytes", (F.col("place") % OFFSET).alias("offset")), "distinct")
     partial = cut.drop("bytes").join(repeated_runs(distinct), ["fp", "sid"]).groupBy("k1", "k2", part).agg(F.collect_set(F.struct("place", "runs")).alias("parts"))
     parts = F.coalesce("parts", F.array().cast(partial.schema["parts"].dataType))
@@ -391,7 +394,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", keep: list[str] | None =
         F.sha2(utf, 256).alias("__kept_sha256"),
         (utf if payload else F.lit(None).cast("binary")).alias("__kept"),
     )
-    hit = rows.join(touched, ["k1", "k2"], "left_semi").join(spans, ["k1", "k2"]).select(*box, "text", "spans")
+    hit = rows.join(touched, ["k1", "k2"], "left_semi").join(bounded(spans, PLACES, F.size("spans") + 1), ["k1", "k2"]).select(*box, "text", "spans")
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 200):

@@ -169,10 +169,14 @@ FROM escaped
 """
 
 
+#: Tables in as many pieces (4 GB or so) are left as they are, however many cores there are.
+SPREAD_PIECES = 32
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """`df`, dealt out over the cores if its files make fewer tasks than there are: work per row outweighs a shuffle of so little."""
+    """`df`, dealt out over the cores if it is a small table in fewer pieces than there are cores: work per row outweighs a shuffle of so little."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < min(cores, SPREAD_PIECES) else df
 
 
 def view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:

@@ -41,7 +41,7 @@ def test_item_ids_of_any_type(spark):
     assert decontamination.drop_contaminated(docs, bench).count() == 2
 
 
-@pytest.mark.parametrize("table_seeds", [7, 40, 1000])
+@pytest.mark.parametrize("table_seeds", [40, 1000])
 def test_seeds_in_slices_find_the_same(spark, table_seeds):
     rng = random.Random(2)
     say = lambda n: " ".join(f"w{rng.randint(0, 500)}" for _ in range(n))

@@ -82,7 +82,7 @@ def test_word_counts_of_odd_rows(spark, monkeypatch):
     assert {tuple(r) for r in spelling.word_counts(df).collect()} == {("straße", 6), ("garden", 3)}
 
 
-@pytest.mark.parametrize("crowd", [1, 3, 48])
+@pytest.mark.parametrize("crowd", [2, 48])
 def test_groups_equal_brute_force(spark, crowd):
     rng = random.Random(crowd)
     words = {"".join(rng.choice("abé") for _ in range(rng.randint(5, 8))): rng.choice([3, 3, 4, 6, 12, 24, 50]) for _ in range(260)}
@@ -211,7 +211,7 @@ def test_trie_equals_brute_force(spark):
 
 def test_one_long_conversation_and_many_alike(spark, monkeypatch):
     monkeypatch.setattr(prefix_trie, "CHUNK", 16)
-    rows = [(200, t, "user", f"turn {t % 7}") for t in range(333)] + [(c, t, "user", "alike") for c in range(400, 460) for t in range(3)]
+    rows = [(200, t, "user", f"turn {t % 7}") for t in range(70)] + [(c, t, "user", "alike") for c in range(400, 460) for t in range(3)]
     assert got_trie(spark, rows) == trie(rows)
 
 

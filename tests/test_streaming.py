@@ -37,7 +37,7 @@ def drain(query_of, checkpoint):
     return out, [o.numRowsTotal for p in query.recentProgress for o in p.stateOperators]
 
 
-@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("seed", [1])
 def test_shuffled_files_give_the_batch_result(stateful, tmp_path, seed):
     """Lines of posts and comments in files that arrive in any order, several micro-batches; ids repeat across files and kinds."""
     spark, rng = stateful, random.Random(seed)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ..fixed import BOTS, CHATTER_PATTERN, CONCEPTS, EMPTY_BODIES, FAILURE_MODES, OTHER_FAILURE, PROMO_DECISION, PROMO_PATTERNS, SHORT_CONCEPTS, STOP_WORDS, SYSTEM_PROMPT
 from ..functions.text import NO_SPACE, SPACE, WHITE
-from .views import ASKED, BASE_RECORDS, COMPLETIONS, DECISIONS, ITEM_ROWS, ITEMS, ODD_LINES, RAW_LINES, RECORDS, SHAPES, duck
+from .views import ASKED, BASE_RECORDS, COMPLETIONS, DECISIONS, ITEM_ROWS, ITEMS, ODD_LINES, RAW_LINES, RECORDS, SHAPES, SOUND_ITEMS, duck
 
 
 def q(text: str) -> str:
@@ -373,6 +373,36 @@ SELECT CASE WHEN place <= floor(size * 0.8::DOUBLE) THEN 'train' WHEN place <= f
 FROM cut GROUP BY 1""",
     "isolated_threads": f"WITH {LEAKED} SELECT thread_id, title FROM marked_ WHERE NOT leaked",
 }
+ORACLES |= {
+    "stage_ingest": f"""WITH {NORMAL}, firsts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY src, ord) AS rn FROM normal WHERE NOT malformed) x WHERE rn = 1)
+SELECT count(*) AS rows, count(*) AS total_records, count(*) FILTER (src = 0) AS posts, count(*) FILTER (src = 1) AS comments,
+       count(*) FILTER (author = '[deleted]' OR body IN ('[deleted]', '[removed]')) AS deleted, count(*) FILTER (body = '' AND (src = 1 OR title = '')) AS empty,
+       (SELECT count(*) FROM normal WHERE malformed) AS malformed, (SELECT count(*) FROM normal WHERE NOT malformed) - count(*) AS duplicate_ids,
+       min(nullif(created_at, '')) AS min_date, max(nullif(created_at, '')) AS max_date FROM firsts""",
+    "stage_clean": f"""WITH {KEPT}, reasons AS (
+  SELECT count(*) AS total_input_records, count(*) FILTER (reason = 'pre_min_date') AS filtered_pre_min_date, count(*) FILTER (reason = 'bot') AS filtered_bots,
+         count(*) FILTER (reason = 'negative_score') AS filtered_negative_score, count(*) FILTER (reason = 'invalid_body') AS filtered_invalid_body FROM judged
+), told AS (
+  SELECT count(*) AS rows, count(*) AS total_cleaned_threads, count(*) FILTER (comment_count > 0) AS threads_with_comments, count(*) FILTER (comment_count = 0) AS standalone_posts,
+         round_even(avg(comment_count), 2) AS avg_comments_per_thread, round_even(avg(conversation_turns), 2) AS avg_turns_per_conversation FROM best JOIN lengths USING (thread_id)
+)
+SELECT * FROM reasons, told""",
+    "stage_curate": f"SELECT thread_id, CASE WHEN curation_passed THEN 'passed' ELSE 'rejected' END AS found_in, curation_passed, taxonomy_topic FROM ({ORACLES['scored_by_plugin']}) s",
+    "stage_partition": f"""WITH {LEAKED}, cut AS (
+  SELECT thread_id, row_number() OVER (PARTITION BY taxonomy_topic ORDER BY md5('42|' || thread_id), thread_id) AS place, count(*) OVER (PARTITION BY taxonomy_topic) AS size FROM marked_ WHERE NOT leaked
+)
+SELECT thread_id, CASE WHEN place <= floor(size * 0.8::DOUBLE) THEN 'train' WHEN place <= floor(size * 0.8::DOUBLE) + floor(size * 0.1::DOUBLE) THEN 'val' ELSE 'test' END AS split FROM cut""",
+    "stage_prepare": f"""WITH {PROMPTED}
+SELECT CASE WHEN noul < 0.9::DOUBLE THEN 'train' ELSE 'val' END AS part, thread_id, p.title, reference_answer, taxonomy_topic, p.user, 2 AS messages FROM prompts p JOIN rows_ USING (thread_id)""",
+    "stage_benchmark": f"""WITH items AS ({duck(SOUND_ITEMS)}), counted AS (
+  SELECT 'category' AS field, category AS value, count(*) AS n FROM items GROUP BY category
+  UNION ALL SELECT 'difficulty', difficulty, count(*) FROM items GROUP BY difficulty UNION ALL SELECT 'test_type', test_type, count(*) FROM items GROUP BY test_type
+)
+SELECT field, value, n, n AS reported FROM counted""",
+    "stage_evaluate": f"""{LOOSELY}, rounded AS (SELECT category, difficulty, round_even(recall, 4) AS recall FROM covered)
+SELECT CASE WHEN grouping(category) = 0 THEN 'category' WHEN grouping(difficulty) = 0 THEN 'difficulty' ELSE 'overall' END AS level, coalesce(category, difficulty, 'all') AS name,
+       round_even(avg(recall), 4) AS recall, (SELECT count(*) FROM covered) AS result_rows FROM rounded GROUP BY GROUPING SETS ((), (category), (difficulty))""",
+}
 SFT = ORACLES["sft_records"]
 #: The first long answers are taken before their cleaned text is judged; the template wraps the three messages.
 ORACLES["sft_first"] = "SELECT thread_id, assistant FROM (" + SFT.replace("WHERE length(reference_answer) >= 150)", "WHERE length(reference_answer) >= 150 ORDER BY thread_id LIMIT 150)") + ") t"

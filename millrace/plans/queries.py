@@ -11,6 +11,7 @@ from ..functions import rewards
 from ..functions.text import reasoning, strip, tagged_answer, variant_text
 from ..operators import curate, evaluate, ingest, split, threads, training
 from ..sources.files import open_objects
+from .stages import STAGES
 from .views import ASKED, BASE_RECORDS, COMPLETIONS, DECISIONS, ITEM_ROWS, ITEMS, ODD_LINES, RAW_LINES, RECORDS, SHAPES, spread, view
 
 
@@ -294,4 +295,4 @@ QUERIES = {
         concept_coverage, strict_coverage, question_rows, eval_rollup, eval_categories, eval_answers, eval_compare, trained_report, benchmark_metadata, benchmark_faults,
         ingest_strict, completion_texts, benchmark_leaks, isolated_threads,
     )
-}
+} | STAGES

@@ -123,6 +123,17 @@ FROM {benchmark}
 ITEM_ROWS = f"SELECT id, min(question) AS question, min(category) AS category, min(difficulty) AS difficulty, min(test_type) AS test_type, min(concepts) AS concepts FROM ({ITEMS}) i GROUP BY id"
 
 
+#: Benchmark items without a fault.
+SOUND_ITEMS = """
+SELECT concat('b', item_id) AS id, concat('On this: ', text) AS question,
+       CASE item_id % 6 WHEN 0 THEN 'retrieval' WHEN 1 THEN 'chunking_and_indexing' WHEN 2 THEN 'generation_and_grounding'
+            WHEN 3 THEN 'evaluation_and_benchmarks' WHEN 4 THEN 'agentic_and_graph_rag' ELSE 'tooling_and_frameworks' END AS category,
+       CASE item_id % 3 WHEN 0 THEN 'easy' WHEN 1 THEN 'medium' ELSE 'hard' END AS difficulty,
+       CASE item_id % 2 WHEN 0 THEN 'conceptual' ELSE 'practical' END AS test_type,
+       'one|two|three' AS concepts, concat('Because of what is said here, which is long enough: ', text) AS reasoning, 'right' AS correctness, 'sourced' AS grounding, 'weighed' AS tradeoffs
+FROM {benchmark}
+"""
+
 #: Threads some of which ask a question of the benchmark, in other case and with other marks, as a title or as a body.
 ASKED = """
 SELECT concat('t', d.doc_id) AS thread_id,

@@ -17,7 +17,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 MANIFEST = "manifest.json"
 #: Schemes of Spark's URIs and those by which Arrow opens the same store.
@@ -83,6 +84,27 @@ def write_shards(df: DataFrame, folder: str, shard_rows: int = SHARD_ROWS, batch
     return manifest
 
 
+def shard_frame(spark: SparkSession, folder: str) -> DataFrame:
+    """The rows of a hand-off as a DataFrame: its files are dealt out, and each is read batch by batch."""
+    store, base = opened(folder)
+    with store.open_input_stream(f"{base}/{MANIFEST}") as f:
+        manifest = json.loads(f.read())
+    schema = StructType.fromJson(manifest["schema"])
+    names = [(f["name"],) for f in manifest["files"]]
+    if not names:
+        return spark.createDataFrame([], schema)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = opened(folder)
+        for b in batches:
+            for name in b.column(0).to_pylist():
+                with store.open_input_file(f"{base}/{name}") as f:
+                    reader = pa.ipc.open_file(f)
+                    yield from (reader.get_batch(i) for i in range(reader.num_record_batches))
+
+    return spark.createDataFrame(names, "name string").repartition(min(len(names), 8 * spark.sparkContext.defaultParallelism)).mapInArrow(read, schema)
+
+
 class Shards:
     """Rows of a hand-off by number; `select` gives a view of some of them, in any order."""
 

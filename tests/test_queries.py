@@ -4,7 +4,7 @@ import pytest
 
 from millrace.plans.oracles import ORACLES
 from millrace.plans.queries import QUERIES
-from millrace.plans.views import BASE_RECORDS, COMPLETIONS, DECISIONS, view
+from millrace.plans.views import BASE_RECORDS, COMPLETIONS, DECISIONS, ODD_LINES, view
 
 from .duck import assert_same, connect
 
@@ -44,6 +44,12 @@ def test_inputs_are_not_vacuous(spark):
     assert all(min(x) > 0 for x in bad.values()) and len(bad) == 2
     faults = QUERIES["benchmark_faults"](spark, SF).first()
     assert faults.short_reasoning and faults.blank_rubrics and not faults.missing_categories
+    found = {r.split: r.leaks for r in QUERIES["benchmark_leaks"](spark, SF).collect()}
+    assert set(found) == {"train", "val", "test"} and sum(found.values()) > 10
+    strict = QUERIES["ingest_strict"](spark, SF).collect()
+    assert len({r.k % 12 for r in view(spark, SF, ODD_LINES).collect()}) == 12 and {r.malformed for r in strict} == {True, False} and {7, -3, 5, 1, 0} <= {r.score for r in strict}
+    assert {r.found_in for r in QUERIES["stage_curate"](spark, SF).collect()} == {"passed", "rejected"}
+    assert QUERIES["stage_ingest"](spark, SF).first().duplicate_ids >= 0
     dup = QUERIES["ingest_dedup_first"](spark, SF).count()
     assert dup == view(spark, SF, BASE_RECORDS).count()
     assert view(spark, SF, COMPLETIONS).count() == view(spark, SF, DECISIONS).count()

@@ -10,8 +10,8 @@ are looked up whole. The masks find every window that is tolerated (tests check
 
 A seed goes with the words around it, SIDE on either side, as hashes; so a hit is verified where the
 join finds it, and neither texts nor items are gathered. Seeds of documents pass a bit table before they
-are shuffled. It has BITS_A_SEED bits for each distinct seed of the benchmark, which let about 1.4 % of
-all other positions pass, and it is built by tasks, a block of bits each. A benchmark of more seeds than
+are shuffled. It has BITS_A_SEED bits for each distinct seed of the benchmark (LEAST_BITS at least), which let 0.4 % of
+all other positions pass at most, and it is built by tasks, a block of bits each. A benchmark of more seeds than
 TABLE_SEEDS is worked off in slices of the seeds' hashes: the texts are read once for each, so the table
 stays within its bound and as tight. Within one text or item equal seeds
 with equal surroundings count once. The seeds of the benchmark are broadcast only if they are few
@@ -41,19 +41,19 @@ from .common import bounded, boxed, column, discard, doc_words, free_name, mater
 WINDOW, ALLOWED = 13, 2
 MASKS = ("11111", "11011", "1100111")
 SIDE = WINDOW - 1
-BITS_A_SEED, LEAST_BITS, BLOCK = 16, 1 << 16, 1 << 18
+BITS_A_SEED, LEAST_BITS, BLOCK = 32, 1 << 24, 1 << 18
 #: Distinct seeds of the benchmark that one bit table holds: 64 MB at most.
-TABLE_SEEDS = 1 << 25
+TABLE_SEEDS = 1 << 24
 SEED_ROWS = 1 << 17
 _DROP = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
 
 
 @functools.cache
-def odd() -> re.Pattern:
-    """Runs of punctuation, symbols, separators and controls beyond ASCII, of all code points."""
+def odd(beyond: bool) -> re.Pattern:
+    """Runs of punctuation, symbols, separators and controls between ASCII and U+FFFF, or beyond: apart, since a set of both is searched range by range."""
     ranges: list[list[int]] = []
-    for c in range(0x80, sys.maxunicode + 1):
+    for c in range(0x10000, sys.maxunicode + 1) if beyond else range(0x80, 0x10000):
         kind = unicodedata.category(chr(c))
         if kind[0] in "PSZ" or kind in ("Cc", "Cf"):
             if ranges and ranges[-1][1] == c - 1:
@@ -71,7 +71,9 @@ def normal(text: str | None) -> bytes:
     """UTF-8 of a text with each letter lower-cased on its own, whatever stands around it, and a space for all that belongs to no word."""
     text = text or ""
     if not text.isascii():
-        text = odd().sub(" ", text.replace("\u03a3", "\u03c3").replace("\u0130", "i"))
+        text = odd(False).sub(" ", text.replace("\u03a3", "\u03c3").replace("\u0130", "i"))
+        if len(text.encode("utf-16-le", "surrogatepass")) > 2 * len(text):  # it has characters beyond U+FFFF
+            text = odd(True).sub(" ", text)
     return text.lower().encode("utf-8", "surrogatepass").translate(_DROP)
 
 
@@ -121,15 +123,31 @@ def item_seeds(key: int):
     return run
 
 
-def passing(hashes: np.ndarray, table: np.ndarray, part: tuple[int, int]) -> np.ndarray:
-    """Places of the hashes of slice `part` (number, slices) whose two bits stand in the table."""
-    size = np.uint64(8 * len(table) - 1)  # a power of two less one
-    at = np.flatnonzero(hashes % np.uint64(part[1]) == np.uint64(part[0])) if part[1] > 1 else None
-    for shift in (8, 34):
-        bit = ((hashes if at is None else hashes[at]) >> np.uint64(shift)) & size
-        hit = np.flatnonzero(table[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8) & 1)
-        at = hit if at is None else at[hit]
-    return at
+class SeedFilter:
+    """A bit table: two bits of a hash, of its highest bits and of some in the middle. A small table is unpacked, a byte a bit, to be looked up in one step."""
+
+    def __init__(self, packed: bytes, part: tuple[int, int]):
+        self.packed, self.part = np.frombuffer(packed, np.uint8), part
+        self.size = 8 * len(packed)
+        self.bits = np.unpackbits(self.packed, bitorder="little").view(bool) if self.size <= LEAST_BITS else None
+
+    def has(self, bit: np.ndarray) -> np.ndarray:
+        if self.bits is not None:
+            return self.bits[bit]
+        return (self.packed[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8) & 1).view(bool)
+
+    def passing(self, hashes: np.ndarray) -> np.ndarray:
+        """Places of the hashes of slice `part` (number, slices) whose two bits are set."""
+        number, slices_ = self.part
+        first, second = shifts(self.size)
+        at = np.flatnonzero(self.has(hashes >> np.uint64(first)))
+        at = at[self.has(hashes[at] >> np.uint64(second) & np.uint64(self.size - 1))]
+        return at if slices_ == 1 else at[hashes[at] % np.uint64(slices_) == np.uint64(number)]
+
+
+def shifts(size: int) -> tuple[int, int]:
+    """By how much a hash is shifted for its two bits in a table of `size` bits, a power of two: what the first leaves fits the table."""
+    return 64 - (size.bit_length() - 1), 12
 
 
 def document_seeds(key: int, masks: tuple[str, ...], shipped, part: tuple[int, int]):
@@ -138,7 +156,7 @@ def document_seeds(key: int, masks: tuple[str, ...], shipped, part: tuple[int, i
     @tidy()
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["k1", "k2", "seed", "around"]
-        table = np.frombuffer(shipped.value, np.uint8)
+        table = SeedFilter(shipped.value, part)
         for b in slices(batches):
             k1, k2 = column(b, "k1").to_pylist(), column(b, "k2").to_pylist()
             texts = [normal(t) for t in column(b, "text").to_pylist()]
@@ -148,7 +166,7 @@ def document_seeds(key: int, masks: tuple[str, ...], shipped, part: tuple[int, i
                 found = set()
                 for mask in masks:
                     got = seeds(hashes, mask)
-                    at = passing(got, table, part)
+                    at = table.passing(got)
                     doc = np.searchsorted(offsets, at, "right") - 1
                     at, doc = at[whole := at + len(mask) <= offsets[doc + 1]], doc[whole]
                     for lo in range(0, len(at), 20_000):
@@ -200,7 +218,7 @@ def bit_table(known: DataFrame, seeds_in_all: int) -> bytes:
         packed[bits.column("low").to_numpy()] = True
         return pa.table({"block": pa.array([key[0].as_py()], pa.int64()), "bits": pa.array([np.packbits(packed, bitorder="little").tobytes()], pa.binary())})
 
-    bit = F.explode(F.array(*(F.shiftrightunsigned("seed", k).bitwiseAND(size - 1) for k in (8, 34)))).alias("bit")
+    bit = F.explode(F.array(*(F.shiftrightunsigned("seed", k).bitwiseAND(size - 1) for k in shifts(size)))).alias("bit")
     bits = known.select(bit).distinct().select((F.col("bit") / block).cast("long").alias("block"), (F.col("bit") % block).alias("low"))
     out = bytearray(size // 8)
     for r in bits.groupBy("block").applyInArrow(run, "block long, bits binary").collect():

@@ -74,6 +74,12 @@ def discard(*tables: DataFrame) -> None:
             where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def text_keys(text: str) -> tuple[Column, Column]:
+    """128 bits by which equal texts are known; null counts as empty."""
+    body = F.coalesce(F.col(text), F.lit(""))
+    return F.xxhash64(body), F.xxhash64(F.lit("second"), body)
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """`name`, with underscores until no column of `df` has it."""
     taken = {c.lower() for c in df.columns}
@@ -92,6 +98,14 @@ def boxed(docs: DataFrame, keep: list[str], made: list[str]) -> tuple[list[Colum
     return [quoted(c).alias(f"c{k}") for k, c in enumerate(names)], names
 
 
+def give_back() -> None:
+    """Give the free memory of a Python worker, which lives on after its task, back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def tidy(drop: Callable[[], None] | None = None) -> Callable:
     """A decorator of maps of batches: at the end of a task the worker, which lives on, runs `drop` and gives its free memory back to the system."""
 
@@ -103,10 +117,7 @@ def tidy(drop: Callable[[], None] | None = None) -> Callable:
             finally:
                 if drop:
                     drop()
-                gc.collect()
-                pa.default_memory_pool().release_unused()
-                with contextlib.suppress(OSError, AttributeError):
-                    ctypes.CDLL(None).malloc_trim(0)
+                give_back()
 
         return run
 

@@ -33,10 +33,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, boxed, column, discard, doc_words, free_name, materialize, mix, new_key, packs_of, slices, tidy
+from .common import bounded, boxed, column, discard, doc_words, free_name, materialize, mix, new_key, packs_of, slices, text_keys, tidy
 
 WINDOW, ALLOWED = 13, 2
 MASKS = ("11111", "11011", "1100111")
@@ -226,11 +226,6 @@ def bit_table(known: DataFrame, seeds_in_all: int) -> bytes:
     return bytes(out)
 
 
-def text_keys(text: str) -> tuple[Column, Column]:
-    body = F.coalesce(F.col(text), F.lit(""))
-    return F.xxhash64(body), F.xxhash64(F.lit("second"), body)
-
-
 def contaminated_texts(
     docs: DataFrame, benchmark: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", seed_rows: int = SEED_ROWS, table_seeds: int = TABLE_SEEDS
 ) -> DataFrame:

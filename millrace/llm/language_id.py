@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
-from .common import annotate
+from .common import annotate, bounded, free_name, give_back, materialize, text_keys
 from .mixing import draw
 from .vocabulary import PIECES, WORD_MARK, PieceIndex, WordTable, char_matrix, load_pieces, text_runs
 
@@ -224,6 +224,7 @@ def fit(docs: DataFrame, path: str = PIECES, key: str = "doc_id", text: str = "t
     def fitted(key: tuple, words: pa.Table) -> pa.Table:
         words = words.sort_by("word")
         table = fit_language(words.column("word").to_pylist(), words.column("count").to_numpy().astype(float), PieceIndex(pieces))
+        give_back()
         return pa.table({"lang": pa.array([key[0].as_py()], pa.string()), "table": pa.array([table.tobytes()], pa.binary())})
 
     tables = {r["lang"]: np.frombuffer(r["table"], float) for r in counted.groupBy("lang").applyInArrow(fitted, "lang string, table binary").collect()}
@@ -242,7 +243,15 @@ def identify(docs: DataFrame, model: Model, text: str = "text", keep: list[str]
 
 
 def accepted(docs: DataFrame, model: Model, text: str = "text", least: float = LEAST_SCORE) -> DataFrame:
-    """The rows of `docs` in a learned language with a score of at least `least`, with their columns."""
-    shadowed = docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))
-    found = identify(shadowed, model, f"c{docs.columns.index(text)}")
-    return found.where((F.col("__lang") != UNDETERMINED) & (F.col("__score") >= least)).select(*shadowed.columns).toDF(*docs.columns)
+    """The rows of `docs` in a learned language with a score of at least `least`, with their columns.
+
+    The answer depends on the text alone, so the hashes of the texts that are refused are written, each once, and the rows that have one go: no
+    text comes back from Python, and while the refused are few none is shuffled.
+    """
+    names = [free_name(docs, k) for k in ("__k1", "__k2")]
+    keyed = docs.withColumns(dict(zip(names, text_keys(text), strict=True)))
+    box = ["k1", "k2", "text"]
+    found = identify(keyed.select(*names, text).toDF(*box), model, "text", keep=box[:2])
+    stays = (F.col("__lang") != UNDETERMINED) & (F.col("__score") >= least)
+    refused = materialize(found.where(~stays).select("k1", "k2").distinct().toDF(*names), "refused")
+    return keyed.join(bounded(refused), names, "left_anti").select(*docs.columns)

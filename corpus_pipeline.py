@@ -1,8 +1,8 @@
 """The corpus pipeline: language ID, near-duplicates, decontamination, mixing and packing, each over all that came before.
 
 All stages but the last return the columns of `documents`; each stage's result is written and read
-again before the next, so a lost executor costs one stage's tasks and not the lineage before it. The first and the last
-stage, which end in a map over texts, write theirs themselves: batches for Python are small meanwhile, and the session's setting is as it was.
+again before the next, so a lost executor costs one stage's tasks and not the lineage before it. The last stage, which ends in a
+map over texts, writes its result itself: batches for Python are small meanwhile, and the session's setting is as it was.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ RUN = 1 << 20
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the labelled rows teach; undetermined ones go."""
-    return materialize(language_id.accepted(docs, language_id.fit(docs)), "accepted")
+    return language_id.accepted(docs, language_id.fit(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,8 +57,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, written = spread(spark.read.parquet(f"{sf_dir}/documents.parquet")), None
     for name, stage in STAGES[:-1]:
-        out = stage(spark, docs, sf_dir)
-        before, written = written, out if stage is languages else materialize(out, name)
+        before, written = written, materialize(stage(spark, docs, sf_dir), name)
         docs = written
         if before is not None:
             discard(before)

@@ -24,7 +24,7 @@ WEIGHTS = (1, 2, 3)
 WORD = r"[^\x20\x09-\x0D]+"
 SEED = "mix-1"
 #: Sources that one task ranks; more are dealt out by ranges.
-RANGE_ROWS = 1 << 14
+RANGE_ROWS = 1 << 10
 
 
 def word_count(text: str) -> Column:
@@ -75,11 +75,13 @@ def draw(key: str, seed: str = SEED, *more: Column) -> Column:
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / float(16**13)
 
 
-def mix_plan(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id") -> DataFrame:
-    """All rows of `docs` plus __size, __source_size, __target and __copies (0 to 3)."""
+def mix_plan(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", keep: list[str] | None = None) -> DataFrame:
+    """All rows of `docs` (or its columns `keep`) plus __size, __source_size, __target and __copies (0 to 3). Without the text among them, texts are read once and their sizes written."""
     made = ["__size", "__source_size", "__target", "__copies"]
-    kept, names = boxed(docs, docs.columns, made)
+    kept, names = boxed(docs, docs.columns if keep is None else keep, made)
     sized = docs.select(*kept, quoted(source).alias("source"), word_count(text).alias("size"), draw(key).alias("draw"))
+    if text not in names:
+        sized = materialize(sized, "sizes")
     sums = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     table = materialize(source_targets(materialize(sums, "sources")), "targets").withColumnRenamed("source", "name")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)

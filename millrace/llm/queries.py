@@ -42,7 +42,7 @@ FROM documents
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return mixing.mix_plan(docs).select(
+    return mixing.mix_plan(docs, keep=["doc_id"]).select(
         "doc_id",
         F.col("__size").alias("size"),
         F.col("__source_size").alias("source_size"),

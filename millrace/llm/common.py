@@ -15,6 +15,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -130,6 +131,54 @@ def bounded(df: DataFrame, limit: int = BROADCAST_ROWS, weight: Column | None =
     return F.broadcast(df) if size <= limit else df
 
 
+#: Bits of a sieve: for each key at least, at least, and at most (32 MB; more keys let more strange ones pass).
+SIEVE_BITS, SIEVE_LEAST, SIEVE_MOST, SIEVE_BLOCK = 8, 1 << 16, 1 << 28, 1 << 18
+
+
+def sieve(keys: DataFrame, n: int) -> Broadcast:
+    """A bit table of the `n` 64-bit keys in the one column of `keys`, shipped to the workers: `sieved` lets all of them pass and, up to 32 million keys, at most one in eight others."""
+    size = SIEVE_LEAST
+    while size < min(SIEVE_BITS * n, SIEVE_MOST):
+        size *= 2
+    block, name = min(SIEVE_BLOCK, size), keys.columns[0]
+
+    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            bit = sieve_bits(column(b, name), size)
+            yield pa.RecordBatch.from_arrays([pa.array(bit // block), pa.array(bit % block)], ["block", "low"])
+
+    def run(key: tuple, found: pa.Table) -> pa.Table:
+        packed = np.zeros(block, bool)
+        packed[found.column("low").to_numpy()] = True
+        return pa.table({"block": pa.array([key[0].as_py()], pa.int64()), "bits": pa.array([np.packbits(packed, bitorder="little").tobytes()], pa.binary())})
+
+    out = bytearray(size // 8)
+    for r in keys.mapInArrow(bits, "block long, low long").groupBy("block").applyInArrow(run, "block long, bits binary").collect():
+        out[r["block"] * block // 8 : (r["block"] + 1) * block // 8] = r["bits"]
+    return keys.sparkSession.sparkContext.broadcast(bytes(out))
+
+
+def sieve_bits(keys: pa.Array, size: int) -> np.ndarray:
+    return (mix(keys.to_numpy(zero_copy_only=False).view(np.uint64)) & np.uint64(size - 1)).astype(np.int64)
+
+
+def sieved(keys: pa.Array, table: bytes) -> np.ndarray:
+    """For each key whether the table has its bit."""
+    bit = sieve_bits(keys, 8 * len(table))
+    return (np.frombuffer(table, np.uint8)[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).view(bool)
+
+
+def may_be_in(shipped: Broadcast, key: str) -> Column:
+    """Whether a sieve lets a key pass. Only the key goes to the Python workers."""
+
+    @F.arrow_udf("boolean")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for a in batches:
+            yield pa.array(sieved(a, shipped.value))
+
+    return run(F.col(key))
+
+
 def positions(df: DataFrame, by: str, order: list[Column], name: str) -> DataFrame:
     """`df`, written to the shared folder, with `name`: the place of each row, from 0 on, among those of equal `by`.
 

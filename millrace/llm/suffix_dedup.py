@@ -8,8 +8,9 @@ document or another; matches never cross documents.
    need comparing within an anchor's occurrences. An occurrence is the anchor's hash and the context
    that its windows cover, less than two windows long.
 2. One aggregate over (anchor) finds the anchors that occur more than once, and those whose contexts
-   differ. Where all contexts are equal, every window repeats. Texts are read again for the others.
-3. Contexts of an anchor are collapsed to distinct strings with a count and indexed, some anchors per
+   differ. A bit table of them goes to the tasks that read the texts again, so that hardly any other
+   occurrence is shuffled. Where all contexts are equal, every window repeats.
+3. The others' contexts are counted by hash, and each distinct one is cut from one text. They are indexed, some anchors per
    index: suffixes are sorted to MIN_LENGTH, the transform is formed, and breadth-first backward
    extension, level by level, gives every common prefix shorter than MIN_LENGTH in increasing order.
    It stops there: boundaries without a value are common prefixes of MIN_LENGTH or more.
@@ -35,10 +36,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, boxed, column, discard, materialize, mix, packs_of, slices, tidy, utf8
+from .common import BROADCAST_ROWS, bounded, boxed, column, discard, materialize, may_be_in, mix, packs_of, sieve, sieved, slices, tidy, utf8
 
 MIN_LENGTH = 200
 GRAM = 64
@@ -213,12 +215,20 @@ def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(fp), pa.array(context, pa.int64())], ["fp", "context"])
 
 
-@tidy(_POW.clear)
-def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in slices(batches, 200):
-        k1, k2 = column(b, "k1").to_numpy(), column(b, "k2").to_numpy()
-        for item, fp, start, more, offset in occurrences(utf8(b, "text")):
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (fp, k1[item], k2[item], place(start, more, offset))], ["fp", "k1", "k2", "place"])
+def located(shipped: Broadcast):
+    """A map of texts to the occurrences whose anchors pass the sieve: anchor, hash of the context, text and place."""
+
+    @tidy(_POW.clear)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 200):
+            k1, k2, texts = column(b, "k1").to_numpy(), column(b, "k2").to_numpy(), utf8(b, "text")
+            for found in occurrences(texts):
+                passing = sieved(pa.array(found[1]), shipped.value)
+                item, fp, start, more, offset = (x[passing] for x in found)
+                sid = [window_hash(texts[k][s : s + m + MIN_LENGTH], o) for k, s, m, o in zip(item.tolist(), start.tolist(), more.tolist(), offset.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(fp), pa.array(sid, pa.int64()), *(pa.array(x) for x in (k1[item], k2[item], place(start, more, offset)))], ["fp", "sid", "k1", "k2", "place"])
+
+    return run
 
 
 def window_hash(text: bytes, offset: int) -> int:
@@ -226,22 +236,34 @@ def window_hash(text: bytes, offset: int) -> int:
     return int.from_bytes(hashlib.blake2b(text, digest_size=8, person=b"%d" % offset).digest(), "little", signed=True)
 
 
-@tidy()
+#: Contexts that a task remembers to have given out.
+SEEN = 1 << 18
+
+
+@tidy(_POW.clear)
 def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The contexts of the occurrences that are open; sid tells the contexts of an anchor apart."""
-    names = ["fp", "sid", "k1", "k2", "place", "bytes"]
+    """The contexts that are asked of the texts, once a task where copies of a text are in it; n is 1, or 2 for those that occur more than once."""
+    names, seen = ["fp", "sid", "n", "bytes", "offset"], set()
     for b in slices(batches, 200):
-        open_ = column(b, "open")
-        counts = np.diff(open_.offsets.to_numpy())
-        inner = open_.flatten()
-        place_, fp = inner.field("place").to_numpy(), inner.field("fp").to_numpy()
-        row = np.repeat(np.arange(b.num_rows), counts)
-        texts = utf8(b, "text")
-        start, more, offset = place_ // (SPAN * OFFSET), place_ // OFFSET % SPAN, place_ % OFFSET
-        cut = [texts[r][s : s + m + MIN_LENGTH] for r, s, m in zip(row.tolist(), start.tolist(), more.tolist(), strict=True)]
-        sid = [window_hash(x, o) for x, o in zip(cut, offset.tolist(), strict=True)]
-        k1, k2 = column(b, "k1").to_numpy()[row], column(b, "k2").to_numpy()[row]
-        yield pa.RecordBatch.from_arrays([pa.array(fp), pa.array(sid, pa.int64()), pa.array(k1), pa.array(k2), pa.array(place_), pa.array(cut, pa.binary())], names)
+        out, grams = [], []
+        for text, asked in zip(utf8(b, "text"), column(b, "open").to_pylist(), strict=True):
+            for x in asked:
+                if (sid := x["sid"]) not in seen:
+                    seen.add(sid)
+                    start, more = unplace(x["place"] // 2)
+                    offset = x["place"] // 2 % OFFSET
+                    grams.append(text[start + offset : start + offset + GRAM])
+                    out.append((sid, 1 + x["place"] % 2, text[start : start + more + MIN_LENGTH], offset))
+        if len(seen) > SEEN:
+            seen.clear()
+        cols = [anchor_hashes(grams).tolist(), *(list(zip(*out, strict=True)) or [[]] * 4)]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if k == "bytes" else pa.int64()) for k, c in zip(names, cols, strict=True)], names)
+
+
+def anchor_hashes(grams: list[bytes]) -> np.ndarray:
+    """The hash of an anchor from its bytes, as `occurrences` has it."""
+    a = np.frombuffer(b"".join(grams), np.uint8).reshape(-1, GRAM)
+    return mix((_BYTE[a] * powers(GRAM)[0][:GRAM]).sum(axis=1, dtype=np.uint64)).view(np.int64)
 
 
 def runs_of(repeated: np.ndarray) -> list[int]:
@@ -251,9 +273,9 @@ def runs_of(repeated: np.ndarray) -> list[int]:
 
 @tidy()
 def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Index the contexts, whole anchors at a time; contexts with repeated windows come out with the runs of these."""
+    """Index the contexts, whole anchors at a time; contexts with repeated windows come out with the runs of these. Equal ones come together and count once."""
     held: list[tuple] = []
-    size, at = 0, None
+    size, at, last = 0, None, None
 
     def batch() -> pa.RecordBatch:
         runs = [runs_of(m) for m in repeated_windows([h[2] for h in held], [h[3] for h in held])] if held else []
@@ -263,6 +285,9 @@ def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for b in batches:
         for row in zip(*(column(b, n).to_pylist() for n in ("fp", "sid", "bytes", "n")), strict=True):
+            if row[:2] == last:
+                continue
+            last = row[:2]
             if row[0] != at and size >= INDEX_BYTES:
                 yield batch()
                 held, size = [], 0
@@ -301,14 +326,16 @@ def collapsed(contexts_: DataFrame, name: str) -> DataFrame:
 
 
 def repeated_runs(distinct: DataFrame, widths: tuple[int, ...] = WIDTHS) -> DataFrame:
-    """(fp, sid, runs): the repeated windows of each context that has any; a context of a split anchor has several rows."""
-    index = lambda some: some.repartition("fp").sortWithinPartitions("fp").mapInArrow(resolve, "fp long, sid long, runs array<int>")
-    hot = materialize(distinct.groupBy("fp").count().where(F.col("count") > HOT).select("fp"), "hot") if widths else None
+    """(fp, sid, runs): the repeated windows of each context that has any; a context of a split anchor has several rows. A context may be given more than once."""
+    sorted_ = lambda some: some.select("fp", "sid", "n", "bytes").repartition("fp").sortWithinPartitions("fp", "sid")
+    index = lambda some: sorted_(some).mapInArrow(resolve, "fp long, sid long, runs array<int>")
+    counts = distinct.select("fp", "sid").distinct().groupBy("fp").count()
+    hot = materialize(counts.where(F.col("count") > HOT).select("fp"), "hot") if widths else None
     if hot is None or hot.isEmpty():
         return index(distinct)
     cool = distinct.join(bounded(hot), "fp", "left_anti")
     schema = "fp long, sid long, shift long, n long, fp2 long, sid2 long, bytes binary, offset long"
-    parts = materialize(distinct.join(bounded(hot), "fp", "left_semi").mapInArrow(split(widths[0]), schema), "parts")
+    parts = materialize(distinct.join(bounded(hot), "fp", "left_semi").dropDuplicates(["fp", "sid"]).mapInArrow(split(widths[0]), schema), "parts")
     smaller = collapsed(parts.select(F.col("fp2").alias("fp"), F.col("sid2").alias("sid"), "n", "bytes", "offset"), "split")
     found = repeated_runs(smaller, widths[1:]).withColumnsRenamed({"fp": "fp2", "sid": "sid2"})
     moved = F.transform("runs", lambda x: x + F.col("shift").cast("int")).alias("runs")
@@ -337,11 +364,19 @@ def covered(whole: list[int], places: list[int], runs: list[list[int]]) -> list[
     return merged(spans)
 
 
-#: Places or spans, of two numbers each, that may be broadcast.
-PLACES = 1 << 20
+#: Places or spans, of two numbers each, that may be broadcast, and keys of texts.
+PLACES, KEYS = 1 << 20, BROADCAST_ROWS
 OUTPUT = ["__spans", "__n_bytes", "__n_removed", "__kept_sha256", "__kept"]
 
 
+def meeting(rows: DataFrame, some: DataFrame, weight: Column) -> DataFrame:
+    """`rows` (k1, k2, texts) joined with `some` (k1, k2, places of `weight` numbers in all). Where they are too many to be broadcast, only texts that they are likely to be of are shuffled."""
+    keys = some.select("k1", "k2")
+    n = keys.count()
+    likely = rows.join(F.broadcast(keys.distinct()), ["k1", "k2"], "left_semi") if n <= KEYS else rows.where(may_be_in(sieve(keys.select("k1"), n), "k1"))
+    return likely.join(bounded(some, PLACES, weight), ["k1", "k2"])
+
+
 def remove_repeats(docs: DataFrame, text: str = "text", keep: list[str] | None = None, payload: bool = True) -> DataFrame:
     """`docs` (or its columns `keep`) plus __spans (removed byte ranges, merged), __n_bytes, __n_removed, __kept_sha256, and, with `payload`, __kept: the remaining bytes."""
     kept, names = boxed(docs, docs.columns if keep is None else keep, OUTPUT)
@@ -357,36 +392,34 @@ def remove_repeats(docs: DataFrame, text: str = "text", keep: list[str] | None =
         .select("fp", (F.col("lo") != F.col("hi")).alias("open"))
     )
     repeats = materialize(repeats, "anchors")
-    found = long.mapInArrow(places, "fp long, k1 long, k2 long, place long").join(bounded(repeats), "fp")
-    item = F.struct("place", "fp")
+    shipped = sieve(repeats.select("fp"), repeats.count())
+    found = long.mapInArrow(located(shipped), "fp long, sid long, k1 long, k2 long, place long").join(bounded(repeats), "fp")
+    found = materialize(found, "occurrences")
+    shipped.unpersist()
     part = F.floor(F.col("place") / (SPAN * OFFSET * PART)).alias("part")
-    per_text = materialize(
-        found.groupBy("k1", "k2", part).agg(
-            F.collect_set(F.when(~F.col("open"), F.col("place"))).alias("whole"), F.collect_set(F.when(F.col("open"), item)).alias("open")
-        ),
-        "texts",
-    )
-
-    unsure = per_text.where(F.size("open") > 0).select("k1", "k2", "open")
-    # the narrow side is broadcast, so that texts stay where they are; beyond its bound only texts that have such places are shuffled
-    some = long.join(bounded(unsure.select("k1", "k2")), ["k1", "k2"], "left_semi")
-    cut = materialize(some.join(bounded(unsure, PLACES, F.size("open")), ["k1", "k2"]).mapInArrow(contexts, "fp long, sid long, k1 long, k2 long, place long, bytes binary"), "contexts")
-    distinct = collapsed(cut.select("fp", "sid", F.lit(1).cast("long").alias("n"), "bytes", (F.col("place") % OFFSET).alias("offset")), "distinct")
-    partial = cut.drop("bytes").join(repeated_runs(distinct), ["fp", "sid"]).groupBy("k1", "k2", part).agg(F.collect_set(F.struct("place", "runs")).alias("parts"))
-    parts = F.coalesce("parts", F.array().cast(partial.schema["parts"].dataType))
-    merged_parts = (
-        per_text.select("k1", "k2", "part", "whole")
-        .join(partial, ["k1", "k2", "part"], "left")
-        .select("k1", "k2", "whole", F.transform(parts, lambda p: p["place"]).alias("places"), F.transform(parts, lambda p: p["runs"]).alias("runs"))
-        .mapInArrow(merge_spans, "k1 long, k2 long, spans array<struct<lo:long,hi:long>>")
+    opened = found.where("open").drop("open")
+
+    # a context is read where it stands first; the lowest bit of its place tells whether it occurs again
+    twice = F.col("place") * 2 + (F.col("n") > 1).cast("long")
+    first = opened.groupBy("fp", "sid").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k1", "k2", "place")).alias("at")).select("fp", "sid", "n", "at.*")
+    asked = materialize(first.groupBy("k1", "k2", part).agg(F.collect_list(F.struct(twice.alias("place"), "sid")).alias("open")).drop("part"), "asked")
+    cut = materialize(meeting(long, asked, F.size("open")).mapInArrow(contexts, "fp long, sid long, n long, bytes binary, offset long"), "contexts")
+    partial = opened.join(repeated_runs(cut), ["fp", "sid"]).groupBy("k1", "k2", part).agg(F.collect_set(F.struct("place", "runs")).alias("parts"))
+    whole = found.where("NOT open").groupBy("k1", "k2", part).agg(F.collect_set("place").alias("whole"))
+    none = F.array().cast("array<long>")
+    places = whole.select("k1", "k2", "whole", none.alias("places"), F.array().cast("array<array<int>>").alias("runs")).unionByName(
+        partial.select("k1", "k2", none.alias("whole"), F.transform("parts", lambda p: p["place"]).alias("places"), F.transform("parts", lambda p: p["runs"]).alias("runs"))
     )
+    merged_parts = places.mapInArrow(merge_spans, "k1 long, k2 long, spans array<struct<lo:long,hi:long>>")
     spans = materialize(merged_parts.groupBy("k1", "k2").agg(F.flatten(F.collect_list("spans")).alias("spans")), "spans")
-    discard(repeats, per_text, cut, distinct)
+    discard(repeats, found, asked, cut)
 
-    touched = bounded(spans.select("k1", "k2"))
+    n = spans.count()
+    keys = spans.select("k1", "k2")
     box = [f"c{k}" for k in range(len(names))]
     utf = F.encode("text", "UTF-8")
-    clean = rows.join(touched, ["k1", "k2"], "left_anti").select(
+    likely = may_be_in(sieve(keys.select("k1"), n), "k1") if n > KEYS else None
+    clean = (rows.join(F.broadcast(keys), ["k1", "k2"], "left_anti") if likely is None else rows.where(~likely)).select(
         *box,
         F.array().cast("array<struct<lo:long,hi:long>>").alias("__spans"),
         F.octet_length("text").cast("long").alias("__n_bytes"),
@@ -394,7 +427,9 @@ def remove_repeats(docs: DataFrame, text: str = "text", keep: list[str] | None =
         F.sha2(utf, 256).alias("__kept_sha256"),
         (utf if payload else F.lit(None).cast("binary")).alias("__kept"),
     )
-    hit = rows.join(touched, ["k1", "k2"], "left_semi").join(bounded(spans, PLACES, F.size("spans") + 1), ["k1", "k2"]).select(*box, "text", "spans")
+    # texts that only look as if they had spans go the same way, with none
+    some = rows.join(F.broadcast(keys), ["k1", "k2"], "left_semi") if likely is None else rows.where(likely)
+    hit = some.join(bounded(spans, PLACES, F.size("spans") + 1), ["k1", "k2"], "left").select(*box, "text", F.coalesce("spans", F.array().cast(spans.schema["spans"].dataType)).alias("spans"))
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 200):

@@ -4,10 +4,11 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.llm import similarity_join, suffix_dedup
+from millrace.llm import common, similarity_join, suffix_dedup
 
 ASCII_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -182,6 +183,41 @@ def test_repeats_equal_brute_force(spark, monkeypatch, hot):
     assert suffix_dedup.remove_repeats(df.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("bound", [suffix_dedup.PLACES, 0])
+def test_only_what_repeats_is_moved(spark, monkeypatch, bound):
+    """Occurrences of anchors that do not recur stay in their task, and each context is cut once, however often it occurs; with bounds of 0 nothing is broadcast."""
+    rows = {}
+
+    def written(df, name="step", **more):
+        out = materialize(df, name, **more)
+        rows[name] = [tuple(r) for r in out.collect()] if name in ("occurrences", "contexts") else []
+        return out
+
+    materialize = suffix_dedup.materialize
+    monkeypatch.setattr(suffix_dedup, "materialize", written)
+    monkeypatch.setattr(suffix_dedup, "PLACES", bound)
+    monkeypatch.setattr(suffix_dedup, "KEYS", bound, raising=False)
+    rng = random.Random(5)
+    say = lambda n: "".join(rng.choice("abcdefgh \n") for _ in range(n))
+    line = say(400)
+    docs = list(enumerate([say(300) + line + say(300) for _ in range(12)] + [say(900) for _ in range(40)] + [say(300) + line] * 6))
+    df = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    out = suffix_dedup.remove_repeats(df, payload=False)
+    assert sorted((tuple(r) for r in out.select("doc_id", "__n_bytes", "__n_removed", F.size("__spans"), "__kept_sha256").collect()), key=str) == brute_repeats(docs)
+    found = [r[:2] for r in rows["contexts"]]
+    assert len(found) == len(set(found))
+    every = sum(len(x[0]) for x in suffix_dedup.occurrences([t.encode() for _, t in docs]))
+    assert 0 < len(rows["occurrences"]) < every / 2
+    assert len(found) < len(rows["occurrences"])
+
+
+def test_sieve_loses_no_key(spark):
+    keys = [k * 7919 - (1 << 62) for k in range(5000)]
+    table = common.sieve(spark.createDataFrame([(k,) for k in keys], "k long"), len(keys)).value
+    assert common.sieved(pa.array(keys), table).all()
+    assert common.sieved(pa.array([k + 1 for k in keys]), table).mean() < 1 / 8 + 0.02
+
+
 def test_anchors_do_not_depend_on_what_stands_around():
     rng = random.Random(1)
     window = rng.randbytes(200)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +14,8 @@ from ..functions.rewards import distinct_terms
 from ..functions.text import NO_SPACE, SPACE, once, or_default, pattern, strip
 
 MIN_PROMPT, MIN_ANSWER, MIN_CLEAN, FIRST = 20, 150, 100, 1500
+#: Rows of messages that a worker opens at a time: what it holds beside a batch does not grow with the batch.
+ROWS = 200
 
 
 def user_text(title: Column, body: Column) -> Column:
@@ -90,11 +92,14 @@ def fine_tuning(records: DataFrame, first: int | None = FIRST, order: str = "thr
 
 
 def apply_template(records: DataFrame, make_template: Callable[[], Callable[[list[dict]], str]]) -> DataFrame:
-    """thread_id and text: messages through a tokenizer's chat template, which a worker builds once."""
+    """thread_id and text: messages through a tokenizer's chat template, which a worker builds once. A worker opens `ROWS` rows of a batch at a time."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         template = make_template()
-        for frame in frames:
-            yield pd.DataFrame({"thread_id": frame["thread_id"], "text": [template([dict(m) for m in ms]) for ms in frame["messages"]]})
+        for b in batches:
+            for i in range(0, b.num_rows, ROWS):
+                ids, messages = b.slice(i, ROWS).columns
+                texts = [template(ms) for ms in messages.to_pylist()]
+                yield pa.RecordBatch.from_arrays([ids.cast(pa.string()), pa.array(texts, pa.string())], ["thread_id", "text"])
 
-    return records.select("thread_id", "messages").mapInPandas(run, "thread_id string, text string")
+    return records.select("thread_id", "messages").mapInArrow(run, "thread_id string, text string")

@@ -1,3 +1,4 @@
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -228,3 +229,25 @@ def test_isolation(spark):
     assert split.isolated(rows, items).columns == rows.columns and split.isolated(rows, items.where("false")).count() == 6
     parts = rows.withColumn("split", F.when(F.col("id") < 3, "train").otherwise("test"))
     assert {(r.split, r.n, r.leaks) for r in split.leaks(parts, items, ("title", "body")).collect()} == {("train", 2, 2), ("test", 4, 0)}
+
+
+def test_a_template_opens_few_rows_of_a_batch_at_a_time(spark):
+    class Records:
+        """Hands over the map itself."""
+
+        def select(self, *names):
+            return self
+
+        def mapInArrow(self, run, schema):  # noqa: N802
+            return run
+
+    opened = []
+    run = training.apply_template(Records(), lambda: lambda ms: opened.append(ms) or ms[0]["content"])
+    message = pa.struct([("role", pa.string()), ("content", pa.string())])
+    rows = [[{"role": "user", "content": f"c{k}"}] for k in range(1001)]
+    batch = pa.RecordBatch.from_arrays([pa.array([f"t{k}" for k in range(1001)]), pa.array(rows, pa.list_(message))], ["thread_id", "messages"])
+    got = []
+    for b in run(iter([batch])):
+        assert b.num_rows <= training.ROWS and len(opened) - len(got) <= training.ROWS
+        got += zip(*(c.to_pylist() for c in b.columns), strict=True)
+    assert got == [(f"t{k}", f"c{k}") for k in range(1001)]

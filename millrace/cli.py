@@ -147,7 +147,14 @@ def run_evaluate(spark: SparkSession, a: argparse.Namespace) -> dict:
     items = curate.first_rows(files.read_benchmark(spark, a.benchmark_path), "id", a.sample_limit)
     answers = spark.read.schema("id string, text string, tokens long, seconds double").json(a.completions_path)
     covered = evaluate.coverage(answers, items, evaluate.strict_match if a.form == "trained" else evaluate.loose_match)
-    rows = evaluate.question_rows(evaluate.answer_rows(covered).drop("thinking_trace")).persist()
+    rows = evaluate.question_rows(evaluate.answer_rows(covered).drop("thinking_trace"))
+    many = answers.join(items.select("id"), "id").limit(REPORT_ROWS + 1).count() > REPORT_ROWS
+    path = a.results_path or (f"{a.completions_path}.{text.slug(a.model_id)}.results" if many else None)
+    # many rows are kept as Parquet meanwhile: what is read of them again is mostly narrow, and a cached part would be read whole
+    kept = f"{path}.rows" if many else None
+    if many:
+        files.write_table(rows, kept)
+    rows = spark.read.schema(rows.schema).parquet(kept) if many else rows.persist()
     summary = evaluate.rollup(rows).collect()
     overall = next((r for r in summary if r.level == "overall"), None)
     recall, speed = (overall.avg_recall or 0.0, overall.tokens_per_second) if overall else (0.0, 0.0)
@@ -179,12 +186,13 @@ def run_evaluate(spark: SparkSession, a: argparse.Namespace) -> dict:
             "category_summary": level("category", 1, 4),
             "difficulty_summary": level("difficulty", 1, 4),
         }
-    few = shown.orderBy("id").limit(REPORT_ROWS + 1).collect()
-    path = a.results_path or (f"{a.completions_path}.{text.slug(a.model_id)}.results" if len(few) > REPORT_ROWS else None)
     if path:
         files.write_json_lines(shown, path)
-    report["results"] = [r.asDict(recursive=True) for r in few] if len(few) <= REPORT_ROWS else path
-    rows.unpersist()
+    report["results"] = path if many else [r.asDict(recursive=True) for r in shown.orderBy("id").collect()]
+    if many:
+        files.remove(spark, kept)
+    else:
+        rows.unpersist()
     return report
 
 

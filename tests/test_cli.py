@@ -140,3 +140,18 @@ def test_reports_lose_nothing(spark, tmp_path):
     assert files.counts_map(df, "c", f"{tmp_path}/counts") == {f"c{k}": 2 for k in range(1500)}
     assert files.counts_map(df, "c", f"{tmp_path}/counts", limit=1499) == {"file": f"{tmp_path}/counts"}
     assert {(r.value, r.n) for r in spark.read.json(f"{tmp_path}/counts").collect()} == {(f"c{k}", 2) for k in range(1500)}
+
+
+def test_many_evaluated_rows_are_not_cached(spark, tmp_path, monkeypatch):
+    """Rows with texts are read again by column, so no task reads a cached part whole; what kept them goes."""
+    items = [{"id": "q", "category": "a", "difficulty": "easy", "test_type": "t", "question": "x", "expected_concepts": ["bm25", "rerank"], "reference_reasoning": "", "scoring_rubric": {"correctness": "", "grounding": "", "tradeoffs": ""}}]
+    (tmp_path / "items.jsonl").write_text("\n".join(map(json.dumps, items)))
+    rows = [{"id": "q", "text": "<think>x</think> " + ("bm25" if k % 2 else "rerank bm25"), "tokens": 2, "seconds": 0.5} for k in range(1001)]
+    (tmp_path / "answers.jsonl").write_text("\n".join(map(json.dumps, rows)))
+    write, plans = files.write_json_lines, []
+    monkeypatch.setattr(files, "write_json_lines", lambda df, path: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(df, path))
+    got = cli.main(["evaluate", "--model-id", "m", "--benchmark-path", f"{tmp_path}/items.jsonl", "--completions-path", f"{tmp_path}/answers.jsonl"])
+    assert len(plans) == 1 and "InMemoryTableScan" not in plans[0]
+    assert (got["total_questions_evaluated"], got["overall_concept_recall"], got["overall_tokens_per_second"]) == (1001, round((501 + 500 * 0.5) / 1001, 4), 4.0)
+    assert spark.read.json(got["results"]).count() == 1001
+    assert sorted(p.name for p in tmp_path.iterdir() if not p.name.startswith(".")) == ["answers.jsonl", "answers.jsonl.m.results", "items.jsonl"]
